@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from foliospark.llm import bpe, decontam, licenses, sharding, tokencount
+from foliospark.llm import bpe, decontam, licenses, quality, sharding, tokencount, toxicity, urlfilter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
+    "op9_url_filter": urlfilter.op9_url_filter,
     "op10_licenses": licenses.op10_licenses,
 }
 
 #: Operators that SQL can express on whole tables; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": urlfilter.ORACLE_SQL}
