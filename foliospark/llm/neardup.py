@@ -8,17 +8,19 @@ branches to the nodes named by ``ROOT_BRANCH`` chosen tokens of its own; a node
 with at most ``LEAF`` classes is compared exhaustively, and a larger one
 branches again by ``BRANCH`` tokens that the node's name chooses, until its
 children are small. Two sets of the least similarity J share no root node with
-the probability (1 - J) ** (TREES * ROOT_BRANCH), 6e-8 for J = 0.75.
+the probability (1 - J) ** ROOTS, 6e-8 for J = 0.75.
 
 Within a node pairs are compared by the share of equal tokens. Those below
 ``least_equal`` are left out; a linked pair falls below it with a probability
 under 1e-7. All others are candidates, and each link is confirmed on the full
 sets, from the words of the texts. Of a node's candidates the ones of a maximum
 spanning forest are confirmed first; pairs that this has joined to one component
-need no further look, and all others are confirmed after that. A large node
-whose classes are already one component is not branched further; before that,
-its classes are compared in random blocks of LEAF, so that large groups of near
-copies join early.
+need no further look, and all others are confirmed after that.
+
+A large node is first compared in random blocks of LEAF, so that large groups
+of near copies join early. If it then is one component, it is finished. If all but
+at most LEAF of its classes are in one component, these few are compared with
+every class of the node, block by block. Otherwise it branches.
 
 Nothing is collected on the driver but counts of rows. Intermediate tables
 are written to the shared scratch folder.
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame, functions as F
 from foliospark.llm.common import Scratch, blank_spans, hash_spans, mix
 
 WORDS, PERCENT = 5, 75
-COORDS, TREES, ROOT_BRANCH, BRANCH, LEAF, MAX_DEPTH = 128, 6, 2, 3, 1024, 24
+COORDS, TREES, ROOT_BRANCH, BRANCH, LEAF, MAX_DEPTH = 128, 6, 2, 2, 1024, 24
 ROOTS = TREES * ROOT_BRANCH
 _FACTORS = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACES = mix(np.arange(1001, 1001 + WORDS, dtype=np.uint64)) | np.uint64(1)
@@ -123,27 +125,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # ------------------------------------------------------- inside a node
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, list]]:
-    """(keys, tokens, labels) of each run of rows with equal (node, block)."""
-    name, keys, sigs, labels = None, [], [], []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, np.ndarray, list, int]]:
+    """((node, block), keys, tokens, labels, number of probes) of each run of equal (node, block).
+
+    Probes come first; of a pair one at least is a probe."""
+    name, keys, sigs, labels, probes = None, [], [], [], 0
     for batch in batches:
-        col = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
-        for at, key, sig, label in zip(zip(col["node"], col["block"]), col["key"], col["sig"], col["label"]):
-            if at != name:
+        at = batch.schema.get_field_index
+        col = [batch.column(at(c)).to_pylist() for c in ("node", "block", "key", "sig", "label", "other")]
+        for node, block, key, sig, label, other in zip(*col):
+            if (node, block) != name:
                 if len(keys) > 1:
-                    yield keys, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS), labels
-                name, keys, sigs, labels = at, [], [], []
+                    yield name, keys, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS), labels, probes
+                name, keys, sigs, labels, probes = (node, block), [], [], [], 0
             keys.append(key)
             sigs.append(sig)
             labels.append(label)
+            probes += not other
     if len(keys) > 1:
-        yield keys, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS), labels
+        yield name, keys, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS), labels, probes
 
 
-def similar(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs i < j with at least so many equal tokens, and that number."""
+def similar(tokens: np.ndarray, least: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs i < j with at least so many equal tokens, and that number; i is a probe."""
     left, right, equal = [], [], []
-    for i in range(len(tokens) - 1):
+    for i in range(min(probes, len(tokens) - 1)):
         same = np.count_nonzero(tokens[i + 1 :] == tokens[i], axis=1)
         j = np.flatnonzero(same >= least)
         if len(j):
@@ -185,22 +191,28 @@ def _pairs_in_nodes(least: int, spanning: bool) -> Callable:
     """Candidate pairs of each node: the spanning forest's, or all between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: list[tuple[int, int]] = []
         a, b = [], []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-            a.clear()
-            b.clear()
+            node, block = [c[0] for c in cell], [c[1] for c in cell]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(block, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                ["node", "block", "a", "b"],
+            )
+            for x in (cell, a, b):
+                x.clear()
             return out
 
-        for keys, tokens, labels in _groups(batches):
-            left, right, equal = similar(tokens, least)
+        for name, keys, tokens, labels, probes in _groups(batches):
+            left, right, equal = similar(tokens, least, probes)
             if spanning:
                 pairs = forest(left, right, equal, labels)
             else:
                 pairs = [(i, j) for i, j in zip(left.tolist(), right.tolist()) if labels[i] != labels[j]]
             for i, j in pairs:
                 x, y = keys[i], keys[j]
+                cell.append(name)
                 a.append(min(x, y))
                 b.append(max(x, y))
             if len(a) > 5000:
@@ -210,28 +222,73 @@ def _pairs_in_nodes(least: int, spanning: bool) -> Callable:
     return run
 
 
+#: Bytes of unpacked sets that a task keeps; sets beyond it are unpacked at each use.
+KEPT_BYTES = 100 << 20
+
+
+class Cell:
+    """The sets of one (node, block), and the confirmation of its pairs."""
+
+    def __init__(self, percent: int):
+        self.percent, self.unpack = percent, zstandard.ZstdDecompressor().decompress
+        self.blobs: dict[bytes, bytes] = {}
+        self.sets: dict[bytes, np.ndarray] = {}
+        self.size = 0
+
+    def words(self, key: bytes) -> np.ndarray:
+        if (found := self.sets.get(key)) is None:
+            found = shingles(self.unpack(self.blobs[key]))
+            if self.size < KEPT_BYTES:
+                self.sets[key] = found
+                self.size += found.nbytes
+        return found
+
+    def linked(self, a: bytes, others: list[bytes]) -> list[bytes]:
+        """Those of ``others`` whose sets are similar enough to that of ``a``."""
+        mine, out = self.words(a), []
+        for at in range(0, len(others), 256):
+            part = others[at : at + 256]
+            sets = [self.words(k) for k in part]
+            every = np.concatenate(sets)
+            place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+            sizes = np.array([len(x) for x in sets])
+            both = np.add.reduceat((mine[place] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+            good = 100 * both >= self.percent * (len(mine) + sizes - both)
+            out += [part[k] for k in np.flatnonzero(good)]
+        return out
+
+
 def _confirm(percent: int) -> Callable:
-    """The pairs of (a, b, blob_a, blob_b) whose full sets are similar enough."""
+    """Links of each (node, block): first come the rows of its sets, then its pairs by a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        last: dict[str, tuple[bytes, np.ndarray]] = {}
+        name, cell, a, others = None, Cell(percent), None, []
+        left, right = [], []
 
-        def words(side: str, key: bytes, blob: bytes) -> np.ndarray:
-            if side not in last or last[side][0] != key:
-                last[side] = key, shingles(unpack(blob))
-            return last[side][1]
+        def finish() -> None:
+            if others:
+                found = cell.linked(a, others)
+                left.extend([a] * len(found))
+                right.extend(found)
+                others.clear()
 
         for batch in batches:
-            a, b = [], []
-            for x, y, p, q in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "blob_a", "blob_b"))):
-                x, y = x.as_py(), y.as_py()
-                s, t = words("a", x, p.as_py()), words("b", y, q.as_py())
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            at = batch.schema.get_field_index
+            for node, block, x, y, blob in zip(*(batch.column(at(c)).to_pylist() for c in ("node", "block", "a", "b", "blob"))):
+                if (node, block) != name or x != a:
+                    finish()
+                    a = x
+                if (node, block) != name:
+                    name, cell = (node, block), Cell(percent)
+                if y is None:
+                    cell.blobs[x] = blob
+                else:
+                    others.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+            left.clear()
+            right.clear()
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     return run
 
@@ -255,26 +312,43 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     )
     step = 0
     while labels.filter("moved").limit(1).count():
-        near = (
-            edges.join(labels.select(F.col("key").alias("v"), "label").hint("merge"), "v")
-            .groupBy("u").agg(F.min("label").alias("m"))
-        )
-        new = labels.join(near.withColumnRenamed("u", "key").hint("merge"), "key").select(
-            "key", F.col("label").alias("old"), F.least("label", "m").alias("label")
-        )
-        top = labels.select(F.col("key").alias("label"), F.col("label").alias("top"))
-        jumped = new.join(top.hint("merge"), "label", "left").select(
-            "key", F.least("label", F.coalesce("top", "label")).alias("label"), "old"
-        )
+        new = labels.select("key", "label", F.col("label").alias("old"))
+        for _ in range(2):
+            near = (
+                edges.join(new.select(F.col("key").alias("v"), "label").hint("merge"), "v")
+                .groupBy("u").agg(F.min("label").alias("m")).withColumnRenamed("u", "key")
+            )
+            new = new.join(near.hint("merge"), "key").select("key", F.least("label", "m").alias("label"), "old")
+            top = labels.select(F.col("key").alias("label"), F.col("label").alias("top"))
+            new = new.join(top.hint("merge"), "label", "left").select(
+                "key", F.least("label", F.coalesce("top", "label")).alias("label"), "old"
+            )
         step += 1
-        labels = scratch.save(
-            jumped.select("key", "label", (F.col("label") != F.col("old")).alias("moved")), f"{name}-{step}"
-        )
+        moved = (F.col("label") != F.col("old")).alias("moved")
+        labels = scratch.save(new.select("key", "label", moved), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
     scratch.drop(f"{name}-edges")
     return labels.select("key", "label")
 
 
+def joined_components(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components after further links; only components that a link joins are walked again."""
+    if labels is None:
+        return components(links, scratch, name)
+    side = lambda k: labels.select(F.col("key").alias(k), F.col("label").alias(f"l{k}")).hint("merge")
+    ends = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        "a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")
+    )
+    ends = scratch.save(ends.filter("la <> lb"), f"{name}-ends")
+    if ends.isEmpty():
+        return labels
+    over = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch, f"{name}-over")
+    fresh = ends.select(F.col("a").alias("key"), F.col("la").alias("label")).union(ends.select("b", "lb"))
+    every = labels.union(fresh.filter("key = label")).distinct()
+    over = over.select(F.col("key").alias("label"), F.col("label").alias("top")).hint("merge")
+    return scratch.save(every.join(over, "label", "left").select("key", F.coalesce("top", "label").alias("label")), name)
+
+
 class Join:
     """The levels of the join over one table of fingerprints."""
 
@@ -287,29 +361,40 @@ class Join:
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         return rows.join(sizes.hint("merge"), "node")
 
-    def labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Rows with their class's component, in nodes that have more than one."""
-        if labels is None:
-            return rows.withColumn("label", F.col("key"))
-        rows = rows.join(labels.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = (
-            rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .filter("lo <> hi").select("node")
+    def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """(node, key, label, n, major, few) in nodes of more than one component.
+
+        ``major`` is the node's largest component, ``few`` the number of classes outside.
+        """
+        rows = rows.select("node", "key").join(labels.hint("merge"), "key", "left")
+        rows = rows.withColumn("label", F.coalesce("label", "key"))
+        parts = rows.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(
+            F.sum("c").alias("n"), F.max_by("label", "c").alias("major"),
+            (F.sum("c") - F.max("c")).alias("few"), F.count("*").alias("parts"),
         )
-        return rows.join(mixed.hint("merge"), "node", "left_semi")
+        return rows.join(parts.filter("parts > 1").drop("parts").hint("merge"), "node")
 
     def candidates(self, rows: DataFrame, spanning: bool) -> DataFrame:
         sigs = self.reps.select("key", "sig")
-        dealt = rows.select("node", "block", "key", "label").join(sigs.hint("merge"), "key")
-        dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "key")
-        found = dealt.select("node", "block", "key", "sig", "label").mapInArrow(
-            _pairs_in_nodes(self.least, spanning), "a binary, b binary"
+        dealt = rows.select("node", "block", "key", "label", "other").join(sigs.hint("merge"), "key")
+        dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "other", "key")
+        found = dealt.select("node", "block", "key", "sig", "label", "other").mapInArrow(
+            _pairs_in_nodes(self.least, spanning), "node long, block int, a binary, b binary"
+        )
+        # A pair that several nodes hold is confirmed in one of them.
+        return found.groupBy("a", "b").agg(F.min(F.struct("node", "block")).alias("cell")).select(
+            "cell.node", "cell.block", "a", "b"
         )
-        return found.distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        side = lambda k: self.reps.select(F.col("key").alias(k), F.col("blob").alias(f"blob_{k}")).hint("merge")
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(self.percent), "a binary, b binary")
+        """The links among pairs (node, block, a, b); each set goes to a cell once."""
+        needed = pairs.select("node", "block", F.col("a").alias("key")).union(pairs.select("node", "block", "b")).distinct()
+        sets = needed.join(self.reps.select("key", "blob").hint("merge"), "key").select(
+            "node", "block", F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), "blob"
+        )
+        both = sets.unionByName(pairs.withColumn("blob", F.lit(None).cast("binary")))
+        dealt = both.repartition("node", "block").sortWithinPartitions("node", "block", F.col("b").isNotNull(), "a")
+        return dealt.mapInArrow(_confirm(self.percent), "a binary, b binary")
 
     def labels(self) -> DataFrame:
         """(key, label) of all linked classes."""
@@ -319,43 +404,50 @@ class Join:
         met = frontier.select("key").distinct()
         once = self.prints.filter("key is not null").select("key", "sig", "blob").dropDuplicates(["key"])
         self.reps = save(once.join(met.hint("merge"), "key", "left_semi"), "reps")
-        leaves, tried, links, labels = [], None, None, None
+        done, tried, labels = [], None, None
         for depth in range(MAX_DEPTH):
-            rows = self.labelled(frontier, labels)
+            if labels is None:
+                rows = frontier.select("node", "key", "n", F.col("key").alias("label"))
+            else:
+                rows = self.labelled(frontier, labels)
             block = F.pmod(F.xxhash64("key", F.lit(depth)), F.ceil(F.col("n") / LEAF))
-            rows = rows.withColumn("block", F.when(F.col("n") > LEAF, block).otherwise(0))
+            rows = rows.withColumns({"block": F.when(F.col("n") > LEAF, block).otherwise(0).cast("int"), "other": F.lit(False)})
             pairs = self.candidates(rows, True)
             if tried is not None:
                 pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
             pairs = save(pairs, f"pairs{depth}")
             found = save(self.confirmed(pairs), f"links{depth}")
             tried = pairs if tried is None else tried.unionByName(pairs)
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, self.scratch, f"labels{depth}")
-            leaves.append(frontier.filter(F.col("n") <= LEAF))
-            large = self.labelled(frontier.filter(F.col("n") > LEAF), labels)
+            labels = joined_components(labels, found, self.scratch, f"labels{depth}")
+            done.append(frontier.filter(F.col("n") <= LEAF).select("node", "key"))
+            large = frontier.filter(F.col("n") > LEAF)
+            if large.isEmpty():
+                break
+            large = save(self.labelled(large, labels), f"large{depth}")
+            done.append(large.filter(F.col("few") <= LEAF).select("node", "key"))
             child = [
                 F.xxhash64("node", F.lit(j), F.substring(
                     "sig", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int") * 2 + 1, F.lit(2)))
                 for j in range(BRANCH)
             ]
-            branched = large.select("node", "key").join(self.reps.select("key", "sig").hint("merge"), "key").select(
-                "key", F.explode(F.array(*child)).alias("node")
-            )
+            branched = large.filter(F.col("few") > LEAF).select("node", "key").join(
+                self.reps.select("key", "sig").hint("merge"), "key"
+            ).select("key", F.explode(F.array(*child)).alias("node"))
             frontier = save(self.counted(branched.distinct()), f"frontier{depth + 1}")
             if frontier.isEmpty():
                 break
         else:
-            leaves.append(frontier)  # compared whole, whatever their size
-        rows = leaves[0]
-        for more in leaves[1:]:
+            done.append(frontier.select("node", "key"))  # compared whole, whatever their size
+        rows = done[0]
+        for more in done[1:]:
             rows = rows.unionByName(more)
-        rows = self.labelled(rows, labels).withColumn("block", F.lit(0))
-        rest = self.candidates(rows, False).join(tried.hint("merge"), ["a", "b"], "left_anti")
-        found = save(self.confirmed(rest), "links-rest")
-        if found.isEmpty():
-            return labels
-        return components(links.unionByName(found), self.scratch, "labels-rest")
+        rows = self.labelled(rows, labels).withColumn("other", F.col("label") == F.col("major"))
+        blocks = F.ceil((F.col("n") - F.col("few")) / LEAF).cast("int")
+        mine = F.array(F.pmod(F.xxhash64("key"), blocks).cast("int"))
+        every = F.sequence(F.lit(0), blocks - 1)
+        rows = rows.withColumn("block", F.explode(F.when(F.col("other"), mine).otherwise(every)))
+        rest = save(self.candidates(rows, False).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs-rest")
+        return joined_components(labels, save(self.confirmed(rest), "links-rest"), self.scratch, "labels-rest")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

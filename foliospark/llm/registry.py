@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliospark.llm import bpe, decontam, licenses, quality, sharding, tokencount, toxicity, urlfilter
+from foliospark.llm import bpe, decontam, licenses, neardup, quality, sharding, tokencount, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
