@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import bpe, decontam, licenses, neardup, quality, sharding, tokencount, toxicity, urlfilter
+from foliospark.llm import ann, bpe, decontam, licenses, neardup, quality, sharding, tokencount, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
+    "op8_nearest": ann.op8_nearest,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_licenses": licenses.op10_licenses,
 }
