@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.plans import retrieval_queries  # noqa: F401
+from foliospark.plans import library_queries, retrieval_queries  # noqa: F401
 from foliospark.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "hybrid_retrieve"
