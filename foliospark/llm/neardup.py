@@ -13,9 +13,10 @@ the probability (1 - J) ** ROOTS, 6e-8 for J = 0.75.
 Within a node pairs are compared by the share of equal tokens. Those below
 ``least_equal`` are left out; a linked pair falls below it with a probability
 under 1e-7. All others are candidates, and each link is confirmed on the full
-sets, from the words of the texts. Of a node's candidates the ones of a maximum
-spanning forest are confirmed first; pairs that this has joined to one component
-need no further look, and all others are confirmed after that.
+sets, from the words of the texts, in the task that has the node. Of a node's
+candidates the ones of a maximum spanning forest are confirmed first; pairs that
+this has joined to one component need no further look, and all others are
+confirmed after that. Only links that join components leave the task.
 
 A large node is first compared in random blocks of LEAF, so that large groups
 of near copies join early. If it then is one component, it is finished. If all but
@@ -124,34 +125,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------- inside a node
 
+CELL = ["node", "block", "key", "label", "other"]
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, np.ndarray, list, int]]:
-    """((node, block), keys, tokens, labels, number of probes) of each run of equal (node, block).
 
-    Probes come first; of a pair one at least is a probe."""
-    name, keys, sigs, labels, probes = None, [], [], [], 0
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The columns of each run of rows with equal (node, block) and more than one row.
+
+    Probes (rows that aren't ``other``) come first; of a pair one at least is a probe.
+    """
+    name, kept = None, []
+
+    def group() -> dict[str, list]:
+        return dict(zip(names, map(list, zip(*kept))))
+
     for batch in batches:
-        at = batch.schema.get_field_index
-        col = [batch.column(at(c)).to_pylist() for c in ("node", "block", "key", "sig", "label", "other")]
-        for node, block, key, sig, label, other in zip(*col):
-            if (node, block) != name:
-                if len(keys) > 1:
-                    yield name, keys, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS), labels, probes
-                name, keys, sigs, labels, probes = (node, block), [], [], [], 0
-            keys.append(key)
-            sigs.append(sig)
-            labels.append(label)
-            probes += not other
-    if len(keys) > 1:
-        yield name, keys, np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS), labels, probes
-
-
-def similar(tokens: np.ndarray, least: int, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs i < j with at least so many equal tokens, and that number; i is a probe."""
+        names = batch.schema.names
+        for row in zip(*(batch.column(i).to_pylist() for i in range(len(names)))):
+            if row[:2] != name:
+                if len(kept) > 1:
+                    yield group()
+                name, kept = row[:2], []
+            kept.append(row)
+    if len(kept) > 1:
+        yield group()
+
+
+def candidates(group: dict[str, list], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j of different components with enough equal tokens, and their number."""
+    tokens = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(-1, COORDS)
+    number: dict = {}
+    label = np.array([number.setdefault(x, len(number)) for x in group["label"]])
     left, right, equal = [], [], []
-    for i in range(min(probes, len(tokens) - 1)):
+    for i in range(min(len(tokens) - 1, group["other"].count(False))):
         same = np.count_nonzero(tokens[i + 1 :] == tokens[i], axis=1)
-        j = np.flatnonzero(same >= least)
+        j = np.flatnonzero((same >= least) & (label[i + 1 :] != label[i]))
         if len(j):
             left.append(np.full(len(j), i))
             right.append(j + i + 1)
@@ -162,90 +169,64 @@ def similar(tokens: np.ndarray, least: int, probes: int) -> tuple[np.ndarray, np
     return np.concatenate(left), np.concatenate(right), np.concatenate(equal)
 
 
-def forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, group: list) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest between the groups."""
-    number: dict = {}
-    up = [number.setdefault(g, i) for i, g in enumerate(group)]
-    parts = len(number)
+class Parts:
+    """Disjoint sets of a group's rows, begun with their components."""
+
+    def __init__(self, labels: list):
+        number: dict = {}
+        self.up = [number.setdefault(x, i) for i, x in enumerate(labels)]
+        self.n = len(number)
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        up = self.up
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
-    out = []
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.up[b] = a
+            self.n -= 1
+        return a != b
+
+
+def forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, labels: list) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest between the components."""
+    parts, out = Parts(labels), []
     for k in np.argsort(-weight, kind="stable"):
+        if parts.n == 1:
+            break
         i, j = int(left[k]), int(right[k])
-        a, b = root(i), root(j)
-        if a != b:
-            up[b] = a
+        if parts.join(i, j):
             out.append((i, j))
-            parts -= 1
-            if parts == 1:
-                break
     return out
 
 
-def _pairs_in_nodes(least: int, spanning: bool) -> Callable:
-    """Candidate pairs of each node: the spanning forest's, or all between components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell: list[tuple[int, int]] = []
-        a, b = [], []
-
-        def flush() -> pa.RecordBatch:
-            node, block = [c[0] for c in cell], [c[1] for c in cell]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(block, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
-                ["node", "block", "a", "b"],
-            )
-            for x in (cell, a, b):
-                x.clear()
-            return out
-
-        for name, keys, tokens, labels, probes in _groups(batches):
-            left, right, equal = similar(tokens, least, probes)
-            if spanning:
-                pairs = forest(left, right, equal, labels)
-            else:
-                pairs = [(i, j) for i, j in zip(left.tolist(), right.tolist()) if labels[i] != labels[j]]
-            for i, j in pairs:
-                x, y = keys[i], keys[j]
-                cell.append(name)
-                a.append(min(x, y))
-                b.append(max(x, y))
-            if len(a) > 5000:
-                yield flush()
-        yield flush()
-
-    return run
-
-
 #: Bytes of unpacked sets that a task keeps; sets beyond it are unpacked at each use.
 KEPT_BYTES = 100 << 20
 
 
-class Cell:
-    """The sets of one (node, block), and the confirmation of its pairs."""
+class Sets:
+    """The full sets of a group's rows."""
 
-    def __init__(self, percent: int):
-        self.percent, self.unpack = percent, zstandard.ZstdDecompressor().decompress
-        self.blobs: dict[bytes, bytes] = {}
-        self.sets: dict[bytes, np.ndarray] = {}
+    def __init__(self, blobs: list[bytes], percent: int):
+        self.blobs, self.percent, self.unpack = blobs, percent, zstandard.ZstdDecompressor().decompress
+        self.known: dict[int, np.ndarray] = {}
         self.size = 0
 
-    def words(self, key: bytes) -> np.ndarray:
-        if (found := self.sets.get(key)) is None:
-            found = shingles(self.unpack(self.blobs[key]))
+    def words(self, i: int) -> np.ndarray:
+        if (found := self.known.get(i)) is None:
+            found = shingles(self.unpack(self.blobs[i]))
             if self.size < KEPT_BYTES:
-                self.sets[key] = found
+                self.known[i] = found
                 self.size += found.nbytes
         return found
 
-    def linked(self, a: bytes, others: list[bytes]) -> list[bytes]:
-        """Those of ``others`` whose sets are similar enough to that of ``a``."""
-        mine, out = self.words(a), []
+    def linked(self, i: int, others: list[int]) -> list[int]:
+        """Those of ``others`` whose sets are similar enough to that of row i."""
+        mine, out = self.words(i), []
         for at in range(0, len(others), 256):
             part = others[at : at + 256]
             sets = [self.words(k) for k in part]
@@ -258,37 +239,62 @@ class Cell:
         return out
 
 
-def _confirm(percent: int) -> Callable:
-    """Links of each (node, block): first come the rows of its sets, then its pairs by a."""
+def links(group: dict[str, list], least: int, percent: int, complete: bool) -> list[tuple[int, int]]:
+    """Confirmed links that join the group's components, at most one fewer than its rows.
+
+    The spanning forest's pairs are confirmed first; if ``complete``, so are all
+    others whose ends are not joined yet.
+    """
+    left, right, equal = candidates(group, least)
+    sets, parts, out = Sets(group["blob"], percent), Parts(group["label"]), []
+    for i, j in forest(left, right, equal, group["label"]):
+        if sets.linked(i, [j]) and parts.join(i, j):
+            out.append((i, j))
+    if complete and parts.n > 1:
+        starts = np.flatnonzero(np.diff(left, prepend=-1))
+        for i, others in zip(left[starts].tolist(), np.split(right, starts[1:])):
+            mine = parts.root(i)
+            others = [j for j in others.tolist() if parts.root(j) != mine]
+            for j in sets.linked(i, others) if others else []:
+                if parts.join(i, j):
+                    out.append((i, j))
+    return out
+
+
+def _screened(least: int) -> Callable:
+    """The rows of each group that are in a candidate pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, cell, a, others = None, Cell(percent), None, []
-        left, right = [], []
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
 
-        def finish() -> None:
-            if others:
-                found = cell.linked(a, others)
-                left.extend([a] * len(found))
-                right.extend(found)
-                others.clear()
+        def flush(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], CELL)
 
-        for batch in batches:
-            at = batch.schema.get_field_index
-            for node, block, x, y, blob in zip(*(batch.column(at(c)).to_pylist() for c in ("node", "block", "a", "b", "blob"))):
-                if (node, block) != name or x != a:
-                    finish()
-                    a = x
-                if (node, block) != name:
-                    name, cell = (node, block), Cell(percent)
-                if y is None:
-                    cell.blobs[x] = blob
-                else:
-                    others.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-            left.clear()
-            right.clear()
-        finish()
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+        rows: list[tuple] = []
+        for group in _groups(batches):
+            left, right, _ = candidates(group, least)
+            for i in np.union1d(left, right).tolist():
+                rows.append(tuple(group[c][i] for c in CELL))
+            if len(rows) > 5000:
+                yield flush(rows)
+                rows = []
+        yield flush(rows)
+
+    return run
+
+
+def _linked(least: int, percent: int) -> Callable:
+    """Links of each group; only the spanning forest's where ``block`` is negative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            found = links(group, least, percent, group["block"][0] >= 0)
+            if found:
+                key = group["key"]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[i] for i, _ in found], pa.binary()), pa.array([key[j] for _, j in found], pa.binary())],
+                    ["a", "b"],
+                )
 
     return run
 
@@ -374,27 +380,19 @@ class Join:
         )
         return rows.join(parts.filter("parts > 1").drop("parts").hint("merge"), "node")
 
-    def candidates(self, rows: DataFrame, spanning: bool) -> DataFrame:
-        sigs = self.reps.select("key", "sig")
-        dealt = rows.select("node", "block", "key", "label", "other").join(sigs.hint("merge"), "key")
-        dealt = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "other", "key")
-        found = dealt.select("node", "block", "key", "sig", "label", "other").mapInArrow(
-            _pairs_in_nodes(self.least, spanning), "node long, block int, a binary, b binary"
-        )
-        # A pair that several nodes hold is confirmed in one of them.
-        return found.groupBy("a", "b").agg(F.min(F.struct("node", "block")).alias("cell")).select(
-            "cell.node", "cell.block", "a", "b"
-        )
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (node, block, a, b); each set goes to a cell once."""
-        needed = pairs.select("node", "block", F.col("a").alias("key")).union(pairs.select("node", "block", "b")).distinct()
-        sets = needed.join(self.reps.select("key", "blob").hint("merge"), "key").select(
-            "node", "block", F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), "blob"
-        )
-        both = sets.unionByName(pairs.withColumn("blob", F.lit(None).cast("binary")))
-        dealt = both.repartition("node", "block").sortWithinPartitions("node", "block", F.col("b").isNotNull(), "a")
-        return dealt.mapInArrow(_confirm(self.percent), "a binary, b binary")
+    def found(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) of rows (node, block, key, label, other).
+
+        Tokens go to every row of a node, texts only to the rows in candidate pairs.
+        """
+        side = lambda *c: self.reps.select("key", *c).hint("merge")
+        order = ["node", "block", "other", "key"]
+        dealt = rows.select(CELL).join(side("sig"), "key").repartition("node", "block").sortWithinPartitions(order)
+        schema = "node long, block int, key binary, label binary, other boolean"
+        near = dealt.select(*CELL, "sig").mapInArrow(_screened(self.least), schema)
+        dealt = near.join(side("sig", "blob"), "key").repartition("node", "block").sortWithinPartitions(order)
+        links_ = dealt.select(*CELL, "sig", "blob").mapInArrow(_linked(self.least, self.percent), "a binary, b binary")
+        return links_.distinct()
 
     def labels(self) -> DataFrame:
         """(key, label) of all linked classes."""
@@ -404,27 +402,24 @@ class Join:
         met = frontier.select("key").distinct()
         once = self.prints.filter("key is not null").select("key", "sig", "blob").dropDuplicates(["key"])
         self.reps = save(once.join(met.hint("merge"), "key", "left_semi"), "reps")
-        done, tried, labels = [], None, None
-        for depth in range(MAX_DEPTH):
+        labels, settled = None, None
+        for depth in range(MAX_DEPTH + 1):
             if labels is None:
                 rows = frontier.select("node", "key", "n", F.col("key").alias("label"))
             else:
                 rows = self.labelled(frontier, labels)
-            block = F.pmod(F.xxhash64("key", F.lit(depth)), F.ceil(F.col("n") / LEAF))
-            rows = rows.withColumns({"block": F.when(F.col("n") > LEAF, block).otherwise(0).cast("int"), "other": F.lit(False)})
-            pairs = self.candidates(rows, True)
-            if tried is not None:
-                pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-            pairs = save(pairs, f"pairs{depth}")
-            found = save(self.confirmed(pairs), f"links{depth}")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            labels = joined_components(labels, found, self.scratch, f"labels{depth}")
-            done.append(frontier.filter(F.col("n") <= LEAF).select("node", "key"))
-            large = frontier.filter(F.col("n") > LEAF)
+            # Blocks of large nodes have negative numbers; at the last depth no node is large.
+            part = F.pmod(F.xxhash64("key", F.lit(depth)), F.ceil(F.col("n") / LEAF)) + 1
+            is_large = (F.col("n") > LEAF) & F.lit(depth < MAX_DEPTH)
+            rows = rows.withColumns({"block": F.when(is_large, -part).otherwise(0).cast("int"), "other": F.lit(False)})
+            links_ = save(self.found(rows), f"links{depth}")
+            labels = joined_components(labels, links_, self.scratch, f"labels{depth}")
+            large = frontier.filter(is_large)
             if large.isEmpty():
                 break
             large = save(self.labelled(large, labels), f"large{depth}")
-            done.append(large.filter(F.col("few") <= LEAF).select("node", "key"))
+            few = large.filter(F.col("few") <= LEAF).select("node", "key")
+            settled = few if settled is None else settled.unionByName(few)
             child = [
                 F.xxhash64("node", F.lit(j), F.substring(
                     "sig", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int") * 2 + 1, F.lit(2)))
@@ -436,18 +431,14 @@ class Join:
             frontier = save(self.counted(branched.distinct()), f"frontier{depth + 1}")
             if frontier.isEmpty():
                 break
-        else:
-            done.append(frontier.select("node", "key"))  # compared whole, whatever their size
-        rows = done[0]
-        for more in done[1:]:
-            rows = rows.unionByName(more)
-        rows = self.labelled(rows, labels).withColumn("other", F.col("label") == F.col("major"))
+        if settled is None:
+            return labels
+        rows = self.labelled(settled, labels).withColumn("other", F.col("label") == F.col("major"))
         blocks = F.ceil((F.col("n") - F.col("few")) / LEAF).cast("int")
         mine = F.array(F.pmod(F.xxhash64("key"), blocks).cast("int"))
         every = F.sequence(F.lit(0), blocks - 1)
         rows = rows.withColumn("block", F.explode(F.when(F.col("other"), mine).otherwise(every)))
-        rest = save(self.candidates(rows, False).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs-rest")
-        return joined_components(labels, save(self.confirmed(rest), "links-rest"), self.scratch, "labels-rest")
+        return joined_components(labels, save(self.found(rows), "links-settled"), self.scratch, "labels-settled")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
