@@ -51,7 +51,7 @@ def arxiv_ids(text: Column) -> Column:
 def reference_entries(text: Column) -> Column:
     """Entries of a reference list, split before ``[n]`` or ``n. `` at a line's start."""
     parts = F.split(text, r"\n(?=\[\d+\]|\d+\.\s)")
-    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x) > 20)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 20)
 
 
 def entry_title(entry: Column) -> Column:
@@ -86,7 +86,7 @@ def squeeze_lines(text: Column) -> Column:
 
 
 def author_list(authors: Column) -> Column:
-    return F.filter(F.transform(F.split(authors, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(authors, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def bibtex_key(authors: Column, published: Column) -> Column:
