@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 def trailing_rate(events: DataFrame, key: str, seconds: int = 60, most: int = 30) -> DataFrame:
     """Adds the key's number of events in the trailing window and whether it is over the limit."""
-    epoch = F.unix_micros("ts")
+    epoch = F.unix_micros(F.col("ts").cast("timestamp"))
     w = W.partitionBy(key).orderBy(epoch).rangeBetween(-seconds * 1_000_000, 0)
     n = F.count("*").over(w)
     return events.withColumn("n_window", n).withColumn("over_limit", F.col("n_window") > most)
@@ -74,8 +74,9 @@ def cache_report(accesses: DataFrame, by: list[str]) -> DataFrame:
 
 def trace_summary(steps: DataFrame, key: str) -> DataFrame:
     """Per key: duration in seconds, sum of values, tool calls and steps."""
+    ts = F.col("ts").cast("timestamp")
     return steps.groupBy(key).agg(
-        F.round((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6, 3).alias("duration"),
+        F.round((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6, 3).alias("duration"),
         F.round(F.sum("value"), 4).alias("tokens"),
         F.count_if(F.col("event_type") == "click").alias("tool_calls"),
         F.count("*").alias("steps"),
