@@ -33,9 +33,9 @@ def flat_sections(parsed: DataFrame, id: str = "paper_id") -> DataFrame:
     return rows.select("doc_id", (F.col("i") * 1000 + F.col("j")).alias("seq"), F.coalesce("x.title", F.lit("Untitled")).alias("title"), "x.page", "x.content")
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom feeds as paper rows."""
-    e = spark.read.format("xml").option("rowTag", "entry").schema(ENTRY).load(path)
+def read_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of Atom feeds as paper rows; ``lines``: one entry on each line, without a root."""
+    e = spark.read.format("xml").option("rowTag", "entry").option("multiLine", not lines).schema(ENTRY).load(path)
     is_pdf = lambda x: (x["_type"] == "application/pdf") | x["_href"].endswith(".pdf") | (x["_title"] == "pdf")
     arxiv_id = F.element_at(F.split("id", "/"), -1)
     pdf = F.try_element_at(F.filter("link", lambda x: F.coalesce(is_pdf(x), F.lit(False))), F.lit(1))["_href"]
@@ -48,9 +48,10 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_tei(spark: SparkSession, path: str) -> DataFrame:
-    """(title, abstract, sections) of TEI documents; sections outside the body text are left out."""
-    d = spark.read.format("xml").option("rowTag", "TEI").schema(TEI).load(path)
+def read_tei(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(title, abstract, sections) of TEI documents; sections outside the body text are left out.
+    ``lines``: one document on each line."""
+    d = spark.read.format("xml").option("rowTag", "TEI").option("multiLine", not lines).schema(TEI).load(path)
     div = F.filter("text.body.div", lambda s: ~F.coalesce(F.lower(F.trim(s["head"])), F.lit("")).isin(NOT_BODY))
     section = lambda s: F.struct(F.coalesce(s["head"], F.lit("Untitled")).alias("title"), F.array_join(s["p"], "\n").alias("content"))
     return d.select(
