@@ -65,7 +65,7 @@ def _cut(df: DataFrame, bounds: list[tuple[str, int]], kind: int) -> DataFrame:
                 where = [[bisect_right(bounds, x)] for x in zip(keys, salts)]
             else:  # from the first to the last key with this prefix
                 where = [
-                    list(range(bisect_right(bounds, (k, -1)), bisect_right(bounds, (k + "\U0010ffff", -1)) + 1))
+                    list(range(bisect_right(bounds, (k, -(1 << 63))), bisect_right(bounds, (k + "\U0010ffff", 0)) + 1))
                     for k in keys
                 ]
             yield pa.RecordBatch.from_arrays(
