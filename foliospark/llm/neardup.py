@@ -261,6 +261,18 @@ def links(group: dict[str, list], least: int, percent: int, complete: bool) -> l
     return out
 
 
+def stars(found: list[tuple[int, int]], keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """As many pairs that join the same rows, each with the smallest key of its part.
+
+    They keep paths short, so that components need few rounds."""
+    parts, members = Parts(keys), {}
+    for i, j in found:
+        parts.join(i, j)
+    for i in {x for pair in found for x in pair}:
+        members.setdefault(parts.root(i), []).append(keys[i])
+    return [(least, k) for own in members.values() for least in [min(own)] for k in own if k != least]
+
+
 def _screened(least: int) -> Callable:
     """The rows of each group that are in a candidate pair."""
 
@@ -284,17 +296,14 @@ def _screened(least: int) -> Callable:
 
 
 def _linked(least: int, percent: int) -> Callable:
-    """Links of each group; only the spanning forest's where ``block`` is negative."""
+    """Joined pairs of each group; only by the spanning forest's where ``block`` is negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            found = links(group, least, percent, group["block"][0] >= 0)
+            found = stars(links(group, least, percent, group["block"][0] >= 0), group["key"])
             if found:
-                key = group["key"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key[i] for i, _ in found], pa.binary()), pa.array([key[j] for _, j in found], pa.binary())],
-                    ["a", "b"],
-                )
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
