@@ -49,6 +49,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows, in Arrow batches of at most ``rows`` where the session has no bound
+    of its own, so that a Python worker never holds many long texts at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(rows))
+    return df
+
+
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliospark.llm.common import Scratch, alnum_spans, alnum_words, runs
+from foliospark.llm.common import Scratch, alnum_spans, alnum_words, bounded_batches, runs
 
 WINDOW = 13
 #: Windows of one automaton: about 13 nodes each, so under about 100 MB in a worker.
@@ -134,7 +134,7 @@ def _scan(docs: DataFrame, windows: list, text: str) -> DataFrame:
                 [*batch.columns, *new], [*batch.schema.names, *RESULT.names]
             )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT.fields]))
+    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT.fields]))
 
 
 def window_table(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

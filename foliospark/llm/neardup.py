@@ -45,7 +45,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from foliospark.llm.common import Scratch, blank_spans, hash_spans, mix
+from foliospark.llm.common import Scratch, blank_spans, bounded_batches, hash_spans, mix
 
 WORDS, PERCENT = 5, 75
 COORDS, TREES, ROOT_BRANCH, BRANCH, LEAF, MAX_DEPTH = 128, 6, 2, 2, 1024, 24
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(
+    return bounded_batches(rows).mapInArrow(
         run, "doc_id long, n_shingles long, key binary, nodes array<long>, sig binary, blob binary"
     )
 

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, types as T
 
 from foliospark.llm.bpe import read_ranks
+from foliospark.llm.common import bounded_batches
 
 #: Bounds of a worker's memory of counted words: entries, and characters of one word.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
@@ -131,7 +132,7 @@ def with_counts(docs: DataFrame, vocabulary_path: str, pattern: str, text: str =
             )
 
     fields = [T.StructField(c, T.LongType()) for c in names]
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    return bounded_batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
