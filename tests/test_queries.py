@@ -24,7 +24,7 @@ def rows(frame):
         x = x.item() if hasattr(x, "item") else x
         if x is None or isinstance(x, float) and math.isnan(x):
             return "null"
-        return str(round(float(x), 5)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+        return f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
     frame = frame[sorted(frame.columns)]
     return list(frame.columns), sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
