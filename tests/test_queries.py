@@ -1,9 +1,9 @@
 """Every registered query of the library against its SQL in DuckDB, on the small tables."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +22,7 @@ def duck():
 def rows(frame):
     def plain(x):
         x = x.item() if hasattr(x, "item") else x
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if pd.api.types.is_scalar(x) and pd.isna(x):
             return "null"
         return f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
