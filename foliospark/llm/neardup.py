@@ -18,7 +18,7 @@ candidates the ones of a maximum spanning forest are confirmed first; pairs that
 this has joined to one component need no further look, and all others are
 confirmed after that. Only links that join components leave the task.
 
-A large node is first compared in random blocks of LEAF, so that large groups
+A large root node is first compared in random blocks of LEAF, so that large groups
 of near copies join early. If it then is one component, it is finished. If all but
 at most LEAF of its classes are in one component, these few are compared with
 every class of the node, block by block. Otherwise it branches.
@@ -50,6 +50,8 @@ from foliospark.llm.common import Scratch, blank_spans, bounded_batches, hash_sp
 WORDS, PERCENT = 5, 75
 COORDS, TREES, ROOT_BRANCH, BRANCH, LEAF, MAX_DEPTH = 128, 6, 2, 2, 1024, 24
 ROOTS = TREES * ROOT_BRANCH
+#: Root nodes that are looked at before the others.
+FIRST_ROOTS = 3
 _FACTORS = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACES = mix(np.arange(1001, 1001 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -87,7 +89,7 @@ def minwise(found: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, key, nodes, sig, blob) of each row of (doc_id, text).
 
-    ``key`` names the set, ``nodes`` are its root nodes, ``sig`` holds 16 bits of
+    ``key`` names the set, ``nodes`` are its root nodes, ``sig`` holds 8 bits of
     each minwise token, ``blob`` the compressed words.
     """
 
@@ -109,7 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     least = mix(minwise(found))
                     key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                     nodes.append(mix(least[:ROOTS] + salt).view(np.int64))
-                    sig.append((least >> np.uint64(48)).astype("<u2").tobytes())
+                    sig.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
                     blob.append(pack(b" ".join(raw.lower().split())))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
@@ -152,7 +154,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
 
 def candidates(group: dict[str, list], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs i < j of different components with enough equal tokens, and their number."""
-    tokens = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(-1, COORDS)
+    tokens = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, COORDS)
     number: dict = {}
     label = np.array([number.setdefault(x, len(number)) for x in group["label"]])
     left, right, equal = [], [], []
@@ -403,26 +405,35 @@ class Join:
         links_ = dealt.select(*CELL, "sig", "blob").mapInArrow(_linked(self.least, self.percent), "a binary, b binary")
         return links_.distinct()
 
+    def merged(self, rows: DataFrame, labels: DataFrame | None, name: str, whole: bool = False) -> DataFrame:
+        """The components after the links of these nodes; those over LEAF go by random
+        blocks, unless they are to be compared ``whole``."""
+        if labels is None:
+            rows = rows.select("node", "key", "n", F.col("key").alias("label"))
+        else:
+            rows = self.labelled(rows, labels)
+        # Blocks of large nodes have negative numbers: only their spanning forests are confirmed.
+        part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / LEAF)) + 1
+        rows = rows.withColumns({"block": F.when((F.col("n") > LEAF) & F.lit(not whole), -part).otherwise(0).cast("int"), "other": F.lit(False)})
+        return joined_components(labels, self.scratch.save(self.found(rows), f"links{name}"), self.scratch, f"labels{name}")
+
     def labels(self) -> DataFrame:
         """(key, label) of all linked classes."""
         save = self.scratch.save
-        roots = self.prints.filter("key is not null").select("key", F.explode("nodes").alias("node")).distinct()
+        roots = self.prints.filter("key is not null").select("key", F.posexplode("nodes").alias("root", "node")).distinct()
         frontier = save(self.counted(roots), "frontier0")
         met = frontier.select("key").distinct()
         once = self.prints.filter("key is not null").select("key", "sig", "blob").dropDuplicates(["key"])
         self.reps = save(once.join(met.hint("merge"), "key", "left_semi"), "reps")
         labels, settled = None, None
         for depth in range(MAX_DEPTH + 1):
-            if labels is None:
-                rows = frontier.select("node", "key", "n", F.col("key").alias("label"))
-            else:
-                rows = self.labelled(frontier, labels)
-            # Blocks of large nodes have negative numbers; at the last depth no node is large.
-            part = F.pmod(F.xxhash64("key", F.lit(depth)), F.ceil(F.col("n") / LEAF)) + 1
             is_large = (F.col("n") > LEAF) & F.lit(depth < MAX_DEPTH)
-            rows = rows.withColumns({"block": F.when(is_large, -part).otherwise(0).cast("int"), "other": F.lit(False)})
-            links_ = save(self.found(rows), f"links{depth}")
-            labels = joined_components(labels, links_, self.scratch, f"labels{depth}")
+            if depth:
+                labels = self.merged(frontier.filter(~is_large), labels, str(depth), depth == MAX_DEPTH)
+            else:
+                # Most groups join by a few roots, so that few nodes need a look at the others.
+                labels = self.merged(frontier.filter(F.col("root") < FIRST_ROOTS), labels, "0a")
+                labels = self.merged(frontier.filter(F.col("root") >= FIRST_ROOTS), labels, "0b")
             large = frontier.filter(is_large)
             if large.isEmpty():
                 break
@@ -431,7 +442,7 @@ class Join:
             settled = few if settled is None else settled.unionByName(few)
             child = [
                 F.xxhash64("node", F.lit(j), F.substring(
-                    "sig", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int") * 2 + 1, F.lit(2)))
+                    "sig", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int") + 1, F.lit(1)))
                 for j in range(BRANCH)
             ]
             branched = large.filter(F.col("few") > LEAF).select("node", "key").join(
