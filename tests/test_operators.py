@@ -26,8 +26,7 @@ def test_language(spark):
 
 def test_arxiv_ids(spark):
     text = "see arXiv:2401.00001v2, https://arxiv.org/abs/2305.12345 and 1999.1"
-    assert one(spark, T.arxiv_ids(F.col("t")), t=text) == ["2305.12345", "2401.00001", "2401.00001v2"] or True
-    assert "2401.00001v2" in one(spark, T.arxiv_ids(F.col("t")), t=text)
+    assert one(spark, T.arxiv_ids(F.col("t")), t=text) == ["2305.12345", "2401.00001v2"]
 
 
 def test_rate_limits(spark):
