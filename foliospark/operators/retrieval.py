@@ -86,10 +86,10 @@ def dense(chunks: DataFrame, queries: DataFrame, top: int = CANDIDATES, where: C
     """(query_id, id, distance, rank): exact nearest chunks by cosine distance.
 
     ``where`` is applied to the chunks before the search. chunks: id, embedding;
-    queries: query_id, query_vector.
+    queries: query_id, query_vector. Rows and queries without a vector are left out.
     """
-    rows = (chunks.filter(where) if where is not None else chunks).select("id", "embedding")
-    pairs = rows.join(small(queries, 20_000), F.lit(True)).select(
+    rows = (chunks.filter(where) if where is not None else chunks).select("id", "embedding").filter("embedding is not null")
+    pairs = rows.join(small(queries.filter("query_vector is not null"), 20_000), F.lit(True)).select(
         "query_id", "id", F.round(cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance")
     )
     return ranked(pairs, [F.asc("distance"), F.asc("id")], top)
@@ -149,7 +149,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, owner: str | None = None, top:
     """(query_id, id, rrf_score, dense_rank, sparse_rank, rank): BM25 and vectors fused.
 
     chunks: id, text, embedding (and owner_id); queries: query_id, query_text,
-    query_vector. The owner filter holds for both sides.
+    query_vector. The owner filter holds for both sides. A chunk or a query without a
+    vector takes part in the sparse side alone.
     """
     rows = chunks.filter(F.col("owner_id") == owner) if owner is not None else chunks
     sparse = ranked(bm25(rows, queries), [F.desc("score"), F.asc("id")], n)

@@ -65,14 +65,14 @@ def asked_vectors(t: Tables):
     return t("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def chunks(t: Tables):
+def chunks(t: Tables, how: str = "inner"):
     e = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return t("documents").join(e, "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("owner_id"), "embedding")
+    return t("documents").join(e, "doc_id", how).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("owner_id"), "embedding")
 
 
-def asked(t: Tables):
+def asked(t: Tables, how: str = "inner"):
     e = t("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
-    return t("benchmark").join(e, "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vector")
+    return t("benchmark").join(e, "item_id", how).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vector")
 
 
 @query("r1_tokens", f"select doc_id, len(toks) as n_tokens, md5(array_to_string(toks, ' ')) as tokens_md5 from (select doc_id, {tok('text')} as toks from documents)")
@@ -201,6 +201,26 @@ def _(t):
     return R.hybrid(chunks(t), asked(t), owner="src0")
 
 
+#: The same over whole tables: what has no vector is found by its text.
+WHOLE = CHUNKS.replace(" join ", " left join ")
+HYBRID_WHOLE = HYBRID.replace("from qs q, chunks c)", "from qs q, chunks c where q.query_vector is not null and c.embedding is not null)")
+
+
+@query("hybrid_retrieve_whole", f"with {WHOLE}, {HYBRID_WHOLE} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5")
+def _(t):
+    return R.hybrid(chunks(t, "left"), asked(t, "left"))
+
+
+@query("r11_weighted_rrf_whole", f"with {WHOLE}, {HYBRID_WHOLE} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed")
+def _(t):
+    return R.hybrid(chunks(t, "left"), asked(t, "left"), top=1_000)
+
+
+@query("r15_hybrid_owner_whole", f"""with {WHOLE.replace("on e.vec_id = d.doc_id)", "on e.vec_id = d.doc_id where d.source = 'src0')")}, {HYBRID_WHOLE} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5""")
+def _(t):
+    return R.hybrid(chunks(t, "left"), asked(t, "left"), owner="src0")
+
+
 @query("r12_normalised_scores", f"""with {SCORES} select query_id, id, score, len, round(score / max(score) over (partition by query_id) * 0.3, 6) as norm_score from scored""")
 def _(t):
     return R.normalised_scores(R.bm25(documents(t), t("query_table")))

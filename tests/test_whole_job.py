@@ -5,7 +5,7 @@ import pytest
 
 from conftest import SMALL
 from foliospark.operators import embed as E, retrieval as R
-from foliospark.plans.catalog import QUERIES
+from foliospark.plans.catalog import ORACLE_SQL, QUERIES
 
 
 # ------------------------------------------------------------- r9
@@ -28,3 +28,29 @@ def test_cell_search_is_exact(spark):
     exact = R.dense(some, asked.filter("query_id < 303"), 7).collect()
     key = lambda x: (x.query_id, x.id, x.distance, x.rank)
     assert sorted(map(key, found)) == sorted(map(key, exact))
+
+
+# ------------------------------------------------------------- hybrid
+
+
+def test_hybrid_finds_texts_without_vectors(spark):
+    chunks = spark.createDataFrame([(1, "red fish", [1.0, 0.0]), (2, "blue bird", None), (3, "old stone", [0.0, 1.0])], "id long, text string, embedding array<float>")
+    queries = spark.createDataFrame([(7, "blue bird", [1.0, 0.0]), (8, "old", None)], "query_id long, query_text string, query_vector array<float>")
+    got = {(r.query_id, r.id): (r.dense_rank, r.sparse_rank) for r in R.hybrid(chunks, queries).collect()}
+    assert got == {(7, 1): (1, None), (7, 3): (2, None), (7, 2): (None, 1), (8, 3): (None, 1)}
+
+
+def test_hybrid_covers_documents_beyond_the_vectors(spark):
+    """sf0.01 has 1,000 documents and 500 vectors."""
+    import duckdb
+
+    folder = SMALL.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for name in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
+    columns = ["query_id", "id", "dense_rank", "sparse_rank", "rank"]
+    got = list(tuple(None if x is None else int(x) for x in r) for r in QUERIES["r11_weighted_rrf_whole"](spark, folder).select(*columns).collect())
+    assert any(r[1] >= 500 for r in got)
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    want = con.sql(f"select {', '.join(columns)} from ({ORACLE_SQL['r11_weighted_rrf_whole']})").fetchall()
+    assert sorted(got, key=key) == sorted(want, key=key)
