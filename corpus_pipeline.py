@@ -34,9 +34,9 @@ def _keeping_columns(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) ->
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the language model finds ordinary for their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    table = lm.train(docs, labels)
-    limits = lm.thresholds(docs, labels, table)
-    return _keeping_columns(docs, lambda d: lm.judged(lm.with_entropy(d, table), limits).filter("kept"))
+    model = lm.learn(docs, labels)
+    limits = lm.thresholds(docs, labels, model)
+    return _keeping_columns(docs, lambda d: lm.judged(lm.with_entropy(d, model), limits).filter("kept"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,23 +1,26 @@
 """Quality classifier by a modified Kneser-Ney language model (operator 2).
 
-An interpolated modified Kneser-Ney model of character 4-grams is trained on
-the text of all trusted documents (``labels.quality`` 1). Characters fall into
-32 classes (a-z, one for capitals, digits, white space, sentence marks, other
-marks, other letters), so a model of order 4 has at most 32^4 n-grams however
-large the corpus is.
-
-Counts are gathered by n-gram over all trusted text and sharded by context;
-each order's probabilities come from joins of its counts with the totals of
-their contexts and with the order below. The finished table has 32^4 numbers
-(4 MB), a bound by construction; documents are joined to it inside their own
-tasks, since a shuffle of all n-gram occurrences would move many times the text.
-
-A document's figure is its perplexity, drawn to its language's mean as if
+An interpolated modified Kneser-Ney model of n-grams of ``LENGTH`` bytes of UTF-8 is
+trained on trusted documents (``labels.quality`` 1), but for one in ``LEFT_OUT``, from
+which the limits come. Bytes tell all characters apart, and an n-gram is its own 48-bit
+key, so the table grows with the corpus and nothing is hashed or merged.
+
+Each task gathers the different n-grams of its documents; counts are sharded by n-gram,
+and each order's probabilities come from joins with the totals of their contexts and with
+the order below, for all n-grams that the corpus has (``probabilities``). Documents meet
+the finished table in their own tasks, in parts of about ``MOST`` n-grams, each of which is
+broadcast and adds its share to every document's sum: a shuffle of the n-grams of all
+documents would move many times the text. A larger table means more parts, not larger ones.
+
+``train`` is the same model in its dense form, over characters in 32 classes and order 4,
+which is small enough to be compared with brute force at every n-gram.
+
+A document's figure is its perplexity by characters, drawn to its language's mean as if
 ``PRIOR`` further characters were average, so that short texts aren't judged by
 a few letters. A document is rejected above its language's threshold: the
-``QUANTILE`` of the trusted documents of its language, times ``SLACK``. A
-language with fewer than ``LEAST_DOCS`` trusted documents uses the quantile of
-all trusted documents.
+``QUANTILE`` of the left out trusted documents of its language, times ``SLACK``. A
+language with fewer than ``LEAST_DOCS`` of them uses the quantile of all languages; if
+none is left out, those that were counted are used.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a null
 language counts as the language ''; a doc_id with several labels is trusted if
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from foliospark.llm.common import Scratch, bounded_batches
@@ -39,6 +43,9 @@ from foliospark.llm.common import Scratch, bounded_batches
 BITS, ORDER = 5, 4
 CELLS = 1 << BITS * ORDER
 QUANTILE, SLACK, PRIOR, LEAST_DOCS = 0.99, 1.15, 60, 30
+#: Bytes of an n-gram; every LEFT_OUT-th trusted document is not counted; n-grams of a broadcast part; bytes of text handled at once.
+LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 4_000_000, 2_000_000
+LEAST_DISCOUNT = 0.1
 #: Trusted ids are broadcast up to this number (16 MB); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -78,37 +85,96 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
     return bounded_batches(texts).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
-def probabilities(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(code, p): the interpolated modified Kneser-Ney probability of every n-gram."""
-    tables = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # below the top: the number of different characters before
-        below = F.col("code") % (1 << BITS * k)
-        tables[k] = scratch.save(tables[k + 1].groupBy(below.alias("code")).agg(F.count("*").alias("c")), f"c{k}")
-    lower = spark.range(1 << BITS).select(F.col("id").alias("code"), F.lit(1.0 / (1 << BITS)).alias("p"))
-    for k in range(1, ORDER + 1):
-        n = tables[k].filter("c <= 4").groupBy("c").count().collect()  # at most four rows
+def pieces(raws: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, n-gram that ends at each byte, text of each byte, characters of each text) of some texts at a time."""
+    start, pad = 0, b"\0" * (LENGTH - 1)
+    while start < len(raws):
+        end, size = start + 1, len(raws[start])
+        while end < len(raws) and size + len(raws[end]) <= PIECE:
+            size += len(raws[end])
+            end += 1
+        lens = np.array([len(x) for x in raws[start:end]])
+        line = np.frombuffer(pad + pad.join(raws[start:end]), np.uint8)
+        inside = np.ones(len(line), bool)
+        first = np.cumsum(lens + LENGTH - 1) - lens  # where each text begins
+        for k in range(1, LENGTH):
+            inside[first - k] = False
+        code = np.zeros(max(0, len(line) - LENGTH + 1), np.int64)
+        for k in range(LENGTH):
+            code = code << 8 | line[k : k + len(code)]
+        which = np.repeat(np.arange(len(lens)), lens)
+        n = np.bincount(which[line[inside] & 0xC0 != 0x80], minlength=len(lens))
+        yield start, code[inside[LENGTH - 1 :]], which, n
+        start = end
+
+
+def gather_ngrams(texts: DataFrame) -> DataFrame:
+    """(code, c) of all n-grams of texts (text, counted): how often they occur in those that are counted, or 0."""
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return code, np.bincount(at, np.concatenate([c for _, c in held]), len(code)).astype(np.int64)
+
+    def rows(code: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(code), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(code[i : i + 100_000]), pa.array(c[i : i + 100_000])], ["code", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            counted = np.array(batch.column(1).to_pylist(), bool)
+            raws = [x.as_py() or b"" for x in batch.column(0).cast(pa.binary())]
+            for yes in (True, False):
+                for _, codes, _, _ in pieces([x for x, y in zip(raws, counted) if y == yes]):
+                    code, c = np.unique(codes, return_counts=True)
+                    held.append((code, c if yes else np.zeros(len(c), np.int64)))
+                    size += len(code)
+                    if size > MOST:
+                        held = [merged(held)]
+                        size = len(held[0][0])
+                        if size > MOST // 2:
+                            yield from rows(*held[0])
+                            held, size = [], 0
+        if held:
+            yield from rows(*merged(held))
+
+    return bounded_batches(texts).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+
+
+def probabilities(spark: SparkSession, counts: DataFrame, scratch: Scratch, bits: int = BITS, order: int = ORDER, dense: bool = True) -> DataFrame:
+    """(code, p): the interpolated modified Kneser-Ney probability of every n-gram there can be,
+    or, if not ``dense``, of those in ``counts``, where a count of 0 is one that was not seen."""
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):  # below the top: the number of different symbols before
+        below = F.col("code") % (1 << bits * k)
+        tables[k] = scratch.save(tables[k + 1].groupBy(below.alias("code")).agg(F.count_if(F.col("c") > 0).alias("c")), f"c{k}")
+    lower = None
+    for k in range(1, order + 1):
+        seen = tables[k].filter("c > 0")
+        n = seen.filter("c <= 4").groupBy("c").count().collect()  # at most four rows
         n = {r["c"]: r["count"] for r in n}
         n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         steps = [(1, n1, n2), (2, n2, n3), (3, n3, n4)]
-        d1, d2, d3 = (min(i, max(0.0, i - (i + 1) * y * b / a)) if a else i * y for i, a, b in steps)
+        least = 0.0 if dense else LEAST_DISCOUNT  # so that nothing has probability 0
+        d1, d2, d3 = (max(least, min(i, max(0.0, i - (i + 1) * y * b / a)) if a else i * y) for i, a, b in steps)
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        seen = tables[k].withColumn("ctx", F.shiftright("code", BITS))
-        ctx = seen.groupBy("ctx").agg(
+        ctx = seen.groupBy(F.shiftright("code", bits).alias("ctx")).agg(
             F.sum("c").alias("total"), (F.sum(discount) / F.sum("c")).alias("gamma")
         )
-        grid = spark.range(1 << BITS * k).select(
-            F.col("id").alias("code"), F.shiftright("id", BITS).alias("ctx"),
-            (F.col("id") % (1 << BITS * (k - 1))).alias("below") if k > 1 else F.lit(0).cast("long").alias("below"),
-        )
-        grid = grid.join(seen.select("code", "c", discount.alias("d")).hint("merge"), "code", "left")
-        grid = grid.join(ctx.hint("merge"), "ctx", "left")
+        grid = tables[k]
+        if dense:
+            grid = spark.range(1 << bits * k).select(F.col("id").alias("code")).join(seen.hint("merge"), "code", "left")
+        grid = grid.select(
+            "code", "c", F.shiftright("code", bits).alias("ctx"), (F.col("code") % (1 << bits * (k - 1))).alias("below")
+        ).join(ctx.hint("merge"), "ctx", "left")
         if k == 1:
-            grid = grid.withColumn("q", F.lit(1.0 / (1 << BITS)))
+            grid = grid.withColumn("q", F.lit(1.0 / (1 << bits)))
         else:
             grid = grid.join(lower.select(F.col("code").alias("below"), F.col("p").alias("q")).hint("merge"), "below")
         p = F.when(F.col("total").isNull(), F.col("q")).otherwise(
-            F.coalesce((F.col("c") - F.col("d")) / F.col("total"), F.lit(0.0)) + F.col("gamma") * F.col("q")
+            F.when(F.col("c") > 0, (F.col("c") - discount) / F.col("total")).otherwise(0.0) + F.col("gamma") * F.col("q")
         )
         lower = scratch.save(grid.select("code", p.alias("p")), f"p{k}")
     return lower
@@ -121,37 +187,68 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
+def left_out(id: str = "doc_id"):
+    """Whether a trusted document is for the limits and not for the counts."""
+    return F.pmod(F.xxhash64(id), F.lit(LEFT_OUT)) == 0
+
+
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` with these ids; the ids are broadcast only if few."""
     few = ids.count() <= MAX_BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
 
 
-def with_entropy(docs: DataFrame, table: np.ndarray, text: str = "text") -> DataFrame:
-    """Adds ``nll``, the negative log probability of each text, and ``n_symbols``."""
+def with_entropy(docs: DataFrame, model: list[Broadcast], text: str = "text") -> DataFrame:
+    """Adds ``nll``, the negative log probability of each text, and ``n_symbols``, its characters."""
     names = ("nll", "n_symbols")
     kept = docs.select([c for c in docs.columns if c.lower() not in names])
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = shared.value
-        for batch in batches:
-            total, n = [], []
-            for raw in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()):
-                code = ngrams(raw.as_py() or b"")
-                total.append(float(cost[code].sum(dtype=np.float64)))
-                n.append(len(code))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(total, pa.float64()), pa.array(n, pa.int64())],
-                [*batch.schema.names, *names],
-            )
-
-    fields = [T.StructField("nll", T.DoubleType()), T.StructField("n_symbols", T.LongType())]
-    return bounded_batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    out = kept.withColumns({"nll": F.lit(0.0), "n_symbols": F.lit(0).cast("long")})
+
+    def adding(part: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, costs = part.value
+            for batch in batches:
+                raws = [x.as_py() or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary())]
+                total, n = np.array(batch.column(batch.num_columns - 2), np.float64), np.zeros(len(raws), np.int64)
+                for start, codes, which, chars in pieces(raws):
+                    code, at = np.unique(codes, return_inverse=True)
+                    to = np.minimum(np.searchsorted(keys, code), max(0, len(keys) - 1))
+                    cost = np.where(keys[to] == code, costs[to], 0.0) if len(keys) else np.zeros(len(code))
+                    total[start : start + len(chars)] += np.bincount(which, cost[at], len(chars))
+                    n[start : start + len(chars)] = chars
+                new = [pa.array(total, pa.float64()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], batch.schema.names)
+
+        return run
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("nll", T.DoubleType()), T.StructField("n_symbols", T.LongType())])
+    for part in model:
+        out = bounded_batches(out).mapInArrow(adding(part), schema)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> list[Broadcast]:
+    """The model: parts (n-grams in order, -log p) that together have every n-gram of the documents."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
+    ids = trusted_ids(labels).filter(~left_out()).withColumn("counted", F.lit(True))
+    few = ids.count() <= MAX_BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left")
+    counts = scratch.save(gather_ngrams(texts.select("text", F.coalesce("counted", F.lit(False)).alias("counted"))), "counts")
+    costs = probabilities(spark, counts, scratch, 8, LENGTH, dense=False).select("code", (-F.log("p")).cast("float").alias("cost"))
+    n = max(1, -(-costs.count() // MOST))
+    model = []
+    for i in range(n):
+        rows = costs.filter(F.pmod(F.xxhash64("code"), F.lit(n)) == i).toArrow()  # about MOST rows
+        code, cost = rows.column("code").to_numpy(), rows.column("cost").to_numpy()
+        order = np.argsort(code)
+        model.append(spark.sparkContext.broadcast((code[order], cost[order])))
+    scratch.drop("")
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """-log p of every n-gram code, from all trusted documents."""
+    """-log p of every n-gram code of the dense form, from all trusted documents."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     texts = only(docs.select("doc_id", "text"), trusted_ids(labels)).select("text")
@@ -169,13 +266,15 @@ def figure(mean: str = "mean_h"):
     return F.when(F.col("n_symbols") > 0, F.exp(h))
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, table: np.ndarray) -> DataFrame:
+def thresholds(docs: DataFrame, labels: DataFrame, model: list[Broadcast]) -> DataFrame:
     """(lang, mean_h, threshold); lang null stands for all languages together."""
     scratch = Scratch(docs.sparkSession, "quality")
-    trusted = only(docs.select("doc_id", "lang", "text"), trusted_ids(labels)).select(
-        F.coalesce("lang", F.lit("")).alias("lang"), "text"
-    )
-    rows = scratch.save(with_entropy(trusted, table).drop("text").filter("n_symbols > 0"), "trusted")
+    ids = trusted_ids(labels)
+    texts = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").filter("text <> ''")
+    trusted = only(texts, ids.filter(left_out()))
+    if trusted.isEmpty():
+        trusted = only(texts, ids)
+    rows = scratch.save(with_entropy(trusted.drop("doc_id"), model).drop("text"), "trusted")
     out = None
     for by in ("lang", None):
         key = F.col("lang") if by else F.lit(None).cast("string")
@@ -224,8 +323,8 @@ def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with nll, n_symbols, perplexity, threshold and kept."""
-    table = train(docs, labels)
-    return judged(with_entropy(docs, table), thresholds(docs, labels, table))
+    model = learn(docs, labels)
+    return judged(with_entropy(docs, model), thresholds(docs, labels, model))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
