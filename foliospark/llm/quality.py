@@ -18,7 +18,7 @@ which is small enough to be compared with brute force at every n-gram.
 A document's figure is its perplexity by characters, drawn to its language's mean as if
 ``PRIOR`` further characters were average, so that short texts aren't judged by
 a few letters. A document is rejected above its language's threshold: the
-``QUANTILE`` of the left out trusted documents of its language, times ``SLACK``. A
+``QUANTILE`` of the left out trusted documents of its language. A
 language with fewer than ``LEAST_DOCS`` of them uses the quantile of all languages; if
 none is left out, those that were counted are used.
 
@@ -42,7 +42,7 @@ from foliospark.llm.common import Scratch, bounded_batches
 
 BITS, ORDER = 5, 4
 CELLS = 1 << BITS * ORDER
-QUANTILE, SLACK, PRIOR, LEAST_DOCS = 0.99, 1.15, 60, 30
+QUANTILE, PRIOR, LEAST_DOCS = 0.99, 60, 30
 #: Bytes of an n-gram; every LEFT_OUT-th trusted document is not counted; n-grams of a broadcast part; bytes of text handled at once.
 LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 4_000_000, 2_000_000
 LEAST_DISCOUNT = 0.1
@@ -286,7 +286,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, model: list[Broadcast]) -> Da
             means["lang"], "mean_h", figure().alias("x")
         )
         part = figured.groupBy("lang", "mean_h").agg(
-            (F.percentile_approx("x", QUANTILE, 10_000) * SLACK).alias("threshold")
+            F.percentile_approx("x", QUANTILE, 10_000).alias("threshold")
         )
         out = part if out is None else out.unionByName(part)
     result = Scratch(docs.sparkSession, "quality").save(out, "thresholds")

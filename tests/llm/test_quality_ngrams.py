@@ -66,3 +66,10 @@ def test_scrambled_letters_of_other_scripts(spark):
     docs, labels = frames(spark, good + [t[::-1] for t in good[:20]])
     out = {r.doc_id: r.kept for r in quality.classify(docs, labels.filter("doc_id < 150")).collect()}
     assert sum(out[i] for i in range(150)) >= 145 and not any(out[i] for i in range(150, 170))
+
+
+def test_limit_is_a_figure_of_a_document_left_out(spark):
+    docs, labels = frames(spark, [" ".join("abcdefgh"[(i * j) % 8] * (1 + i % 3) for j in range(1, 40 + i % 7)) for i in range(200)])
+    out = quality.classify(docs, labels).filter(quality.left_out()).collect()
+    assert len(out) >= quality.LEAST_DOCS
+    assert min(abs(r.perplexity / r.threshold - 1) for r in out) < 1e-9
