@@ -115,6 +115,28 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]] | None:
     return stack[0] if len(stack) == 1 else None
 
 
+def licences(postfix: list[str]) -> list[str] | None:
+    """The licences of all alternatives, which aren't expanded, each with its exception; None where ``evaluate`` gives None."""
+    out: list[str] = []
+    stack: list[tuple[int, str | None]] = []  # of each operand: where its licences begin in out, and its licence if it is a single one
+    for token in postfix:
+        if token not in _RANK:
+            stack.append((len(out), token.lower()))
+            out.append(token.lower())
+            continue
+        if len(stack) < 2:
+            return None
+        (_, b), (start, a) = stack.pop(), stack.pop()
+        if token != "with":
+            stack.append((start, a if a == b else None))
+        elif a and b:
+            out[start:] = [f"{a} with {b}"]
+            stack.append((start, out[start]))
+        else:
+            return None
+    return out if len(stack) == 1 else None
+
+
 def family(identifier: str) -> str:
     """The label of a licence identifier."""
     name = identifier.split(" with ")[0]
@@ -128,10 +150,6 @@ def tagged_expression(text: str) -> str:
     return line.strip().rstrip(".")
 
 
-#: An expression with more alternatives than this counts as one that doesn't parse.
-MAX_TOKENS = 40
-
-
 class Scanner:
     def __init__(self):
         phrases = {p: (label, True) for p, label in BASE_PHRASES.items()}
@@ -161,11 +179,10 @@ class Scanner:
                 at = alnum_spans(raw)[2][end]
                 said = tagged_expression(raw[at:].split(b"\n", 1)[0].decode("utf-8", "replace"))
                 postfix = parse_expression(said)
-                ways = evaluate(postfix) if postfix and len(postfix) <= MAX_TOKENS else None
+                named = licences(postfix) if postfix else None
                 found.append(said)
-                score = max(score, 1.0 if ways else 0.5)
-                for x in {x for way in ways or [] for x in way}:
-                    labels.add(family(x))
+                score = max(score, 1.0 if named else 0.5)
+                labels.update(map(family, named or ()))
         return (
             len(words), len(base_at), min(base_at, default=None), max(base_at, default=None),
             ",".join(sorted(base)), ",".join(sorted(labels)), score, found,
