@@ -8,8 +8,11 @@ result with it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # ----------------------------------------------------------------- scratch
@@ -49,13 +52,21 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The same rows, in Arrow batches of at most ``rows`` where the session has no bound
-    of its own, so that a Python worker never holds many long texts at a time."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name, "10000") == "10000":
-        conf.set(name, str(rows))
-    return df
+def small_batches(
+    batches: Iterator[pa.RecordBatch], text: str | int = "text", rows: int = 512, size: int = 8 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and, but for single rows, about ``size`` bytes of text."""
+    for batch in batches:
+        col = batch.column(batch.schema.get_field_index(text) if isinstance(text, str) else text)
+        lens = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lens)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            fit = int(np.searchsorted(ends, before + size, side="right")) - at
+            n = min(max(1, fit), rows, batch.num_rows - at)
+            yield batch.slice(at, n)
+            at += n
 
 
 def tasks(spark: SparkSession) -> int:

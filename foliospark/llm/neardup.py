@@ -3,25 +3,26 @@
 A document is the set of its distinct word shingles (five words, by 64-bit
 hashes). Documents with equal sets form a class, and only classes are compared.
 
-Each class has ``COORDS`` minwise tokens. In ``TREES`` independent trees it
-branches to the nodes named by ``ROOT_BRANCH`` chosen tokens of its own; a node
-with at most ``LEAF`` classes is compared exhaustively, and a larger one
-branches again by ``BRANCH`` tokens that the node's name chooses, until its
-children are small. Two sets of the least similarity J share no root node with
-the probability (1 - J) ** ROOTS, 6e-8 for J = 0.75.
-
-Within a node pairs are compared by the share of equal tokens. Those below
-``least_equal`` are left out; a linked pair falls below it with a probability
-under 1e-7. All others are candidates, and each link is confirmed on the full
-sets, from the words of the texts, in the task that has the node. Of a node's
-candidates the ones of a maximum spanning forest are confirmed first; pairs that
-this has joined to one component need no further look, and all others are
-confirmed after that. Only links that join components leave the task.
-
-A large root node is first compared in random blocks of LEAF, so that large groups
-of near copies join early. If it then is one component, it is finished. If all but
-at most LEAF of its classes are in one component, these few are compared with
-every class of the node, block by block. Otherwise it branches.
+Each class has ``COORDS`` minwise tokens, of which a sketch keeps four bits each.
+In ``TREES`` independent trees it is in the root node that one chosen token of its
+own names. A node of at most ``LEAF`` classes is compared exhaustively by sketches; a
+larger one branches again by ``BRANCH`` tokens that its place in the tree chooses, until
+its children are small. Two sets of the least similarity J share no root with the
+probability (1 - J) ** TREES, 6e-8 for J = 0.75; where all their roots branch without
+end, a root loses them with the probability 1/9, and all of them with 2e-6.
+
+A pair whose sketches have fewer than ``least_equal`` equal tokens is left out; a linked
+pair falls below it with a probability under 1e-7. All others are candidates. A node gives
+no pairs but, for each group of classes that candidates connect, the links of all to its
+smallest key: fewer rows than it has. The groups of all nodes, united, are the families:
+every link is inside one. Then each class's text goes to its family once, and the
+task that has the family confirms links on full sets: each pair of candidates, unless
+confirmed links have joined the two before.
+
+Sizes that one task can't hold take the same steps over several tasks. A node of more than
+``TASK`` classes is compared in random blocks and branches by Spark (``Levels``); so is a
+family of more than ``FAMILY`` classes or ``FAMILY_BYTES`` of packed text, whose texts then
+go to the nodes that its classes have in common.
 
 Nothing is collected on the driver but counts of rows. Intermediate tables
 are written to the shared scratch folder.
@@ -30,7 +31,9 @@ Defined cases: a null or empty text, or one of white space only, has no
 shingles, is linked with nothing and is its own component; a text of fewer than
 five words has one shingle, the whole sequence; repeated rows of one doc_id
 belong to the component of that row's text; the smallest doc_id of a component
-leaves null ids out, and a row with a null doc_id is not kept; an empty table
+leaves null ids out, and a row with a null doc_id is not kept; texts of any length
+are read whole, a very long one alone in its batch; classes tied in similarity
+or in their tokens are compared like others; an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -42,24 +45,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from foliospark.llm.common import Scratch, blank_spans, bounded_batches, hash_spans, mix
+from foliospark.llm.common import Scratch, blank_spans, hash_spans, mix, small_batches
 
 WORDS, PERCENT = 5, 75
-COORDS, TREES, ROOT_BRANCH, BRANCH, LEAF, MAX_DEPTH = 128, 6, 2, 2, 1024, 24
-ROOTS = TREES * ROOT_BRANCH
-#: Root nodes that are looked at before the others.
-FIRST_ROOTS = 3
+COORDS, TREES, BRANCH, LEAF, MAX_DEPTH = 128, 12, 2, 1024, 24
+#: Classes of a node, and classes and packed bytes of a family, that one task compares.
+TASK, FAMILY, FAMILY_BYTES = 16_384, 4_096, 8 << 20
+#: Rows that go from a task to Spark at a time.
+BATCH = 5_000
 _FACTORS = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PLACES = mix(np.arange(1001, 1001 + WORDS, dtype=np.uint64)) | np.uint64(1)
+_ONES = np.uint64(0x1111111111111111)
 
 
 def least_equal(percent: int = PERCENT) -> int:
     """Equal tokens below which a pair is left out: 5.5 standard deviations low."""
     j = percent / 100
-    return max(1, math.floor(COORDS * j - 5.5 * math.sqrt(COORDS * j * (1 - j))))
+    p = j + (1 - j) / 16  # four bits of different tokens may be equal
+    return max(1, math.floor(COORDS * p - 5.5 * math.sqrt(COORDS * p * (1 - p))))
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -86,93 +93,55 @@ def minwise(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, nodes, sig, blob) of each row of (doc_id, text).
+def sketch_of(least: np.ndarray) -> bytes:
+    """The upper four bits of each token, two in a byte."""
+    bits = (least >> np.uint64(60)).astype(np.uint8)
+    return (bits[0::2] << 4 | bits[1::2]).tobytes()
 
-    ``key`` names the set, ``nodes`` are its root nodes, ``sig`` holds 8 bits of
-    each minwise token, ``blob`` the compressed words.
+
+def fingerprints(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, key, nodes, sketch, blob, *extra) of each row of (doc_id, text, *extra).
+
+    ``key`` names the set, ``nodes`` are its root nodes, ``blob`` holds the compressed words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        salt = np.arange(1, ROOTS + 1, dtype=np.uint64) << np.uint64(40)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, key, nodes, sig, blob = [], [], [], [], []
-                for raw in part.column(1).cast(pa.binary()):
-                    raw = raw.as_py() or b""
-                    found = shingles(raw)
-                    n.append(len(found))
-                    if not len(found):
-                        for x in (key, nodes, sig, blob):
-                            x.append(None)
-                        continue
-                    least = mix(minwise(found))
-                    key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    nodes.append(mix(least[:ROOTS] + salt).view(np.int64))
-                    sig.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
-                    blob.append(pack(b" ".join(raw.lower().split())))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
-                     pa.array(nodes, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(blob, pa.binary())],
-                    ["doc_id", "n_shingles", "key", "nodes", "sig", "blob"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return bounded_batches(rows).mapInArrow(
-        run, "doc_id long, n_shingles long, key binary, nodes array<long>, sig binary, blob binary"
-    )
-
-
-# ------------------------------------------------------- inside a node
-
-CELL = ["node", "block", "key", "label", "other"]
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """The columns of each run of rows with equal (node, block) and more than one row.
+        salt = np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(40)
+        for part in small_batches(batches, "text"):
+            n, key, nodes, sketch, blob = [], [], [], [], []
+            for raw in part.column(1).cast(pa.binary()):
+                raw = raw.as_py() or b""
+                found = shingles(raw)
+                n.append(len(found))
+                if not len(found):
+                    for x in (key, nodes, sketch, blob):
+                        x.append(None)
+                    continue
+                least = mix(minwise(found))
+                key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                nodes.append(mix(least[:TREES] + salt).view(np.int64))
+                sketch.append(sketch_of(least))
+                blob.append(pack(b" ".join(raw.lower().split())))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
+                 pa.array(nodes, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(blob, pa.binary()),
+                 *part.columns[2:]],
+                ["doc_id", "n_shingles", "key", "nodes", "sketch", "blob", *extra],
+            )
 
-    Probes (rows that aren't ``other``) come first; of a pair one at least is a probe.
-    """
-    name, kept = None, []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(
+        run, f"doc_id long, n_shingles long, key binary, nodes array<long>, sketch binary, blob binary{more}"
+    )
 
-    def group() -> dict[str, list]:
-        return dict(zip(names, map(list, zip(*kept))))
 
-    for batch in batches:
-        names = batch.schema.names
-        for row in zip(*(batch.column(i).to_pylist() for i in range(len(names)))):
-            if row[:2] != name:
-                if len(kept) > 1:
-                    yield group()
-                name, kept = row[:2], []
-            kept.append(row)
-    if len(kept) > 1:
-        yield group()
-
-
-def candidates(group: dict[str, list], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j of different components with enough equal tokens, and their number."""
-    tokens = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, COORDS)
-    number: dict = {}
-    label = np.array([number.setdefault(x, len(number)) for x in group["label"]])
-    left, right, equal = [], [], []
-    for i in range(min(len(tokens) - 1, group["other"].count(False))):
-        same = np.count_nonzero(tokens[i + 1 :] == tokens[i], axis=1)
-        j = np.flatnonzero((same >= least) & (label[i + 1 :] != label[i]))
-        if len(j):
-            left.append(np.full(len(j), i))
-            right.append(j + i + 1)
-            equal.append(same[j])
-    if not left:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return np.concatenate(left), np.concatenate(right), np.concatenate(equal)
+# ------------------------------------------------------- inside a task
 
 
 class Parts:
-    """Disjoint sets of a group's rows, begun with their components."""
+    """Disjoint sets of a group's rows, begun with their labels."""
 
     def __init__(self, labels: list):
         number: dict = {}
@@ -189,21 +158,20 @@ class Parts:
     def join(self, i: int, j: int) -> bool:
         a, b = self.root(i), self.root(j)
         if a != b:
-            self.up[b] = a
+            self.up[max(a, b)] = min(a, b)
             self.n -= 1
         return a != b
 
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return np.array([self.root(i) for i in rows.tolist()])
 
-def forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray, labels: list) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning forest between the components."""
-    parts, out = Parts(labels), []
-    for k in np.argsort(-weight, kind="stable"):
-        if parts.n == 1:
-            break
-        i, j = int(left[k]), int(right[k])
-        if parts.join(i, j):
-            out.append((i, j))
-    return out
+
+def equal_tokens(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many tokens of each sketch (a row of 64-bit words) are those of ``one``."""
+    x = sketches ^ one
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return COORDS - np.bitwise_count(x & _ONES).sum(axis=1, dtype=np.int64)
 
 
 #: Bytes of unpacked sets that a task keeps; sets beyond it are unpacked at each use.
@@ -226,130 +194,258 @@ class Sets:
                 self.size += found.nbytes
         return found
 
-    def linked(self, i: int, others: list[int]) -> list[int]:
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of ``others`` whose sets are similar enough to that of row i."""
         mine, out = self.words(i), []
         for at in range(0, len(others), 256):
             part = others[at : at + 256]
-            sets = [self.words(k) for k in part]
+            sets = [self.words(k) for k in part.tolist()]
             every = np.concatenate(sets)
             place = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
             sizes = np.array([len(x) for x in sets])
             both = np.add.reduceat((mine[place] == every).astype(np.int64), np.cumsum(sizes) - sizes)
-            good = 100 * both >= self.percent * (len(mine) + sizes - both)
-            out += [part[k] for k in np.flatnonzero(good)]
-        return out
+            out.append(part[100 * both >= self.percent * (len(mine) + sizes - both)])
+        return np.concatenate(out)
 
 
-def links(group: dict[str, list], least: int, percent: int, complete: bool) -> list[tuple[int, int]]:
-    """Confirmed links that join the group's components, at most one fewer than its rows.
+def compare(rows: np.ndarray, tokens: np.ndarray, parts: Parts, least: int, sets: Sets | None) -> None:
+    """Joins the rows that candidates connect, or confirmed links where ``sets`` are given.
 
-    The spanning forest's pairs are confirmed first; if ``complete``, so are all
-    others whose ends are not joined yet.
+    Rows of one part are reached together, so each pair of different parts is looked at once at most.
     """
-    left, right, equal = candidates(group, least)
-    sets, parts, out = Sets(group["blob"], percent), Parts(group["label"]), []
-    for i, j in forest(left, right, equal, group["label"]):
-        if sets.linked(i, [j]) and parts.join(i, j):
-            out.append((i, j))
-    if complete and parts.n > 1:
-        starts = np.flatnonzero(np.diff(left, prepend=-1))
-        for i, others in zip(left[starts].tolist(), np.split(right, starts[1:])):
-            mine = parts.root(i)
-            others = [j for j in others.tolist() if parts.root(j) != mine]
-            for j in sets.linked(i, others) if others else []:
-                if parts.join(i, j):
-                    out.append((i, j))
-    return out
-
-
-def stars(found: list[tuple[int, int]], keys: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """As many pairs that join the same rows, each with the smallest key of its part.
-
-    They keep paths short, so that components need few rounds."""
-    parts, members = Parts(keys), {}
-    for i, j in found:
-        parts.join(i, j)
-    for i in {x for pair in found for x in pair}:
-        members.setdefault(parts.root(i), []).append(keys[i])
-    return [(least, k) for own in members.values() for least in [min(own)] for k in own if k != least]
-
-
-def _screened(least: int) -> Callable:
-    """The rows of each group that are in a candidate pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()]
-
-        def flush(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], CELL)
-
-        rows: list[tuple] = []
-        for group in _groups(batches):
-            left, right, _ = candidates(group, least)
-            for i in np.union1d(left, right).tolist():
-                rows.append(tuple(group[c][i] for c in CELL))
-            if len(rows) > 5000:
-                yield flush(rows)
-                rows = []
-        yield flush(rows)
-
-    return run
+    open_, words = rows, tokens[rows]
+    members: dict[int, list[int]] = {}
+    for i, p in zip(rows.tolist(), parts.of(rows).tolist()):
+        members.setdefault(p, []).append(i)
+    done = np.zeros(len(tokens), bool)
+    for first in members:
+        if done[first_row := members[first][0]]:
+            continue
+        queue = list(members[first])
+        done[queue] = True
+        while queue:
+            if 2 * np.count_nonzero(done[open_]) > len(open_):
+                left = ~done[open_]
+                open_, words = open_[left], words[left]
+                if not len(open_):
+                    break
+            x = queue.pop()
+            near = open_[equal_tokens(words, tokens[x]) >= least]
+            near = near[~done[near]]
+            if sets is not None and len(near):
+                near = sets.linked(x, near)
+            for p in set(parts.of(near).tolist()) if len(near) else ():
+                if p in members and not done[members[p][0]]:
+                    queue += members[p]
+                    done[members[p]] = True
+                    parts.join(first_row, members[p][0])
+
+
+def branch(rows: np.ndarray, tokens: np.ndarray, parts: Parts, least: int, place: int = 0, depth: int = 0) -> None:
+    """Joins the rows of a node that candidates connect; nodes over LEAF branch."""
+    if len(rows) <= LEAF or depth == MAX_DEPTH:
+        return compare(rows, tokens, parts, least, None)
+    label = parts.of(rows)
+    for part in np.array_split(rows, -(-len(rows) // LEAF)):  # large groups of copies join here
+        compare(part, tokens, parts, least, None)
+    label, first, count = np.unique(parts.of(rows), return_index=True, return_counts=True)
+    if len(label) <= LEAF:
+        compare(rows[first], tokens, parts, least, None)
+        label, count = np.unique(parts.of(rows), return_counts=True)
+    if len(label) == 1:
+        return None
+    if len(rows) - count.max() <= LEAF:  # the few outside the largest part, with all
+        return compare(rows, tokens, parts, least, None)
+    bits = tokens[rows].view(np.uint8)
+    for j in range(BRANCH):
+        child = int(mix(np.array([place * BRANCH + j + 1], np.uint64))[0])
+        at = child % COORDS
+        token = bits[:, at // 2] >> (0 if at % 2 else 4) & 15
+        for t in range(16):
+            if np.count_nonzero(own := token == t) > 1:
+                branch(rows[own], tokens, parts, least, child * 16 + t & (1 << 56) - 1, depth + 1)
+    return None
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal values in the first ``by`` columns (none null), if more than one."""
+    held: list[pa.RecordBatch] = []
+
+    def edges(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in range(by):
+            col = batch.column(c)
+            if pa.types.is_integer(col.type):
+                x = col.to_numpy()
+                new |= x[1:] != x[:-1]
+            else:
+                new |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new) + 1
 
+    def name(batch: pa.RecordBatch, i: int) -> tuple:
+        return tuple(batch.column(c)[i].as_py() for c in range(by))
 
-def _linked(least: int, percent: int) -> Callable:
-    """Joined pairs of each group; only by the spanning forest's where ``block`` is negative."""
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            found = stars(links(group, least, percent, group["block"][0] >= 0), group["key"])
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = [0, *edges(batch).tolist(), batch.num_rows]
+        if held and name(held[-1], held[-1].num_rows - 1) == name(batch, 0):
+            held.append(batch.slice(0, cuts[1]))
+            cuts = cuts[1:]
+            if len(cuts) == 1:
+                continue
+        if held and sum(x.num_rows for x in held) > 1:
+            yield whole()
+        held = []
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            if b - a > 1:
+                yield batch.slice(a, b - a)
+        held = [batch.slice(cuts[-2], cuts[-1] - cuts[-2])]
+    if held and sum(x.num_rows for x in held) > 1:
+        yield whole()
+
+
+def sketches(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, COORDS // 16)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches."""
+    held: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*held)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        if len(held) == BATCH:
+            yield flush()
+            held = []
+    yield flush()
+
+
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def stars(parts: Parts, rows: list[int], keys: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """The links of each part of several rows to its smallest key; they keep paths short."""
+    members: dict[int, list[bytes]] = {}
+    for i in rows:
+        members.setdefault(parts.root(i), []).append(keys[i])
+    for own in members.values():
+        if len(own) > 1 and (least := min(own)) != max(own):
+            yield from ((least, k) for k in own if k != least)
 
-    return run
 
+def _connected(least: int) -> Callable:
+    """The links of a node's classes that candidates connect; rows (node, block, label, key, sketch)."""
 
-# ------------------------------------------------------ across nodes
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+        for group in groups(batches, 2):
+            parts, tokens = Parts(group.column("label").to_pylist()), sketches(group)
+            begun = parts.n
+            branch(np.arange(group.num_rows), tokens, parts, least)
+            if parts.n < begun:
+                yield from stars(parts, list(range(group.num_rows)), group.column("key").to_pylist())
 
+    return lambda batches: _batches(found(batches), _PAIR)
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(key, label): the smallest key of each linked key's component.
 
-    Each round takes the smallest label among the neighbours and then jumps to
-    that label's own label, so that long chains halve.
+def _screened(least: int) -> Callable:
+    """The rows (node, block, label, key) of a cell that are candidates with a row of another label."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for group in groups(batches, 2):
+            tokens = sketches(group)
+            number: dict = {}
+            label = np.array([number.setdefault(x, len(number)) for x in group.column("label").to_pylist()])
+            most = np.bincount(label).argmax()
+            few = np.flatnonzero(label != most)  # each pair has one row at least that isn't of the largest part
+            met = np.zeros(len(label), bool)
+            for i in few.tolist():
+                near = (equal_tokens(tokens, tokens[i]) >= least) & (label != label[i])
+                if near.any():
+                    met |= near
+                    met[i] = True
+            rows = group.select(["node", "block", "label", "key"]).to_pylist()
+            yield from (tuple(rows[i].values()) for i in np.flatnonzero(met).tolist())
+
+    schema = pa.schema([("node", pa.int64()), ("block", pa.int32()), ("label", pa.binary()), ("key", pa.binary())])
+    return lambda batches: _batches(found(batches), schema)
+
+
+def _confirmed(least: int, percent: int) -> Callable:
+    """The links of a cell's classes that confirmed links join; rows (node, block, label, key, sketch, blob)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+        for group in groups(batches, 2):
+            parts, begun = Parts(group.column("label").to_pylist()), group.num_rows
+            sets = Sets(group.column("blob").to_pylist(), percent)
+            compare(np.arange(begun), sketches(group), parts, least, sets)
+            yield from stars(parts, list(range(begun)), group.column("key").to_pylist())
+
+    return lambda batches: _batches(found(batches), _PAIR)
+
+
+def _settled(least: int, percent: int) -> Callable:
+    """(key, component) of the classes of whole families; rows (label, key, first, sketch, blob)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+        for group in groups(batches, 1):
+            n = group.num_rows
+            parts, sets = Parts(list(range(n))), Sets(group.column("blob").to_pylist(), percent)
+            compare(np.arange(n), sketches(group), parts, least, sets)
+            first, least_of = group.column("first").to_pylist(), {}
+            for i in range(n):
+                ids = [x for x in (first[i], least_of.get(parts.root(i))) if x is not None]
+                least_of[parts.root(i)] = min(ids, default=None)
+            for i, key in enumerate(group.column("key").to_pylist()):
+                yield key, least_of[parts.root(i)]
+
+    schema = pa.schema([("key", pa.binary()), ("component", pa.int64())])
+    return lambda batches: _batches(found(batches), schema)
+
+
+# ------------------------------------------------------ across tasks
+
+
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
+    """(key, label) of all linked keys: the smallest key of each one's component; None without links.
+
+    Each round gives every key the smallest key it is linked with as parent, if that is smaller,
+    jumps once from parents to their parents, and renames the links by that; links that then
+    have equal ends are done. Few rounds are left, as links come as stars. Joins on a key that many
+    links have are sort-merge joins, which Spark splits.
     """
-    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = scratch.save(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}-edges")
-    labels = scratch.save(
-        edges.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("key"), F.least("u", "m").alias("label"), F.lit(True).alias("moved")
-        ),
-        f"{name}-0",
-    )
-    step = 0
-    while labels.filter("moved").limit(1).count():
-        new = labels.select("key", "label", F.col("label").alias("old"))
-        for _ in range(2):
-            near = (
-                edges.join(new.select(F.col("key").alias("v"), "label").hint("merge"), "v")
-                .groupBy("u").agg(F.min("label").alias("m")).withColumnRenamed("u", "key")
-            )
-            new = new.join(near.hint("merge"), "key").select("key", F.least("label", "m").alias("label"), "old")
-            top = labels.select(F.col("key").alias("label"), F.col("label").alias("top"))
-            new = new.join(top.hint("merge"), "label", "left").select(
-                "key", F.least("label", F.coalesce("top", "label")).alias("label"), "old"
-            )
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    labels, step = None, 0
+    while True:
+        edges = scratch.save(links.filter("a <> b").select(low.alias("a"), high.alias("b")).distinct(), f"{name}-edges{step}")
+        if edges.isEmpty():
+            return labels
+        up = edges.groupBy(F.col("b").alias("key")).agg(F.min("a").alias("label"))
+        top = up.select(F.col("key").alias("label"), F.col("label").alias("top"))
+        up = up.join(top.hint("merge"), "label", "left").select("key", F.coalesce("top", "label").alias("label"))
+        up = scratch.save(up, f"{name}-up{step}")
+        for c in ("a", "b"):
+            of = up.select(F.col("key").alias(c), F.col("label").alias("to")).hint("merge")
+            links = (edges if c == "a" else links).join(of, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        if labels is None:
+            every = up.unionByName(up.select(F.col("label").alias("key"), "label"))
+            labels = every.groupBy("key").agg(F.min("label").alias("label"))  # a parent is smaller than its key
+        else:
+            to = up.select(F.col("key").alias("label"), F.col("label").alias("to"))
+            labels = labels.join(to.hint("merge"), "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+        labels = scratch.save(labels, f"{name}-labels{step}")
         step += 1
-        moved = (F.col("label") != F.col("old")).alias("moved")
-        labels = scratch.save(new.select("key", "label", moved), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
-    scratch.drop(f"{name}-edges")
-    return labels.select("key", "label")
 
 
-def joined_components(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The components after further links; only components that a link joins are walked again."""
+def united(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
+    """The components after further links, of which only those that they join are walked again."""
     if labels is None:
         return components(links, scratch, name)
     side = lambda k: labels.select(F.col("key").alias(k), F.col("label").alias(f"l{k}")).hint("merge")
@@ -357,126 +453,154 @@ def joined_components(labels: DataFrame | None, links: DataFrame, scratch: Scrat
         "a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")
     )
     ends = scratch.save(ends.filter("la <> lb"), f"{name}-ends")
-    if ends.isEmpty():
-        return labels
     over = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch, f"{name}-over")
+    if over is None:
+        return labels
     fresh = ends.select(F.col("a").alias("key"), F.col("la").alias("label")).union(ends.select("b", "lb"))
     every = labels.union(fresh.filter("key = label")).distinct()
     over = over.select(F.col("key").alias("label"), F.col("label").alias("top")).hint("merge")
     return scratch.save(every.join(over, "label", "left").select("key", F.coalesce("top", "label").alias("label")), name)
 
 
-class Join:
-    """The levels of the join over one table of fingerprints."""
-
-    def __init__(self, prints: DataFrame, scratch: Scratch, percent: int):
-        self.prints, self.scratch, self.percent = prints, scratch, percent
-        self.least = least_equal(percent)
+class Levels:
+    """Nodes that one task can't hold: blocks first, then what is still apart, else their children.
 
-    def counted(self, rows: DataFrame) -> DataFrame:
-        """(node, key) rows with their node's number of classes, where that is over 1."""
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        return rows.join(sizes.hint("merge"), "node")
-
-    def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """(node, key, label, n, major, few) in nodes of more than one component.
+    ``classes`` have (key, nodes, sketch) and, where links are ``exact``, blob; ``most`` is the
+    number of classes that one task compares.
+    """
 
-        ``major`` is the node's largest component, ``few`` the number of classes outside.
-        """
-        rows = rows.select("node", "key").join(labels.hint("merge"), "key", "left")
-        rows = rows.withColumn("label", F.coalesce("label", "key"))
+    def __init__(self, classes: DataFrame, scratch: Scratch, name: str, percent: int, exact: bool, most: int):
+        self.classes, self.scratch, self.name, self.percent = classes, scratch, name, percent
+        self.exact, self.most, self.least = exact, most, least_equal(percent)
+
+    def side(self, *columns: str) -> DataFrame:
+        return self.classes.select("key", *columns).hint("merge")
+
+    def links(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) from cells of rows (node, block, label, key); tokens go to
+        every row of a cell, texts only to the rows of candidate pairs."""
+        dealt = lambda d: d.repartition("node", "block").sortWithinPartitions("node", "block", "label", "key")
+        cell = ["node", "block", "label", "key"]
+        tokens = dealt(rows.select(cell).join(self.side("sketch"), "key").select(*cell, "sketch"))
+        if not self.exact:
+            return tokens.mapInArrow(_connected(self.least), "a binary, b binary")
+        near = tokens.mapInArrow(_screened(self.least), "node long, block int, label binary, key binary")
+        texts = dealt(near.join(self.side("sketch", "blob"), "key").select(*cell, "sketch", "blob"))
+        return texts.mapInArrow(_confirmed(self.least, self.percent), "a binary, b binary")
+
+    def labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """(node, key, label, n, few, major) in nodes of more than one component: ``major`` is the
+        node's largest component, ``few`` the number of classes outside it."""
+        rows = rows.select("node", "key")
+        if labels is None:
+            rows = rows.withColumn("label", F.col("key"))
+        else:
+            rows = rows.join(labels.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         parts = rows.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(
             F.sum("c").alias("n"), F.max_by("label", "c").alias("major"),
             (F.sum("c") - F.max("c")).alias("few"), F.count("*").alias("parts"),
         )
         return rows.join(parts.filter("parts > 1").drop("parts").hint("merge"), "node")
 
-    def found(self, rows: DataFrame) -> DataFrame:
-        """Links (a, b) of rows (node, block, key, label, other).
-
-        Tokens go to every row of a node, texts only to the rows in candidate pairs.
-        """
-        side = lambda *c: self.reps.select("key", *c).hint("merge")
-        order = ["node", "block", "other", "key"]
-        dealt = rows.select(CELL).join(side("sig"), "key").repartition("node", "block").sortWithinPartitions(order)
-        schema = "node long, block int, key binary, label binary, other boolean"
-        near = dealt.select(*CELL, "sig").mapInArrow(_screened(self.least), schema)
-        dealt = near.join(side("sig", "blob"), "key").repartition("node", "block").sortWithinPartitions(order)
-        links_ = dealt.select(*CELL, "sig", "blob").mapInArrow(_linked(self.least, self.percent), "a binary, b binary")
-        return links_.distinct()
-
-    def merged(self, rows: DataFrame, labels: DataFrame | None, name: str, whole: bool = False) -> DataFrame:
-        """The components after the links of these nodes; those over LEAF go by random
-        blocks, unless they are to be compared ``whole``."""
-        if labels is None:
-            rows = rows.select("node", "key", "n", F.col("key").alias("label"))
-        else:
-            rows = self.labelled(rows, labels)
-        # Blocks of large nodes have negative numbers: only their spanning forests are confirmed.
-        part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / LEAF)) + 1
-        rows = rows.withColumns({"block": F.when((F.col("n") > LEAF) & F.lit(not whole), -part).otherwise(0).cast("int"), "other": F.lit(False)})
-        return joined_components(labels, self.scratch.save(self.found(rows), f"links{name}"), self.scratch, f"labels{name}")
-
-    def labels(self) -> DataFrame:
-        """(key, label) of all linked classes."""
-        save = self.scratch.save
-        roots = self.prints.filter("key is not null").select("key", F.posexplode("nodes").alias("root", "node")).distinct()
-        frontier = save(self.counted(roots), "frontier0")
-        met = frontier.select("key").distinct()
-        once = self.prints.filter("key is not null").select("key", "sig", "blob").dropDuplicates(["key"])
-        self.reps = save(once.join(met.hint("merge"), "key", "left_semi"), "reps")
-        labels, settled = None, None
+    def walk(self, frontier: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """The components after all links of the nodes of ``frontier`` (node, key)."""
+        save, most = self.scratch.save, self.most
         for depth in range(MAX_DEPTH + 1):
-            is_large = (F.col("n") > LEAF) & F.lit(depth < MAX_DEPTH)
-            if depth:
-                labels = self.merged(frontier.filter(~is_large), labels, str(depth), depth == MAX_DEPTH)
-            else:
-                # Most groups join by a few roots, so that few nodes need a look at the others.
-                labels = self.merged(frontier.filter(F.col("root") < FIRST_ROOTS), labels, "0a")
-                labels = self.merged(frontier.filter(F.col("root") >= FIRST_ROOTS), labels, "0b")
-            large = frontier.filter(is_large)
-            if large.isEmpty():
+            rows = save(self.labelled(frontier, labels), f"{self.name}-rows{depth}")
+            if rows.isEmpty():
                 break
-            large = save(self.labelled(large, labels), f"large{depth}")
-            few = large.filter(F.col("few") <= LEAF).select("node", "key")
-            settled = few if settled is None else settled.unionByName(few)
-            child = [
-                F.xxhash64("node", F.lit(j), F.substring(
-                    "sig", F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int") + 1, F.lit(1)))
-                for j in range(BRANCH)
-            ]
-            branched = large.filter(F.col("few") > LEAF).select("node", "key").join(
-                self.reps.select("key", "sig").hint("merge"), "key"
-            ).select("key", F.explode(F.array(*child)).alias("node"))
-            frontier = save(self.counted(branched.distinct()), f"frontier{depth + 1}")
-            if frontier.isEmpty():
+            blocks = F.ceil(F.col("n") / most).cast("int")
+            block = F.pmod(F.xxhash64("key", "node"), F.greatest(blocks, F.lit(1))).cast("int")
+            labels = united(labels, save(self.links(rows.withColumn("block", block)), f"{self.name}-links{depth}"), self.scratch, f"{self.name}-{depth}")
+            rows = save(self.labelled(rows.filter(F.col("n") > most), labels), f"{self.name}-apart{depth}")
+            if rows.isEmpty():
                 break
-        if settled is None:
-            return labels
-        rows = self.labelled(settled, labels).withColumn("other", F.col("label") == F.col("major"))
-        blocks = F.ceil((F.col("n") - F.col("few")) / LEAF).cast("int")
-        mine = F.array(F.pmod(F.xxhash64("key"), blocks).cast("int"))
-        every = F.sequence(F.lit(0), blocks - 1)
-        rows = rows.withColumn("block", F.explode(F.when(F.col("other"), mine).otherwise(every)))
-        return joined_components(labels, save(self.found(rows), "links-settled"), self.scratch, "labels-settled")
+            last = F.lit(depth == MAX_DEPTH)
+            few = rows.filter((F.col("few") <= most) | last).withColumn("other", F.col("label") == F.col("major"))
+            blocks = F.greatest(F.ceil((F.col("n") - F.col("few")) / most).cast("int"), F.lit(1))
+            mine = F.array(F.pmod(F.xxhash64("key"), blocks).cast("int"))
+            every = F.sequence(F.lit(0), blocks - 1)  # the few outside meet each block of the others
+            few = few.withColumn("block", F.explode(F.when(F.col("other"), mine).otherwise(every)))
+            labels = united(labels, save(self.links(few), f"{self.name}-few{depth}"), self.scratch, f"{self.name}-{depth}few")
+            child = []
+            for j in range(BRANCH):
+                at = F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int")
+                byte = F.conv(F.hex(F.substring("sketch", F.floor(at / 2).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+                token = F.when(at % 2 == 0, F.shiftright(byte, 4)).otherwise(byte.bitwiseAND(15))
+                child.append(F.xxhash64("node", F.lit(j), token))
+            frontier = rows.filter((F.col("few") > most) & ~last).select("node", "key").join(
+                self.side("sketch"), "key").select("key", F.explode(F.array(*child)).alias("node"))
+            frontier = save(frontier.distinct(), f"{self.name}-frontier{depth}")
+        return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of ``docs``."""
+def families(classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """(key, label) of the classes that candidates connect, over all trees."""
+    rows = classes.select(F.explode("nodes").alias("node"), "key", "sketch")
+    large = scratch.save(rows.groupBy("node").count().filter(F.col("count") > TASK).select("node"), "large")
+    some = not large.isEmpty()
+    small = rows.join(large.hint("merge"), "node", "left_anti") if some else rows
+    cells = small.select("node", F.lit(0).alias("block"), F.col("key").alias("label"), "key", "sketch")
+    found = cells.repartition("node").sortWithinPartitions("node").mapInArrow(_connected(least_equal(percent)), "a binary, b binary")
+    labels = components(found, scratch, "families")
+    if some:
+        deep = rows.select("node", "key").join(large.hint("merge"), "node", "left_semi")
+        labels = Levels(classes, scratch, "families-deep", percent, False, TASK).walk(deep, labels)
+    return labels
+
+
+def confirmed(labels: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(key, component) of the classes in families: the smallest doc_id that confirmed links reach."""
+    mine = labels.hint("shuffle_hash").join(classes, "key").select(
+        "label", "key", "first", "sketch", "blob", F.length("blob").alias("bytes"), "nodes")
+    mine = scratch.save(mine, "members")
+    sizes = mine.groupBy("label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    large = scratch.save(sizes.filter((F.col("n") > FAMILY) | (F.col("bytes") > FAMILY_BYTES)).select("label"), "large-families")
+    some = not large.isEmpty()
+    small = mine.join(large.hint("merge"), "label", "left_anti") if some else mine
+    out = (
+        small.select("label", "key", "first", "sketch", "blob").repartition("label").sortWithinPartitions("label", "key")
+        .mapInArrow(_settled(least_equal(percent), percent), "key binary, component long")
+    )
+    if not some:
+        return scratch.save(out, "components")
+    big = scratch.save(mine.join(large.hint("merge"), "label", "left_semi"), "large-members")
+    levels = Levels(big, scratch, "deep", percent, True, FAMILY)
+    # First a family in random blocks, as one node, which joins large groups of copies; then its root nodes.
+    found = None
+    blocks = big.select("label", "key").join(sizes.hint("merge"), "label").select(
+        F.xxhash64("label").alias("node"), F.col("label").alias("family"), "key", "n", "bytes"
+    )
+    parts = F.ceil(F.greatest(F.col("n") / FAMILY, F.col("bytes") / FAMILY_BYTES)).cast("int")
+    cells = blocks.select("node", F.pmod(F.xxhash64("key"), parts).cast("int").alias("block"), F.col("key").alias("label"), "key")
+    found = components(scratch.save(levels.links(cells), "blocks"), scratch, "deep-blocks")
+    found = levels.walk(big.select(F.explode("nodes").alias("node"), "key"), found)
+    if found is None:
+        return scratch.save(out, "components")
+    named = big.select("key", "first").join(found.hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    lowest = named.groupBy("label").agg(F.min("first").alias("component"))
+    return scratch.save(out.unionByName(named.join(lowest.hint("merge"), "label").select("key", "component")), "components")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, *extra) of each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    prints = scratch.save(fingerprints(docs), "prints")
-    labels = Join(prints, scratch, percent).labels()
-    classes = prints.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    linked = labels.join(classes.hint("merge"), "key")
-    lowest = linked.groupBy("label").agg(F.min("first").alias("component"))
-    linked = linked.join(lowest.hint("merge"), "label").select("key", "component")
-    named = classes.join(linked.hint("merge"), "key", "left").select(
-        "key", F.coalesce("component", "first").alias("component")
+    prints = scratch.save(fingerprints(docs, extra), "prints")
+    first = lambda *columns: [F.first(c).alias(c) for c in columns]
+    classes = scratch.save(
+        prints.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), *first("nodes", "sketch", "blob")),
+        "classes",
     )
-    rows = prints.select("doc_id", "n_shingles", "key").join(named.hint("merge"), "key", "left")
+    labels = families(classes, scratch, percent)
+    named = classes.select("key", F.col("first").alias("component_id"))
+    if labels is not None:
+        found = confirmed(labels, classes, scratch, percent)
+        named = named.join(found.hint("merge"), "key", "left").select(
+            "key", F.coalesce("component", "component_id").alias("component_id"))
+    rows = prints.select("doc_id", "n_shingles", "key", *extra).join(named.hint("merge"), "key", "left")
     out = rows.select(
         "doc_id", "n_shingles",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *extra,
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     result = Scratch(docs.sparkSession, "neardup").save(out, "result")
     scratch.drop("")

@@ -230,10 +230,12 @@ def brute_components(rows):
     return out
 
 
-@pytest.mark.parametrize("leaf", [neardup.LEAF, 6])
-def test_near_duplicates(spark, texts, leaf, monkeypatch):
-    """A small LEAF makes nodes branch, and large groups settle by blocks."""
+@pytest.mark.parametrize("leaf, task, family", [(neardup.LEAF, neardup.TASK, neardup.FAMILY), (6, neardup.TASK, neardup.FAMILY), (6, 12, 10)])
+def test_near_duplicates(spark, texts, leaf, task, family, monkeypatch):
+    """Small bounds make nodes branch inside tasks and by Spark, and large families go by blocks."""
     monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "TASK", task)
+    monkeypatch.setattr(neardup, "FAMILY", family)
     r = random.Random(8)
     rows, n = list(texts), 1000
     passage = r.choices(WORDS, k=40)  # in many documents
