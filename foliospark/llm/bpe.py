@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliospark.llm.common import bounded_batches
+from foliospark.llm.common import small_batches
 
 NO_PAIR = 1 << 62
 #: Bounds of a worker's memory of encoded matches: entries, and bytes of one match.
@@ -169,7 +169,7 @@ def with_tokens(
                     [*part.columns, *new], [*part.schema.names, *(f.name for f in added)]
                 )
 
-    return bounded_batches(carried).mapInArrow(run, T.StructType([*carried.schema.fields, *added]))
+    return carried.mapInArrow(run, T.StructType([*carried.schema.fields, *added]))
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliospark.llm.common import Scratch, alnum_spans, alnum_words, bounded_batches, runs
+from foliospark.llm.common import Scratch, alnum_spans, alnum_words, small_batches, runs
 
 WINDOW = 13
 #: Windows of one automaton: about 13 nodes each, so under about 100 MB in a worker.
@@ -106,7 +106,7 @@ def _scan(docs: DataFrame, windows: list, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, shared)
-        for batch in batches:
+        for batch in small_batches(batches, text):
             rows = []
             for raw in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()):
                 raw = raw.as_py() or b""
@@ -134,7 +134,7 @@ def _scan(docs: DataFrame, windows: list, text: str) -> DataFrame:
                 [*batch.columns, *new], [*batch.schema.names, *RESULT.names]
             )
 
-    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT.fields]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *RESULT.fields]))
 
 
 def window_table(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -199,7 +199,7 @@ def _from_merged(rows: DataFrame, text: str) -> DataFrame:
     """RESULT's columns from the merged hit words of several blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, text):
             at = batch.schema.get_field_index
             out = []
             for raw, hit, items in zip(batch.column(at(text)).cast(pa.binary()), batch.column(at("__hit")), batch.column(at("__items"))):

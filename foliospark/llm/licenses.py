@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliospark.llm.common import alnum_spans, alnum_words, bounded_batches
+from foliospark.llm.common import alnum_spans, alnum_words, small_batches
 
 #: Fixed by the contract: phrase and label.
 BASE_PHRASES = {
@@ -207,7 +207,7 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
+        for batch in small_batches(batches, text):
             raw = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
             rows = [scanner.scan(x.as_py() or b"") for x in raw]
             cols = list(zip(*rows)) or [()] * len(_KINDS)
@@ -217,7 +217,7 @@ def with_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
     kept = docs.select([c for c in docs.columns if c.lower() not in RESULT.names])
-    return bounded_batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *RESULT.fields]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *RESULT.fields]))
 
 
 def op10_licenses(spark, sf_dir: str) -> DataFrame:

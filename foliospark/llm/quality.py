@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from foliospark.llm.common import Scratch, bounded_batches
+from foliospark.llm.common import Scratch, small_batches
 
 BITS, ORDER = 5, 4
 CELLS = 1 << BITS * ORDER
@@ -75,14 +75,14 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             for raw in batch.column(0).cast(pa.binary()):
                 code, c = np.unique(ngrams(raw.as_py() or b""), return_counts=True)
                 total[code] += c
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "c"])
 
-    return bounded_batches(texts).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def pieces(raws: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,7 +122,7 @@ def gather_ngrams(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             counted = np.array(batch.column(1).to_pylist(), bool)
             raws = [x.as_py() or b"" for x in batch.column(0).cast(pa.binary())]
             for yes in (True, False):
@@ -139,7 +139,7 @@ def gather_ngrams(texts: DataFrame) -> DataFrame:
         if held:
             yield from rows(*merged(held))
 
-    return bounded_batches(texts).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def probabilities(spark: SparkSession, counts: DataFrame, scratch: Scratch, bits: int = BITS, order: int = ORDER, dense: bool = True) -> DataFrame:
@@ -207,7 +207,7 @@ def with_entropy(docs: DataFrame, model: list[Broadcast], text: str = "text") ->
     def adding(part: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, costs = part.value
-            for batch in batches:
+            for batch in small_batches(batches, text):
                 raws = [x.as_py() or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary())]
                 total, n = np.array(batch.column(batch.num_columns - 2), np.float64), np.zeros(len(raws), np.int64)
                 for start, codes, which, chars in pieces(raws):
@@ -223,7 +223,7 @@ def with_entropy(docs: DataFrame, model: list[Broadcast], text: str = "text") ->
 
     schema = T.StructType([*kept.schema.fields, T.StructField("nll", T.DoubleType()), T.StructField("n_symbols", T.LongType())])
     for part in model:
-        out = bounded_batches(out).mapInArrow(adding(part), schema)
+        out = out.mapInArrow(adding(part), schema)
     return out
 
 

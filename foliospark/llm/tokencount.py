@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, types as T
 
 from foliospark.llm.bpe import read_ranks
-from foliospark.llm.common import bounded_batches
+from foliospark.llm.common import small_batches
 
 #: Bounds of a worker's memory of counted words: entries, and characters of one word.
 MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
@@ -110,7 +110,7 @@ def with_counts(docs: DataFrame, vocabulary_path: str, pattern: str, text: str =
             _automata[key] = LongestMatch(shared.value)
         count, find = _automata[key].count, regex.compile(pattern).findall
         memo: dict[str, int] = {}
-        for batch in batches:
+        for batch in small_batches(batches, text):
             pieces, matches = [], []
             for raw in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()):
                 found = find((raw.as_py() or b"").decode("utf-8", "replace"))
@@ -132,7 +132,7 @@ def with_counts(docs: DataFrame, vocabulary_path: str, pattern: str, text: str =
             )
 
     fields = [T.StructField(c, T.LongType()) for c in names]
-    return bounded_batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:

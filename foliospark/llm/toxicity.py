@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from foliospark.llm.common import alnum_spans, bounded_batches, hash_spans, mix
+from foliospark.llm.common import alnum_spans, small_batches, hash_spans, mix
 from foliospark.llm.decontam import char_offsets
 
 MAX_TOXIC, MAX_CLEAN = 2000, 4000
@@ -174,7 +174,7 @@ def with_scores(docs: DataFrame, model, text: str = "text", offending: float = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in small_batches(batches, text):
             scores, spans = [], []
             for raw in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()):
                 raw = raw.as_py() or b""
@@ -192,7 +192,7 @@ def with_scores(docs: DataFrame, model, text: str = "text", offending: float = 0
                 [*batch.schema.names, *(f.name for f in RESULT)],
             )
 
-    return bounded_batches(kept).mapInArrow(run, T.StructType([*kept.schema.fields, *RESULT]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *RESULT]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
