@@ -4,11 +4,14 @@ Every match of the split pattern is encoded on its own. A segment tree over
 the byte positions of the match holds, at each leaf, the rank of the pair that
 starts there; its root is the smallest rank, leftmost first. A merge changes
 the pair at the merged position and at its live left neighbour and clears the
-swallowed one: three point updates of logarithmic cost.
+swallowed one: three point updates of logarithmic cost. The trees of the short
+matches that a batch of texts brings are merged in step, as rows of one array
+(``Merger``); a long match has a tree of its own (``encode_piece``).
 
 Defined cases: a null text counts as the empty text and has 0 tokens; bytes
 that are not UTF-8 become U+FFFD as in Python's ``errors="replace"``; repeated
-rows are encoded row by row; an empty table gives an empty result; further
+rows are encoded row by row; texts of any length are encoded whole, and one
+match of any length costs n log n; of equal ranks the leftmost pair merges; an empty table gives an empty result; further
 columns are ignored, or carried along if ``keep`` is set.
 """
 
@@ -19,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -87,28 +91,136 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Merger:
+    """Encodes many short pieces at once: their segment trees are rows of one array and merge in step."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def pair(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The leaf value of a pair of tokens at a place: its rank, then the place."""
+        if not len(self.keys):
+            return np.full(np.broadcast(a, b).shape, NO_PAIR)
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at] << 8 | place, NO_PAIR)
+
+    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Token ids of each piece of at most 256 bytes; all single bytes must be tokens."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        for k, piece in enumerate(pieces):
+            by_width.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(k)
+        for width, own in by_width.items():
+            most = max(1, 65_536 // width)
+            for at in range(0, len(own), most):
+                part = own[at : at + most]
+                for k, ids in zip(part, self.merged([pieces[k] for k in part], width)):
+                    out[k] = ids
+        return out
+
+    def merged(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+        n = np.array([len(x) for x in pieces])
+        raw = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(-1, width)
+        place = np.arange(width)
+        token = self.bytes[raw]
+        tree = np.full((len(pieces), 2 * width), NO_PAIR)
+        tree[:, width:-1] = np.where(place[1:] < n[:, None], self.pair(token[:, :-1], token[:, 1:], place[:-1]), NO_PAIR)
+        for k in range(width - 1, 0, -1):
+            tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
+        after, before = (np.tile(place + d, (len(pieces), 1)).ravel() for d in (1, -1))
+        token, tree, alive = token.ravel(), tree.ravel(), (place < n[:, None]).ravel()
+
+        def climb(root: np.ndarray, leaf: np.ndarray) -> None:
+            leaf = leaf + width
+            while leaf[0] > 1:
+                leaf = leaf >> 1
+                tree[root + leaf] = np.minimum(tree[root + 2 * leaf], tree[root + 2 * leaf + 1])
+
+        rows = np.arange(len(pieces))
+        while True:
+            top = tree[rows * 2 * width + 1]
+            rows, top = rows[top != NO_PAIR], top[top != NO_PAIR]
+            if not len(rows):
+                break
+            base, root, i, rank = rows * width, rows * 2 * width, top & 255, top >> 8
+            j = after[base + i]
+            e = after[base + j]
+            token[base + i], after[base + i], alive[base + j] = rank, e, False
+            more = e < n[rows]
+            before[(base + e)[more]] = i[more]
+            tree[root + width + j] = NO_PAIR
+            tree[root + width + i] = np.where(more, self.pair(rank, token[base + np.where(more, e, 0)], i), NO_PAIR)
+            h = before[base + i]
+            has = h >= 0
+            left, ahead = root[has], h[has]
+            tree[left + width + ahead] = self.pair(token[base[has] + ahead], rank[has], ahead)
+            climb(root, j)
+            climb(root, i)
+            if len(left):
+                climb(left, ahead)
+        ids, ends = token[alive].tolist(), np.cumsum(alive.reshape(-1, width).sum(1)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 class Codec:
     """Encodes and decodes texts; remembers the matches it has met, up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.merger = Merger(ranks) if all(bytes([b]) in ranks for b in range(256)) else None
+        self.ids: dict[str, tuple[int, ...]] = {}
+        self.said: dict[str, str] = {}  # the ids in decimal digits, each after a space
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes the matches that aren't remembered."""
+        short, whole, get = [], [], self.ranks.get
+        for piece in pieces:
+            raw = piece.encode()
+            if (rank := get(raw)) is not None:
+                self.ids[piece] = (rank,)
+            elif self.merger is None or len(raw) > MEMO_BYTES:
+                self.ids[piece] = tuple(encode_piece(raw, self.ranks))
+            else:
+                short.append(piece)
+                whole.append(raw)
+        if short:
+            self.ids.update(zip(short, self.merger.encode(whole)))
+        ids = self.ids
+        self.said.update([(p, " " + " ".join(map(str, ids[p]))) for p in pieces])
+
+    def forget(self, pieces: set[str]) -> None:
+        """Keeps the memory in its bounds."""
+        if len(self.ids) > MEMO_ENTRIES:
+            self.ids, self.said = {}, {}
+        for piece in pieces:
+            if len(piece) > MEMO_BYTES // 4:
+                self.ids.pop(piece, None)
+                self.said.pop(piece, None)
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """The ids of each text, and their decimal digits."""
+        found = [self.find(text) for text in texts]
+        new = set().union(*found) - self.ids.keys()
+        self.learn(new)
+        ids, said = self.ids, self.said
+        for own in found:
+            yield list(chain.from_iterable([ids[p] for p in own])), "".join([said[p] for p in own])[1:]
+        self.forget(new)
 
     def encode(self, text: str) -> list[int]:
-        memo = self.memo
-        found = self.find(text)
-        out = []
-        for piece in found:
-            ids = memo.get(piece)
-            if ids is None:
-                ids = tuple(encode_piece(raw := piece.encode(), self.ranks))
-                if len(raw) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[piece] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        return next(self.encode_all([text]))[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -148,26 +260,25 @@ def with_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, lists, sums, texts = [], [], [], []
-                for raw in part.column(part.schema.get_field_index(text)).cast(pa.binary()):
-                    got = codec.encode((raw.as_py() or b"").decode("utf-8", "replace"))
-                    counts.append(len(got))
-                    if ids:
-                        lists.append(got)
-                    if digests:
-                        sums.append(hashlib.sha256(" ".join(map(str, got)).encode()).hexdigest())
-                        texts.append(hashlib.sha256(codec.decode(got)).hexdigest())
-                new = [pa.array(counts, pa.int64())]
+        for part in small_batches(batches, text):
+            counts, lists, sums, texts = [], [], [], []
+            raws = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
+            for got, said in codec.encode_all([(x or b"").decode("utf-8", "replace") for x in raws]):
+                counts.append(len(got))
                 if ids:
-                    new.append(pa.array(lists, pa.list_(pa.int32())))
+                    lists.append(pa.array(got, pa.int32()))
                 if digests:
-                    new += [pa.array(sums, pa.string()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *new], [*part.schema.names, *(f.name for f in added)]
-                )
+                    sums.append(hashlib.sha256(said.encode()).hexdigest())
+                    texts.append(hashlib.sha256(codec.decode(got)).hexdigest())
+            new = [pa.array(counts, pa.int64())]
+            if ids:
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                new.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(lists or [pa.array([], pa.int32())])))
+            if digests:
+                new += [pa.array(sums, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, *new], [*part.schema.names, *(f.name for f in added)]
+            )
 
     return carried.mapInArrow(run, T.StructType([*carried.schema.fields, *added]))
 
