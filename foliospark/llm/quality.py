@@ -25,8 +25,9 @@ none is left out, those that were counted are used.
 Defined cases: a null or empty text has no perplexity and is rejected; a null
 language counts as the language ''; a doc_id with several labels is trusted if
 all its labels that aren't null are 1; without trusted text every text that
-isn't empty is kept; repeated rows are judged row by row; further columns are
-ignored or carried along.
+isn't empty is kept; a figure equal to the limit is kept; repeated rows are judged row by
+row; texts of any length are read whole, ``PIECE`` bytes of several or one text at a time; an
+empty table gives an empty result; further columns are ignored or carried along.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ QUANTILE, PRIOR, LEAST_DOCS = 0.99, 60, 30
 #: Bytes of an n-gram; every LEFT_OUT-th trusted document is not counted; n-grams of a broadcast part; bytes of text handled at once.
 LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 4_000_000, 2_000_000
 LEAST_DISCOUNT = 0.1
-#: Trusted ids are broadcast up to this number (16 MB); beyond it they are joined by a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+#: Trusted ids are broadcast up to this number (about 32 MB as a hash table); beyond it they are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
+#: Rows of the tables by language that are broadcast; more are joined by a shuffle.
+MAX_LANGUAGES = 100_000
 
 _CLASS = np.full(256, 30, np.uint8)  # other marks
 _CLASS[list(b" \t\r\n\v\f")] = 0
@@ -282,7 +285,9 @@ def thresholds(docs: DataFrame, labels: DataFrame, model: list[Broadcast]) -> Da
         means = keyed.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean_h"), F.count("*").alias("n"))
         means = scratch.save(means if not by else means.filter(F.col("n") >= LEAST_DOCS), f"means{by}")
         same = keyed["lang"].eqNullSafe(means["lang"])
-        figured = keyed.join(F.broadcast(means) if not by else means.hint("shuffle_hash"), same).select(
+        # A row for each language (or one): broadcast if few, so that no language goes to one task.
+        few = means.count() <= MAX_LANGUAGES
+        figured = keyed.join(F.broadcast(means) if few else means.hint("merge"), same).select(
             means["lang"], "mean_h", figure().alias("x")
         )
         part = figured.groupBy("lang", "mean_h").agg(
@@ -298,7 +303,7 @@ def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds ``perplexity``, ``threshold`` and ``kept`` to rows with nll and n_symbols.
 
     The thresholds have a row for each language; they are broadcast if at most
-    100,000, else joined by a shuffle.
+    ``MAX_LANGUAGES``, else joined by a shuffle.
     """
     spare = limits.filter("lang is null").select(
         F.col("mean_h").alias("__mean"), F.col("threshold").alias("__threshold")
@@ -306,7 +311,7 @@ def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
     own = limits.filter("lang is not null").select(
         F.col("lang").alias("__lang"), F.col("mean_h").alias("__own_mean"), F.col("threshold").alias("__own_threshold")
     )
-    few = own.count() <= 100_000
+    few = own.count() <= MAX_LANGUAGES
     joined = scored.withColumn("__key", F.coalesce("lang", F.lit("")))
     joined = joined.join(
         F.broadcast(own) if few else own.hint("merge"), F.col("__key") == F.col("__lang"), "left"
