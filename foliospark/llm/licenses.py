@@ -11,8 +11,10 @@ largest confidence of what was found: 1 for a tag whose expression parses, 0.9
 for a notice phrase, 0.5 for a tag whose expression does not parse, else 0.
 
 Defined cases: a null or empty text has no words, no labels and score 0;
-repeated rows are scanned row by row; an empty table gives an empty result;
-further columns are ignored or carried along.
+repeated rows are scanned row by row; phrases that overlap all count; of several findings
+the largest confidence is the score; a text of any length is scanned whole, in time
+linear in its length and the lengths of its tagged lines; an empty table gives an empty
+result; further columns are ignored or carried along.
 """
 
 from __future__ import annotations
@@ -168,6 +170,7 @@ class Scanner:
         get = self.code.get
         line = "".join([get(w, "\0") for w in words])
         base_at, base, labels, found, score = [], set(), set(), [], 0.0
+        ends = None  # of the words in the text, once a tag asks for them
         for end, (n, label, is_base) in self.auto.iter(line) if line else ():
             if is_base:
                 base_at.append(end + 1 - n)
@@ -176,8 +179,11 @@ class Scanner:
                 labels.add(label)
                 score = max(score, 0.9)
             else:
-                at = alnum_spans(raw)[2][end]
-                said = tagged_expression(raw[at:].split(b"\n", 1)[0].decode("utf-8", "replace"))
+                if ends is None:
+                    ends = alnum_spans(raw)[2]
+                at = ends[end]
+                stop = raw.find(b"\n", at)
+                said = tagged_expression(raw[at : len(raw) if stop < 0 else stop].decode("utf-8", "replace"))
                 postfix = parse_expression(said)
                 named = licences(postfix) if postfix else None
                 found.append(said)
