@@ -6,13 +6,15 @@ function of its words and word beginnings; the document's is their noisy-or,
 own probability then says where the offence is.
 
 Training uses a bounded sample of the labelled rows of the training fold: at
-most ``MAX_TOXIC`` and ``MAX_CLEAN`` rows, taken by a hash of doc_id. The whole
-texts of these are read. Scores come from the text alone.
+most ``MAX_TOXIC`` and ``MAX_CLEAN`` documents, taken by a hash of doc_id, each id once. The
+whole texts of these are read in parallel; the fitting task gets their feature keys only, a
+bounded number of documents of them. Scores come from the text alone.
 
 Defined cases: a null or empty text has no sentence and scores 0; without rows
 of both labels all scores are 0; labels that are null are left out, and a
-doc_id with several labels counts as toxic if one says so; repeated rows are
-scored row by row; an empty table gives an empty result; further columns are
+doc_id with several labels counts as toxic if one says so; of several texts of one
+doc_id the largest is learnt from; repeated rows are scored row by row; equal scores are
+equal verdicts, a score of exactly 0.7 is toxic; texts of any length are read whole; an empty table gives an empty result; further columns are
 ignored or carried along.
 """
 
@@ -66,11 +68,10 @@ def telling(docs: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:
     return enough & (g >= 2 * np.log(max(2, enough.sum())))
 
 
-def fit(texts: list[bytes], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature keys (sorted), their weights, and the bias."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature keys (sorted), their weights, and the bias, from each document's feature keys by word and sentence numbers."""
     nothing = np.zeros(0, np.uint64), np.zeros(0), -40.0
-    bags = [features(t) for t in texts]
-    seen = [np.unique(k) for k, *_ in bags]
+    seen = [np.unique(k) for k, _ in bags]
     y = np.array(toxic, float)
     if not seen or not y.any() or y.all():
         return nothing
@@ -80,13 +81,13 @@ def fit(texts: list[bytes], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, f
     if not len(known):
         return nothing
     index, words, sizes, base = [], [], [], 0
-    for keys, sentence, starts, _ in bags:
+    for keys, sentence in bags:
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         row, kind = np.nonzero(known[at] == keys)
         index.append(at[row, kind].astype(np.int32))
         words.append((sentence[row] + base).astype(np.int32))
-        base += len(starts)
-        sizes.append(len(starts))
+        sizes.append(int(sentence[-1]) + 1 if len(sentence) else 0)
+        base += sizes[-1]
     index, where = np.concatenate(index), np.concatenate(words)
     owner = np.repeat(np.arange(len(bags)), sizes)
     w, b = np.zeros(len(known)), START
@@ -120,20 +121,36 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     part = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # At most MAX_TOXIC + MAX_CLEAN rows of two numbers, so the broadcast is bounded.
     sample = F.broadcast(part(1, MAX_TOXIC).unionByName(part(0, MAX_CLEAN)))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").repartition(1).sortWithinPartitions("doc_id", "text")
+    # One text for each id: repeated rows are merged, and of different texts the largest counts.
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            keys, sentences = [], []
+            for raw in batch.column(2).cast(pa.binary()):
+                key, sentence, _, _ = features(raw.as_py() or b"")
+                # Equal words of one sentence stay: each adds to its sentence.
+                keys.append(key.astype("<u8").tobytes())
+                sentences.append(sentence.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sentences, pa.binary())],
+                ["doc_id", "toxic", "keys", "sentences"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
+        bags, toxic = [], []
         for batch in batches:
-            texts += [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            for key, sentence in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                bags.append((np.frombuffer(key, "<u8").reshape(-1, 1 + len(PREFIXES)), np.frombuffer(sentence, "<i4").astype(np.int64)))
             toxic += batch.column(1).to_pylist()
-        keys, weights, bias = fit(texts, toxic)
+        keys, weights, bias = fit(bags, toxic)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(keys, np.uint64(0)).view(np.int64)), pa.array(np.append(weights, bias))],
             ["key", "weight"],
         )
 
-    found = rows.select("text", "toxic").mapInArrow(run, "key long, weight double").collect()
+    bags = rows.mapInArrow(read, "doc_id long, toxic int, keys binary, sentences binary")
+    found = bags.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "key long, weight double").collect()
     if not found:  # no rows at all
         return np.zeros(0, np.uint64), np.zeros(0), -40.0
     keys = np.array([r.key for r in found[:-1]], np.int64).view(np.uint64)
