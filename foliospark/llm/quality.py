@@ -46,6 +46,8 @@ CELLS = 1 << BITS * ORDER
 QUANTILE, PRIOR, LEAST_DOCS = 0.99, 60, 30
 #: Bytes of an n-gram; every LEFT_OUT-th trusted document is not counted; n-grams of a broadcast part; bytes of text handled at once.
 LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 4_000_000, 2_000_000
+#: Different n-grams that a task gathers before it passes them on.
+GATHERED = 1_500_000
 LEAST_DISCOUNT = 0.1
 #: Trusted ids are broadcast up to this number (about 32 MB as a hash table); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
@@ -133,10 +135,10 @@ def gather_ngrams(texts: DataFrame) -> DataFrame:
                     code, c = np.unique(codes, return_counts=True)
                     held.append((code, c if yes else np.zeros(len(c), np.int64)))
                     size += len(code)
-                    if size > MOST:
+                    if size > GATHERED:
                         held = [merged(held)]
                         size = len(held[0][0])
-                        if size > MOST // 2:
+                        if size > GATHERED // 2:
                             yield from rows(*held[0])
                             held, size = [], 0
         if held:
