@@ -3,8 +3,11 @@
 The rows of a filtering stage that are rejected go; the others keep the columns
 of ``documents`` as they are. The last stage returns token ids and digests.
 
-Rows without doc_id stay in the near-dedup stage, which removes by doc_id; rows
-that repeat one doc_id with one text count as one document there.
+The near-dedup stage removes rows by doc_id and text. Rows without doc_id stay there; rows
+that repeat one doc_id with one text count as one document; of two texts under one doc_id
+only the one that is a copy of another document goes. Null and empty texts are rejected by
+the first stage; texts of any length are read whole; empty tables give an empty result, and
+without labels or benchmark the stages that need them keep every text that isn't empty.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from foliospark.llm.common import Scratch
 #: Names that the operators add to rows; a table's own columns of these names are set aside.
 RESERVED = {"nll", "n_symbols", "perplexity", "threshold", "kept", "mean_h", "score", "offending",
             "n_words", "n_hit", "n_items", "item_ids", "spans", "hit_words"}
-#: Up to so many ids (16 MB) are broadcast to remove rows; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 2_000_000
+#: Up to so many pairs of numbers (about 32 MB as a hash table) are broadcast to remove rows; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 500_000
 
 
 def _keeping_columns(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -48,10 +51,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    hashed = F.xxhash64("text").alias("text_hash")
+    found = neardup.near_duplicates(docs.select("doc_id", "text", hashed), extra=("text_hash",))
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", "text_hash").distinct()
     few = gone.count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
+    same = (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), same, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
