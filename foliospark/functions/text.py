@@ -36,30 +36,30 @@ def language(text: Column) -> Column:
 
 
 def arxiv_ids(text: Column) -> Column:
-    """Sorted distinct ids in URLs, after "arXiv:", and bare."""
-    found = [
-        F.regexp_extract_all(text, F.lit(p), F.lit(1))
-        for p in (
-            r"arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5}(?:v\d+)?)",
-            r"(?i)arxiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)",
-            r"\b(\d{4}\.\d{4,5}(?:v\d+)?)\b",
-        )
-    ]
-    return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda x: F.length(x) >= 9)))
+    """Sorted distinct ids, wherever they stand: in URLs, after "arXiv:" or "arXiv #", and bare."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)(\d{4}\.\d{4,5}(?:v\d+)?)"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 9)))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def reference_entries(text: Column) -> Column:
-    """Entries of a reference list, split before ``[n]`` or ``n. `` at a line's start."""
-    parts = F.split(text, r"\n(?=\[\d+\]|\d+\.\s)")
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 20)
+    """Entries of a reference list, split before ``[n]`` or ``n. `` at a line's start, or, without
+    such numbers, at blank lines; short ones are left out."""
+    numbered = F.split(text, r"\n(?=\s*\[\d+\]|\s*\d+\.\s)")
+    parts = F.when(F.size(numbered) > 1, numbered).otherwise(F.split(text, "\n\n"))
+    return F.filter(F.transform(parts, stripped), lambda x: F.length(x) > 20)
 
 
 def entry_title(entry: Column) -> Column:
-    """The likely title: after the year in brackets, up to the next full stop."""
-    body = F.regexp_replace(entry, r"^(?:\[\d+\]|\d+\.)\s*", "")
-    after = F.regexp_extract(body, r"\(\d{4}\)\.\s*([^.]+)\.", 1)
-    first = F.regexp_extract(body, r"^([^.]+)", 1)
-    return F.substring(F.trim(F.when(after != "", after).otherwise(first)), 1, 200)
+    """The likely title: of the first sentence what follows ``).`` or a year, or all of it."""
+    body = F.regexp_replace(stripped(entry), r"^\[?\d+\]?\.?\s*", "")
+    first = stripped(F.element_at(F.split(body, r"[.。!！?？]\s+"), 1))
+    after = F.regexp_extract(first, r"(?:\)\.|,?\s*\d{4}[a-z]?\.?)\s*([^\n]+)", 1)
+    return F.substring(F.when(after != "", stripped(after)).otherwise(first), 1, 200)
 
 
 def base_id(arxiv_id: Column) -> Column:
@@ -111,14 +111,18 @@ def content_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+#: Seconds of the units of a rate, without plural s.
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
 def rate_limit(text: Column) -> tuple[Column, Column]:
-    """(number, seconds) of ``n/unit``; 30 in 60 seconds where it doesn't parse."""
+    """(number, seconds) of ``n/unit``; a bad number is 30, an unknown unit 60 seconds."""
     parts = F.split(F.trim(text), "/")
-    n = parts[0].try_cast("int") if hasattr(parts[0], "try_cast") else F.expr("0")
-    unit = F.lower(F.trim(F.try_element_at(parts, F.lit(2))))
-    seconds = F.when(unit.startswith("s"), 1).when(unit.startswith("m"), 60).when(unit.startswith("h"), 3600).when(unit.startswith("d"), 86400)
-    good = n.isNotNull() & seconds.isNotNull() & (F.size(parts) == 2)
-    return F.when(good, n).otherwise(30), F.when(good, seconds).otherwise(60)
+    unit = F.regexp_replace(F.lower(F.try_element_at(parts, F.lit(2))), "s+$", "")
+    seconds = F.coalesce(*[F.when(unit == name, n) for name, n in UNITS.items()], F.lit(60))
+    pair = F.size(parts) == 2
+    n = F.coalesce(parts[0].try_cast("int"), F.lit(30))
+    return F.when(pair, n).otherwise(30), F.when(pair, seconds).otherwise(60)
 
 
 def client_key(forwarded: Column, real: Column, peer: Column) -> Column:
@@ -127,9 +131,15 @@ def client_key(forwarded: Column, real: Column, peer: Column) -> Column:
     return F.coalesce(some(F.element_at(F.split(forwarded, ","), 1)), some(real), some(peer), F.lit("unknown"))
 
 
-#: What a failure that shouldn't be tried again says.
-FINAL_ERRORS = "auth|permission|not found|invalid|400|401|403|404"
+#: What the kind or message of a failure that shouldn't be tried again contains.
+FINAL_ERRORS = ["valueerror", "typeerror", "keyerror", "filenotfounderror", "notfounderror", "404", "not found", "不存在"]
 
 
 def retryable(kind: Column, message: Column) -> Column:
-    return ~F.lower(F.concat_ws(" ", kind, message)).rlike(FINAL_ERRORS)
+    said = F.lower(F.concat_ws("\n", kind, message))
+    return ~F.exists(F.array(*[F.lit(x) for x in FINAL_ERRORS]), lambda x: F.contains(said, x))
+
+
+def answer_key(task: Column, lang: Column, query: Column, context: Column) -> Column:
+    """The key under which an answer to a query in a context is kept."""
+    return content_key(task, lang, query, context)

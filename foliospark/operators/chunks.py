@@ -7,10 +7,11 @@ paragraph, line and sentence ends; it runs in Arrow batches, one row to many.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 SIZE, OVERLAP = 1000, 200
 #: Separators in order of preference.
@@ -28,24 +29,33 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFram
     )
 
 
-def mask(text: str) -> tuple[str, list[str]]:
-    """The text with protected blocks replaced by numbered placeholders, and the blocks."""
-    kept: list[str] = []
+#: Stands for a protected block while a text is cut: one character, so no cut goes through it.
+#: Where a text has this character itself, it is a block of its own.
+MARK = "\U000F0000"
 
-    def put(m: re.Match) -> str:
-        kept.append(m[0])
-        return f"\x00{len(kept) - 1}\x00"
 
+def mask(text: str) -> tuple[str, list[str]]:
+    """The text with a mark for each protected block, and the blocks in order."""
+    kept = [MARK] * text.count(MARK)
     for pattern in BLOCKS:
-        text = re.sub(pattern, put, text, flags=re.S | re.M)
+        out: list[str] = []
+        blocks: list[str] = []
+        at = used = 0
+        for m in re.finditer(pattern, text, flags=re.S | re.M):
+            gap = text[at : m.start()]
+            upto = used + gap.count(MARK)
+            inside = upto + m[0].count(MARK)
+            blocks += kept[used:upto]
+            blocks.append(restore(m[0], iter(kept[upto:inside])))
+            out += [gap, MARK]
+            at, used = m.end(), inside
+        text, kept = "".join(out) + text[at:], blocks + kept[used:]
     return text, kept
 
 
-def restore(text: str, kept: list[str]) -> str:
-    """Puts the blocks back, the last first, as one may lie inside a later one."""
-    for k in range(len(kept) - 1, -1, -1):
-        text = text.replace(f"\x00{k}\x00", kept[k])
-    return text
+def restore(text: str, blocks: Iterator[str]) -> str:
+    """Puts the next blocks in the place of the marks."""
+    return re.sub(MARK, lambda _: next(blocks), text) if MARK in text else text
 
 
 def pieces(text: str, size: int, level: int = 0) -> Iterator[str]:
@@ -67,22 +77,22 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
     """Chunks of at most ``size`` characters (masked), each beginning with up to
     ``overlap`` characters of the last one's end; blank ones are left out."""
     masked, kept = mask(text)
+    blocks = iter(kept)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[tuple[int, str]] = deque()  # pieces with their blocks, and their masked lengths
     length = fresh = 0
     for part in pieces(masked, size):
         if held and length + len(part) > size:
-            out.append("".join(held))
+            out.append("".join([x for _, x in held]))
             while held and (length > overlap or length + len(part) > size):
-                length -= len(held.pop(0))
+                length -= held.popleft()[0]
             fresh = 0
-        held.append(part)
+        held.append((len(part), restore(part, blocks)))
         length += len(part)
         fresh += 1
     if held and fresh:
-        out.append("".join(held))
-    done = (restore(x, kept).strip() for x in out)
-    return [x for x in done if x]
+        out.append("".join([x for _, x in held]))
+    return [x for x in map(str.strip, out) if x]
 
 
 def split(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -96,39 +106,59 @@ def split(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFram
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, text string")
 
 
-def breadcrumb(title: Column, path: Column, page: Column) -> Column:
-    """``论文: title > path (第p页)`` with the parts that there are."""
-    some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    line = F.concat_ws(" > ", some(title), some(path))
-    return F.concat(F.lit("论文: "), line, F.when(page.isNotNull(), F.concat(F.lit(" (第"), page.cast("string"), F.lit("页)"))).otherwise(""))
+def breadcrumb(title: Column, section: Column, path: Column, page: Column) -> Column:
+    """``论文: title > section > path (第p页)`` with the parts that there are; '' without any."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    line = F.concat_ws(" > ", F.concat(F.lit("论文: "), some(title)), some(section), some(path))
+    paged = F.when((page > 0) & (line != ""), F.concat(F.lit(" (第"), page.cast("string"), F.lit("页)"))).otherwise("")
+    return F.concat(line, paged)
 
 
 def with_breadcrumb(chunks: DataFrame) -> DataFrame:
-    """Chunks (title, path, page, text) whose text begins with where it stands."""
-    line = breadcrumb(F.col("title"), F.col("path"), F.col("page"))
-    return chunks.withColumn("text", F.concat(F.lit("[上下文: "), line, F.lit("]\n"), "text"))
+    """Chunks (source, section_title, heading_path, page, text) whose text begins with where it stands."""
+    line = breadcrumb(F.col("source"), F.col("section_title"), F.col("heading_path"), F.col("page"))
+    head = F.when(line != "", F.concat(F.lit("[上下文: "), line, F.lit("]\n\n"))).otherwise("")
+    return chunks.withColumn("text", F.concat(head, "text"))
+
+
+def _with_defaults(rows: DataFrame, **values) -> DataFrame:
+    """Adds the columns that are missing; null counts as missing too."""
+    have = set(rows.columns)
+    return rows.withColumns({c: F.coalesce(F.col(c), v) if c in have else v for c, v in values.items()})
 
 
 def structured(sections: DataFrame, tables: DataFrame | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, chunk_no, title, text): a document's tables first, then its sections in order.
+    """(doc_id, chunk_no, title, page, section_title, source, heading_path, text): a document's
+    tables first, then its sections in order, each cut on its own and headed by where it stands.
 
-    sections: doc_id, seq, title, content; tables: doc_id, start, markdown.
+    sections: doc_id, seq, title, content, and if known page, heading_path and source (the
+    document's title); tables: doc_id, start, markdown, and if known caption, page,
+    section_title and source.
     """
-    rows = sections.select("doc_id", F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), "title", F.col("content").alias("text"))
+    none, zero = F.lit(""), F.lit(0)
+    rows = _with_defaults(sections, title=none, content=none, page=zero, source=none)
+    rows = _with_defaults(rows, heading_path=F.col("title"), section_title=F.col("title"))
+    part = ["doc_id", "kind", "seq", "title", "page", "section_title", "source", "heading_path", "content"]
+    rows = rows.withColumns({"kind": F.lit(1), "seq": F.col("seq").cast("long"), "page": F.col("page").cast("int")}).select(part)
     if tables is not None:
-        rows = rows.unionByName(tables.select("doc_id", F.lit(0).alias("kind"), F.col("start").cast("long").alias("seq"), F.lit("Table").alias("title"), F.col("markdown").alias("text")))
+        of = _with_defaults(tables, caption=none, page=zero, section_title=none, source=none, markdown=none).filter(F.trim("markdown") != "")
+        of = of.withColumns({
+            "kind": F.lit(0), "seq": F.col("start").cast("long"), "page": F.col("page").cast("int"), "title": F.lit("表格"),
+            "heading_path": F.concat(F.when(F.col("section_title") != "", F.concat("section_title", F.lit(" > "))).otherwise(""), F.lit("表格")),
+            "content": F.concat(F.when(F.col("caption") != "", F.concat("caption", F.lit("\n"))).otherwise(""), "markdown"),
+        })
+        of = of.withColumn("section_title", F.when(F.col("section_title") != "", F.col("section_title")).otherwise(F.col("title")))
+        rows = rows.unionByName(of.select(part))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*part[:-1], "k", "text"]
         for frame in frames:
-            found = [
-                (r.doc_id, r.kind, r.seq, k, r.title, c)
-                for r in frame.itertuples()
-                for k, c in enumerate([r.text] if r.kind == 0 else split_text(r.text, size, overlap))
-            ]
-            yield pd.DataFrame(found, columns=["doc_id", "kind", "seq", "k", "title", "text"])
-
-    cut = rows.mapInPandas(run, "doc_id long, kind int, seq long, k int, title string, text string")
-    from pyspark.sql import Window as W
+            found = [(*r[:-1], k, c) for r in frame.itertuples(index=False, name=None) for k, c in enumerate(split_text(r[-1].strip(), size, overlap))]
+            yield pd.DataFrame(found, columns=names)
 
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("k", T.IntegerType()), T.StructField("text", T.StringType())])
+    cut = with_breadcrumb(rows.mapInPandas(run, schema))
     order = W.partitionBy("doc_id").orderBy("kind", "seq", "k")
-    return cut.withColumn("chunk_no", F.row_number().over(order) - 1).select("doc_id", "chunk_no", "title", "text")
+    return cut.withColumn("chunk_no", F.row_number().over(order) - 1).select(
+        "doc_id", "chunk_no", "title", "page", "section_title", "source", "heading_path", "text"
+    )

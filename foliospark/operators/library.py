@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators.retrieval import small
+from foliospark.sources.scratch import saved
 
 SORTS = {"created_at": ("created_at", True), "title": ("title", False), "published": ("published", True)}
 
@@ -43,8 +45,8 @@ def search(
 def search_by_parameters(papers: DataFrame, parameters: DataFrame) -> DataFrame:
     """(search_id, id) for a table of searches; a null parameter is no filter.
 
-    ``parameters``: search_id, source, status, year_from. Spark joins on whatever
-    is given, so the pairs are formed in a nested loop over the smaller table.
+    ``parameters``: search_id, source, status, year_from: a stated set of searches, each of which
+    reads every paper; it is broadcast up to 20,000 searches, a size that is checked.
     """
     p, s = papers.alias("p"), parameters.alias("s")
     free = lambda c, ok: F.col(f"s.{c}").isNull() | ok
@@ -53,7 +55,7 @@ def search_by_parameters(papers: DataFrame, parameters: DataFrame) -> DataFrame:
         & free("status", F.col("p.ingest_status") == F.col("s.status"))
         & free("year_from", F.col("p.published") >= F.col("s.year_from").cast("string"))
     )
-    return p.join(s, fits).select("s.search_id", "p.id")
+    return p.join(small(s, 20_000), fits).select("s.search_id", "p.id")
 
 
 def field_postings(papers: DataFrame, fields: tuple[str, ...] = ("title", "authors", "abstract")) -> DataFrame:
@@ -171,18 +173,46 @@ def first_of_each(df: DataFrame, key: list[str], order: list[Column]) -> DataFra
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def numbered(df: DataFrame, start: int, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, start: int, order: list[str | Column], name: str = "id") -> DataFrame:
     """New ids start + 1, start + 2, ... in the given order, counted by ranges.
 
-    A range sort splits the rows; each part is numbered by itself after the
-    counts of the parts before it, so no task sees all rows.
+    A range sort splits the rows, which are written out; each part is numbered by itself
+    after the counts of the parts before it, so no task sees all rows.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    parts = parts.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33))
+    parts = saved(parts.withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.col("__p").cast("long"), 33)), "numbered")
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))  # one row for each part
     before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__p", before.alias("__b"))
-    return parts.join(F.broadcast(starts), "__p").withColumn("id", F.lit(start) + F.col("__b") + F.col("__i") + 1).drop("__p", "__i", "__b")
+    return parts.join(F.broadcast(starts), "__p").withColumn(name, F.lit(start) + F.col("__b") + F.col("__i") + 1).drop("__p", "__i", "__b")
+
+
+def paged(papers: DataFrame, by: str, order: list[str | Column], size: int = 20) -> DataFrame:
+    """Adds ``page`` (from 0) within each value of ``by``, and ``pages``, without a task that holds a value's rows."""
+    rows = numbered(papers, 0, [by, *order], "__n")
+    totals = rows.groupBy(by).agg(F.min("__n").alias("__first"), F.count("*").alias("total"))
+    page = F.floor((F.col("__n") - F.col("__first")) / size).alias("page")
+    return pages(rows.join(small(totals), by).select(*papers.columns, page, "total"), size)
+
+
+#: English words that a plain search leaves out.
+STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself
+it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have
+has had having do does did doing a an the and but if or because as until while of at by for with about against between into
+through during before after above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should
+now""".split()
+
+
+def plain_search(papers: DataFrame, queries: DataFrame, fields: tuple[str, ...] = ("title", "authors", "abstract")) -> DataFrame:
+    """(query_id, id) of papers that have all words of a query (query_id, query_text) but stop words; none for a query without any."""
+    words = lambda text: F.array_distinct(F.filter(T.tokens(text), lambda x: ~x.isin(STOP_WORDS)))
+    asked = queries.select("query_id", words(F.col("query_text")).alias("terms")).filter(F.size("terms") > 0)
+    asked = saved(asked.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term")), "asked")
+    wanted = small(asked.select("term").distinct())
+    found = papers.select("id", F.explode(words(F.concat_ws(" ", *fields))).alias("term")).join(wanted, "term", "left_semi")
+    hits = saved(found, "found").join(small(asked), "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("met"))
+    return hits.filter("met = n").select("query_id", "id")
 
 
 def next_id(df: DataFrame, id: str = "id") -> DataFrame:

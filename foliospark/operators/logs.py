@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
@@ -35,18 +36,59 @@ def over_iterations(calls: DataFrame, key: str, most: int = 8) -> DataFrame:
     return calls.withColumn("stop", F.row_number().over(W.partitionBy(key).orderBy("seq")) > most)
 
 
+#: Fixed value: what marks a tool's text that was cut.
+CUT = "\n…(截断)"
+
+
+def kept_turns(turns: list[tuple[str, list[str], str]], most: int, head: int = 2) -> list[int]:
+    """Places of the messages (role, ids of calls, id of the call answered) that stay as they come in one by one.
+
+    Beyond ``most`` messages the oldest group behind the first ``head`` goes: an assistant's message
+    with the tools' answers to its calls and what stands between, or a single answer.
+    """
+    kept: list[int] = []
+    for place in range(len(turns)):
+        kept.append(place)
+        while len(kept) > most:
+            at = next((k for k in range(head, len(kept)) if turns[kept[k]][0] in ("assistant", "tool")), None)
+            if at is None:
+                break
+            end = at + 1
+            if turns[kept[at]][0] == "assistant" and turns[kept[at]][1]:
+                open_ = set(turns[kept[at]][1])
+                while end < len(kept) and open_:
+                    role, _, answers = turns[kept[end]]
+                    if role == "tool":
+                        open_.discard(answers)
+                    end += 1
+            del kept[at:end]
+    return kept
+
+
 def trimmed(turns: DataFrame, most: int = 20, tool_chars: int = 2000) -> DataFrame:
-    """Conversations of at most ``most`` messages: the oldest that are neither among the
-    first two nor a user's go; tool texts are cut."""
-    order = W.partitionBy("conv_id").orderBy("turn")
-    rows = turns.withColumns({
-        "pos": F.row_number().over(order), "n": F.count("*").over(W.partitionBy("conv_id")),
-    })
-    loose = (F.col("pos") > 2) & (F.col("role") != "user")
-    place = F.sum(loose.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    gone = loose & (place <= F.col("n") - most)
-    cut = F.when(F.col("role") == "tool", F.substring("text", 1, tool_chars)).otherwise(F.col("text"))
-    return rows.withColumn("gone", gone).filter(~F.col("gone")).withColumn("text", cut).drop("pos", "n", "gone")
+    """(conv_id, turn, role, text) of conversations kept to about ``most`` messages; tools' texts are cut.
+
+    ``turns`` may have ``calls`` (ids of an assistant's calls) and ``answers`` (the id a tool answers).
+    A task holds one conversation at a time, without its texts.
+    """
+    rows = turns.withColumns({c: F.col(c) if c in turns.columns else F.lit(None).cast(k) for c, k in (("calls", "array<string>"), ("answers", "string"))})
+    struct = F.struct("turn", "role", F.coalesce("calls", F.array().cast("array<string>")).alias("calls"), F.coalesce("answers", F.lit("")).alias("answers"))
+    groups = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(struct)).alias("turns"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for conv, found in zip(frame.conv_id, frame.turns):
+                stay = kept_turns([(x["role"], list(x["calls"]), x["answers"]) for x in found], most)
+                out += [(conv, found[k]["turn"]) for k in stay]
+            yield pd.DataFrame(out, columns=["conv_id", "turn"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
+    stay = groups.mapInPandas(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}").withColumnsRenamed({"conv_id": "__conv", "turn": "__turn"})
+    long = (F.col("role") == "tool") & (F.length("text") > tool_chars)
+    cut = F.when(long, F.concat(F.substring("text", 1, tool_chars), F.lit(CUT))).otherwise(F.col("text"))
+    same = turns["conv_id"].eqNullSafe(F.col("__conv")) & turns["turn"].eqNullSafe(F.col("__turn"))
+    return turns.join(stay.hint("merge"), same, "left_semi").select("conv_id", "turn", "role", cut.alias("text"))
 
 
 def digest(turns: DataFrame) -> DataFrame:

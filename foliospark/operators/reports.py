@@ -48,7 +48,7 @@ def full_texts(sections: DataFrame, most: int = 8000) -> DataFrame:
     """(doc_id, text): section contents joined by blank lines, cut with an ellipsis."""
     from foliospark.functions.text import preview
 
-    text = joined(F.col("seq"), F.col("content"), "\n\n")
+    text = joined(F.col("seq"), F.trim("content"), "\n\n")
     rows = sections.filter(F.trim("content") != "").groupBy("doc_id").agg(text.alias("text"))
     return rows.select("doc_id", preview(F.col("text"), most).alias("text"))
 

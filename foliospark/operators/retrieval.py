@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliospark.functions import text as T
+from foliospark.sources.scratch import saved
 
 K1, B, LEAST_IDF = 1.5, 0.75, 0.25
 RRF_K, CANDIDATES, TOP, SPARSE_WEIGHT = 60, 20, 5, 0.3
@@ -22,17 +23,23 @@ def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 
 def terms(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).alias("id"), T.tokens(F.col(text)).alias("tokens"))
+    """(id, len, tokens) of documents that aren't blank, written out so that texts are read once."""
+    tokens = T.tokens(F.col(text))
+    rows = docs.filter(F.trim(F.col(text)) != "").select(F.col(id).alias("id"), tokens.alias("tokens"))
+    return saved(rows.select("id", F.size("tokens").alias("len"), "tokens"), "tokens")
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: the number of documents and their mean length."""
+    return rows.agg(F.count("*").alias("n"), (F.coalesce(F.sum("len"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
 
 def index(docs: DataFrame, id: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(postings, document stats, term stats, corpus stats) of documents that aren't blank."""
-    rows = terms(docs.filter(F.trim(F.col(text)) != ""), id, text)
-    stats = rows.select("id", F.size("tokens").alias("len"))
+    rows = terms(docs, id, text)
+    stats = rows.select("id", "len")
     postings = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    corpus = stats.agg(
-        F.count("*").alias("n"), (F.coalesce(F.sum("len"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl")
-    )
+    corpus = totals(stats)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     term_stats = df.crossJoin(F.broadcast(corpus)).select("term", "df", idf().alias("idf"))  # one row of totals
     return postings, stats, term_stats, corpus
@@ -43,16 +50,23 @@ def idf() -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id: str = "id", text: str = "text", least: float = 0.0) -> DataFrame:
-    """(query_id, id, score, len) of all documents that score above ``least``."""
-    postings, stats, term_stats, corpus = index(docs, id, text)
+    """(query_id, id, score, len) of all documents that score above ``least``.
+
+    Only the asked terms' postings are shuffled and written; their document counts come from these.
+    """
+    rows = terms(docs, id, text)
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query_text"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = saved(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
     wanted = small(asked.select("term").distinct())
-    weights = asked.join(term_stats.join(wanted, "term", "left_semi"), "term")
+    found = rows.select("id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    postings = saved(found.groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "postings")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    weights = asked.join(df.hint("merge"), "term").crossJoin(F.broadcast(totals(rows)))  # one row of totals
+    weights = saved(weights.select("query_id", "term", "times", idf().alias("idf"), "avgdl"), "weights")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
     )
-    hits = postings.join(small(weights), "term").join(stats.hint("merge"), "id").crossJoin(F.broadcast(corpus))
+    hits = postings.join(small(weights), "term")
     scored = hits.groupBy("query_id", "id", "len").agg(F.sum(part).alias("raw"))
     return scored.filter(F.col("raw") > least).select("query_id", "id", F.round("raw", 6).alias("score"), "len")
 

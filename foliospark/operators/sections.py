@@ -8,9 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Section names that open a section whatever their size.
-NAMES = ("abstract introduction related work background method methods methodology approach experiments results "
-         "discussion conclusion conclusions references acknowledgments appendix").split()
+#: Titles that open a section if the type is large enough.
+NAMES = [
+    "references", "abstract", "acknowledgements", "acknowledgments", "conclusion", "conclusions", "supplementary material",
+    "contents", "introduction", "related work", "related works", "background", "method", "methods", "methodology",
+    "experiments", "experiment", "results", "discussion", "limitations", "appendix", "appendices",
+]
+#: Fixed value: the longest title.
+LONGEST = 120
 DEPTH = 6
 
 
@@ -19,28 +24,46 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "text"))
 
 
-def is_heading(text: Column, size: Column) -> Column:
-    """Whether a line opens a section: a numbered or a known title in large enough type."""
+def heading_class(text: Column, size: Column) -> Column:
+    """``section``, ``subsection`` or ``body`` for a line.
+
+    A title is not too long, no bare number, year or line of a table of contents. A section begins
+    with ``n.`` or ``A.``, or is a known name in large enough type; a subsection begins with
+    ``n.m.`` or ``A.m.``. The rules are tried in this order, so numbers that end in a full stop open sections.
+    """
     t = F.trim(text)
-    plain = F.length(t).between(2, 120) & ~t.rlike(r"^[\d.\s]+$") & ~t.rlike(r"^(19|20)\d{2}\b") & ~t.rlike(r"\.{4,}")
-    numbered = t.rlike(r"^\d+(\.\d+)*\.?\s+\S")
-    named = F.lower(t).rlike("^(" + "|".join(NAMES) + r")\b") & (F.length(t) < 40)
-    return plain & (size >= 10.0) & (numbered | named)
+    word = F.regexp_replace(F.regexp_extract(t, r"^\S+", 0), r"\.+$", "")
+    title = (
+        (t != "") & (F.length(t) <= LONGEST) & ~t.rlike(r"^\d+(\.\d+)?\.?\s*$") & ~word.rlike(r"^(19|20)\d{2}[a-z]?$")
+        & ~((F.length(t) > 50) & t.rlike(r"\.{3,}|\bpp?\.\s*\d|\bvol\.?\s*\d|^\s*\d+\s*$"))
+    )
+    named = F.lower(t).isin(NAMES) & (size >= 10.0)
+    section = title & (t.rlike(r"^(\d+\.|[A-Z]\.)\s*\S") | named)
+    return F.when(section, "section").when(title & t.rlike(r"^(\d+\.\d+\.|[A-Z]\.\d+\.)\s*\S"), "subsection").otherwise("body")
+
+
+def is_heading(text: Column, size: Column) -> Column:
+    """Whether a line opens a section."""
+    return heading_class(text, size) == "section"
 
 
 def sections(rows: DataFrame, least_size: float = 6.5) -> DataFrame:
     """(doc_id, seq, title, content): content gathers under the last heading.
 
-    Lines before the first heading belong to ``Preamble``; sections without
-    content are dropped, as are lines in smaller type than ``least_size``.
+    Lines before the first heading belong to ``Abstract`` where the rows' column ``titled`` says
+    that the document has a title, else to ``Preamble``; sections without content are dropped, as
+    are lines of text in smaller type than ``least_size``.
     """
     order = W.partitionBy("doc_id").orderBy("line_no")
-    marked = rows.filter(F.col("size") >= least_size).withColumn("h", is_heading(F.col("text"), F.col("size")))
+    marked = rows.withColumn("h", is_heading(F.col("text"), F.col("size"))).filter(F.col("h") | (F.col("size") >= least_size))
     marked = marked.withColumn("seq", F.sum(F.col("h").cast("int")).over(order))
-    body = F.array_sort(F.collect_list(F.when(~F.col("h") & (F.trim("text") != ""), F.struct("line_no", "text"))))
+    body = F.array_sort(F.collect_list(F.when(~F.col("h") & (F.trim("text") != ""), F.struct("line_no", F.trim("text").alias("text")))))
+    before = F.when(F.max("titled"), "Abstract").otherwise("Preamble") if "titled" in rows.columns else F.lit("Preamble")
+    joined = F.array_join(F.transform(body, lambda s: s["text"]), " ")
     grouped = marked.groupBy("doc_id", "seq").agg(
-        F.coalesce(F.max(F.when(F.col("h"), F.trim("text"))), F.lit("Preamble")).alias("title"),
-        F.array_join(F.transform(body, lambda s: s["text"]), "\n").alias("content"),
+        F.coalesce(F.max(F.when(F.col("h"), F.trim("text"))), before).alias("title"),
+        # What follows a heading begins with a blank, as each line adds one before it.
+        F.when((F.col("seq") > 0) & (joined != ""), F.concat(F.lit(" "), joined)).otherwise(joined).alias("content"),
     )
     return grouped.filter("content <> ''")
 
@@ -54,16 +77,23 @@ def spans_to_lines(spans: DataFrame) -> DataFrame:
 
 
 def outline(rows: DataFrame) -> DataFrame:
-    """(doc_id, line_no, level, title, path) of the Markdown headings among the lines.
+    """(doc_id, line_no, level, title, path, content) of the Markdown headings among the lines.
 
     ``path`` names the ancestors: for each level above, the last heading before
-    this line that no shallower heading has closed.
+    this line that no shallower heading has closed. ``content`` is what stands below the heading
+    before the next one.
     """
-    found = F.regexp_extract("text", r"^(#{1,6})\s+(.*)$", 1)
-    heads = rows.withColumn("level", F.length(found)).filter("level > 0").withColumn(
-        "title", F.trim(F.regexp_extract("text", r"^(#{1,6})\s+(.*)$", 2))
-    )
-    before = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("doc_id").orderBy("line_no")
+    level = F.length(F.regexp_extract("text", r"^(#{1,6})\s+(.*)$", 1))
+    numbered = rows.withColumn("level", level).withColumn("part", F.sum((F.col("level") > 0).cast("int")).over(order))
+    head = F.col("level") > 0
+    own = F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", "text"))))
+    heads = numbered.filter("part > 0").groupBy("doc_id", "part").agg(
+        F.min(F.when(head, F.col("line_no"))).alias("line_no"), F.max("level").alias("level"),
+        F.max(F.when(head, F.trim(F.regexp_extract("text", r"^(#{1,6})\s+(.*)$", 2)))).alias("title"),
+        F.array_join(F.transform(own, lambda s: s["text"]), "\n").alias("content"),
+    )
+    before = order.rowsBetween(W.unboundedPreceding, 0)
     for l in range(1, DEPTH + 1):
         last = F.max(F.when(F.col("level") == l, F.struct("line_no", "title"))).over(before)
         heads = heads.withColumn(f"a{l}", last)
@@ -73,7 +103,7 @@ def outline(rows: DataFrame) -> DataFrame:
         open_ = a.isNotNull() & (F.col("level") >= l) & (a["line_no"] > floor)
         path.append(F.when(open_, a["title"]))
         floor = F.when(a.isNotNull(), F.greatest(floor, a["line_no"])).otherwise(floor)
-    return heads.select("doc_id", "line_no", "level", "title", F.concat_ws(" > ", *path).alias("path"))
+    return heads.select("doc_id", "line_no", "level", "title", F.concat_ws(" > ", *path).alias("path"), "content")
 
 
 def markdown_tables(rows: DataFrame) -> DataFrame:

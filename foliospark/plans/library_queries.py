@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import library as L
+from foliospark.operators.retrieval import small
 from foliospark.plans.register import query
 
 Match = L.Match
@@ -74,9 +75,12 @@ def _(t):
     return t("papers").join(hits, "id", "left_semi").select("id", "ingest_status")
 
 
-@query("f5_plain_text_query", f"""with {TOKENS} select id from pt where {has('erson')} or ({has('ether')} and {has('on')})""")
+@query("f5_plain_text_query", f"""with q as (select item_id as query_id, unnest(list_distinct(list_filter({tok("substr(text, 1, 60)")}, lambda x: x not in ({', '.join(f"'{w}'" for w in L.STOP_WORDS)})))) as term from benchmark),
+    n as (select query_id, count(*) as n from q group by query_id),
+    p as (select distinct id, unnest({tok("concat_ws(' ', title, authors, abstract)")}) as term from papers)
+    select query_id, id from q join p using (term) join n using (query_id) group by query_id, id, n having count(*) = n""")
 def _(t):
-    return L.full_text(t("papers"), Match.term("erson") | (Match.term("ether") & Match.term("on"))).select("id")
+    return L.plain_search(t("papers"), t("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query_text")))
 
 
 @query("f6_point_lookup", "select p.id, p.title from papers p join labels l on l.doc_id = p.id and p.owner_id = 'u0'")
@@ -239,12 +243,12 @@ def _(t):
     return rows.withColumn("failed", F.col("download_failed") + F.col("parse_failed"))  # A11
 
 
-@query("a15_stage_summary", """select ingest_status, count(*) as n, md5(string_agg(arxiv_id, ',' order by arxiv_id)) as ids from papers group by ingest_status""")
+@query("a15_stage_summary", "select ingest_status, arxiv_id, count(*) over (partition by ingest_status) as n from papers")
 def _(t):
-    # The status lists are what is asked for; a digest of each is shown here.
-    return t("papers").groupBy("ingest_status").agg(
-        F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("arxiv_id")), ",")).alias("ids")
-    )
+    """The id lists as rows, each beside its stage's count; no task gathers a stage."""
+    papers = t("papers").select("ingest_status", "arxiv_id")
+    counts = papers.groupBy("ingest_status").agg(F.count("*").alias("n"))
+    return papers.join(small(counts), "ingest_status").select("ingest_status", "arxiv_id", "n")
 
 
 @query("l1_newest", "select id, (select count(*) from papers where owner_id = 'u1') as total from papers where owner_id = 'u1' order by created_at desc, id desc limit 20 offset 20")
@@ -264,9 +268,8 @@ def _(t):
 
 @query("l4_page_numbers", "select id, (row_number() over (partition by owner_id order by created_at desc, id desc) - 1) // 20 as page, ceil(count(*) over (partition by owner_id) / 20.0)::bigint as pages from papers")
 def _(t):
-    w = W.partitionBy("owner_id")
-    rows = t("papers").select("id", F.floor((F.row_number().over(w.orderBy(F.desc("created_at"), F.desc("id"))) - 1) / 20).alias("page"), F.count("*").over(w).alias("total"))
-    return L.pages(rows, 20).select("id", "page", "pages")
+    rows = L.paged(t("papers").select("id", "owner_id", "created_at"), "owner_id", [F.desc("created_at"), F.desc("id")])
+    return rows.select("id", "page", "pages")
 
 
 @query("l5_clamped_limit", "select id from papers order by created_at desc, id desc limit 500")

@@ -79,11 +79,12 @@ def _(t):
     return answers.groupBy("conv_id").agg(joined(F.col("turn"), F.col("text"), "").alias("answer"))
 
 
-@query("t32_rate_limits", "select event_id, cast(floor(value) as int) + 1 as n, case user_id % 3 when 0 then 60 when 1 then 3600 else 1 end as seconds from events where value is not null")
+@query("t32_rate_limits", """select event_id, case when event_id % 5 = 0 then 30 else cast(floor(value) as int) + 1 end as n,
+    case user_id % 6 when 1 then 3600 when 2 then 1 when 3 then 86400 else 60 end as seconds from events where value is not null""")
 def _(t):
-    unit = F.when(F.col("user_id") % 3 == 0, "minute").when(F.col("user_id") % 3 == 1, "hour").otherwise("second")
-    text = F.concat((F.floor("value") + 1).cast("string"), F.lit("/"), unit)
-    n, seconds = T.rate_limit(text)
+    unit = F.element_at(F.array(*map(F.lit, ["minute", "Hours", "seconds", "day", "week", "s"])), (F.col("user_id") % 6).cast("int") + 1)
+    number = F.when(F.col("event_id") % 5 == 0, "x").otherwise((F.floor("value") + 1).cast("string"))
+    n, seconds = T.rate_limit(F.concat(number, F.lit("/"), unit))
     return t("events").filter("value is not null").select("event_id", n.alias("n"), seconds.alias("seconds"))
 
 
@@ -95,10 +96,12 @@ def _(t):
     return t("events").select("event_id", T.client_key(forwarded, real, F.lit("")).alias("client"))
 
 
-@query("t36_error_class", "select event_id, not (event_type = 'error' and event_id % 2 = 0) as retryable from events")
+@query("t36_error_class", "select event_id, event_id % 4 not in (1, 3) and user_id % 7 not in (1, 2, 5) as retryable from events")
 def _(t):
-    message = F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "Permission denied").otherwise("timeout")
-    return t("events").select("event_id", T.retryable(F.col("event_type"), message).alias("retryable"))
+    kinds = ["TimeoutError", "ValueError", "ConnectionError", "builtins.KeyError"]
+    said = ["timed out", "Paper Not Found", "HTTP 404", "author list timed out", "permission denied", "文件不存在", "401"]
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names)).cast("int") + 1)
+    return t("events").select("event_id", T.retryable(pick(kinds, F.col("event_id")), F.concat("event_type", F.lit(": "), pick(said, F.col("user_id")))).alias("retryable"))
 
 
 @query("t37_call_signatures", """select event_id, substr(md5(concat(event_type, '{"k":"', json_extract_string(props, '$.k'), '","u":"', cast(user_id as varchar), '"}')), 1, 12) as sig from events""")

@@ -82,13 +82,15 @@ def _(t):
 
 
 @query("r2_bigram_tokens", r"""
-with made as (select doc_id, lower(concat(substr('深度学习方法研究', 1, 1 + cast(doc_id % 8 as int)), ' ', lang)) as s from documents),
+with made as (select doc_id, lower(concat(text, ' ', case when doc_id % 2 = 0 then repeat('深度学习方法研究', cast(length(text) // (50 + doc_id % 9) as int)) else '' end, ' ', lang)) as s from documents),
 toks as (select doc_id, list_filter(regexp_extract_all(s, '""" + TOKEN + r"""'), lambda x: length(x) > 1 or regexp_matches(x, '^[\p{L}\p{N}]$')) as toks from made)
-select doc_id, array_to_string(flatten(list_transform(toks, lambda x: case when regexp_matches(x, '^[\x{4e00}-\x{9fff}]{2,}$')
-    then list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) else [x] end)), ' ') as tokens from toks""")
+select doc_id, md5(array_to_string(flatten(list_transform(toks, lambda x: case when regexp_matches(x, '^[\x{4e00}-\x{9fff}]{2,}$')
+    then list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) else [x] end)), ' ')) as tokens_md5 from toks""")
 def _(t):
-    made = F.concat(F.substring(F.lit("深度学习方法研究"), F.lit(1), 1 + (F.col("doc_id") % 8).cast("int")), F.lit(" "), "lang")
-    return t("documents").select("doc_id", F.array_join(T.bigram_tokens(made), " ").alias("tokens"))
+    n = F.floor(F.length("text") / (50 + F.col("doc_id") % 9)).cast("int")
+    cjk = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("深度学习方法研究"), n)).otherwise("")
+    made = F.concat("text", F.lit(" "), cjk, F.lit(" "), "lang")
+    return t("documents").select("doc_id", F.md5(F.array_join(T.bigram_tokens(made), " ")).alias("tokens_md5"))
 
 
 @query("r3_term_stats", f"with {INDEX} select term, df, round(idf, 6) as idf from term_stats")
@@ -312,7 +314,8 @@ def _(t):
     return docs.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(stored, "key", "left_anti")
 
 
-@query("t29_content_keys", "select doc_id, sha256(concat('p|', text)) as embed_key, substr(sha256(concat('ctx|', source, '|', lang)), 1, 16) as context_hash from documents")
+@query("t29_content_keys", "select doc_id, sha256(concat('p|', text)) as embed_key, substr(sha256(concat('ctx|', source, '|', lang)), 1, 16) as context_hash, sha256(concat('answer|', lang, '|', substr(text, 1, 50), '|', substr(sha256(concat('ctx|', source, '|', lang)), 1, 16))) as answer_key from documents")
 def _(t):
+    context = F.substring(T.content_key(F.lit("ctx"), F.col("source"), F.col("lang")), 1, 16)
     return t("documents").select("doc_id", T.content_key(F.lit("p"), F.col("text")).alias("embed_key"),
-                                 F.substring(T.content_key(F.lit("ctx"), F.col("source"), F.col("lang")), 1, 16).alias("context_hash"))
+                                 context.alias("context_hash"), T.answer_key(F.lit("answer"), F.col("lang"), F.substring("text", 1, 50), context).alias("answer_key"))

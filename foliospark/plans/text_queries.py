@@ -44,17 +44,31 @@ def _(t):
 
 @query("t4_structured_chunks")
 def _(t):
-    out = C.structured(S.sections(sized(t)))
-    return out.select("doc_id", "chunk_no", "title", F.md5("text").alias("text_md5"))
+    """Sections of all documents, and a table of each page, which stands for the document of its number."""
+    source = t("documents").select("doc_id", "source")
+    sections = S.sections(sized(t)).withColumn("page", (F.col("seq") % 3).cast("int")).join(source.distinct().hint("merge"), "doc_id")
+    tables = t("pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("start"), F.concat(F.lit("| url |\n|---|\n| "), "url", F.lit(" |")).alias("markdown"), F.lit("Pages").alias("caption"))
+    return C.structured(sections, tables).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-@query("t5_breadcrumb", "select id, concat('[上下文: 论文: ', concat_ws(' > ', nullif(trim(title), ''), source), ' (第', cast(id % 9 as varchar), '页)]', chr(10), 'x') as text from papers")
+@query("t5_breadcrumb", """select id, concat('[上下文: ', concat_ws(' > ', case when title <> '' then concat('论文: ', title) end, case when id % 2 = 0 then '2. Method' end, source),
+    case when id % 9 > 0 then concat(' (第', cast(id % 9 as varchar), '页)') else '' end, ']', chr(10), chr(10), 'x') as text from papers""")
 def _(t):
-    rows = t("papers").select("id", "title", F.col("source").alias("path"), (F.col("id") % 9).alias("page"), F.lit("x").alias("text"))
+    section = F.when(F.col("id") % 2 == 0, "2. Method").otherwise("")
+    rows = t("papers").select("id", F.col("source").alias("heading_path"), F.col("title").alias("source"), section.alias("section_title"),
+                              (F.col("id") % 9).alias("page"), F.lit("x").alias("text"))
     return C.with_breadcrumb(rows).select("id", "text")
 
 
-ENTRIES = """entries as (select doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(refs, '\\n(\\[\\d+\\]|\\d+\\.\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 20)) as entry from references_text)"""
+#: Reference lists, and the documents' own texts as lists without order.
+LISTS = "lists as (select doc_id, refs from references_text union all select doc_id + 1000000000 as doc_id, text as refs from documents)"
+ENTRIES = LISTS + """, cuts as (select doc_id, refs, string_split(regexp_replace(refs, '\\n(\\s*\\[\\d+\\]|\\s*\\d+\\.\\s)', chr(1) || '\\1', 'g'), chr(1)) as parts from lists),
+    raw as (select doc_id, unnest(case when len(parts) > 1 then parts else string_split(refs, chr(10) || chr(10)) end) as x from cuts),
+    entries as (select doc_id, regexp_replace(x, '^\\s+|\\s+$', '', 'g') as entry from raw where length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) > 20)"""
+
+
+def lists(t: Tables):
+    return t("references_text").select("doc_id", "refs").unionByName(t("documents").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.col("text").alias("refs")))
 
 
 @query("t6_reference_sections", "select doc_id, md5(refs) as refs_md5 from references_text")
@@ -66,12 +80,14 @@ def _(t):
 
 @query("t7_reference_entries", f"with {ENTRIES} select doc_id, entry from entries")
 def _(t):
-    return X.entries(t("references_text")).select("doc_id", "entry")
+    return X.entries(lists(t)).select("doc_id", "entry")
 
 
-@query("t8_arxiv_ids", f"with {ENTRIES} select doc_id, regexp_extract(entry, '\\d{{4}}\\.\\d{{4,5}}v\\d+', 0) as arxiv_id from entries")
+@query("t8_arxiv_ids", f"""with {ENTRIES}, made as (select doc_id, concat(entry, ' arXiv # 1706.03762V7 x2301.00001, http://ARXIV.org/pdf/1502.03167') as e from entries)
+    select distinct doc_id, unnest(regexp_extract_all(e, '\\d{{4}}\\.\\d{{4,5}}(?:[vV]\\d+)?')) as arxiv_id from made""")
 def _(t):
-    return X.entries(t("references_text")).select("doc_id", F.explode(T.arxiv_ids(F.col("entry"))).alias("arxiv_id"))
+    made = F.concat("entry", F.lit(" arXiv # 1706.03762V7 x2301.00001, http://ARXIV.org/pdf/1502.03167"))
+    return X.entries(lists(t)).select("doc_id", F.explode(T.arxiv_ids(made)).alias("arxiv_id")).distinct()
 
 
 @query("m7_id_union", "select doc_id, count(distinct cited) as n_ids from (select citing as doc_id, cited from citations) group by doc_id")
@@ -79,13 +95,18 @@ def _(t):
     return t("references_text").select("doc_id", F.size(T.arxiv_ids(F.col("refs"))).cast("long").alias("n_ids"))
 
 
-@query("t9_entry_titles", f"with {ENTRIES} select doc_id, entry, substr(trim(regexp_extract(entry, '\\(\\d{{4}}\\)\\.\\s*([^.]+)\\.', 1)), 1, 200) as title from entries")
+FIRST = "regexp_replace(string_split_regex(regexp_replace(entry, '^\\[?\\d+\\]?\\.?\\s*', ''), '[.。!！?？]\\s+')[1], '^\\s+|\\s+$', '', 'g')"
+
+
+@query("t9_entry_titles", f"""with {ENTRIES}, firsts as (select doc_id, entry, {FIRST} as f from entries),
+    found as (select *, regexp_extract(f, '(?:\\)\\.|,?\\s*\\d{{4}}[a-z]?\\.?)\\s*([^\\n]+)', 1) as after from firsts)
+    select doc_id, md5(entry) as entry_md5, substr(case when after <> '' then regexp_replace(after, '^\\s+|\\s+$', '', 'g') else f end, 1, 200) as title from found""")
 def _(t):
-    return X.entries(t("references_text")).select("doc_id", "entry", T.entry_title(F.col("entry")).alias("title"))
+    return X.entries(lists(t)).select("doc_id", F.md5("entry").alias("entry_md5"), T.entry_title(F.col("entry")).alias("title"))
 
 
 @query("t10_citation_edges", """select concat('2401.', lpad(cast(citing as varchar), 5, '0')) as citing, concat('2401.', lpad(cast(cited as varchar), 5, '0')) as cited,
-    concat('A study of topic number ', cast(cited as varchar)) as cited_title from citations""")
+    'Author, A' as cited_title from citations""")
 def _(t):
     own = t("documents").select("doc_id", F.concat(F.lit("2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("arxiv_id"))
     return X.edges(t("references_text"), own.distinct()).select("citing", "cited", "cited_title")
@@ -101,22 +122,40 @@ def _(t):
     return t("documents").select("doc_id", T.language(made).alias("lang_tag"), T.cjk_ratio(made).alias("ratio"))
 
 
-@query("t12_document_language", f"with {SIZED} select doc_id, 'en' as lang_tag from sized where size >= 6.5 group by doc_id having count_if(trim(text) <> '' and line_no % 4 <> 1) > 0")
+#: The rules of headings over trimmed lines t of a size.
+IS_HEAD = """(t <> '' and length(t) <= 120 and not regexp_matches(t, '^\\d+(\\.\\d+)?\\.?\\s*$')
+    and not regexp_matches(regexp_replace(regexp_extract(t, '^\\S+'), '\\.+$', ''), '^(19|20)\\d{2}[a-z]?$')
+    and not (length(t) > 50 and regexp_matches(t, '\\.{3,}|\\bpp?\\.\\s*\\d|\\bvol\\.?\\s*\\d|^\\s*\\d+\\s*$'))
+    and (regexp_matches(t, '^(\\d+\\.|[A-Z]\\.)\\s*\\S') or (size >= 10 and lower(t) in ('results', 'related work', 'abstract'))))"""
+
+
+def sections_sql(text: str = "text") -> str:
+    """``secs`` (doc_id, seq, title, content) by SQL, from the sized lines."""
+    return f"""{SIZED}, heads as (select doc_id, line_no, size, trim({text}) as t from sized), classed as (select *, {IS_HEAD} as h from heads),
+    numbered as (select *, sum(cast(h as int)) over (partition by doc_id order by line_no) as seq from classed where h or size >= 6.5),
+    secs as (select doc_id, cast(seq as bigint) as seq, coalesce(max(case when h then t end), 'Preamble') as title,
+        concat(case when seq > 0 then ' ' else '' end, string_agg(t, ' ' order by line_no) filter (not h and t <> '')) as content
+    from numbered group by doc_id, seq having count(*) filter (not h and t <> '') > 0)"""
+
+
+@query("t12_document_language", f"""with {sections_sql("concat(text, case when doc_id % 3 = 0 and line_no % 4 <> 1 then repeat('学', cast(length(text) // 5 as int)) else '' end)")},
+    texts as (select doc_id, string_agg(content, ' ' order by seq) as s from secs group by doc_id)
+    select doc_id, case when length(s) > 0 and len(regexp_extract_all(s, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}\\x{{f900}}-\\x{{faff}}]')) / length(s) > 0.10 then 'zh' else 'en' end as lang_tag from texts""")
 def _(t):
-    text = P.joined(F.col("seq"), F.concat("title", F.lit(" "), "content"), " ")
-    return S.sections(sized(t)).groupBy("doc_id").agg(text.alias("text")).select("doc_id", T.language(F.col("text")).alias("lang_tag"))
+    more = F.when((F.col("doc_id") % 3 == 0) & (F.col("line_no") % 4 != 1), F.repeat(F.lit("学"), F.floor(F.length("text") / 5).cast("int"))).otherwise("")
+    rows = S.sections(sized(t).withColumn("text", F.concat("text", more)))
+    return rows.groupBy("doc_id").agg(P.joined(F.col("seq"), F.col("content"), " ").alias("text")).select("doc_id", T.language(F.col("text")).alias("lang_tag"))
 
 
-@query("t13_headings", f"""with {SIZED} select doc_id, line_no from sized where line_no % 4 = 1""")
+@query("t13_headings", f"""with {SIZED}, heads as (select doc_id, line_no, size, trim(case when line_no % 16 = 6 then 'Related Work' when line_no % 16 = 7 then 'A.2. More' else text end) as t from sized)
+    select doc_id, line_no, case when {IS_HEAD} then 'section' else 'body' end as class from heads""")
 def _(t):
-    return sized(t).filter(S.is_heading(F.col("text"), F.col("size"))).select("doc_id", "line_no")
+    n = F.col("line_no")
+    text = F.when(n % 16 == 6, "Related Work").when(n % 16 == 7, "A.2. More").otherwise(F.col("text"))
+    return sized(t).select("doc_id", "line_no", S.heading_class(text, F.col("size")).alias("class"))
 
 
-@query("t14_sections", f"""with {SIZED}, kept as (select *, case when line_no % 4 = 1 then 1 else 0 end as h from sized where size >= 6.5),
-    numbered as (select *, sum(h) over (partition by doc_id order by line_no) as seq from kept)
-    select doc_id, cast(seq as bigint) as seq, coalesce(max(case when h = 1 then trim(text) end), 'Preamble') as title,
-        md5(string_agg(text, chr(10) order by line_no) filter (h = 0 and trim(text) <> '')) as content_md5
-    from numbered group by doc_id, seq having count(*) filter (h = 0 and trim(text) <> '') > 0""")
+@query("t14_sections", f"with {sections_sql()} select doc_id, seq, title, md5(content) as content_md5 from secs")
 def _(t):
     return S.sections(sized(t)).select("doc_id", "seq", "title", F.md5("content").alias("content_md5"))
 
@@ -132,10 +171,13 @@ def _(t):
         from marked where regexp_matches(text, '^#{{1,6}}\\s')),
     anc as (select h.doc_id, h.line_no, a.line_no as aline, a.level as alevel, a.title as atitle, h.level
         from heads h join heads a on a.doc_id = h.doc_id and a.line_no <= h.line_no and (a.level < h.level or a.line_no = h.line_no)
-        where not exists (select 1 from heads x where x.doc_id = h.doc_id and x.line_no > a.line_no and x.line_no <= h.line_no and x.level <= a.level))
-    select doc_id, line_no, max(level) as level, max(case when aline = line_no then atitle end) as title, string_agg(atitle, ' > ' order by alevel) as path from anc group by doc_id, line_no""")
+        where not exists (select 1 from heads x where x.doc_id = h.doc_id and x.line_no > a.line_no and x.line_no <= h.line_no and x.level <= a.level)),
+    parts as (select doc_id, line_no, text, max(case when regexp_matches(text, '^#{{1,6}}\\s') then line_no end) over (partition by doc_id order by line_no) as hline from marked),
+    own as (select doc_id, hline as line_no, string_agg(text, chr(10) order by line_no) filter (line_no > hline) as content from parts where hline is not null group by doc_id, hline),
+    named as (select doc_id, line_no, max(level) as level, max(case when aline = line_no then atitle end) as title, string_agg(atitle, ' > ' order by alevel) as path from anc group by doc_id, line_no)
+    select named.*, md5(coalesce(content, '')) as content_md5 from named join own using (doc_id, line_no)""")
 def _(t):
-    return S.outline(marked(t))
+    return S.outline(marked(t)).withColumn("content_md5", F.md5("content")).drop("content")
 
 
 PIPED = LINES + """, piped as (select doc_id, line_no, case line_no % 5 when 1 then '| a | b |' when 2 then '|---|---|' when 3 then concat('| ', cast(doc_id as varchar), ' | ', cast(line_no as varchar), ' |') else text end as text from lines)"""
@@ -176,10 +218,8 @@ def _(t):
     return t("papers").select("id", F.substring(F.coalesce(F.nullif(meta, F.lit("")), section), 1, 3000).alias("abstract"))
 
 
-FULL = f"""{SIZED}, kept as (select *, case when line_no % 4 = 1 then 1 else 0 end as h from sized where size >= 6.5),
-    numbered as (select *, sum(h) over (partition by doc_id order by line_no) as seq from kept),
-    secs as (select doc_id, seq, string_agg(text, chr(10) order by line_no) filter (h = 0 and trim(text) <> '') as content from numbered group by doc_id, seq),
-    full_texts as (select doc_id, string_agg(content, chr(10) || chr(10) order by seq) as t from secs where trim(content) <> '' group by doc_id),
+FULL = sections_sql() + """,
+    full_texts as (select doc_id, string_agg(trim(content), chr(10) || chr(10) order by seq) as t from secs where trim(content) <> '' group by doc_id),
     cut as (select doc_id, case when length(t) > 8000 then concat(substr(t, 1, 8000), '…') else t end as t from full_texts)"""
 
 

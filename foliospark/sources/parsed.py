@@ -15,7 +15,7 @@ ENTRY = ("id string, title string, summary string, published string, author arra
 TEI = ("teiHeader struct<fileDesc:struct<titleStmt:struct<title:string>>,profileDesc:struct<abstract:struct<p:array<string>>>>, "
        "text struct<body:struct<div:array<struct<head:string,p:array<string>>>>>")
 #: Names of TEI sections that aren't body text.
-NOT_BODY = ["references", "bibliography", "acknowledgements", "acknowledgments", "funding"]
+NOT_BODY = ["references", "bibliography", "acknowledgements", "acknowledgments", "appendix", "appendices", "supplementary material"]
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +30,7 @@ def flat_sections(parsed: DataFrame, id: str = "paper_id") -> DataFrame:
     sub = F.coalesce("s.subsections", F.array().cast(f"array<{_SUB}>"))
     all_ = F.concat(F.array(F.struct(F.col("s.title"), F.col("s.page"), F.col("s.content"))), sub)
     rows = top.select("doc_id", "i", F.posexplode(all_).alias("j", "x"))
-    return rows.select("doc_id", (F.col("i") * 1000 + F.col("j")).alias("seq"), F.coalesce("x.title", F.lit("Untitled")).alias("title"), "x.page", "x.content")
+    return rows.select("doc_id", (F.col("i").cast("long") * (1 << 32) + F.col("j")).alias("seq"), F.coalesce("x.title", F.lit("Untitled")).alias("title"), "x.page", "x.content")
 
 
 def read_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

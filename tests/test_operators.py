@@ -25,12 +25,12 @@ def test_language(spark):
 
 
 def test_arxiv_ids(spark):
-    text = "see arXiv:2401.00001v2, https://arxiv.org/abs/2305.12345 and 1999.1"
-    assert one(spark, T.arxiv_ids(F.col("t")), t=text) == ["2305.12345", "2401.00001v2"]
+    text = "see arXiv:2401.00001v2, https://arxiv.org/abs/2305.12345, arXiv #1706.03762, x2301.00002y and 1999.1"
+    assert one(spark, T.arxiv_ids(F.col("t")), t=text) == ["1706.03762", "2301.00002", "2305.12345", "2401.00001v2"]
 
 
 def test_rate_limits(spark):
-    for text, want in [("10/second", (10, 1)), ("5/m", (5, 60)), ("x/m", (30, 60)), ("7", (30, 60)), ("", (30, 60))]:
+    for text, want in [("10/second", (10, 1)), ("100/hours", (100, 3600)), ("x/hour", (30, 3600)), ("5/week", (5, 60)), ("10/s", (10, 60)), ("7", (30, 60)), ("", (30, 60))]:
         n, s = T.rate_limit(F.col("t"))
         assert tuple(spark.createDataFrame([(text,)], "t string").select(n, s).first()) == want
 
@@ -70,7 +70,66 @@ def test_blocks_stay_whole():
     code = "```\n" + "a = 1\n" * 30 + "```"
     text = "Before. " * 20 + code + " after $x^2$ and `code`." + " End." * 30
     out = C.split_text(text, 120, 20)
-    assert any(code in c for c in out) and "\x00" not in "".join(out)
+    assert any(code in c for c in out) and C.MARK not in "".join(out)
+
+
+def test_blocks_survive_every_cut():
+    """A block at each place around the cuts of text without separators, and marks of the text's own."""
+    for at in range(80, 121):
+        text = "x" * at + "`SECRET`" + C.MARK + "y" * 250 + "$$a `b` c$$"
+        out = C.split_text(text, 100, 20)
+        whole = "".join(out)
+        assert "`SECRET`" in whole and C.MARK in whole and "$$a `b` c$$" in whole
+        assert set(whole) == set(text) and whole.count("x") >= at and whole.count("y") >= 250
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = ("word " * 30 + "`code` and $x$. ") * 25_000  # about 4 MB, 50,000 blocks
+    began = time.process_time()
+    out = C.split_text(text)
+    assert sum(c.count("`code`") for c in out) >= 25_000 and time.process_time() - began < 20
+
+
+def test_structured_chunks_say_where_they_stand(spark):
+    sections = spark.createDataFrame([(1, 0, "Method", "Some text.", 3, "Method > Encoder", "Attention"), (1, 1, "End", " ", 0, "End", "Attention")],
+                                     "doc_id long, seq long, title string, content string, page int, heading_path string, source string")
+    tables = spark.createDataFrame([(1, 0, "| a |\n|---|", "Caption", 2, "Results", "Attention"), (2, 0, " ", "", 0, "", "")],
+                                   "doc_id long, start int, markdown string, caption string, page int, section_title string, source string")
+    got = C.structured(sections, tables).orderBy("doc_id", "chunk_no").collect()
+    assert [(r.chunk_no, r.title, r.page, r.section_title, r.heading_path) for r in got] == [(0, "表格", 2, "Results", "Results > 表格"), (1, "Method", 3, "Method", "Method > Encoder")]
+    assert got[0].text == "[上下文: 论文: Attention > Results > Results > 表格 (第2页)]\n\nCaption\n| a |\n|---|"
+    assert got[1].text == "[上下文: 论文: Attention > Method > Method > Encoder (第3页)]\n\nSome text."
+
+
+def test_many_subsections_keep_their_order(spark):
+    from foliospark.sources import parsed
+
+    sub = spark.range(1500).selectExpr("collect_list(named_struct('title', cast(id as string), 'page', 1, 'content', 'c')) as s")
+    doc = sub.selectExpr("'p' as paper_id", "array(named_struct('title', 'A', 'page', 1, 'content', 'c', 'subsections', s), named_struct('title', 'B', 'page', 1, 'content', 'c', 'subsections', slice(s, 1, 0))) as sections")
+    rows = parsed.flat_sections(doc).orderBy("seq").collect()
+    assert [r.title for r in rows] == ["A", *map(str, range(1500)), "B"] and len({r.seq for r in rows}) == 1502
+
+
+def test_reference_entries(spark):
+    refs = "[1] The first of the entries here\n  [2] The second of the entries\n3. The third one of the entries\n[4] short"
+    assert one(spark, T.reference_entries(F.col("t")), t=refs) == ["[1] The first of the entries here", "[2] The second of the entries", "3. The third one of the entries"]
+    plain = "An entry without any number\n\nAnother entry without one\n\nx"
+    assert one(spark, T.reference_entries(F.col("t")), t=plain) == ["An entry without any number", "Another entry without one"]
+
+
+def test_entry_titles(spark):
+    cases = [("[1] Smith, J. (2023). Deep nets.", "Smith, J"), ("2. Deep learning for all 2020. A title", "Deep learning for all 2020"),
+             ("[3] Jones 2021, Graph networks revisited. Journal", ", Graph networks revisited"), ("题目一 2019 深度学习。 作者", "深度学习")]
+    for entry, want in cases:
+        assert one(spark, T.entry_title(F.col("t")), t=entry) == want
+
+
+def test_errors_that_are_final(spark):
+    cases = [("TimeoutError", "author list timed out", True), ("ValueError", "x", False), ("OSError", "Paper NOT FOUND", False), ("E", "文件不存在", False), ("PermissionError", "denied", True)]
+    rows = spark.createDataFrame(cases, "kind string, message string, want boolean")
+    assert rows.filter(T.retryable(F.col("kind"), F.col("message")) != F.col("want")).count() == 0
 
 
 def test_citation_edges(spark):
@@ -78,19 +137,28 @@ def test_citation_edges(spark):
     rows = spark.createDataFrame([(1, refs)], "doc_id long, refs string")
     own = spark.createDataFrame([(1, "2401.00001v1")], "doc_id long, arxiv_id string")
     got = X.edges(rows, own).collect()
-    assert [(r.citing, r.cited, r.cited_title) for r in got] == [("2401.00001v1", "2401.00002", "A long enough title here")]
+    assert [(r.citing, r.cited, r.cited_title) for r in got] == [("2401.00001v1", "2401.00002", "Author, A")]
 
 
 def test_headings(spark):
-    cases = [("Abstract", 10.0, True), ("Abstract", 9.5, False), ("2023", 14.0, False), ("3.2 Results", 11.0, True), ("plain words", 12.0, False)]
+    cases = [("Abstract", 10.0, True), ("Abstract", 9.5, False), ("2023", 14.0, False), ("3. Results", 8.0, True), ("A. Proofs", 8.0, True), ("3.2 Results", 9.0, True),
+             ("4.", 12.0, False), ("2019. A year", 12.0, False), ("work in type", 12.0, False), ("Related Work", 10.0, True), ("plain words", 12.0, False)]
     rows = spark.createDataFrame(cases, "text string, size double, want boolean")
     assert rows.filter(S.is_heading(F.col("text"), F.col("size")) != F.col("want")).count() == 0
 
 
+def test_sections_before_the_first_heading(spark):
+    lines = [("Some words", 9.0), ("tiny", 5.0), ("1. Method", 6.0), ("a b", 9.0), (" ", 9.0), ("c", 9.0), ("2. Empty", 12.0)]
+    rows = spark.createDataFrame([(d, k, t, s, d == 1) for d in (1, 2) for k, (t, s) in enumerate(lines)], "doc_id long, line_no int, text string, size double, titled boolean")
+    got = sorted((r.doc_id, r.title, r.content) for r in S.sections(rows).collect())
+    assert got == [(1, "1. Method", " a b c"), (1, "Abstract", "Some words"), (2, "1. Method", " a b c"), (2, "Preamble", "Some words")]
+
+
 def test_outline(spark):
     lines = ["# A", "x", "## B", "#### C", "## D", "# E", "### F"]
     rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "doc_id long, line_no int, text string")
-    assert [r.path for r in S.outline(rows).orderBy("line_no").collect()] == ["A", "A > B", "A > B > C", "A > D", "E", "E > F"]
+    got = S.outline(rows).orderBy("line_no").collect()
+    assert [r.path for r in got] == ["A", "A > B", "A > B > C", "A > D", "E", "E > F"] and [r.content for r in got] == ["x", "", "", "", "", ""]
 
 
 def test_upsert_twice_is_once(spark):
@@ -127,7 +195,14 @@ def test_trimmed_keeps_first_and_users(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "u")] + [(1, k, "tool", "x" * 3000) for k in range(2, 32)]
     rows = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
     out = G.trimmed(rows).orderBy("turn").collect()
-    assert len(out) == 20 and [r.role for r in out[:2]] == ["system", "user"] and len(out[5].text) == 2000
+    assert len(out) == 20 and [r.role for r in out[:2]] == ["system", "user"] and out[5].text == "x" * 2000 + G.CUT
+
+
+def test_trimmed_takes_calls_with_their_answers(spark):
+    group = lambda k: [(k, "assistant", [f"a{k}", f"b{k}"], None), (k + 1, "tool", None, f"a{k}"), (k + 2, "tool", None, f"b{k}")]
+    turns = [(0, "system", None, None), (1, "user", None, None), *(x for k in range(2, 23, 3) for x in group(k)), (23, "user", None, None)]
+    rows = spark.createDataFrame([(1, t, r, "x", c, a) for t, r, c, a in turns], "conv_id long, turn int, role string, text string, calls array<string>, answers string")
+    assert [r.turn for r in G.trimmed(rows).orderBy("turn").collect()] == [0, 1, *range(8, 24)]
 
 
 def events(spark):
