@@ -7,17 +7,19 @@ weights below it), and the smallest draw wins. A child's draw changes only with
 its own weight, so a change of weights moves rows into or out of the subtrees
 whose weights change and nowhere else.
 
-The law that holds is ``key``: doc_id and the number of shards decide. Growth
-by one shard opens a new region where the last one is full (as 24 to 25 does
-with the default shape), and then takes rows only into the new shard. Where the
-new shard joins a region that is part full, rows also move within that region.
+The law that holds is ``key``: doc_id and the number of shards decide, in a tree whose
+shape the ``base`` shards, which a cluster began with, have fixed. They fill regions in
+order; each shard that is added later opens a region of its own, so that growth by one
+shard, at any number, takes rows only into the new shard. (A shard that joined a region
+would draw rows to that region, and there to its old shards too.)
 
 Slots number a shard's rows from 0 without gaps. They are counted in parts by a
 hash of doc_id, and the parts' sizes summed up, so that no task holds a shard.
 
 Defined cases: a null doc_id is hashed as a null (such rows meet in one shard);
 a null text has the size 8 and the checksum of the empty text; repeated rows go
-to the same shard and get a slot each; an empty table gives an empty result;
+to the same shard and get a slot each; of equal draws the child of the smaller number
+wins; texts of any length are measured whole; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -30,17 +32,18 @@ from foliospark.llm.common import tasks
 RACKS, SHARDS = 2, 4  # racks of a region, shards of a rack
 
 
-def tree(n: int, racks: int = RACKS, shards: int = SHARDS, weights: list[float] | None = None):
-    """Regions of racks of (shard, weight), filled in order."""
+def tree(n: int, racks: int = RACKS, shards: int = SHARDS, weights: list[float] | None = None, base: int | None = None):
+    """Regions of racks of (shard, weight): the first ``base`` shards (all, if not given) fill
+    regions in order, the others have one each."""
     weights = weights or [1.0] * n
-    per = racks * shards
+    per, first = racks * shards, n if base is None else min(base, n)
     return [
         [
-            [(s, float(weights[s])) for s in range(k, min(k + shards, n, r + per))]
-            for k in range(r, min(r + per, n), shards)
+            [(s, float(weights[s])) for s in range(k, min(k + shards, first, r + per))]
+            for k in range(r, min(r + per, first), shards)
         ]
-        for r in range(0, n, per)
-    ]
+        for r in range(0, first, per)
+    ] + [[[(s, float(weights[s]))]] for s in range(first, n)]
 
 
 def _draw(key: Column, level: int, parent: Column, child: Column, weight: Column) -> Column:
@@ -64,11 +67,13 @@ def _children(rows: list[tuple[int, float]]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(float(w)).alias("weight")) for i, w in rows])
 
 
-def place(df: DataFrame, key: str, n: int, out: str = "shard", weights: list[float] | None = None) -> DataFrame:
-    """Adds the shard of each row, among ``n``, as column ``out``."""
+def place(
+    df: DataFrame, key: str, n: int, out: str = "shard", weights: list[float] | None = None, base: int | None = None,
+) -> DataFrame:
+    """Adds the shard of each row, among ``n``, as column ``out``; ``base`` as in ``tree``."""
     if n < 1:
         raise ValueError("at least one shard is needed")
-    regions = tree(n, weights=weights)
+    regions = tree(n, weights=weights, base=base)
     total = lambda part: sum(w for _, w in part)
     top = _children([(r, sum(map(total, region))) for r, region in enumerate(regions)])
     racks = F.array(*[_children([(k, total(rack)) for k, rack in enumerate(region)]) for region in regions])
@@ -88,15 +93,15 @@ def place(df: DataFrame, key: str, n: int, out: str = "shard", weights: list[flo
     )
 
 
-def with_slots(df: DataFrame, shard: str, key: str, parts: int) -> DataFrame:
-    """Adds ``slot``: numbers without gaps from 0 within each shard."""
-    df = df.withColumn("__part", F.pmod(F.xxhash64(F.lit(7), key), F.lit(parts)).cast("int"))
+def with_slots(df: DataFrame, shard: str, key: str, parts: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``slot``: numbers without gaps from 0 within each shard; ``more`` columns deal rows of one key to several parts."""
+    df = df.withColumn("__part", F.pmod(F.xxhash64(F.lit(7), key, *more), F.lit(parts)).cast("int"))
     sizes = df.groupBy(shard, "__part").agg(F.count("*").alias("__n"))
     before = W.partitionBy(shard).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(
         shard, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     )
-    inside = W.partitionBy(shard, "__part").orderBy(key)
+    inside = W.partitionBy(shard, "__part").orderBy(key, *more)
     return (
         df.join(starts.hint("shuffle_hash"), [shard, "__part"])
         .withColumn("slot", F.col("__start") + F.row_number().over(inside) - 1)
@@ -104,8 +109,12 @@ def with_slots(df: DataFrame, shard: str, key: str, parts: int) -> DataFrame:
     )
 
 
-def assign(docs: DataFrame, n: int = 24) -> DataFrame:
-    """Size, checksum, shard, slot and the shard after growth by one, for each document."""
+def assign(docs: DataFrame, n: int = 24, base: int | None = None) -> DataFrame:
+    """Size, checksum, shard, slot and the shard after growth by one, for each document.
+
+    A cluster that has grown gives the number of shards that it began with as ``base``.
+    """
+    base = n if base is None else base
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
@@ -113,9 +122,9 @@ def assign(docs: DataFrame, n: int = 24) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    placed = place(rows, "doc_id", n)
-    slotted = with_slots(placed, "shard", "doc_id", tasks(docs.sparkSession))
-    return place(slotted, "doc_id", n + 1, "grown_shard").select(
+    placed = place(rows, "doc_id", n, base=base)
+    slotted = with_slots(placed, "shard", "doc_id", tasks(docs.sparkSession), ("size", "text_crc32"))
+    return place(slotted, "doc_id", n + 1, "grown_shard", base=base).select(
         "doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
     )
 
