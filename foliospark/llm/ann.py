@@ -12,11 +12,15 @@ Equal vectors form a class with one place in a graph; of a class only the
 ``k + 1`` smallest ids can be among k results, and these are joined back.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite
-components, take no part, and neither do those whose length is not the table's
-most frequent one (of several, the longest); with fewer candidates than k all
+components, take no part; vectors of each length are searched among their own, as there is
+no inner product with others; with fewer candidates than k all
 that are found are returned; ties go to the smaller id; rows with a null id take
-no part, and repeated rows of one id and vector count once; an empty table gives
+no part, repeated rows of one id count once, and of different vectors under one id the
+largest, compared component by component, counts; an empty table gives
 an empty result; further columns are ignored.
+
+Every query goes to every shard of its length, so the pairs of queries and shards grow with
+both: one query is a row for each ``SHARD`` vectors.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from foliospark.llm.common import Scratch
 
 K, EVERY = 20, 20
-SHARD, DEGREE, ROOM, ALPHA, BEAM, WIDTH, BATCH = 4096, 32, 48, 1.2, 96, 4, 256
+#: Different lengths of vectors whose table is broadcast.
+MAX_LENGTHS = 10_000
+SHARD, DEGREE, ROOM, ALPHA, BEAM, WIDTH, BATCH = 16_384, 32, 48, 1.2, 96, 4, 256
 
 
 def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: np.ndarray, q: np.ndarray, beam: int):
@@ -75,6 +81,8 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: np.n
 def prune(x: np.ndarray, me: int, near: np.ndarray) -> np.ndarray:
     """At most DEGREE diverse neighbours among the places ``near``."""
     near = np.unique(near[near != me])
+    if not len(near):
+        return near
     v = x[near]
     d = ((v - x[me]) ** 2).sum(1)
     order = np.argsort(d, kind="stable")
@@ -198,23 +206,28 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
     )
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return rows.filter(F.size("v") == (sizes.dim if sizes else 0))
+    return rows.groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = scratch.save(usable(vectors).distinct(), "rows")
+    rows = scratch.save(usable(vectors), "rows")
     classes = scratch.save(rows.groupBy("v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")), "classes")
-    shards = max(1, -(-classes.count() // shard))
-    own = classes.select(
-        F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"),
+    # A row for each length of vector: its number of shards and the first one's number.
+    lengths = classes.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    first = F.sum("shards").over(W.orderBy("dim").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("shards")
+    lengths = scratch.save(lengths.withColumn("from", first.cast("int")), "lengths")
+    shards = lengths.agg(F.coalesce(F.sum("shards"), F.lit(1)).cast("int").alias("n")).first().n
+    few = lengths.count() <= MAX_LENGTHS
+    of = lambda df: df.withColumn("dim", F.size("v")).join(F.broadcast(lengths) if few else lengths.hint("merge"), "dim")
+    own = of(classes).select(
+        (F.col("from") + F.pmod(F.xxhash64("cls"), F.col("shards"))).cast("int").alias("shard"), F.lit(False).alias("query"),
         F.col("cls").alias("id"), "v",
     )
-    asked = rows.filter(F.col("vec_id") % every == 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"),
+    asked = of(rows.filter(F.col("vec_id") % every == 0)).select(
+        F.explode(F.sequence(F.col("from"), F.col("from") + F.col("shards") - 1)).alias("shard"), F.lit(True).alias("query"),
         F.col("vec_id").alias("id"), "v",
     )
     dealt = own.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("query", "id")
