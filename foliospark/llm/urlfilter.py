@@ -5,8 +5,9 @@ dot: ``www.example.com`` becomes ``com.example.www.``. A rule's host key is then
 a prefix of the keys of its host and all its subdomains, so the rule covers one
 interval of the sorted keys. Urls and rules are cut into ranges of the sorted
 keys, each range is sorted, and a sweep over it keeps a stack of the rules whose
-intervals are open, nested in each other. Of the stack's rules whose path starts
-the url's path, the longest wins.
+intervals are open, nested in each other. Each entry of the stack has its host's paths by
+length, so that a url's path is looked up once for each length; of the rules that fit, the
+longest wins.
 
 The cuts come from a bounded sample of keys (``SAMPLE`` for each range), drawn
 by a hash; a second sort field spreads one host with very many pages over
@@ -15,14 +16,16 @@ neither collected nor broadcast.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path;
 no rule fits an empty host; equal rules count once and an ``allow`` and a
-``block`` of the same host and path give ``block``; repeated pages are judged
+``block`` of the same host and path give ``block``; of two rules of one length the one of
+the longer host wins; a rule with a null path fits every path of its host, one with a null
+host or verdict none; urls of any length are read whole; repeated pages are judged
 row by row; a table without rows gives an empty result; further columns are
 ignored. A page that no rule fits gets the verdict ``default``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,7 +83,7 @@ def _sweep(default: str):
     """Goes through sorted rows with the stack of open rules; gives the judged pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, list[tuple[str, str, str]]]] = []  # key; (path, rule, verdict)
+        stack: list[tuple[str, str, dict[str, str], list[int]]] = []  # key, host, verdict by path, lengths of paths
         for batch in batches:
             col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             rows: list[tuple] = []
@@ -91,14 +94,18 @@ def _sweep(default: str):
                     stack.pop()
                 if not kind:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((path, host + path, verdict))
+                        stack.append((key, host, {}, []))
+                    _, _, said, lengths = stack[-1]
+                    said[path] = max(said.get(path, ""), verdict)
+                    if len(path) not in lengths:
+                        insort(lengths, len(path))
                     continue
                 best = None
-                for depth, (_, rules) in enumerate(stack):
-                    for p, rule, said in rules:
-                        if path.startswith(p):
-                            best = max(best or (-1,), (len(rule), depth, said, rule))
+                for depth, (_, of, said, lengths) in enumerate(stack):
+                    for n in reversed(lengths):
+                        if n <= len(path) and (verdict := said.get(path[:n])):
+                            best = max(best or (-1,), (len(of) + n, depth, verdict, of + path[:n]))
+                            break
                 rows.append((page, host, path, best[3] if best else None, best[2] if best else default))
             cols = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64()] + [pa.string()] * 4
@@ -129,7 +136,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     drawn = keyed.select("key", "salt").orderBy(F.xxhash64("salt", F.lit(1))).limit(SAMPLE * n).collect()
     drawn = sorted((r.key, r.salt) for r in drawn)
     bounds = [drawn[i * len(drawn) // n] for i in range(1, n)] if drawn else []
-    named = rules.filter(F.col("host") != "").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    named = rules.filter((F.col("host") != "") & F.col("verdict").isNotNull()).withColumn("path", F.coalesce("path", F.lit("")))
+    named = named.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     named = named.select(
         F.lit(0).alias("kind"), host_key(F.col("host")).alias("key"), F.lit(0).cast("long").alias("salt"),
         F.lit(None).cast("long").alias("page_id"), "host", "path", "verdict",
