@@ -14,7 +14,8 @@ documents once, and the hits of all blocks are merged by document row.
 Defined cases: a null or empty text has no words, no hits and is not
 contaminated; benchmark rows with null or empty texts have no window; repeated
 benchmark rows with one ``item_id`` count as one item; an item without id counts
-under the id ``null``; repeated documents are judged row by row; an empty
+under the id ``null``; repeated documents are judged row by row; a word inside several
+windows is hit once; texts of any length are scanned whole; an empty
 benchmark contaminates nothing; further columns are ignored or carried along.
 """
 
@@ -192,7 +193,7 @@ def with_hits(
         F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("__hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("__items"),
     )
-    return _from_merged(numbered.join(merged, "__row", "left"), text).drop("__row", "__hit", "__items")
+    return _from_merged(numbered.join(merged.hint("merge"), "__row", "left"), text).drop("__row", "__hit", "__items")
 
 
 def _from_merged(rows: DataFrame, text: str) -> DataFrame:
