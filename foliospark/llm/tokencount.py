@@ -11,7 +11,7 @@ Words are the matches of the split pattern, each tokenised on its own. A byte
 that no entry covers counts as one unknown piece.
 
 Defined cases: a null or empty text has 0 tokens; repeated rows are counted row
-by row; an empty table gives an empty result; further columns are ignored or
+by row; texts and words of any length are counted whole; an empty table gives an empty result; further columns are ignored or
 carried along.
 """
 
