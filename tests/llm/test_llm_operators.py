@@ -400,6 +400,15 @@ def test_sharding(spark, texts):
     assert sharding.assign(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n, base", [(24, 24), (25, 24), (28, 24), (10, 10), (13, 10), (1, 1)])
+def test_growth_moves_rows_to_the_new_shard_only(spark, n, base):
+    ids = spark.range(20_000)
+    grown = sharding.place(sharding.place(ids, "id", n, base=base), "id", n + 1, "after", base=base)
+    moved = grown.filter("shard <> after")
+    assert 0.5 * 20_000 / (n + 1) < moved.count() < 1.5 * 20_000 / (n + 1)
+    assert moved.filter(f"after <> {n}").isEmpty()
+
+
 def test_sharding_weights(spark):
     ids = spark.range(20_000)
     even = sharding.place(ids, "id", 24)
@@ -434,6 +443,14 @@ def test_nearest(spark):
         assert all(score == pytest.approx(s[i], rel=1e-12) for i, score in got[q])
     assert set(got) == set(range(0, 1500, 20))
     assert found / (20 * len(got)) > 0.95
+    other = [(i, r.normal(size=5).tolist()) for i in range(6000, 6030)] + [(6000, [-9.0] * 5)]
+    both = df.unionByName(spark.createDataFrame(other, "vec_id long, embedding array<float>").selectExpr("*", "1 as cls", "2 as v", "3 as score"))
+    short = [q for q in ann.nearest(both, shard=400).collect() if q.query_id >= 6000]  # vectors of another length
+    y = np.array([v for _, v in other[:30]], np.float32).astype(float)
+    for q in (0, 20):
+        s = y @ y[q]
+        best = sorted((i for i in range(30) if i != q), key=lambda i: -s[i])[:20]
+        assert [6000 + i for i in best] == [x.vec_id for x in sorted(short, key=lambda x: x.rank) if x.query_id == 6000 + q]
     few = ann.nearest(df.filter("vec_id < 7")).collect()
     assert sorted((r.query_id, r.rank) for r in few) == [(0, k) for k in range(1, 7)]
     assert ann.nearest(df.limit(0)).count() == 0
@@ -452,10 +469,12 @@ def test_url_filter(spark):
     hosts = ["com", "example.com", "www.example.com", "a.b.example.com", "xexample.com", "Example.COM", "net", "m.net", "net.example.com", "a..net", "com:80", ""]
     paths = ["", "/", "/en", "/en/", "/en/x", "/es/1", "/fr/", "?q=/en/", "#/en/", "/EN/"]
     urls = [f"{r.choice(['http', 'HTTPS', ''])}://{h}{p}" for h in hosts for p in paths] * 3 + [None, "", "example.com/en/", "http:/x", "a://b://c/en/"]
-    urls += ["http://www.example.com/en/1"] * 300
+    urls += ["http://www.example.com/en/1"] * 300 + ["http://net/es/" + "x/" * 100_000, "http://" + "a." * 3000 + "net/fr/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' as host", "'y' as key", "1 as kind")
-    rules = urlfilter.RULES + [("block", "b.example.com", "/"), ("allow", "a.b.example.com", "/en/"), ("block", "", "/")]
-    frame = spark.createDataFrame(rules + rules[:2], "verdict string, host string, path string")
+    rules = urlfilter.RULES + [("block", "b.example.com", "/"), ("allow", "a.b.example.com", "/en/"), ("block", "", "/"), ("block", "m.net", "")]
+    rules += [("block", "example.com", f"/en/{i:x}") for i in range(300)]  # many paths of one host
+    odd = [("block", "m.net", None), ("block", None, "/"), (None, "com", "/en/")]
+    frame = spark.createDataFrame(rules + rules[:2] + odd, "verdict string, host string, path string")
     out = urlfilter.judge(pages, frame).collect()
     assert len(out) == len(urls)
     live = [x for x in rules if x[1]]
