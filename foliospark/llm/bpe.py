@@ -31,7 +31,7 @@ from foliospark.llm.common import small_batches
 
 NO_PAIR = 1 << 62
 #: Bounds of a worker's memory of encoded matches: entries, and bytes of one match.
-MEMO_ENTRIES, MEMO_BYTES = 300_000, 48
+MEMO_ENTRIES, MEMO_BYTES = 100_000, 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -260,6 +260,10 @@ def with_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, shared, pattern)
+        yield from encoded(batches, codec)
+        codec.ids, codec.said = {}, {}  # the worker goes on to other tasks
+
+    def encoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches, text):
             counts, lists, sums, texts = [], [], [], []
             raws = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
