@@ -52,6 +52,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """A setting of the session for jobs over long texts: Arrow batches of at most ``rows`` rows,
+    where the session has Spark's default, which lets batches of 64 MB stand in each task on both
+    sides. The jobs (the registered queries and the pipeline's stages) call it, the operators don't."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def small_batches(
     batches: Iterator[pa.RecordBatch], text: str | int = "text", rows: int = 512, size: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from foliospark.llm import ann, bpe, decontam, licenses, neardup, quality, sharding, tokencount, toxicity, urlfilter
+from foliospark.llm.common import bound_batches
+
+
+def _job(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +32,7 @@ QUERIES = {
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_licenses": licenses.op10_licenses,
 }
+QUERIES = {name: _job(query) for name, query in QUERIES.items()}
 
 #: Operators that SQL can express on whole tables; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": urlfilter.ORACLE_SQL}
