@@ -13,12 +13,13 @@ without labels or benchmark the stages that need them keep every text that isn't
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliospark.llm import bpe, decontam, neardup, quality as lm, toxicity as mil
-from foliospark.llm.common import Scratch
+from foliospark.llm.common import Scratch, bound_batches
 
 #: Names that the operators add to rows; a table's own columns of these names are set aside.
 RESERVED = {"nll", "n_symbols", "perplexity", "threshold", "kept", "mean_h", "score", "offending",
@@ -77,12 +78,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 
+def _job(stage: Callable) -> Callable:
+    """A stage with the session's bound on Arrow batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality", quality),
-    ("toxicity", toxicity),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("tokens", tokens),
+    ("quality", _job(quality)),
+    ("toxicity", _job(toxicity)),
+    ("near_dedup", _job(near_dedup)),
+    ("decontamination", _job(decontamination)),
+    ("tokens", _job(tokens)),
 ]
 
 #: SQL can't express the stages; the tests compare with a brute-force version.
