@@ -25,7 +25,7 @@ def edges(references: DataFrame, own: DataFrame) -> DataFrame:
     ``own`` gives each document's id (doc_id, arxiv_id); self-citations are
     dropped whatever the version.
     """
-    rows = entries(references).withColumn("cited", F.explode(T.arxiv_ids(F.col("entry")))).join(own, "doc_id")
+    rows = entries(references).withColumn("cited", F.explode(T.arxiv_ids(F.col("entry")))).join(own.hint("merge"), "doc_id")
     rows = rows.filter(T.base_id(F.col("cited")) != T.base_id(F.col("arxiv_id"))).withColumn("base", T.base_id(F.col("cited")))
     first = rows.groupBy(F.col("arxiv_id").alias("citing"), F.col("base").alias("cited")).agg(F.min_by("entry", "pos").alias("entry"))
     return first.select("citing", "cited", T.entry_title(F.col("entry")).alias("cited_title"), F.substring("entry", 1, 300).alias("context"))

@@ -42,9 +42,9 @@ def reused(rows: DataFrame, stored: DataFrame, provider: str, make: Callable[[Da
     """(rows with embeddings, newly made vectors): each different text is embedded once, and
     only if ``stored`` (key, embedding) lacks it."""
     keyed = rows.withColumn("key", T.content_key(F.lit(provider), F.col("text")))
-    missing = keyed.groupBy("key").agg(F.min("text").alias("text")).join(stored.select("key"), "key", "left_anti")
+    missing = keyed.groupBy("key").agg(F.min("text").alias("text")).join(stored.select("key").hint("merge"), "key", "left_anti")
     new = make(missing).select("key", "embedding")
-    return keyed.join(stored.select("key", "embedding").unionByName(new), "key"), new
+    return keyed.join(stored.select("key", "embedding").unionByName(new).hint("merge"), "key"), new
 
 
 def write_chunks(chunks: DataFrame, path: str, dim: int) -> DataFrame:
@@ -85,7 +85,7 @@ def cell_search(vectors: DataFrame, queries: DataFrame, model: KMeansModel, prob
 
     first = search(asked.filter(F.col("nth") < probes))
     last = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
-    rest = asked.filter(F.col("nth") >= probes).join(F.broadcast(radii), "cell").join(last, "query_id", "left")
+    rest = asked.filter(F.col("nth") >= probes).join(F.broadcast(radii), "cell").join(last.hint("merge"), "query_id", "left")
     least = F.pow(F.greatest(F.sqrt("d") - F.col("radius"), F.lit(0.0)), 2) / 2
     open_ = F.coalesce(F.col("n") < top, F.lit(True)) | (least <= F.col("last") + 1e-5)  # distances have six places
     return R.ranked(first.unionByName(search(rest.filter(open_))), order, top)
@@ -102,7 +102,7 @@ def ingest(sections: DataFrame, papers: DataFrame, make: Callable[[DataFrame], D
 
     sections: doc_id, seq, title, content; papers: doc_id, arxiv_id, owner_id.
     """
-    cut = C.structured(sections).join(papers.select("doc_id", "arxiv_id", "owner_id"), "doc_id")
+    cut = C.structured(sections).join(papers.select("doc_id", "arxiv_id", "owner_id").hint("merge"), "doc_id")
     chunks = make(cut.withColumn("chunk_id", F.concat_ws("_", "arxiv_id", F.col("chunk_no").cast("string"))))
     edges = X.edges(X.reference_sections(sections), papers.select("doc_id", "arxiv_id"))
     counts = chunks.agg(F.count("*").alias("chunks"), F.count_distinct("arxiv_id").alias("papers"))
