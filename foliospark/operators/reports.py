@@ -44,6 +44,59 @@ def citation_report(out: DataFrame, most: int = 10) -> DataFrame:
     return rows.groupBy("citing").agg(joined(F.col("r"), line).alias("report"))
 
 
+#: The formats of report lines, and what stands for a missing field.
+SEARCH_HEAD = "全文搜索 '%s' 找到 %d 篇："
+SEARCH_LINE = "  • %s: %s\n    作者: %s | 日期: %s | 摘要: %s"
+CITES_HEAD = "论文 %s 的引用关系：\n\n引用了 %d 篇论文："
+CITED_HEAD = "\n被 %d 篇论文引用："
+CITATION_LINE = "  %s %s: %s"
+SIMILAR_HEAD = "与 %s 相似的论文 (%d 篇)："
+SIMILAR_LINE = "  [%d] %s: %s\n      相似度: %.4f | 共同片段: %d"
+UNKNOWN = "未知"
+
+
+def _below(head: Column, lines: Column) -> Column:
+    """A head and the lines below it, if there are any."""
+    return F.concat_ws("\n", head, F.nullif(lines, F.lit("")))
+
+
+def search_lists(hits: DataFrame) -> DataFrame:
+    """(query_id, report) of hits (query_id, query_text, rank, arxiv_id, title, authors, published, abstract)."""
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(UNKNOWN))
+    short = F.substring(F.coalesce("abstract", F.lit("")), 1, 150)
+    line = F.format_string(SEARCH_LINE, "arxiv_id", F.coalesce("title", F.lit("")), known("authors"), known("published"), short)
+    head = F.format_string(SEARCH_HEAD, F.first("query_text"), F.count("*"))
+    return hits.groupBy("query_id").agg(_below(head, joined(F.col("rank"), line)).alias("report"))
+
+
+def citation_lists(out: DataFrame, into: DataFrame, most: int = 10) -> DataFrame:
+    """(id, report) of each paper with edges: totals, and the first ``most`` papers that it
+    cites and that cite it, those in the library marked. ``out``: citing, cited, title, in_db
+    of the cited; ``into``: cited, citing, title, in_db of the citing."""
+    from pyspark.sql import Window as W
+
+    def side(edges: DataFrame, id: str, other: str, name: str) -> DataFrame:
+        n = edges.groupBy(id).agg(F.count("*").alias(f"n_{name}"))
+        first = edges.withColumn("r", F.row_number().over(W.partitionBy(id).orderBy(other))).filter(F.col("r") <= most)
+        badge = F.when(F.col("in_db"), "[DB]").otherwise("[WEB]")
+        line = F.format_string(CITATION_LINE, badge, F.col(other).cast("string"), F.substring("title", 1, 80))
+        lines = first.groupBy(id).agg(joined(F.col("r"), line).alias(name))
+        return n.join(lines.hint("merge"), id).withColumnRenamed(id, "id")
+
+    both = side(out, "citing", "cited", "cites").join(side(into, "cited", "citing", "cited_by").hint("merge"), "id", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    cites = _below(F.format_string(CITES_HEAD, F.col("id").cast("string"), zero("n_cites")), F.col("cites"))
+    cited = _below(F.format_string(CITED_HEAD, zero("n_cited_by")), F.col("cited_by"))
+    return both.select("id", F.concat_ws("\n", cites, cited).alias("report"))
+
+
+def recommendation_lists(similar: DataFrame) -> DataFrame:
+    """(paper_id, report) of recommendations (paper_id, rank, arxiv_id, title, score, shared)."""
+    line = F.format_string(SIMILAR_LINE, "rank", "arxiv_id", F.substring("title", 1, 80), "score", "shared")
+    head = F.format_string(SIMILAR_HEAD, F.col("paper_id").cast("string"), F.count("*"))
+    return similar.groupBy("paper_id").agg(_below(head, joined(F.col("rank"), line)).alias("report"))
+
+
 def full_texts(sections: DataFrame, most: int = 8000) -> DataFrame:
     """(doc_id, text): section contents joined by blank lines, cut with an ellipsis."""
     from foliospark.functions.text import preview

@@ -159,17 +159,27 @@ def unified(hits: DataFrame) -> DataFrame:
     )
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, owner: str | None = None, top: int = TOP, n: int = CANDIDATES) -> DataFrame:
+def hybrid(
+    chunks: DataFrame, queries: DataFrame, owner: str | None = None, top: int = TOP, n: int = CANDIDATES, sparse: bool = True, scorer=None
+) -> DataFrame:
     """(query_id, id, rrf_score, dense_rank, sparse_rank, rank): BM25 and vectors fused.
 
     chunks: id, text, embedding (and owner_id); queries: query_id, query_text,
     query_vector. The owner filter holds for both sides. A chunk or a query without a
-    vector takes part in the sparse side alone.
+    vector takes part in the sparse side alone. Without ``sparse`` the vectors decide alone.
+    A ``scorer`` of (query, document) columns reranks the best ``n`` (see ``rerank``), which adds
+    rerank_score and original_score, the fused one.
     """
     rows = chunks.filter(F.col("owner_id") == owner) if owner is not None else chunks
-    sparse = ranked(bm25(rows, queries), [F.desc("score"), F.asc("id")], n)
-    fused = weighted_rrf(dense(rows, queries.select("query_id", "query_vector"), n), sparse)
-    return fused.filter(F.col("rank") <= top)
+    near = dense(rows, queries.select("query_id", "query_vector"), n)
+    words = ranked(bm25(rows, queries), [F.desc("score"), F.asc("id")], n) if sparse else near.filter("false")
+    fused = weighted_rrf(near, words)
+    if scorer is None:
+        return fused.filter(F.col("rank") <= top)
+    best = saved(fused.filter(F.col("rank") <= n).drop("rank"), "fused")
+    texts = rows.select("id", F.col("text").alias("document")).join(small(best), "id")
+    found = texts.join(small(queries.select("query_id", "query_text")), "query_id").withColumn("score", F.col("rrf_score"))
+    return rerank(found, top, scorer).drop("document", "query_text", "score")
 
 
 def similar_by_chunks(chunks: DataFrame, k: int = TOP, probes: int = 3) -> DataFrame:

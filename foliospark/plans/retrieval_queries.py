@@ -223,6 +223,25 @@ def _(t):
     return R.hybrid(chunks(t, "left"), asked(t, "left"), owner="src0")
 
 
+@query("r13_hybrid_reranked", f"""with {WHOLE}, {HYBRID_WHOLE}, over as (select p.query_id, p.id, p.rrf_score as original_score, count(*) over (partition by p.query_id) as n,
+    round(len(list_intersect(list_distinct({tok('q.query_text')}), list_distinct({tok('c.text')}))) / greatest(len(list_distinct({tok('q.query_text')})), 1), 6) as s
+    from placed p join qs q using (query_id) join chunks c on c.id = p.id where p.rank <= 20)
+select query_id, id, original_score, round(case when n > 5 then s else original_score end, 6) as rerank_score,
+    row_number() over (partition by query_id order by round(case when n > 5 then s else original_score end, 6) desc, original_score desc, id) as rank
+from over qualify rank <= 5""")
+def _(t):
+    found = R.hybrid(chunks(t, "left"), asked(t, "left"), scorer=R.lexical_overlap)
+    return found.select("query_id", "id", "original_score", "rerank_score", "rank")
+
+
+@query("r11_dense_alone", f"""with {WHOLE}, near as (select query_id, id, row_number() over (partition by query_id order by distance, id) as rank from (
+    select q.query_id, c.id, round({COS.replace('q.embedding', 'q.query_vector')}, 6) as distance from qs q, chunks c where q.query_vector is not null and c.embedding is not null) qualify rank <= 20)
+select query_id, id, rank as dense_rank, round(0.7 / (60 + rank), 6) as rrf_score, rank from near where rank <= 5""")
+def _(t):
+    found = R.hybrid(chunks(t, "left"), asked(t, "left"), sparse=False)
+    return found.select("query_id", "id", "dense_rank", "rrf_score", "rank")
+
+
 @query("r12_normalised_scores", f"""with {SCORES} select query_id, id, score, len, round(score / max(score) over (partition by query_id) * 0.3, 6) as norm_score from scored""")
 def _(t):
     return R.normalised_scores(R.bm25(documents(t), t("query_table")))
@@ -255,11 +274,14 @@ def paper_chunks(t: Tables):
     return rows.withColumn("seq", F.row_number().over(W.partitionBy("paper_id").orderBy("id")) - 1)
 
 
-@query("r16_similar_by_chunks", f"""with {PAPER_CHUNKS},
+SIMILAR_CHUNKS = f"""{PAPER_CHUNKS},
 near as (select q.paper_id, c.paper_id as other_id, round({COS}, 6) as distance,
     row_number() over (partition by q.id order by round({COS}, 6), c.id) as r from pc q, pc c where q.seq < 3 qualify r <= 15),
 summed as (select paper_id, other_id, round(sum(case when distance = 0 then 1.0 else 1 / (1 + distance) end), 4) as score, count(*) as shared
-    from near where paper_id <> other_id group by paper_id, other_id)
+    from near where paper_id <> other_id group by paper_id, other_id)"""
+
+
+@query("r16_similar_by_chunks", f"""with {SIMILAR_CHUNKS}
 select *, row_number() over (partition by paper_id order by score desc, other_id) as rank from summed qualify rank <= 5""")
 def _(t):
     return R.similar_by_chunks(paper_chunks(t))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W, functions as F
 from foliospark.functions import text as T
 from foliospark.operators import chunks as C, citations as X, library as L, reports as P, retrieval as R, sections as S
 from foliospark.plans.register import Tables, query
-from foliospark.plans.retrieval_queries import COS, NEAR, asked_vectors, vectors
+from foliospark.plans.retrieval_queries import COS, NEAR, SCORES, SIMILAR_CHUNKS, asked_vectors, paper_chunks, vectors
+from foliospark.sources.scratch import saved
 
 LINES = "lines as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents)"
 #: Every fourth line is made a numbered heading in larger type, every eighth a Markdown heading of its level.
@@ -270,6 +271,40 @@ def _(t):
     return P.citation_report(L.cites(t("citations"), t("papers")))
 
 
+@query("t27_citation_lists", """with o as (select c.citing as id, c.cited as other, coalesce(nullif(p.title, ''), nullif(c.cited_title, ''), cast(c.cited as varchar)) as title, p.id is not null as in_db,
+        row_number() over (partition by c.citing order by c.cited) as r, count(*) over (partition by c.citing) as n from citations c left join papers p on p.id = c.cited),
+    i as (select c.cited as id, c.citing as other, coalesce(nullif(p.title, ''), cast(c.citing as varchar)) as title, p.id is not null as in_db,
+        row_number() over (partition by c.cited order by c.citing) as r, count(*) over (partition by c.cited) as n from citations c left join papers p on p.id = c.citing),
+    os as (select id, max(n) as n, string_agg(concat(chr(10), case when in_db then '  [DB] ' else '  [WEB] ' end, cast(other as varchar), ': ', substr(title, 1, 80)), '' order by r) as lines from o where r <= 10 group by id),
+    ins as (select id, max(n) as n, string_agg(concat(chr(10), case when in_db then '  [DB] ' else '  [WEB] ' end, cast(other as varchar), ': ', substr(title, 1, 80)), '' order by r) as lines from i where r <= 10 group by id)
+    select id, concat('论文 ', cast(id as varchar), ' 的引用关系：', chr(10), chr(10), '引用了 ', cast(coalesce(os.n, 0) as varchar), ' 篇论文：', coalesce(os.lines, ''),
+        chr(10), chr(10), '被 ', cast(coalesce(ins.n, 0) as varchar), ' 篇论文引用：', coalesce(ins.lines, '')) as report from os full outer join ins using (id)""")
+def _(t):
+    citations, papers = t("citations"), t("papers")
+    return P.citation_lists(L.cites(citations, papers), L.cited_by(citations, papers))
+
+
+@query("t27_search_lists", f"""with {SCORES}, top as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from scored qualify rank <= 5),
+    hits as (select top.*, q.query_text, p.arxiv_id, p.title, p.authors, p.published, p.abstract from top join query_table q using (query_id) join papers p on p.id = top.id)
+    select query_id, concat('全文搜索 ', chr(39), min(query_text), chr(39), ' 找到 ', cast(count(*) as varchar), ' 篇：', string_agg(concat(chr(10), '  • ', arxiv_id, ': ', title, chr(10),
+        '    作者: ', authors, ' | 日期: ', published, ' | 摘要: ', substr(abstract, 1, 150)), '' order by rank)) as report from hits group by query_id""")
+def _(t):
+    papers, asked = t("papers"), t("query_table")
+    hits = saved(R.ranked(R.bm25(papers, asked, text="abstract"), [F.desc("score"), F.asc("id")], 5), "hits")
+    rows = papers.select("id", "arxiv_id", "title", "authors", "published", "abstract").join(R.small(hits), "id")
+    return P.search_lists(rows.join(R.small(asked), "query_id"))
+
+
+@query("t27_recommendation_lists", f"""with {SIMILAR_CHUNKS}, found as (select *, row_number() over (partition by paper_id order by score desc, other_id) as rank from summed qualify rank <= 5),
+    named as (select f.*, p.arxiv_id, p.title from found f join papers p on p.id = f.other_id)
+    select paper_id, concat('与 ', cast(paper_id as varchar), ' 相似的论文 (', cast(count(*) as varchar), ' 篇)：', string_agg(concat(chr(10), '  [', cast(rank as varchar), '] ', arxiv_id, ': ',
+        substr(title, 1, 80), chr(10), '      相似度: ', printf('%.4f', score), ' | 共同片段: ', cast(shared as varchar)), '' order by rank)) as report from named group by paper_id""")
+def _(t):
+    found = saved(R.similar_by_chunks(paper_chunks(t)), "similar")
+    papers = t("papers").select(F.col("id").alias("other_id"), "arxiv_id", "title")
+    return P.recommendation_lists(papers.join(R.small(found), "other_id"))
+
+
 @query("t28_pair_texts", """select c.citing as a, c.cited as b, case when x.doc_id is not null and y.doc_id is not null then 'ok' else 'error: text not found' end as status
     from citations c left join documents x on x.doc_id = c.citing left join documents y on y.doc_id = c.cited""")
 def _(t):
