@@ -64,6 +64,29 @@ def _(t):
     return rows.select("title", "abstract", F.col("s.title").alias("section"), F.length("s.content").alias("n_chars"))
 
 
+@query("s3_tei_parts", """select concat('Paper ', cast(page_id as varchar)) as title, concat('Ann B. Writer ', cast(page_id as varchar), '; Smith') as authors,
+    'One/Two' as sections, concat('sub ', cast(page_id as varchar)) as subsection, concat('| id | url |', chr(10), '| --- | --- |', chr(10), '| ', cast(page_id as varchar), ' | ', url, ' |') as markdown,
+    'inner,outer' as figures from pages where page_id is not null and trim(url) <> ''""")
+def _(t):
+    pages = t("pages").filter("page_id is not null and trim(url) <> ''")
+    url, n = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.col("page_id").cast("string")
+    doc = F.concat(
+        F.lit("<TEI><teiHeader><fileDesc><titleStmt><title>Paper "), n, F.lit("</title></titleStmt><sourceDesc><biblStruct><analytic>"),
+        F.lit('<author><persName><forename type="first">Ann</forename><forename type="middle">B.</forename><surname>Writer '), n,
+        F.lit("</surname></persName></author><author><persName><surname>Smith</surname></persName></author></analytic></biblStruct></sourceDesc></fileDesc></teiHeader>"),
+        F.lit("<text><body><div><head>Outer</head><div><head>One</head><p>first</p><div><head> sub "), n, F.lit("</head><p>deep</p></div></div>"),
+        F.lit('<div><head>Appendix</head><p>x</p></div><figure><figDesc>inner</figDesc></figure></div><div><head>Two</head><p>second</p></div>'),
+        F.lit('<figure type="table"><figDesc>T</figDesc><table><row><cell>id</cell><cell>url</cell></row><row><cell>'), n, F.lit("</cell><cell>"), url,
+        F.lit("</cell></row></table></figure><figure><figDesc>outer</figDesc></figure></body></text></TEI>"),
+    )
+    path = scratch.folder(t.spark, "tei")
+    pages.select(doc.alias("value")).write.text(path)
+    d = parsed.read_tei(t.spark, path, lines=True)
+    titles = F.array_join(F.transform("sections", lambda x: x["title"]), "/").alias("sections")
+    return d.select("title", F.array_join("authors", "; ").alias("authors"), titles, F.col("sections")[0]["subsections"][0]["title"].alias("subsection"),
+                    F.col("tables")[0]["markdown"].alias("markdown"), F.array_join("figures", ",").alias("figures"))
+
+
 @query("t20_table_markdown", "select page_id, concat('| id | url |', chr(10), '| --- | --- |', chr(10), '| ', cast(page_id as varchar), ' | ', url, ' |') as markdown from pages")
 def _(t):
     rows = F.array(F.array(F.lit("id"), F.lit("url")), F.array(F.col("page_id").cast("string"), F.col("url")))

@@ -12,8 +12,13 @@ DOCUMENT = (
 )
 ENTRY = ("id string, title string, summary string, published string, author array<struct<name:string>>, "
          "category array<struct<_term:string>>, link array<struct<_href:string,_type:string,_title:string>>")
-TEI = ("teiHeader struct<fileDesc:struct<titleStmt:struct<title:string>>,profileDesc:struct<abstract:struct<p:array<string>>>>, "
-       "text struct<body:struct<div:array<struct<head:string,p:array<string>>>>>")
+_FIGURE = "struct<_type:string,figDesc:string,table:struct<row:array<struct<cell:array<string>>>>>"
+_DIV = "struct<head:string,p:array<string>>"
+_DIVS = f"array<struct<head:string,p:array<string>,figure:array<{_FIGURE}>,div:array<struct<head:string,p:array<string>,div:array<{_DIV}>>>>>"
+_AUTHOR = "struct<persName:struct<forename:array<string>,surname:string>>"
+TEI = ("teiHeader struct<fileDesc:struct<titleStmt:struct<title:string>,"
+       f"sourceDesc:struct<biblStruct:struct<analytic:struct<author:array<{_AUTHOR}>>>>>,profileDesc:struct<abstract:struct<p:array<string>>>>, "
+       f"text struct<body:struct<div:{_DIVS},figure:array<{_FIGURE}>>>")
 #: Names of TEI sections that aren't body text.
 NOT_BODY = ["references", "bibliography", "acknowledgements", "acknowledgments", "appendix", "appendices", "supplementary material"]
 
@@ -48,15 +53,48 @@ def read_feed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     )
 
 
+def _clean(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+
+
+def _list(c: Column, of: str) -> Column:
+    return F.coalesce(c, F.array().cast(f"array<{of}>"))
+
+
+def _lines(ps: Column) -> Column:
+    """The paragraphs that aren't blank, in one line."""
+    return F.array_join(F.filter(F.transform(ps, _clean), lambda x: x != ""), " ")
+
+
 def read_tei(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(title, abstract, sections) of TEI documents; sections outside the body text are left out.
-    ``lines``: one document on each line."""
+    """(title, authors, abstract, sections, tables, figures) of TEI documents.
+
+    A division of the body that has divisions gives these as sections, and its tables and
+    figures go before the body's own; theirs are subsections. Sections outside the body text
+    are left out. ``lines``: one document on each line.
+    """
     d = spark.read.format("xml").option("rowTag", "TEI").option("multiLine", not lines).schema(TEI).load(path)
-    div = F.filter("text.body.div", lambda s: ~F.coalesce(F.lower(F.trim(s["head"])), F.lit("")).isin(NOT_BODY))
-    section = lambda s: F.struct(F.coalesce(s["head"], F.lit("Untitled")).alias("title"), F.array_join(s["p"], "\n").alias("content"))
+    body = lambda x: ~F.lower(x["title"]).isin(NOT_BODY)
+    flat = lambda x: F.struct(_clean(x["head"]).alias("title"), F.coalesce(_lines(x["p"]), F.lit("")).alias("content"))
+    below = lambda xs: F.filter(F.transform(_list(xs, _DIV), flat), body)
+    one = lambda x, sub: F.struct(flat(x)["title"].alias("title"), flat(x)["content"].alias("content"), sub.alias("subsections"))
+    none = F.array().cast("array<struct<title:string,content:string>>")
+    split = lambda x: F.size(F.coalesce(x["div"], F.array())) > 0
+    each = lambda x: F.when(split(x), F.transform(x["div"], lambda y: one(y, below(y["div"])))).otherwise(F.array(one(x, none)))
+    divs = F.coalesce(F.col("text.body.div"), F.array().cast(_DIVS))
+    sections = F.filter(F.flatten(F.transform(divs, each)), body)
+    name = lambda a: F.trim(F.concat_ws(" ", F.array_join(F.filter(F.transform(_list(a["persName"]["forename"], "string"), F.trim), lambda x: x != ""), " "), F.trim(a["persName"]["surname"])))
+    authors = F.filter(F.transform(_list(F.col("teiHeader.fileDesc.sourceDesc.biblStruct.analytic.author"), _AUTHOR), name), lambda x: x != "")
+    inside = F.flatten(F.transform(F.filter(divs, split), lambda x: _list(x["figure"], _FIGURE)))
+    found = F.concat(inside, _list(F.col("text.body.figure"), _FIGURE))
+    is_table = lambda f: F.coalesce(f["_type"] == "table", F.lit(False))
+    cells = lambda f: F.transform(f["table"]["row"], lambda r: F.transform(_list(r["cell"], "string"), _clean))
+    markdown = lambda f: F.when(F.size(cells(f)) > 0, table_markdown(cells(f))).otherwise("")
     return d.select(
-        F.trim("teiHeader.fileDesc.titleStmt.title").alias("title"),
-        F.array_join("teiHeader.profileDesc.abstract.p", "\n").alias("abstract"), F.transform(div, section).alias("sections"),
+        _clean(F.col("teiHeader.fileDesc.titleStmt.title")).alias("title"), authors.alias("authors"),
+        F.coalesce(_lines(F.col("teiHeader.profileDesc.abstract.p")), F.lit("")).alias("abstract"), sections.alias("sections"),
+        F.transform(F.filter(found, is_table), lambda f: F.struct(_clean(f["figDesc"]).alias("caption"), markdown(f).alias("markdown"))).alias("tables"),
+        F.transform(F.filter(found, lambda f: ~is_table(f)), lambda f: _clean(f["figDesc"])).alias("figures"),
     )
 
 
