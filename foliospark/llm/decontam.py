@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from foliospark.llm.common import Scratch, alnum_spans, alnum_words, small_batches, runs
+from foliospark.llm.common import LOWER, UPPER, Scratch, alnum_spans, alnum_words, runs, small_batches
 
 WINDOW = 13
 #: Windows of one automaton: about 13 nodes each, so under about 100 MB in a worker.
@@ -232,5 +232,30 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        F.expr(CONTAMINATED).alias("contaminated"), "spans",
+        F.expr(CONTAMINATED).alias("contaminated"), F.size("spans").cast("long").alias("n_spans"),
     )
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = rf"""
+with docs as (select row_number() over () as k, doc_id, {_WORDS} as ws from documents),
+items as (select coalesce(cast(item_id as varchar), 'null') as item, {_WORDS} as ws from benchmark),
+windows as (
+    select distinct item, least({WINDOW}, len(ws)) as n, array_to_string(list_slice(ws, s, s + least({WINDOW}, len(ws)) - 1), ' ') as w
+    from (select item, ws, unnest(range(1, greatest(len(ws) - {WINDOW} + 1, 1) + 1)) as s from items where len(ws) > 0)),
+places as (
+    select k, s, n, array_to_string(list_slice(ws, s, s + n - 1), ' ') as w
+    from (select k, ws, n, unnest(range(1, len(ws) - n + 2)) as s
+          from docs join (select distinct n from windows) sizes on len(ws) >= n)),
+found as (select k, s, n, item from places join windows using (n, w)),
+hit as (select distinct k, p from (select k, unnest(range(s, s + n)) as p from (select distinct k, s, n from found))),
+hits as (
+    select k, count(*) as n_hit, count(*) filter (p - 1 is distinct from before) as n_spans
+    from (select k, p, lag(p) over (partition by k order by p) as before from hit) group by k),
+of as (select k, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct k, item from found) group by k)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(ws), false) as contaminated,
+    coalesce(n_spans, 0) as n_spans
+from docs left join hits using (k) left join of using (k)
+"""

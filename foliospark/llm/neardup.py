@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from foliospark.llm.common import Scratch, blank_spans, hash_spans, mix, small_batches
+from foliospark.llm.common import LOWER, UPPER, Scratch, blank_spans, hash_spans, mix, small_batches
 
 WORDS, PERCENT = 5, 75
 COORDS, TREES, BRANCH, LEAF, MAX_DEPTH = 128, 12, 2, 1024, 24
@@ -610,3 +610,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, extra: tuple[str, .
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+_SHINGLES = rf"""list_distinct(list_transform(range(1, greatest(len(ws) - {WORDS} + 1, 1) + 1), lambda s: array_to_string(list_slice(ws, s, s + {WORDS} - 1), ' ')))"""
+
+#: Compares all pairs of classes that share a shingle: for small tables.
+ORACLE_SQL = rf"""
+with recursive docs as (
+    select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as ws
+    from documents),
+sets as (select k, doc_id, case when len(ws) = 0 then [] else {_SHINGLES} end as xs from docs),
+keyed as (select k, doc_id, len(xs) as n, case when len(xs) > 0 then md5(array_to_string(list_sort(xs), chr(10))) end as class, xs from sets),
+classes as (select class, min(doc_id) as first_id, any_value(n) as n, any_value(xs) as xs from keyed where class is not null group by class),
+rows as (select class, n, unnest(xs) as x from classes),
+pairs as (
+    select a.class as a, b.class as b, a.n + b.n as total, count(*) as same
+    from rows a join rows b on a.x = b.x and a.class < b.class and 100 * a.n >= {PERCENT} * b.n and 100 * b.n >= {PERCENT} * a.n
+    group by a.class, b.class, a.n, b.n),
+links as (select a, b from pairs where 100 * same >= {PERCENT} * (total - same)),
+ways as (select a, b from links union all select b, a from links),
+reach(class, other) as (select class, class from classes union select r.class, w.b from reach r join ways w on w.a = r.other),
+lowest as (select r.class, min(c.first_id) as component_id from reach r join classes c on c.class = r.other group by r.class)
+select doc_id, cast(n as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id,
+    coalesce(doc_id = coalesce(component_id, doc_id), false) as kept
+from keyed left join lowest using (class)
+"""

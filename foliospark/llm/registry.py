@@ -35,4 +35,8 @@ QUERIES = {
 QUERIES = {name: _job(query) for name, query in QUERIES.items()}
 
 #: Operators that SQL can express on whole tables; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": urlfilter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_duplicates": neardup.ORACLE_SQL,
+    "op6_decontamination": decontam.ORACLE_SQL,
+    "op9_url_filter": urlfilter.ORACLE_SQL,
+}

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliospark.llm.common import Scratch, tasks
+from foliospark.llm.common import LOWER, UPPER, Scratch, tasks
 
 #: Fixed by the contract: verdict, host and path.
 RULES = [
@@ -42,7 +42,6 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 SAMPLE = 32
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
