@@ -1,4 +1,4 @@
-"""Embedding jobs, reuse of stored vectors, approximate search by cells, and corpus ingest."""
+"""Embedding jobs, reuse of stored vectors, recall of searches, and corpus ingest."""
 
 from __future__ import annotations
 
@@ -6,13 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import chunks as C, citations as X, library as L, retrieval as R
+from foliospark.operators import chunks as C, citations as X, library as L
 
 DIM, BATCH = 64, 32
 
@@ -54,43 +53,6 @@ def write_chunks(chunks: DataFrame, path: str, dim: int) -> DataFrame:
     return chunks.filter(~F.coalesce(good, F.lit(False)))
 
 
-def fit_cells(vectors: DataFrame, k: int = 16, sample: int = 20_000, seed: int = 1) -> KMeansModel:
-    """Cells of an approximate search, fitted on a sample of at most ``sample`` rows."""
-    rows = vectors.orderBy(F.xxhash64("id")).limit(sample)
-    return KMeans(k=k, seed=seed, featuresCol="v", maxIter=10).fit(rows.select(array_to_vector(R.normalised(F.col("embedding"))).alias("v")))
-
-
-def cell_search(vectors: DataFrame, queries: DataFrame, model: KMeansModel, probes: int = 4, top: int = 20) -> DataFrame:
-    """(query_id, id, distance, rank): the nearest rows, first from each query's ``probes`` nearest
-    cells, then from every other cell that may hold a nearer row than the last one found.
-
-    On unit vectors a cosine distance is half the squared distance, and no row of a cell is nearer
-    than its centre less the cell's radius. Rows and queries without a vector are left out.
-    """
-    vectors, queries = vectors.filter("embedding is not null"), queries.filter("query_vector is not null")
-    placed = model.transform(vectors.withColumn("v", array_to_vector(R.normalised(F.col("embedding"))))).withColumnRenamed("prediction", "cell")
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    reach = F.sqrt(gap(F.element_at(centers, F.col("cell") + 1), R.normalised(F.col("embedding"))))
-    radii = placed.groupBy("cell").agg(F.max(reach).alias("radius"))  # one row for each cell
-    unit = R.normalised(F.col("query_vector"))
-    far = F.transform(centers, lambda c, i: F.struct(gap(c, unit).alias("d"), i.alias("cell")))
-    asked = queries.select("query_id", "query_vector", F.posexplode(F.array_sort(far)).alias("nth", "c")).select("query_id", "query_vector", "nth", "c.cell", "c.d")
-    order = [F.asc("distance"), F.asc("id")]
-
-    def search(cells: DataFrame) -> DataFrame:
-        pairs = placed.select("cell", "id", "embedding").join(R.small(cells.select("query_id", "query_vector", "cell")), "cell")
-        distance = F.round(R.cosine_distance(F.col("embedding"), F.col("query_vector")), 6)
-        return R.ranked(pairs.select("query_id", "id", distance.alias("distance")), order, top).drop("rank")
-
-    first = search(asked.filter(F.col("nth") < probes))
-    last = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
-    rest = asked.filter(F.col("nth") >= probes).join(F.broadcast(radii), "cell").join(last.hint("merge"), "query_id", "left")
-    least = F.pow(F.greatest(F.sqrt("d") - F.col("radius"), F.lit(0.0)), 2) / 2
-    open_ = F.coalesce(F.col("n") < top, F.lit(True)) | (least <= F.col("last") + 1e-5)  # distances have six places
-    return R.ranked(first.unionByName(search(rest.filter(open_))), order, top)
-
-
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of the exact hits that were found."""
     hit = found.select("query_id", "id", F.lit(1).alias("hit"))

@@ -15,6 +15,8 @@ K1, B, LEAST_IDF = 1.5, 0.75, 0.25
 RRF_K, CANDIDATES, TOP, SPARSE_WEIGHT = 60, 20, 5, 0.3
 #: Rows of a query table up to which it is broadcast.
 MAX_BROADCAST_ROWS = 50_000
+#: Vector queries up to which they are broadcast to all rows.
+MAX_QUERIES = 20_000
 
 
 def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -101,9 +103,20 @@ def dense(chunks: DataFrame, queries: DataFrame, top: int = CANDIDATES, where: C
 
     ``where`` is applied to the chunks before the search. chunks: id, embedding;
     queries: query_id, query_vector. Rows and queries without a vector are left out.
+    Up to ``MAX_QUERIES`` queries are broadcast to all rows; more are searched by cells
+    (``cells.cell_search``), which gives the same hits.
     """
     rows = (chunks.filter(where) if where is not None else chunks).select("id", "embedding").filter("embedding is not null")
-    pairs = rows.join(small(queries.filter("query_vector is not null"), 20_000), F.lit(True)).select(
+    asked = queries.select("query_id", "query_vector").filter("query_vector is not null")
+    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        from foliospark.operators import cells  # which builds on this module
+
+        rows = saved(rows, "vectors")
+        n = rows.count()
+        if n:
+            return cells.cell_search(rows, saved(asked, "vector_queries"), cells.fit_cells(rows, cells.cells_for(n)), top=top)
+        asked = asked.limit(0)
+    pairs = rows.join(F.broadcast(asked), F.lit(True)).select(
         "query_id", "id", F.round(cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance")
     )
     return ranked(pairs, [F.asc("distance"), F.asc("id")], top)

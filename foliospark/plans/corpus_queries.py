@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import embed as E, retrieval as R, sections as S
+from foliospark.operators import cells, embed as E, retrieval as R, sections as S
 from foliospark.plans.register import Tables, query
-from foliospark.plans.retrieval_queries import asked_vectors, vectors
+from foliospark.plans.retrieval_queries import NEAR, asked_vectors, tok, vectors
 from foliospark.plans.text_queries import sized
 from foliospark.sources import parsed, scratch
 from foliospark.streaming import ingest, keyed
@@ -94,12 +94,13 @@ def _(t):
     return made.select("page_id", parsed.table_markdown(F.col("cells")).alias("markdown"))
 
 
-@query("e1_embed")
+@query("e1_embed", f"select doc_id, 64 as dim, case when len({tok('text')}) > 0 then 1.0 else 0.0 end as norm from documents")
 def _(t):
     return E.hashed(t("documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(R.norm(F.col("embedding")), 4).alias("norm"))
 
 
-@query("e2_reuse")
+@query("e2_reuse", """select doc_id, 64 as dim, (select count(distinct text) from documents
+    where text not in (select text from documents where doc_id % 3 = 0)) as n_new from documents""")
 def _(t):
     docs = t("documents").select("doc_id", "text")
     stored = E.hashed(docs.filter("doc_id % 3 = 0").withColumn("key", T.content_key(F.lit("p"), F.col("text")))).select("key", "embedding").dropDuplicates(["key"])
@@ -137,16 +138,16 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("r9_cell_search")
+@query("r9_cell_search", f"with {NEAR} select * from near")
 def _(t):
     rows = vectors(t)
-    return E.cell_search(rows, asked_vectors(t), E.fit_cells(rows))
+    return cells.cell_search(rows, asked_vectors(t), cells.fit_cells(rows))
 
 
 @query("r9_recall")
 def _(t):
     rows, asked = vectors(t), asked_vectors(t)
-    return E.recall(E.cell_search(rows, asked, E.fit_cells(rows)), R.dense(rows, asked))
+    return E.recall(cells.cell_search(rows, asked, cells.fit_cells(rows)), R.dense(rows, asked))
 
 
 @query("w1_stream_ingest")
@@ -161,15 +162,18 @@ def _(t):
 @query("w10_stream_traces", """select user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) as duration, round(sum(value), 4) as tokens,
     count(*) filter (event_type = 'click') as tool_calls, count(*) as steps from events group by user_id""")
 def _(t):
-    # Each trigger's figures replace the last ones of their keys; the last trigger's are complete.
+    # A trigger writes the figures that it changed; a key's last ones are complete. State is one row for each key.
     out = scratch.folder(t.spark, "traces")
     events = t.spark.readStream.schema(t("events").schema).parquet(f"{t.sf_dir}/events.parquet*")
 
     def put(df, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/figures")
+        df.write.mode("overwrite").parquet(f"{out}/figures/trigger={number}")
 
-    run = keyed.trace_stream(events).writeStream.outputMode("complete").foreachBatch(put)
+    run = keyed.trace_stream(events).writeStream.outputMode("update").foreachBatch(put)
     run.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{out}/figures")
+    figures = t.spark.read.parquet(f"{out}/figures")
+    names = [c for c in figures.columns if c not in ("user_id", "trigger")]
+    last = figures.groupBy("user_id").agg(F.max_by(F.struct(*names), "trigger").alias("f"))
+    return last.select("user_id", "f.*")
 
 

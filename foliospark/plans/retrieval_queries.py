@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import retrieval as R
+from foliospark.operators import library as L, modes as M, retrieval as R
 from foliospark.plans.register import Tables, query
 
 TOKEN = T.TOKEN
@@ -47,9 +47,9 @@ near as (select q.vec_id as query_id, c.vec_id as id, round({COS}, 6) as distanc
 
 #: A chunk is a document with the vector of the same number (documents without one have no vector).
 CHUNKS = """
-chunks as (select d.doc_id as id, d.text, d.source as owner_id, e.embedding from documents d join embeddings e on e.vec_id = d.doc_id),
+chunks as (select d.doc_id as id, d.text, d.source as owner_id, e.embedding from documents d left join embeddings e on e.vec_id = d.doc_id),
 qs as (select b.item_id as query_id, b.text as query_text, e.embedding as query_vector
-       from benchmark b join embeddings e on e.vec_id = b.item_id)"""
+       from benchmark b left join embeddings e on e.vec_id = b.item_id)"""
 
 
 def documents(t: Tables):
@@ -65,14 +65,14 @@ def asked_vectors(t: Tables):
     return t("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def chunks(t: Tables, how: str = "inner"):
+def chunks(t: Tables):
     e = t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return t("documents").join(e, "doc_id", how).select(F.col("doc_id").alias("id"), "text", F.col("source").alias("owner_id"), "embedding")
+    return t("documents").join(e, "doc_id", "left").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("owner_id"), "embedding")
 
 
-def asked(t: Tables, how: str = "inner"):
+def asked(t: Tables):
     e = t("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
-    return t("benchmark").join(e, "item_id", how).select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vector")
+    return t("benchmark").join(e, "item_id", "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"), "query_vector")
 
 
 @query("r1_tokens", f"select doc_id, len(toks) as n_tokens, md5(array_to_string(toks, ' ')) as tokens_md5 from (select doc_id, {tok('text')} as toks from documents)")
@@ -180,7 +180,7 @@ scored as (select query_id, p.id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 *
     from asked join term_stats using (term) join postings p using (term) join stats s on s.id = p.id group by query_id, p.id),
 sparse as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from scored qualify rank <= 20),
 near as (select query_id, id, row_number() over (partition by query_id order by distance, id) as rank from (
-    select q.query_id, c.id, round({COS.replace('q.embedding', 'q.query_vector')}, 6) as distance from qs q, chunks c) qualify rank <= 20),
+    select q.query_id, c.id, round({COS.replace('q.embedding', 'q.query_vector')}, 6) as distance from qs q, chunks c where q.query_vector is not null and c.embedding is not null) qualify rank <= 20),
 fused as (select query_id, id, near.rank as dense_rank, sparse.rank as sparse_rank,
         round(coalesce(0.7 / (60 + near.rank), 0) + coalesce(0.3 / (60 + sparse.rank), 0), 6) as rrf_score
     from near full outer join sparse using (query_id, id)),
@@ -198,47 +198,27 @@ def _(t):
     return R.hybrid(chunks(t), asked(t), top=1_000)
 
 
-@query("r15_hybrid_owner", f"with {CHUNKS.replace('where', 'and').replace('on e.vec_id = d.doc_id)', chr(10) + 'on e.vec_id = d.doc_id where d.source = ' + chr(39) + 'src0' + chr(39) + ')')}, {HYBRID} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5")
+@query("r15_hybrid_owner", f"""with {CHUNKS.replace("on e.vec_id = d.doc_id)", "on e.vec_id = d.doc_id where d.source = 'src0')")}, {HYBRID} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5""")
 def _(t):
     return R.hybrid(chunks(t), asked(t), owner="src0")
 
 
-#: The same over whole tables: what has no vector is found by its text.
-WHOLE = CHUNKS.replace(" join ", " left join ")
-HYBRID_WHOLE = HYBRID.replace("from qs q, chunks c)", "from qs q, chunks c where q.query_vector is not null and c.embedding is not null)")
-
-
-@query("hybrid_retrieve_whole", f"with {WHOLE}, {HYBRID_WHOLE} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5")
-def _(t):
-    return R.hybrid(chunks(t, "left"), asked(t, "left"))
-
-
-@query("r11_weighted_rrf_whole", f"with {WHOLE}, {HYBRID_WHOLE} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed")
-def _(t):
-    return R.hybrid(chunks(t, "left"), asked(t, "left"), top=1_000)
-
-
-@query("r15_hybrid_owner_whole", f"""with {WHOLE.replace("on e.vec_id = d.doc_id)", "on e.vec_id = d.doc_id where d.source = 'src0')")}, {HYBRID_WHOLE} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5""")
-def _(t):
-    return R.hybrid(chunks(t, "left"), asked(t, "left"), owner="src0")
-
-
-@query("r13_hybrid_reranked", f"""with {WHOLE}, {HYBRID_WHOLE}, over as (select p.query_id, p.id, p.rrf_score as original_score, count(*) over (partition by p.query_id) as n,
+@query("r13_hybrid_reranked", f"""with {CHUNKS}, {HYBRID}, over as (select p.query_id, p.id, p.rrf_score as original_score, count(*) over (partition by p.query_id) as n,
     round(len(list_intersect(list_distinct({tok('q.query_text')}), list_distinct({tok('c.text')}))) / greatest(len(list_distinct({tok('q.query_text')})), 1), 6) as s
     from placed p join qs q using (query_id) join chunks c on c.id = p.id where p.rank <= 20)
 select query_id, id, original_score, round(case when n > 5 then s else original_score end, 6) as rerank_score,
     row_number() over (partition by query_id order by round(case when n > 5 then s else original_score end, 6) desc, original_score desc, id) as rank
 from over qualify rank <= 5""")
 def _(t):
-    found = R.hybrid(chunks(t, "left"), asked(t, "left"), scorer=R.lexical_overlap)
+    found = R.hybrid(chunks(t), asked(t), scorer=R.lexical_overlap)
     return found.select("query_id", "id", "original_score", "rerank_score", "rank")
 
 
-@query("r11_dense_alone", f"""with {WHOLE}, near as (select query_id, id, row_number() over (partition by query_id order by distance, id) as rank from (
+@query("r11_dense_alone", f"""with {CHUNKS}, near as (select query_id, id, row_number() over (partition by query_id order by distance, id) as rank from (
     select q.query_id, c.id, round({COS.replace('q.embedding', 'q.query_vector')}, 6) as distance from qs q, chunks c where q.query_vector is not null and c.embedding is not null) qualify rank <= 20)
 select query_id, id, rank as dense_rank, round(0.7 / (60 + rank), 6) as rrf_score, rank from near where rank <= 5""")
 def _(t):
-    found = R.hybrid(chunks(t, "left"), asked(t, "left"), sparse=False)
+    found = R.hybrid(chunks(t), asked(t), sparse=False)
     return found.select("query_id", "id", "dense_rank", "rrf_score", "rank")
 
 
@@ -341,3 +321,26 @@ def _(t):
     context = F.substring(T.content_key(F.lit("ctx"), F.col("source"), F.col("lang")), 1, 16)
     return t("documents").select("doc_id", T.content_key(F.lit("p"), F.col("text")).alias("embed_key"),
                                  context.alias("context_hash"), T.answer_key(F.lit("answer"), F.col("lang"), F.substring("text", 1, 50), context).alias("answer_key"))
+
+
+@query("t27_search_modes", f"""with {CHUNKS}, {HYBRID},
+newest as (select id, row_number() over (order by created_at desc, id desc) as rank from papers qualify rank <= 5),
+words as (select query_id, unnest(list_distinct(list_filter({tok("substr(query_text, 1, 60)")}, lambda x: x not in ({', '.join(f"'{w}'" for w in L.STOP_WORDS)})))) as term from qs),
+held as (select distinct id, created_at, unnest({tok("concat_ws(' ', title, authors, abstract)")}) as term from papers where published >= '2024-03'),
+matched as (select query_id, id, created_at from words join held using (term) join (select query_id, count(*) as n from words group by query_id) using (query_id)
+    group by query_id, id, created_at, n having count(*) = n)
+select 'semantic' as mode, query_id, id, rank from placed where rank <= 5
+union all select 'list', query_id, id, rank from qs, newest
+union all select 'fts', query_id, id, row_number() over (partition by query_id order by created_at desc, id desc) as rank from matched qualify rank <= 5""")
+def _(t):
+    one = lambda mode, queries, **f: M.search(t("papers"), chunks(t), queries, mode, **f).select(F.lit(mode).alias("mode"), "query_id", "id", "rank")
+    short = asked(t).withColumn("query_text", F.substring("query_text", 1, 60))
+    return one("semantic", asked(t)).unionByName(one("list", asked(t))).unionByName(one("fts", short, year_from="2024-03"))
+
+
+@query("t24_survey_inputs", f"""with {CHUNKS}, {HYBRID}
+select query_id, string_agg(concat('[', cast(rank as varchar), '] ', p.title, ' | ', d.source, chr(10), substr(regexp_replace(d.text, '\\s*\\n\\s*', ' ', 'g'), 1, 600)), chr(10) || chr(10) order by rank) as context
+from placed join documents d on d.doc_id = placed.id join papers p on p.id = placed.id where rank <= 10 group by query_id""")
+def _(t):
+    rows = chunks(t).withColumnRenamed("owner_id", "source").join(t("papers").select("id", "title").hint("merge"), "id")
+    return M.survey_inputs(rows, asked(t))

@@ -195,7 +195,13 @@ def _(t):
     return S.markdown_tables(S.lines(t("documents")).withColumn("text", text))
 
 
-@query("t18_html_tables")
+@query("t18_html_tables", r"""with made as (select page_id, concat(html, '<table><tr><th>url</th><th>title</th></tr><tr><td>', url, '</td><td>',
+        regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '</td></tr></table>') as html from pages),
+    bodies as (select page_id, unnest(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1)) as body, generate_subscripts(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1), 1) - 1 as table_no from made),
+    cut as (select page_id, table_no, list_filter(list_transform(regexp_extract_all(body, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: list_transform(regexp_extract_all(r, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1),
+        lambda c: trim(regexp_replace(regexp_replace(c, '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')))), lambda r: len(r) > 0) as rs from bodies),
+    lined as (select page_id, table_no, rs, list_transform(rs, lambda r: concat('| ', array_to_string(r, ' | '), ' |')) as ls from cut where len(rs) > 0)
+    select page_id, table_no, array_to_string(list_concat([ls[1], concat('|', repeat(' --- |', len(rs[1])))], ls[2:]), chr(10)) as markdown from lined""")
 def _(t):
     cell = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
     made = F.concat("html", F.lit("<table><tr><th>url</th><th>title</th></tr><tr><td>"), "url", F.lit("</td><td>"), cell, F.lit("</td></tr></table>"))

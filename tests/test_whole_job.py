@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from conftest import SMALL
-from foliospark.operators import embed as E, retrieval as R
+from foliospark.operators import cells, retrieval as R
 from foliospark.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -23,7 +23,7 @@ def test_cell_search_is_exact(spark):
     rows += [(300, [0.0] * 8), (301, rows[5][1]), (302, rows[5][1]), (303, None)]
     vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
     asked = vectors.filter("id % 20 = 0 or id > 299").selectExpr("id as query_id", "embedding as query_vector")
-    found = E.cell_search(vectors, asked, E.fit_cells(vectors.filter("id < 303"), k=8), probes=1, top=7).collect()
+    found = cells.cell_search(vectors, asked, cells.fit_cells(vectors.filter("id < 303"), k=8), probes=1, top=7).collect()
     some = vectors.filter("id < 303")
     exact = R.dense(some, asked.filter("query_id < 303"), 7).collect()
     key = lambda x: (x.query_id, x.id, x.distance, x.rank)
@@ -49,8 +49,28 @@ def test_hybrid_covers_documents_beyond_the_vectors(spark):
     for name in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
     columns = ["query_id", "id", "dense_rank", "sparse_rank", "rank"]
-    got = list(tuple(None if x is None else int(x) for x in r) for r in QUERIES["r11_weighted_rrf_whole"](spark, folder).select(*columns).collect())
+    got = list(tuple(None if x is None else int(x) for x in r) for r in QUERIES["r11_weighted_rrf"](spark, folder).select(*columns).collect())
     assert any(r[1] >= 500 for r in got)
     key = lambda r: tuple(-1 if x is None else x for x in r)
-    want = con.sql(f"select {', '.join(columns)} from ({ORACLE_SQL['r11_weighted_rrf_whole']})").fetchall()
+    want = con.sql(f"select {', '.join(columns)} from ({ORACLE_SQL['r11_weighted_rrf']})").fetchall()
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+# ------------------------------------------------------------- many queries
+
+
+def test_many_vector_queries_give_the_same_hits(spark, monkeypatch):
+    """Beyond MAX_QUERIES the search goes by cells; the hits, tied ones too, are those of all pairs."""
+    r = np.random.default_rng(5)
+    rows = [(i, (np.eye(6)[i % 6] * 4 + r.normal(size=6)).round(1).tolist()) for i in range(200)]
+    rows += [(300, [0.0] * 6), (301, rows[5][1]), (302, rows[5][1]), (303, None)]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = chunks.selectExpr("id as query_id", "embedding as query_vector")
+    key = lambda x: (x.query_id, x.id, x.distance, x.rank)
+    exact = sorted(map(key, R.dense(chunks, asked, 4).collect()))
+    monkeypatch.setattr(R, "MAX_QUERIES", 10)
+    found = R.dense(chunks, asked, 4)
+    assert sorted(map(key, found.collect())) == exact
+    plan = found._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert R.dense(chunks.filter("false"), asked, 4).count() == 0
