@@ -45,7 +45,7 @@ BITS, ORDER = 5, 4
 CELLS = 1 << BITS * ORDER
 QUANTILE, PRIOR, LEAST_DOCS = 0.99, 60, 30
 #: Bytes of an n-gram; every LEFT_OUT-th trusted document is not counted; n-grams of a broadcast part; bytes of text handled at once.
-LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 4_000_000, 1_000_000
+LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 4_000_000, 250_000
 #: Different n-grams that a task gathers before it passes them on.
 GATHERED = 1_000_000
 LEAST_DISCOUNT = 0.1
