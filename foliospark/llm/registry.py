@@ -7,7 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import ann, bpe, decontam, licenses, neardup, quality, sharding, tokencount, toxicity, urlfilter
+from foliospark.llm import (
+    ann, bpe, chat, convrepair, decontam, licenses, neardup, quality, sharding, tokencount, toxicity, urlfilter,
+)
 from foliospark.llm.common import bound_batches
 
 
@@ -31,6 +33,8 @@ QUERIES = {
     "op8_nearest": ann.op8_nearest,
     "op9_url_filter": urlfilter.op9_url_filter,
     "op10_licenses": licenses.op10_licenses,
+    "op11_chat_format": chat.op11_chat_format,
+    "op12_conversation_repair": convrepair.op12_conversation_repair,
 }
 QUERIES = {name: _job(query) for name, query in QUERIES.items()}
 
@@ -39,4 +43,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": neardup.ORACLE_SQL,
     "op6_decontamination": decontam.ORACLE_SQL,
     "op9_url_filter": urlfilter.ORACLE_SQL,
+    "op11_chat_format": chat.ORACLE_SQL,
+    "op12_conversation_repair": convrepair.ORACLE_SQL,
 }
