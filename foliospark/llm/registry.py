@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import (
-    ann, bpe, chat, convrepair, decontam, licenses, neardup, quality, sharding, tokencount, toxicity, urlfilter,
+    ann, bpe, chat, convrepair, decontam, licenses, neardup, quality, sharding, spelling, tokencount, toxicity, urlfilter,
 )
 from foliospark.llm.common import bound_batches
 
@@ -35,6 +35,7 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
     "op11_chat_format": chat.op11_chat_format,
     "op12_conversation_repair": convrepair.op12_conversation_repair,
+    "op13_spelling_groups": spelling.op13_spelling_groups,
 }
 QUERIES = {name: _job(query) for name, query in QUERIES.items()}
 
@@ -45,4 +46,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": urlfilter.ORACLE_SQL,
     "op11_chat_format": chat.ORACLE_SQL,
     "op12_conversation_repair": convrepair.ORACLE_SQL,
+    "op13_spelling_groups": spelling.ORACLE_SQL,
 }
