@@ -302,54 +302,6 @@ def test_toxicity(spark, texts):
     assert toxicity.with_scores(empty(spark), none).count() == 0
 
 
-def brute_kneser_ney(texts):
-    """Probabilities of an interpolated modified Kneser-Ney model over n-gram codes, by dictionaries."""
-    bits, order, size = quality.BITS, quality.ORDER, 1 << quality.BITS
-    counts = Counter()
-    for t in texts:
-        counts.update(quality.ngrams(t.encode()).tolist())
-    tables = {order: counts}
-    for k in range(order - 1, 0, -1):
-        tables[k] = Counter(c % size**k for c in tables[k + 1])
-    p = {0: lambda code: 1 / size}
-
-    def level(k):
-        c, below = tables[k], p[k - 1]
-        n = Counter(c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.0
-        d = [0, *(min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else i * y for i in (1, 2, 3))]
-        total, kept = Counter(), Counter()
-        for code, x in c.items():
-            total[code >> bits] += x
-            kept[code >> bits] += d[min(x, 3)]
-
-        def prob(code):
-            ctx, lower_ = code >> bits, below(code % size ** (k - 1) if k > 1 else 0)
-            if not total[ctx]:
-                return lower_
-            x = c.get(code, 0)
-            return (x - d[min(x, 3)]) / total[ctx] + kept[ctx] / total[ctx] * lower_
-
-        return prob
-
-    for k in range(1, order + 1):
-        p[k] = level(k)
-    return p[order]
-
-
-def test_quality_model(spark):
-    rows, labels = labelled(spark)
-    docs = table(spark, rows[:60])
-    table_ = quality.train(docs, labels.filter("doc_id < 60"))
-    prob = brute_kneser_ney([t for _, t in rows[:60]])
-    r = random.Random(1)
-    codes = [r.randrange(quality.CELLS) for _ in range(500)] + quality.ngrams(rows[3][1].encode()).tolist()
-    for code in codes:
-        assert np.exp(-table_[code]) == pytest.approx(prob(code), rel=1e-4)
-    for ctx in r.sample(range(quality.CELLS // 32), 50):
-        assert np.exp(-table_[ctx * 32 : ctx * 32 + 32]).sum() == pytest.approx(1, rel=1e-4)
-
-
 def test_quality_verdicts(spark, texts):
     rows, labels = labelled(spark)
     junk = [(20_000 + i, " ".join(f"{w.upper()}###{i}!!" for w in t.split())) for i, t in rows[:20]]

@@ -53,8 +53,10 @@ def test_entropy_by_brute_force(spark, monkeypatch, most, piece):
     counted = {r.doc_id for r in ids.filter(~quality.left_out()).collect()}
     assert counted
     model = quality.learn(docs, labels.filter("doc_id < 12"))
-    assert len(model) > (1 if most == 40 else 0)
-    rows = quality.with_entropy(docs, model).collect()
+    assert len(model.parts) > (1 if most == 40 else 0)
+    # texts that the model has never met, shorter than an n-gram and of bytes that it doesn't know
+    strange = [(900 + i, t, "xx") for i, t in enumerate(["ZQXJ @@## 0x9f %% ZZKW", "c", "ca", "Zat sat thé", "ö", "the cat sat on"])]
+    rows = quality.with_entropy(docs.unionByName(spark.createDataFrame(strange, docs.schema)), model).collect()
     nll = brute([r.text.encode() for r in rows if r.doc_id in counted])
     for r in rows:
         assert r.n_symbols == len(r.text) and r.nll == pytest.approx(nll(r.text.encode()), rel=1e-4)
@@ -73,3 +75,19 @@ def test_limit_is_a_figure_of_a_document_left_out(spark):
     out = quality.classify(docs, labels).filter(quality.left_out()).collect()
     assert len(out) >= quality.LEAST_DOCS
     assert min(abs(r.perplexity / r.threshold - 1) for r in out) < 1e-9
+
+
+def test_strange_text_is_rejected(spark):
+    """A text that was not there when the model was learned backs off and costs more than those it knows."""
+    words = ["paper", "model", "data", "river", "stone", "garden", "letter", "window"]
+    docs, labels = frames(spark, [" ".join(words[(i * k + k) % 8] for k in range(40)) for i in range(300)])
+    model = quality.learn(docs, labels)
+    new = spark.createDataFrame([(1, "ZQXJ @@## 0x9f %% ZZKW", "xx"), (2, " ".join(words * 5), "xx")], docs.schema)
+    out = {r.doc_id: r for r in quality.judged(quality.with_entropy(new, model), quality.thresholds(docs, labels, model)).collect()}
+    assert not out[1].kept and out[1].plain_perplexity > 200 and out[2].kept
+
+
+def test_verdicts_repeat(spark):
+    docs, labels = frames(spark, [" ".join("abcdefgh"[(i * j) % 8] * (1 + i % 5) for j in range(1, 30 + i % 7)) for i in range(400)])
+    runs = [sorted(map(tuple, quality.classify(docs.repartition(n), labels).drop("text").collect())) for n in (1, 5, 3)]
+    assert runs[0] == runs[1] == runs[2]
