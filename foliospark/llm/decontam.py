@@ -232,14 +232,17 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        F.expr(CONTAMINATED).alias("contaminated"), F.size("spans").cast("long").alias("n_spans"),
+        F.expr(CONTAMINATED).alias("contaminated"), F.to_json("spans").alias("spans"),
     )
 
 
-_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+# The words, each with what stands between it and the word before.
+_PIECES = rf"regexp_extract_all({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = rf"""
-with docs as (select row_number() over () as k, doc_id, {_WORDS} as ws from documents),
+with docs as (select row_number() over () as k, doc_id, {_WORDS} as ws, {_PIECES} as pieces from documents),
 items as (select coalesce(cast(item_id as varchar), 'null') as item, {_WORDS} as ws from benchmark),
 windows as (
     select distinct item, least({WINDOW}, len(ws)) as n, array_to_string(list_slice(ws, s, s + least({WINDOW}, len(ws)) - 1), ' ') as w
@@ -250,12 +253,17 @@ places as (
           from docs join (select distinct n from windows) sizes on len(ws) >= n)),
 found as (select k, s, n, item from places join windows using (n, w)),
 hit as (select distinct k, p from (select k, unnest(range(s, s + n)) as p from (select distinct k, s, n from found))),
-hits as (
-    select k, count(*) as n_hit, count(*) filter (p - 1 is distinct from before) as n_spans
-    from (select k, p, lag(p) over (partition by k order by p) as before from hit) group by k),
+hits as (select k, count(*) as n_hit from hit group by k),
+ends as (
+    select k, p, sum(len(piece)) over (partition by k order by p) as e, len(word) as n
+    from (select k, unnest(pieces) as piece, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from docs semi join hits using (k))),
+islands as (
+    select k, min(e - n) as a, max(e) as b
+    from (select k, p, e, n, p - row_number() over (partition by k order by p) as island from hit join ends using (k, p)) group by k, island),
+marked as (select k, '[' || string_agg('{{"start":' || a::bigint || ',"end":' || b::bigint || '}}', ',' order by a) || ']' as spans from islands group by k),
 of as (select k, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct k, item from found) group by k)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
     sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(ws), false) as contaminated,
-    coalesce(n_spans, 0) as n_spans
-from docs left join hits using (k) left join of using (k)
+    coalesce(spans, '[]') as spans
+from docs left join hits using (k) left join marked using (k) left join of using (k)
 """
