@@ -11,7 +11,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.functions import udtf
 
 SIZE, OVERLAP = 1000, 200
 #: Separators in order of preference.
@@ -106,6 +107,20 @@ def split(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFram
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, text string")
 
 
+@udtf(returnType="chunk_no int, text string")
+class SplitChunks:
+    """``split`` as a table function for SQL: ``from docs, lateral split_chunks(docs.text, 1000, 200)``."""
+
+    def eval(self, text: str, size: int = SIZE, overlap: int = OVERLAP):
+        for k, piece in enumerate(split_text(text, size, overlap) if text else []):
+            yield k, piece
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes the table functions known to the session's SQL."""
+    spark.udtf.register("split_chunks", SplitChunks)
+
+
 def breadcrumb(title: Column, section: Column, path: Column, page: Column) -> Column:
     """``论文: title > section > path (第p页)`` with the parts that there are; '' without any."""
     some = lambda c: F.nullif(c, F.lit(""))

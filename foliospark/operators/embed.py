@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliospark.functions import text as T
 from foliospark.operators import chunks as C, citations as X, library as L
+from foliospark.sources.scratch import saved
 
 DIM, BATCH = 64, 32
 
@@ -53,6 +54,22 @@ def write_chunks(chunks: DataFrame, path: str, dim: int) -> DataFrame:
     return chunks.filter(~F.coalesce(good, F.lit(False)))
 
 
+def replace_owners(chunks: DataFrame, path: str, dim: int) -> DataFrame:
+    """As ``write_chunks``, but what ``path`` has of these owners goes; other owners' files stay as they are."""
+    good = (F.size("embedding") == dim) & F.col("chunk_id").isNotNull()
+    put = chunks.filter(good).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    put.partitionBy("owner_id").parquet(path)
+    return chunks.filter(~F.coalesce(good, F.lit(False)))
+
+
+def reset_owner(spark: SparkSession, path: str, owner: str) -> int:
+    """Drops an owner's folder of a chunk table; gives the number of rows that went."""
+    n = spark.read.parquet(path).filter(F.col("owner_id") == owner).count()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/owner_id={owner}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return n
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of the exact hits that were found."""
     hit = found.select("query_id", "id", F.lit(1).alias("hit"))
@@ -72,6 +89,22 @@ def ingest(sections: DataFrame, papers: DataFrame, make: Callable[[DataFrame], D
     return chunks, edges, summary
 
 
+def ingest_reusing(
+    sections: DataFrame, papers: DataFrame, stored: DataFrame, provider: str = "hashed", make: Callable[[DataFrame], DataFrame] = hashed
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(chunks with vectors, citation edges, papers with status and counts, newly made vectors): as ``ingest``, but
+    texts whose vectors are ``stored`` (key, embedding) are not embedded again, and equal texts once."""
+    made: list[DataFrame] = []
+
+    def once(cut: DataFrame) -> DataFrame:
+        rows, new = reused(saved(cut, "cut"), stored, provider, lambda missing: saved(make(missing), "vectors"))
+        made.append(new)
+        return saved(rows.drop("key"), "chunks")
+
+    chunks, edges, _ = ingest(sections, papers, once)
+    return chunks, edges, mark_ingested(papers.withColumns({"chunk_count": F.lit(0), "ingest_status": F.lit("pending")}), chunks), made[0]
+
+
 def ingest_texts(texts: DataFrame, owner: str | Column = "", title: str = "Untitled", make: Callable[[DataFrame], DataFrame] = hashed) -> DataFrame:
     """Chunks with vectors of raw texts (doc_id, text), with default metadata."""
     cut = C.split(texts).withColumns({"title": F.lit(title), "owner_id": F.lit(owner), "source": F.lit("text")})

@@ -65,54 +65,6 @@ def field_postings(papers: DataFrame, fields: tuple[str, ...] = ("title", "autho
     return rows.distinct()
 
 
-class Match:
-    """A full-text predicate over the token arrays of a paper's fields."""
-
-    fields = ("title", "authors", "abstract")
-
-    def __init__(self, test):
-        self.test = test
-
-    def __and__(self, other: Match) -> Match:
-        return Match(lambda a: self.test(a) & other.test(a))
-
-    def __or__(self, other: Match) -> Match:
-        return Match(lambda a: self.test(a) | other.test(a))
-
-    def __invert__(self) -> Match:
-        return Match(lambda a: ~self.test(a))
-
-    @classmethod
-    def _any(cls, field: str | None, one) -> Match:
-        names = [field] if field else list(cls.fields)
-
-        def test(arrays: dict[str, Column]) -> Column:
-            out = one(arrays[names[0]])
-            for n in names[1:]:
-                out = out | one(arrays[n])
-            return out
-
-        return Match(test)
-
-    @classmethod
-    def term(cls, word: str, field: str | None = None) -> Match:
-        return cls._any(field, lambda a: F.array_contains(a, word.lower()))
-
-    @classmethod
-    def prefix(cls, start: str, field: str | None = None) -> Match:
-        return cls._any(field, lambda a: F.exists(a, lambda t: t.startswith(start.lower())))
-
-    @classmethod
-    def phrase(cls, words: str, field: str | None = None) -> Match:
-        joined = " " + " ".join(words.lower().split()) + " "
-        return cls._any(field, lambda a: F.contains(F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" ")), F.lit(joined)))
-
-
-def full_text(papers: DataFrame, match: Match) -> DataFrame:
-    """Papers that a full-text predicate accepts."""
-    return papers.filter(match.test({f: T.tokens(F.col(f)) for f in Match.fields}))
-
-
 def listing(df: DataFrame, sort: str = "created_at", limit: int = 50, offset: int = 0, most: int = 500) -> DataFrame:
     """One page in the given order (an unknown one is ``created_at``), with the total count."""
     column, down = SORTS.get(sort, SORTS["created_at"])
@@ -215,6 +167,16 @@ def plain_search(papers: DataFrame, queries: DataFrame, fields: tuple[str, ...]
     return hits.filter("met = n").select("query_id", "id")
 
 
+def daily_sketches(rows: DataFrame, day: str, columns: list[str], bits: int = 14) -> DataFrame:
+    """(day, sketch of each column): mergeable counts of different values; a day's sketch is made once."""
+    return rows.groupBy(day).agg(*[F.hll_sketch_agg(c, bits).alias(c) for c in columns])
+
+
+def sketched_counts(sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of different values of each column over the given days, within about 2%."""
+    return sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+
+
 def next_id(df: DataFrame, id: str = "id") -> DataFrame:
     return df.agg((F.coalesce(F.max(id), F.lit(0)) + 1).alias("next_id"))
 

@@ -91,14 +91,23 @@ def trimmed(turns: DataFrame, most: int = 20, tool_chars: int = 2000) -> DataFra
     return turns.join(stay.hint("merge"), same, "left_semi").select("conv_id", "turn", "role", cut.alias("text"))
 
 
+#: The marks of a digest's lines.
+SYSTEM_MARK, USER_MARK, ANSWER_MARK, CALL_MARK, RESULT_MARK = "[系统提示]", "[用户] ", "[助手] ", "[助手调用工具] ", "[工具结果]"
+
+
 def digest(turns: DataFrame) -> DataFrame:
-    """(conv_id, digest): a line for each turn, users' cut at 100 characters, answers' at 80."""
+    """(conv_id, digest): a line for each turn, users' cut at 100 characters, answers' at 80; turns of other roles have none.
+
+    ``turns`` may have ``calls`` (ids of an assistant's calls)."""
+    text = F.coalesce("text", F.lit(""))
+    called = F.coalesce(F.size("calls") > 0, F.lit(False)) if "calls" in turns.columns else F.lit(False)
     line = (
-        F.when(F.col("role") == "user", F.concat(F.lit("User: "), F.substring("text", 1, 100)))
-        .when(F.col("role") == "assistant", F.concat(F.lit("Assistant: "), F.substring("text", 1, 80)))
-        .otherwise(F.concat(F.lit("["), "role", F.lit("]")))
+        F.when(F.col("role") == "system", SYSTEM_MARK)
+        .when(F.col("role") == "user", F.concat(F.lit(USER_MARK), F.substring(text, 1, 100)))
+        .when(F.col("role") == "assistant", F.concat(F.when(called, CALL_MARK).otherwise(ANSWER_MARK), F.substring(text, 1, 80)))
+        .when(F.col("role") == "tool", RESULT_MARK)
     )
-    ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    ordered = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("turn", line.alias("line")))))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("digest"))
 
 

@@ -4,35 +4,70 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliospark.functions.text import preview, stripped
+
 
 def joined(order: Column, line: Column, sep: str = "\n") -> Column:
     """An aggregate: the lines of a group in order. Groups are ranked lists of bounded length."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda s: s["l"]), sep)
 
 
-def flat(text: Column, n: int) -> Column:
-    return F.substring(F.regexp_replace(text, r"\s*\n\s*", " "), 1, n)
+#: What stands for no hits, for an unknown field, and the lines of an overview.
+NO_CONTEXT, NO_HITS, UNKNOWN = "（无参考资料）", "（无结果）", "未知"
+OVERVIEW_LINES = "[%d] %s | %s\n    作者: %s | 日期: %s\n    摘要: %s"
+
+
+def _for_all(blocks: DataFrame, queries: DataFrame | None, none: str) -> DataFrame:
+    """Also the queries without hits, if a table of queries is given."""
+    if queries is None:
+        return blocks
+    return queries.select("query_id").join(blocks, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(none)))
 
 
-def context_blocks(hits: DataFrame, n: int = 600) -> DataFrame:
-    """(query_id, context) from hits (query_id, rank, title, source, text)."""
-    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.concat_ws(" | ", "title", "source"))
-    return hits.groupBy("query_id").agg(joined(F.col("rank"), F.concat(head, F.lit("\n"), flat(F.col("text"), n)), "\n\n").alias("context"))
+def context_blocks(hits: DataFrame, n: int = 600, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context) from hits (query_id, rank, text and, where they have them, section, page, source).
 
+    Each hit is a head that names what is known of it, and its text on one line, cut at ``n`` characters with an ellipsis."""
+    has = lambda c, kind="string": F.col(c).cast(kind) if c in hits.columns else F.lit(None).cast(kind)
+    named = lambda mark, c: F.when(F.nullif(c, F.lit("")).isNotNull(), F.concat(F.lit(mark), c)).otherwise("")
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]"), named(" section=", has("section")),
+                    named(" | page=", F.nullif(has("page"), F.lit("0"))), named(" | source=", has("source")))
+    body = preview(F.replace(stripped(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" ")), n)
+    block = F.concat(head, F.lit("\n"), body)
+    return _for_all(hits.groupBy("query_id").agg(joined(F.col("rank"), block, "\n\n").alias("context")), queries, NO_CONTEXT)
 
-def compact_blocks(hits: DataFrame, n: int = 400) -> DataFrame:
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), flat(F.col("text"), n))
-    return hits.groupBy("query_id").agg(joined(F.col("rank"), line).alias("context"))
+
+def compact_blocks(hits: DataFrame, n: int = 400, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, context) from hits (query_id, rank, arxiv_id, section, text): the short form."""
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), some("arxiv_id"), F.lit(" | "), some("section"), F.lit("\n"))
+    block = F.concat(head, F.substring(stripped(some("text")), 1, n))
+    return _for_all(hits.groupBy("query_id").agg(joined(F.col("rank"), block, "\n\n").alias("context")), queries, NO_HITS)
 
 
 def overview(papers: DataFrame, n: int = 100) -> DataFrame:
-    """(owner_id, overview): each owner's n newest papers, numbered, with short abstracts."""
+    """(owner_id, overview): each owner's n newest papers, numbered, with authors, date and short abstracts."""
     from pyspark.sql import Window as W
 
     place = F.row_number().over(W.partitionBy("owner_id").orderBy(F.desc("created_at"), F.desc("id")))
     rows = papers.withColumn("r", place).filter(F.col("r") <= n)
-    line = F.format_string("%d. %s (%s): %s", F.col("r"), F.col("title"), F.substring("authors", 1, 100), flat(F.col("abstract"), 300))
-    return rows.groupBy("owner_id").agg(joined(F.col("r"), line).alias("overview"))
+    some = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    line = F.format_string(
+        OVERVIEW_LINES, "r", "arxiv_id", some("title", F.col("arxiv_id")), F.substring(some("authors", F.lit(UNKNOWN)), 1, 100),
+        some("published", F.lit(UNKNOWN)), F.substring(F.coalesce("abstract", F.lit("")), 1, 300),
+    )
+    return rows.groupBy("owner_id").agg(joined(F.col("r"), line, "\n\n").alias("overview"))
+
+
+def chosen_abstract(own: Column, section: Column, most: int = 3000) -> Column:
+    """A paper's abstract: its own, else that of its first section of this name; cut with an ellipsis."""
+    return preview(F.coalesce(F.nullif(own, F.lit("")), stripped(section), F.lit("")), most)
+
+
+def chunk_texts(chunks: DataFrame, first: int = 30, each: int = 500, most: int = 8000) -> DataFrame:
+    """(doc_id, text) of chunks (doc_id, chunk_no, text): the beginnings of a document's first chunks, where its full text lacks."""
+    rows = chunks.filter(F.col("chunk_no") < first).groupBy("doc_id").agg(joined(F.col("chunk_no"), F.substring("text", 1, each), "\n\n").alias("text"))
+    return rows.select("doc_id", preview(F.col("text"), most).alias("text"))
 
 
 def citation_report(out: DataFrame, most: int = 10) -> DataFrame:
@@ -52,7 +87,6 @@ CITED_HEAD = "\n被 %d 篇论文引用："
 CITATION_LINE = "  %s %s: %s"
 SIMILAR_HEAD = "与 %s 相似的论文 (%d 篇)："
 SIMILAR_LINE = "  [%d] %s: %s\n      相似度: %.4f | 共同片段: %d"
-UNKNOWN = "未知"
 
 
 def _below(head: Column, lines: Column) -> Column:
@@ -99,8 +133,6 @@ def recommendation_lists(similar: DataFrame) -> DataFrame:
 
 def full_texts(sections: DataFrame, most: int = 8000) -> DataFrame:
     """(doc_id, text): section contents joined by blank lines, cut with an ellipsis."""
-    from foliospark.functions.text import preview
-
     text = joined(F.col("seq"), F.trim("content"), "\n\n")
     rows = sections.filter(F.trim("content") != "").groupBy("doc_id").agg(text.alias("text"))
     return rows.select("doc_id", preview(F.col("text"), most).alias("text"))

@@ -6,6 +6,13 @@ side is broadcast only if its row count, which is checked, is within a bound.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from foliospark.functions import text as T
@@ -54,23 +61,31 @@ def idf() -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, id: str = "id", text: str = "text", least: float = 0.0) -> DataFrame:
     """(query_id, id, score, len) of all documents that score above ``least``.
 
-    Only the asked terms' postings are shuffled and written; their document counts come from these.
+    One pass over the texts writes the asked terms' counts and, as the empty term, each document's
+    length. ``textindex.TextIndex.bm25`` gives the same from a stored index.
     """
-    rows = terms(docs, id, text)
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query_text"))).alias("term"))
     asked = saved(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
-    wanted = small(asked.select("term").distinct())
-    found = rows.select("id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = saved(found.groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "postings")
+    tokens = docs.filter(F.trim(F.col(text)) != "").select(F.col(id).alias("id"), T.tokens(F.col(text)).alias("tokens"))
+    each = tokens.select("id", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(""))).alias("term"))
+    wanted = asked.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct()
+    found = each.join(small(wanted), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    found = saved(found, "postings")
+    postings = found.filter("term <> ''")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(df.hint("merge"), "term").crossJoin(F.broadcast(totals(rows)))  # one row of totals
+    weights = asked.join(df.hint("merge"), "term").crossJoin(F.broadcast(totals(found.filter("term = ''"))))  # one row of totals
     weights = saved(weights.select("query_id", "term", "times", idf().alias("idf"), "avgdl"), "weights")
+    return scored(postings, weights, least)
+
+
+def scored(postings: DataFrame, weights: DataFrame, least: float = 0.0) -> DataFrame:
+    """(query_id, id, score, len) from postings (id, len, term, tf) and weights (query_id, term, times, idf, avgdl)."""
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))
     )
     hits = postings.join(small(weights), "term")
-    scored = hits.groupBy("query_id", "id", "len").agg(F.sum(part).alias("raw"))
-    return scored.filter(F.col("raw") > least).select("query_id", "id", F.round("raw", 6).alias("score"), "len")
+    sums = hits.groupBy("query_id", "id", "len").agg(F.sum(part).alias("raw"))
+    return sums.filter(F.col("raw") > least).select("query_id", "id", F.round("raw", 6).alias("score"), "len")
 
 
 def ranked(hits: DataFrame, order: list[Column], top: int, rank: str = "rank", by: str = "query_id") -> DataFrame:
@@ -119,6 +134,49 @@ def dense(chunks: DataFrame, queries: DataFrame, top: int = CANDIDATES, where: C
     pairs = rows.join(F.broadcast(asked), F.lit(True)).select(
         "query_id", "id", F.round(cosine_distance(F.col("embedding"), F.col("query_vector")), 6).alias("distance")
     )
+    return ranked(nearest_of_parts(pairs, top), [F.asc("distance"), F.asc("id")], top)
+
+
+#: Pairs of a query that a task holds before it drops the farther ones.
+HELD = 1 << 20
+
+
+def nearest_of_parts(pairs: DataFrame, top: int) -> DataFrame:
+    """Of the pairs (query_id, id, distance) those among a partition's ``top`` nearest of their query: what a task
+    shuffles doesn't grow with its rows."""
+
+    def cut(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("query_id", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+        query = table.column("query_id").combine_chunks()
+        new = np.ones(len(table), bool)
+        new[1:] = pc.fill_null(pc.not_equal(query[1:], query[:-1]), True).to_numpy(zero_copy_only=False)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(table)), 0))
+        return table.filter(pa.array(np.arange(len(table)) - first < top))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, full = [], 0, HELD
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > full:
+                kept = cut(pa.Table.from_batches(held))
+                held, size = kept.to_batches(), kept.num_rows
+                full = max(HELD, 2 * size)
+        if held:
+            yield from cut(pa.Table.from_batches(held)).to_batches()
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
+def dense_by_hashes(chunks: DataFrame, queries: DataFrame, top: int = CANDIDATES, length: float = 4.0, tables: int = 24, seed: int = 1) -> DataFrame:
+    """(query_id, id, distance, rank) as ``dense``, approximately: rows and queries that share a bucket of one of ``tables``
+    random projections of their unit vectors, by an equal join on buckets, are compared. Zero vectors take no part."""
+    unit = lambda v: array_to_vector(normalised(F.col(v)))
+    rows = chunks.filter("embedding is not null").select("id", unit("embedding").alias("v"))
+    asked = queries.filter("query_vector is not null").select("query_id", unit("query_vector").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
+    near = model.approxSimilarityJoin(rows, asked, 2.0, "d")
+    pairs = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), F.round(F.col("d") * F.col("d") / 2, 6).alias("distance"))
     return ranked(pairs, [F.asc("distance"), F.asc("id")], top)
 
 
@@ -173,7 +231,8 @@ def unified(hits: DataFrame) -> DataFrame:
 
 
 def hybrid(
-    chunks: DataFrame, queries: DataFrame, owner: str | None = None, top: int = TOP, n: int = CANDIDATES, sparse: bool = True, scorer=None
+    chunks: DataFrame, queries: DataFrame, owner: str | None = None, top: int = TOP, n: int = CANDIDATES, sparse: bool = True, scorer=None,
+    index=None,
 ) -> DataFrame:
     """(query_id, id, rrf_score, dense_rank, sparse_rank, rank): BM25 and vectors fused.
 
@@ -181,11 +240,13 @@ def hybrid(
     query_vector. The owner filter holds for both sides. A chunk or a query without a
     vector takes part in the sparse side alone. Without ``sparse`` the vectors decide alone.
     A ``scorer`` of (query, document) columns reranks the best ``n`` (see ``rerank``), which adds
-    rerank_score and original_score, the fused one.
+    rerank_score and original_score, the fused one. ``index`` is a ``TextIndex`` of all the chunks' texts; it serves
+    the sparse side if no owner is given (an owner's counts of terms are its own).
     """
     rows = chunks.filter(F.col("owner_id") == owner) if owner is not None else chunks
     near = dense(rows, queries.select("query_id", "query_vector"), n)
-    words = ranked(bm25(rows, queries), [F.desc("score"), F.asc("id")], n) if sparse else near.filter("false")
+    found = index.bm25(queries) if index and owner is None else bm25(rows, queries) if sparse else None
+    words = ranked(found, [F.desc("score"), F.asc("id")], n) if sparse else near.filter("false")
     fused = weighted_rrf(near, words)
     if scorer is None:
         return fused.filter(F.col("rank") <= top)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from foliospark.functions.text import stripped
+
 #: Titles that open a section if the type is large enough.
 NAMES = [
     "references", "abstract", "acknowledgements", "acknowledgments", "conclusion", "conclusions", "supplementary material",
@@ -76,24 +78,45 @@ def spans_to_lines(spans: DataFrame) -> DataFrame:
     )
 
 
+#: A Markdown heading, a line of a table, a table on one line.
+MARKDOWN_HEADING = r"^(#{1,6})\s+(.+)$"
+TABLE_LINE = r"^\|.+\|$"
+HTML_TABLE_LINE = r"(?is)^<table[^>]*>.*?</table>"
+
+
 def outline(rows: DataFrame) -> DataFrame:
-    """(doc_id, line_no, level, title, path, content) of the Markdown headings among the lines.
+    """(doc_id, line_no, level, title, path, content, tables) of the Markdown headings among the lines.
 
     ``path`` names the ancestors: for each level above, the last heading before
-    this line that no shallower heading has closed. ``content`` is what stands below the heading
-    before the next one.
+    this line that no shallower heading has closed. Below a heading and before the next one, table
+    lines, with the blank lines after them, are the ``tables``; what stands between
+    them is the ``content``: parts without blank ends and without more than one blank line in a row, joined by blank lines.
     """
     order = W.partitionBy("doc_id").orderBy("line_no")
-    level = F.length(F.regexp_extract("text", r"^(#{1,6})\s+(.*)$", 1))
-    numbered = rows.withColumn("level", level).withColumn("part", F.sum((F.col("level") > 0).cast("int")).over(order))
+    before = order.rowsBetween(W.unboundedPreceding, 0)
+    level = F.length(F.regexp_extract("text", MARKDOWN_HEADING, 1))
+    bare = stripped(F.col("text"))
+    table = bare.rlike(TABLE_LINE) | bare.rlike(HTML_TABLE_LINE)
+    kind = F.when(F.col("level") > 0, "head").when(table, "table").when(bare != "", "text")
+    numbered = rows.withColumn("level", level).withColumn("kind", F.last(kind, ignorenulls=True).over(before))
+    numbered = numbered.withColumn("part", F.sum((F.col("level") > 0).cast("int")).over(order))
     head = F.col("level") > 0
-    own = F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", "text"))))
-    heads = numbered.filter("part > 0").groupBy("doc_id", "part").agg(
-        F.min(F.when(head, F.col("line_no"))).alias("line_no"), F.max("level").alias("level"),
-        F.max(F.when(head, F.trim(F.regexp_extract("text", r"^(#{1,6})\s+(.*)$", 2)))).alias("title"),
-        F.array_join(F.transform(own, lambda s: s["text"]), "\n").alias("content"),
+    # A run is a stretch of lines inside or outside a table; a blank line belongs to what stands before it.
+    inside = F.col("kind") == "table"
+    turned = head | (inside != F.coalesce(F.lag(inside).over(order), F.lit(False)))
+    numbered = numbered.withColumn("inside", inside).withColumn("run", F.sum(turned.cast("int")).over(order))
+    lines_ = F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", "text"))))
+    runs = numbered.filter("part > 0").groupBy("doc_id", "part", "run").agg(
+        F.min(F.when(head, F.col("line_no"))).alias("line_no"), F.max("level").alias("level"), F.max("inside").alias("inside"),
+        F.max(F.when(head, stripped(F.regexp_extract("text", MARKDOWN_HEADING, 2)))).alias("title"),
+        F.array_join(F.transform(lines_, lambda s: s["text"]), "\n").alias("text"),
+    )
+    clean = stripped(F.regexp_replace("text", r"\n{3,}", "\n\n"))
+    kept = lambda c, when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("run", c.alias("t"))))), lambda s: s["t"])
+    heads = runs.groupBy("doc_id", "part").agg(
+        F.max("line_no").alias("line_no"), F.max("level").alias("level"), F.max("title").alias("title"),
+        F.array_join(kept(clean, ~F.col("inside") & (clean != "")), "\n\n").alias("content"), kept(F.col("text"), F.col("inside")).alias("tables"),
     )
-    before = order.rowsBetween(W.unboundedPreceding, 0)
     for l in range(1, DEPTH + 1):
         last = F.max(F.when(F.col("level") == l, F.struct("line_no", "title"))).over(before)
         heads = heads.withColumn(f"a{l}", last)
@@ -103,7 +126,7 @@ def outline(rows: DataFrame) -> DataFrame:
         open_ = a.isNotNull() & (F.col("level") >= l) & (a["line_no"] > floor)
         path.append(F.when(open_, a["title"]))
         floor = F.when(a.isNotNull(), F.greatest(floor, a["line_no"])).otherwise(floor)
-    return heads.select("doc_id", "line_no", "level", "title", F.concat_ws(" > ", *path).alias("path"), "content")
+    return heads.select("doc_id", "line_no", "level", "title", F.concat_ws(" > ", *path).alias("path"), "content", "tables")
 
 
 def markdown_tables(rows: DataFrame) -> DataFrame:

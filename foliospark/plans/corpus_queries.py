@@ -1,14 +1,15 @@
-"""Source, corpus and streaming queries that SQL on the given tables can't express (rows only)."""
+"""Source, corpus and streaming queries."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
-from foliospark.operators import cells, embed as E, retrieval as R, sections as S
+from foliospark.operators import cells, embed as E, library as L, retrieval as R, sections as S
 from foliospark.plans.register import Tables, query
 from foliospark.plans.retrieval_queries import NEAR, asked_vectors, tok, vectors
-from foliospark.plans.text_queries import sized
+from foliospark.plans.text_queries import sections_sql, sized
 from foliospark.sources import parsed, scratch
 from foliospark.streaming import ingest, keyed
 
@@ -29,6 +30,28 @@ def _(t):
     return flat.select(F.col("doc_id").cast("long").alias("arxiv_id"), F.md5("content").alias("content_md5"))
 
 
+@query("s1_parsed_tree", """select concat(lang, '-', cast(b as varchar)) as paper_id, count(*) as n_sections, cast(sum(length(text)) as bigint) as n_chars
+    from (select lang, doc_id % 8 as b, text from documents) group by lang, b""")
+def _(t):
+    # A tree of folders by language with a file for each eighth of its documents, their texts as sections, and a
+    # broken file in each folder. A file is one document.
+    path = scratch.folder(t.spark, "tree")
+    docs = t("documents").select("lang", (F.col("doc_id") % 8).alias("b"), "text")
+    section = F.to_json(F.struct(F.lit("S").alias("title"), F.lit(1).alias("page"), F.col("text").alias("content")))
+    rows = docs.select("lang", "b", F.lit(1).alias("k"), F.concat(F.lit(","), section).alias("value"))
+    heads = docs.select("lang", "b").distinct()
+    first = heads.select("lang", "b", F.lit(0).alias("k"), F.lit('{"metadata": {"title": "T"}, "sections": [{"title": "S", "content": ""}').alias("value"))
+    last = heads.select("lang", "b", F.lit(2).alias("k"), F.lit("]}").alias("value"))
+    every = rows.unionByName(first).unionByName(last).repartition("lang", "b").sortWithinPartitions("lang", "b", "k")
+    every.select("lang", "b", "value").write.partitionBy("lang", "b").text(path)
+    broken = heads.select("lang", F.lit('{"metadata": {"title": "cut off').alias("value")).distinct()
+    broken.write.mode("append").partitionBy("lang").text(path)
+    found = parsed.read_parsed(t.spark, path).withColumn("file", F.col("_metadata.file_path"))
+    flat = found.select("file", F.explode("sections").alias("s")).filter("s.content <> '' or s.page = 1")
+    name = F.concat(F.regexp_extract("file", "lang=([^/]*)", 1), F.lit("-"), F.regexp_extract("file", "/b=([^/]*)", 1))
+    return flat.groupBy(name.alias("paper_id")).agg(F.count_if(F.col("s.page") == 1).alias("n_sections"), F.sum(F.length("s.content")).alias("n_chars"))
+
+
 @query("f12_content_projection", "select doc_id as arxiv_id, 'Introduction' as title, length(text) as n_chars from documents")
 def _(t):
     rows = t.spark.read.schema(parsed.DOCUMENT).json(json_files(t))
@@ -99,6 +122,18 @@ def _(t):
     return E.hashed(t("documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.round(R.norm(F.col("embedding")), 4).alias("norm"))
 
 
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """A model for tests and examples: a text's length, its letters e, its spaces."""
+    return np.array([[len(x), x.count("e"), x.count(" ")] for x in texts], np.float32).reshape(len(texts), 3)
+
+
+@query("e1_model_embed", """select doc_id, length(text) as n, length(text) - length(replace(text, 'e', '')) as e, length(text) - length(replace(text, ' ', '')) as spaces from documents""")
+def _(t):
+    rows = E.embed(t("documents").select("doc_id", "text"), letter_counts, 3)
+    at = lambda k: F.col("embedding")[k].cast("long")
+    return rows.select("doc_id", at(0).alias("n"), at(1).alias("e"), at(2).alias("spaces"))
+
+
 @query("e2_reuse", """select doc_id, 64 as dim, (select count(distinct text) from documents
     where text not in (select text from documents where doc_id % 3 = 0)) as n_new from documents""")
 def _(t):
@@ -124,6 +159,46 @@ def _(t):
     return E.ingest(sections, papers)[2]
 
 
+def ingest_inputs(t: Tables):
+    papers = t("papers").select(F.col("id").alias("doc_id"), "arxiv_id", "owner_id")
+    refs = t("references_text").select("doc_id", F.lit(1_000_000).cast("long").alias("seq"), F.lit("References").alias("title"), F.col("refs").alias("content"))
+    sections = S.sections(sized(t)).select("doc_id", F.col("seq").cast("long").alias("seq"), "title", "content").unionByName(refs)
+    return sections, papers
+
+
+@query("e5_papers", f"""with {sections_sql()}, filled as (select distinct doc_id from secs union select citing from citations),
+    edges as (select citing as doc_id, count(*) as n_edges from citations group by citing)
+    select p.id, case when f.doc_id is null then 'pending' else 'ingested' end as ingest_status, f.doc_id is not null as has_chunks, coalesce(n_edges, 0) as n_edges
+    from papers p left join filled f on f.doc_id = p.id left join edges e on e.doc_id = p.id""")
+def _(t):
+    # Half of the vectors are there before; the chunks are written by owner, the edges merged into those that are known.
+    sections, papers = ingest_inputs(t)
+    first, _, _ = E.ingest(sections.filter("doc_id % 2 = 0"), papers)
+    stored = first.select(T.content_key(F.lit("hashed"), F.col("text")).alias("key"), "embedding").dropDuplicates(["key"])
+    chunks, edges, done, _ = E.ingest_reusing(sections, papers, scratch.saved(stored, "stored"))
+    path = scratch.folder(t.spark, "chunks")
+    E.write_chunks(chunks, path, E.DIM)
+    written = t.spark.read.parquet(path).groupBy("arxiv_id").agg(F.count("*").alias("n"))
+    known = edges.limit(0)
+    merged = L.insert_absent(L.insert_absent(known, edges, ["citing", "cited"], [F.col("context")]), edges, ["citing", "cited"], [F.col("context")])
+    n = merged.groupBy(F.col("citing").alias("arxiv_id")).agg(F.count("*").alias("n_edges"))
+    both = done.join(written.hint("merge"), "arxiv_id", "left").join(n.hint("merge"), "arxiv_id", "left")
+    has = (F.coalesce("n", F.lit(0)) == F.col("chunk_count")) & (F.col("chunk_count") > 0)
+    return both.select(F.col("doc_id").alias("id"), "ingest_status", has.alias("has_chunks"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+@query("e5_reuse", f"""with {sections_sql()} select doc_id, n_new = 0 as all_known from (select distinct doc_id, 0 as n_new from (select doc_id from secs union all select citing from citations)) x""")
+def _(t):
+    # A second ingest of the same documents embeds nothing anew.
+    sections, papers = ingest_inputs(t)
+    first, _, _ = E.ingest(sections, papers)
+    stored = scratch.saved(first.select(T.content_key(F.lit("hashed"), F.col("text")).alias("key"), "embedding").dropDuplicates(["key"]), "stored")
+    chunks, _, _, new = E.ingest_reusing(sections, papers, stored)
+    made = new.select("key").withColumn("fresh", F.lit(True)).hint("merge")
+    keyed_ = chunks.withColumn("key", T.content_key(F.lit("hashed"), F.col("text"))).join(made, "key", "left")
+    return keyed_.groupBy("doc_id").agg((F.count("fresh") == 0).alias("all_known"))
+
+
 @query("e6_raw_ingest")
 def _(t):
     return E.ingest_texts(t("documents"), owner="u1").select("chunk_id", "owner_id", "title", F.length("text").alias("n_chars"))
@@ -138,25 +213,87 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("n"))
 
 
+OWNED = "owned as (select vec_id, concat('u', cast(label % 3 as varchar)) as owner_id from embeddings)"
+
+
+def owned_chunks(t: Tables):
+    owner = F.concat(F.lit("u"), (F.col("label") % 3).cast("string"))
+    return t("embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", owner.alias("owner_id"), "embedding")
+
+
+def owner_files(t: Tables, path: str):
+    files = t.spark.read.parquet(path).select("owner_id", F.col("_metadata.file_name").alias("file")).distinct()
+    return files.groupBy("owner_id").agg(F.md5(F.array_join(F.sort_array(F.collect_set("file")), ",")).alias("files"))  # some files an owner
+
+
+@query("s9_replace_owner", f"with {OWNED} select owner_id, count(*) as n, owner_id <> 'u1' as same_files from owned where owner_id <> 'u1' or vec_id % 2 = 0 group by owner_id")
+def _(t):
+    path = scratch.folder(t.spark, "chunks")
+    E.write_chunks(owned_chunks(t), path, 64)
+    before = scratch.saved(owner_files(t, path), "files").withColumnRenamed("files", "old")
+    E.replace_owners(owned_chunks(t).filter("owner_id = 'u1' and vec_id % 2 = 0"), path, 64)
+    same = owner_files(t, path).join(before.hint("merge"), "owner_id").select("owner_id", (F.col("files") == F.col("old")).alias("same_files"))
+    return t.spark.read.parquet(path).groupBy("owner_id").agg(F.count("*").alias("n")).join(same.hint("merge"), "owner_id")
+
+
+@query("s10_drop_owner", f"with {OWNED} select owner_id, count(*) as n, (select count(*) from owned where owner_id = 'u1') as removed, true as same_files from owned where owner_id <> 'u1' group by owner_id")
+def _(t):
+    path = scratch.folder(t.spark, "chunks")
+    E.write_chunks(owned_chunks(t), path, 64)
+    before = scratch.saved(owner_files(t, path), "files").withColumnRenamed("files", "old")
+    removed = E.reset_owner(t.spark, path, "u1")
+    same = owner_files(t, path).join(before.hint("merge"), "owner_id").select("owner_id", (F.col("files") == F.col("old")).alias("same_files"))
+    left = t.spark.read.parquet(path).groupBy("owner_id").agg(F.count("*").alias("n"), F.lit(removed).cast("long").alias("removed"))
+    return left.join(same.hint("merge"), "owner_id")
+
+
 @query("r9_cell_search", f"with {NEAR} select * from near")
 def _(t):
     rows = vectors(t)
     return cells.cell_search(rows, asked_vectors(t), cells.fit_cells(rows))
 
 
-@query("r9_recall")
+@query("r9_hash_recall", "select true as enough")
 def _(t):
     rows, asked = vectors(t), asked_vectors(t)
-    return E.recall(cells.cell_search(rows, asked, cells.fit_cells(rows)), R.dense(rows, asked))
+    found = E.recall(R.dense_by_hashes(rows, asked), R.dense(rows, asked))
+    return found.select((F.col("recall") >= 0.9).alias("enough"))
 
 
-@query("w1_stream_ingest")
+@query("r9_recall", "select 1.0 as recall")
 def _(t):
+    rows, asked = vectors(t), asked_vectors(t)
+    return E.recall(cells.cell_search(rows, asked, cells.fit_cells(rows)), R.dense(rows, asked))
+
+
+def arrivals(t: Tables, path: str, of: str, title: str) -> None:
+    """Writes some documents, with their reference lists, as JSON files into a folder that is watched."""
+    refs = t("references_text").select("doc_id", "refs")
+    docs = t("documents").filter(of).join(refs.hint("merge"), "doc_id", "left")
+    part = lambda name, c: F.struct(F.lit(name).alias("title"), F.lit(1).alias("page"), F.coalesce(c, F.lit("")).alias("content"))
+    meta = F.struct(F.lit(title).alias("title"), F.array("lang").alias("authors"), F.lit("").alias("abstract"), "source", F.col("doc_id").cast("string").alias("arxiv_id"))
+    sections = F.array(part("Introduction", F.col("text")), part("References", F.col("refs")))
+    docs.select(F.to_json(F.struct(meta.alias("metadata"), sections.alias("sections"))).alias("value")).write.mode("append").text(path)
+
+
+def ingested(t: Tables) -> str:
+    """The tables of a folder that was fed with all documents, with a third of them again, and with all of them again in one trigger."""
     out = scratch.folder(t.spark, "stream")
-    files = json_files(t)
-    run = ingest.watch(t.spark, files, f"{out}/chunks", f"{out}/checkpoint", lines=True)
-    run.awaitTermination()
-    return t.spark.read.parquet(f"{out}/chunks").select("chunk_id", F.length("text").alias("n_chars"))
+    for of, title in [("doc_id % 2 = 0", "first"), ("doc_id % 2 = 1 or doc_id % 3 = 0", "second"), ("true", "third")]:
+        arrivals(t, f"{out}/in", of, title)
+        ingest.watch(t.spark, f"{out}/in", out, f"{out}/checkpoint", lines=True).awaitTermination()
+    return out
+
+
+@query("w1_stream_ingest", """select cast(d.doc_id as varchar) as arxiv_id, 'third' as title, 'ingested' as ingest_status, true as counted, coalesce(n, 0) as n_edges from documents d
+    left join (select citing as doc_id, count(*) as n from citations group by citing) e using (doc_id) where trim(text) <> '' or n is not null""")
+def _(t):
+    papers, chunks, edges = ingest.current(t.spark, ingested(t))
+    n = chunks.groupBy("arxiv_id").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("different"))
+    e = edges.groupBy(F.col("citing").alias("arxiv_id")).agg(F.count("*").alias("n_edges"))
+    rows = papers.join(n.hint("merge"), "arxiv_id").join(e.hint("merge"), "arxiv_id", "left")
+    counted = (F.col("n") == F.col("chunk_count")) & (F.col("n") == F.col("different"))
+    return rows.select("arxiv_id", "title", "ingest_status", counted.alias("counted"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 @query("w10_stream_traces", """select user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) as duration, round(sum(value), 4) as tokens,

@@ -8,8 +8,9 @@ from foliospark.functions import text as T
 from foliospark.operators import library as L
 from foliospark.operators.retrieval import small
 from foliospark.plans.register import query
+from foliospark.sources import exports as X, scratch
 
-Match = L.Match
+FIELDS = ["title", "authors", "abstract"]
 
 
 @query("f1_owner", "select id, arxiv_id from papers where owner_id = 'u1'")
@@ -43,9 +44,10 @@ def _(t):
 
 
 def has(word: str) -> str:
-    return "(" + " or ".join(f"list_contains({x}_t, '{word}')" for x in L.Match.fields) + ")"
+    return "(" + " or ".join(f"list_contains({x}_t, '{word}')" for x in FIELDS) + ")"
 
 
+from foliospark.operators.textindex import Match  # noqa: E402
 from foliospark.plans.retrieval_queries import tok  # noqa: E402
 
 TOKENS = f"""pt as (select id, {tok('title')} as title_t, {tok('authors')} as authors_t, {tok('abstract')} as abstract_t from papers)"""
@@ -55,32 +57,51 @@ TOKENS = f"""pt as (select id, {tok('title')} as title_t, {tok('authors')} as au
     (len(list_filter(abstract_t, lambda x: starts_with(x, 'ther'))) > 0 or list_contains(title_t, 'is'))""")
 def _(t):
     m = Match.term("the") & Match.term("that") & ~Match.term("moron") & (Match.prefix("ther", "abstract") | Match.term("is", "title"))
-    return L.full_text(t("papers"), m).select("id")
+    return t.index("papers", "id", FIELDS).match(m)
 
 
 @query("f4_phrase", f"""with {TOKENS} select id from pt where contains(concat(' ', array_to_string(abstract_t, ' '), ' '), ' of the ')""")
 def _(t):
-    return L.full_text(t("papers"), Match.phrase("of the", "abstract")).select("id")
+    return t.index("papers", "id", FIELDS).match(Match.phrase("of the", "abstract"))
 
 
 @query("f4_field_postings", f"""with {TOKENS} select distinct id, 'title' as field, unnest(title_t) as term from pt
     union select distinct id, 'authors', unnest(authors_t) from pt union select distinct id, 'abstract', unnest(abstract_t) from pt""")
 def _(t):
-    return L.field_postings(t("papers"))
+    return t.index("papers", "id", FIELDS).postings().select("id", "field", "term")
 
 
 @query("j4_full_text_semi", f"""with {TOKENS} select p.id, p.ingest_status from papers p where p.id in (select id from pt where {has('and')})""")
 def _(t):
-    hits = L.field_postings(t("papers")).filter(F.col("term") == "and").select("id")
-    return t("papers").join(hits, "id", "left_semi").select("id", "ingest_status")
+    hits = t.index("papers", "id", FIELDS).match(Match.term("and"))
+    return t("papers").select("id", "ingest_status").join(hits.hint("merge"), "id", "left_semi")
 
 
-@query("f5_plain_text_query", f"""with q as (select item_id as query_id, unnest(list_distinct(list_filter({tok("substr(text, 1, 60)")}, lambda x: x not in ({', '.join(f"'{w}'" for w in L.STOP_WORDS)})))) as term from benchmark),
+@query("f5_plain_text_query", f"""with q as (select item_id as query_id, unnest(list_distinct(list_filter({tok("text")}, lambda x: x not in ({', '.join(f"'{w}'" for w in L.STOP_WORDS)})))) as term from benchmark),
     n as (select query_id, count(*) as n from q group by query_id),
     p as (select distinct id, unnest({tok("concat_ws(' ', title, authors, abstract)")}) as term from papers)
     select query_id, id from q join p using (term) join n using (query_id) group by query_id, id, n having count(*) = n""")
 def _(t):
-    return L.plain_search(t("papers"), t("benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query_text")))
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return t.index("papers", "id", FIELDS).all_words(asked, L.STOP_WORDS)
+
+
+@query("f5_any_field_scan", f"""with p as (select distinct id, unnest({tok("concat_ws(' ', title, authors, abstract)")}) as term from papers), q as (select query_id, term from
+    (select item_id as query_id, unnest({tok("text")}) as term, unnest(range(1, len({tok("text")}) + 1)) as k from benchmark) where k <= 3 and term not in ({', '.join(f"'{w}'" for w in L.STOP_WORDS)})),
+    d as (select distinct * from q), n as (select query_id, count(*) as n from d group by query_id)
+    select query_id, id from d join p using (term) join n using (query_id) group by query_id, id, n having count(*) = n""")
+def _(t):
+    # Queries of the first words of each item; these are the queries, the papers are searched whole.
+    three = F.array_join(F.slice(T.tokens(F.col("text")), 1, 3), " ")
+    return L.plain_search(t("papers"), t("benchmark").select(F.col("item_id").alias("query_id"), three.alias("query_text")))
+
+
+@query("f4_negated_phrase", f"""with {TOKENS} select id from pt where not contains(concat(' ', array_to_string(abstract_t, ' '), ' '), ' the and ') and
+    (not {has('the')} or contains(concat(' ', array_to_string(abstract_t, ' '), ' '), ' and the and '))""")
+def _(t):
+    # Accepts documents that have none of the terms, and a phrase with a repeated word.
+    m = ~Match.phrase("the and", "abstract") & (~Match.term("the") | Match.phrase("and the and", "abstract"))
+    return t.index("papers", "id", FIELDS).match(m)
 
 
 @query("f6_point_lookup", "select p.id, p.title from papers p join labels l on l.doc_id = p.id and p.owner_id = 'u0'")
@@ -199,6 +220,18 @@ def _(t):
     return t("citations").agg(F.count_distinct("citing").alias("citing"), F.count_distinct("cited").alias("cited"))
 
 
+@query("a3_sketched_counts", "select count(distinct citing) as n_citing, count(distinct cited) as n_cited, true as citing_near, true as cited_near from citations")
+def _(t):
+    # Sketches by month of the citing paper, merged, beside the exact counts.
+    month = t("papers").select(F.col("id").alias("citing"), F.substring("published", 1, 7).alias("month"))
+    dated = t("citations").join(month.hint("merge"), "citing", "left")
+    monthly = scratch.saved(L.daily_sketches(dated, "month", ["citing", "cited"]), "sketches")
+    told = L.sketched_counts(monthly, ["citing", "cited"])
+    exact = t("citations").agg(F.count_distinct("citing").alias("n_citing"), F.count_distinct("cited").alias("n_cited"))
+    near = lambda c: (F.abs(F.col(c) - F.col(f"n_{c}")) <= 0.02 * F.col(f"n_{c}")).alias(f"{c}_near")
+    return exact.crossJoin(F.broadcast(told)).select("n_citing", "n_cited", near("citing"), near("cited"))  # one row each
+
+
 @query("a4_top_cited", "select cited, count(*) as n from citations group by cited order by n desc, cited limit 10")
 def _(t):
     return t("citations").groupBy("cited").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cited").limit(10)
@@ -371,29 +404,73 @@ def _(t):
     return L.numbered(t("pages").select("page_id", "url"), start, ["page_id"]).select("id", "url")
 
 
-BIB = """concat('@article{', case when name = '' then 'Unknown' else name end, case when substr(published, 1, 4) = '' then '0000' else substr(published, 1, 4) end,
-    ',', chr(10), '  title = {', title, '},', chr(10), '  author = {', authors, '},', chr(10), '  year = {', substr(published, 1, 4), '}', chr(10), '}')"""
+NAMED = "named as (select *, list_extract(string_split_regex(trim(string_split(authors, ',')[1]), '\\s+'), -1) as name, substr(published, 1, 4) as year from papers)"
+
+
+@query("s6_bibtex", f"""with {NAMED} select concat('@article{{', case when name = '' then 'Unknown' else name end, case when year = '' then '0000' else year end, ',', chr(10),
+    '  title = {{{{', title, '}}}},', chr(10), '  author = {{{{', authors, '}}}},', chr(10), '  year = {{{{', case when year = '' then '????' else year end, '}}}},', chr(10),
+    '  eprint = {{{{', arxiv_id, '}}}},', chr(10), '  url = {{{{', pdf_url, '}}}},', chr(10), '}}') as entry from named""")
+def _(t):
+    path = scratch.folder(t.spark, "bibtex")
+    X.write_papers(t("papers").withColumn("title", F.trim("title")), path, "bibtex")
+    return t.spark.read.text(path, lineSep="\n\n").select(F.col("value").alias("entry"))
+
+
+PAPER_FIELDS = "id, arxiv_id, title, authors, md5(abstract) as abstract_md5, published, pdf_url, source, ingest_status, chunk_count"
+
+
+@query("s6_csv", f"select {PAPER_FIELDS} from papers")
+def _(t):
+    path = scratch.folder(t.spark, "csv")
+    X.write_papers(t("papers"), path, "csv")
+    back = X.read_csv(t.spark, path, "id long, arxiv_id string, title string, authors string, abstract string, published string, pdf_url string, source string, ingest_status string, chunk_count int")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return back.select("id", "arxiv_id", text("title"), "authors", F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5"), "published", text("pdf_url"), "source", "ingest_status", "chunk_count")
 
 
-@query("s6_bibtex", f"select id, {BIB} as entry from (select *, list_extract(string_split_regex(trim(string_split(authors, ',')[1]), '\\s+'), -1) as name from papers)")
+@query("s6_json_newest", f"select {PAPER_FIELDS}, owner_id, created_at from papers order by created_at desc, id desc limit 200")
 def _(t):
-    from foliospark.sources.exports import bibtex
+    path = scratch.folder(t.spark, "json")
+    X.write_papers(t("papers"), path, "no such form", limit=200)
+    return t.spark.read.schema(t("papers").schema).json(path).withColumn("abstract_md5", F.md5("abstract")).drop("abstract")
+
 
-    return t("papers").select("id", bibtex().alias("entry"))
+def _bib(column: str) -> str:
+    for mark, instead in [("{", "\\{"), ("}", "\\}"), *X.ESCAPES]:
+        column = f"replace({column}, '{mark}', '{instead}')"
+    return column
 
 
-@query("s8_bibtex_escaped", """select id, concat('@misc{paper:', cast(id as varchar), ', title={', replace(replace(replace(title, '&', '\\&'), '%', '\\%'), '_', '\\_'), '}, year={', regexp_extract(published, '\\d{4}', 0), '}}') as entry from papers""")
+@query("s8_bibtex_escaped", f"""select id, concat('@article{{paper:', arxiv_id, ',', chr(10), '  title = {{', {_bib('title')}, '}},', chr(10), '  author = {{', {_bib('authors')}, '}},', chr(10),
+    '  abstract = {{', {_bib("case when starts_with(abstract, '{') and ends_with(abstract, '}') then substr(abstract, 2, length(abstract) - 2) else abstract end")}, '}},', chr(10),
+    '  year = {{', regexp_extract(published, '[0-9][0-9][0-9][0-9]', 0), '}},', chr(10), '  arxivId = {{', {_bib('arxiv_id')}, '}},', chr(10), '  url = {{', {_bib('pdf_url')}, '}}', chr(10), '}}') as entry
+    from papers""")
 def _(t):
-    from foliospark.sources.exports import bibtex_escaped
+    return t("papers").select("id", X.bibtex_escaped().alias("entry"))
 
-    return t("papers").select("id", bibtex_escaped().alias("entry"))
 
+QUERY_FIELDS = "id, query_text, answer_text, lang, hit_count, created_at"
 
-@query("s7_query_export", """select id, concat('"', replace(query_text, '"', '""'), '",', cast(hit_count as varchar)) as line from queries""")
+
+@query("s7_query_export", f"select {QUERY_FIELDS} from queries")
+def _(t):
+    path = scratch.folder(t.spark, "history")
+    X.write_queries(t("queries"), path, "csv")
+    return X.read_csv(t.spark, path, "id long, query_text string, answer_text string, lang string, hit_count int, created_at long")
+
+
+@query("s7_query_json", f"select {QUERY_FIELDS}, owner_id from queries order by created_at desc, id desc limit 500")
 def _(t):
-    from foliospark.sources.exports import csv_field
+    path = scratch.folder(t.spark, "history")
+    X.write_queries(t("queries"), path, "json", limit=500, owned=True)
+    return t.spark.read.schema("id long, query_text string, answer_text string, lang string, hit_count int, owner_id string, created_at long").json(path)
+
 
-    return t("queries").select("id", F.concat(csv_field(F.col("query_text")), F.lit(","), F.col("hit_count").cast("string")).alias("line"))
+@query("s8_csv_lines", """select id, concat_ws(',', arxiv_id, t, a, published, coalesce(pdf_url, ''), source, ingest_status, cast(chunk_count as varchar), owner_id, cast(created_at as varchar)) as line from (select *,
+    case when regexp_matches(title, '[,"\\n]') then concat('"', replace(title, '"', '""'), '"') else title end as t, case when regexp_matches(authors, '[,"\\n]') then concat('"', replace(authors, '"', '""'), '"') else authors end as a from papers)""")
+def _(t):
+    columns = [c for c in X.OWNED_PAPER_COLUMNS if c != "abstract"]
+    return t("papers").select("id", X.csv_line(columns).alias("line"))
 
 
 @query("t30_bibtex_keys", "select id, concat(list_extract(string_split_regex(trim(string_split(authors, ',')[1]), '\\s+'), -1), substr(published, 1, 4)) as key from papers")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from foliospark.functions import text as T
 from foliospark.operators import logs as G
 from foliospark.plans.register import Tables, query
-from foliospark.streaming import keyed
+from foliospark.sources import scratch
+from foliospark.streaming import expiring, keyed
 
 CALLS = "calls as (select user_id, seq, event_id, tool as sig from call_log)"
 RUNS = CALLS + """, a as (select *, row_number() over (partition by user_id order by seq) - row_number() over (partition by user_id, sig order by seq) as run from calls),
@@ -48,10 +49,14 @@ def _(t):
     return G.trimmed(t("conversations"), most=4).select("conv_id", "turn", "role", "text")
 
 
-@query("w9_digest", """select conv_id, string_agg(case role when 'user' then concat('User: ', substr(text, 1, 100)) when 'assistant' then concat('Assistant: ', substr(text, 1, 80))
-    else concat('[', role, ']') end, chr(10) order by turn) as digest from conversations group by conv_id""")
+@query("w9_digest", """select conv_id, string_agg(case role when 'system' then '[系统提示]' when 'user' then concat('[用户] ', substr(text, 1, 100))
+    when 'assistant' then concat('[助手', case when turn % 3 = 0 then '调用工具' else '' end, '] ', substr(text, 1, 80)) when 'tool' then '[工具结果]' end, chr(10) order by turn) as digest
+    from (select conv_id, turn, text, case when turn % 5 = 4 then 'tool' else role end as role from conversations) group by conv_id""")
 def _(t):
-    return G.digest(t("conversations"))
+    turn = F.col("turn")
+    calls = F.when(turn % 3 == 0, F.array(F.lit("c"))).otherwise(F.array().cast("array<string>"))
+    rows = t("conversations").withColumns({"calls": calls, "role": F.when(turn % 5 == 4, "tool").otherwise(F.col("role"))})
+    return G.digest(rows)
 
 
 @query("a12_trace_summary", """select user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) as duration, round(sum(value), 4) as tokens,
@@ -110,12 +115,78 @@ def _(t):
     return t("events").select("event_id", T.call_signature(F.col("event_type"), args).alias("sig"))
 
 
-@query("w2_admission")
+ADMITTED = """e as (select event_id, user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as k from events),
+    f as (select user_id, 0::bigint as k, []::bigint[] as times, null::bigint as event_id, false as admitted from (select distinct user_id from events)
+        union all select user_id, k, case when len(w) < 3 then list_append(w, us) else w end, event_id, len(w) < 3
+        from (select e.user_id, e.k, e.us, e.event_id, list_filter(f.times, lambda x: x > e.us - 3600000000) as w from f join e on e.user_id = f.user_id and e.k = f.k + 1))"""
+HITS = """e as (select event_id, concat_ws('|', cast(user_id as varchar), event_type) as key, epoch_us(ts) as us,
+        row_number() over (partition by user_id, event_type order by ts, event_id) as k from events),
+    f as (select key, 0::bigint as k, -4611686018427387904::bigint as until, null::bigint as event_id, false as hit from (select distinct key from e)
+        union all select e.key, e.k, case when e.us < f.until then f.until else e.us + 3600000000 end, e.event_id, e.us < f.until from f join e on e.key = f.key and e.k = f.k + 1)"""
+
+
+@query("w2_admission", f"with recursive {ADMITTED} select event_id, admitted from f where k > 0")
 def _(t):
     return keyed.admitted(t("events").select("event_id", "user_id", "ts"), seconds=3600, most=3)
 
 
-@query("w4_ttl_dedup")
+@query("w4_ttl_dedup", f"with recursive {HITS} select event_id, hit from f where k > 0")
+def _(t):
+    return keyed.ttl_hits(keyed_events(t), seconds=3600)
+
+
+def keyed_events(t: Tables):
+    return t("events").select("event_id", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "ts")
+
+
+def replayed(t: Tables, events, make, pieces: int = 3):
+    """The appended rows of a stream over all events, which arrive in so many pieces by time; the query starts anew for each."""
+    path = scratch.folder(t.spark, "replay")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    events.limit(0).write.parquet(f"{path}/in")
+    stream = make(t.spark.readStream.schema(events.schema).parquet(f"{path}/in"))
+    with expiring.state_store(t.spark):
+        for k in range(pieces):
+            upto = [low + (high - low) * (k + j) // pieces if low is not None else 0 for j in (0, 1)]
+            events.filter((at > upto[0] if k else at >= upto[0]) & (at <= upto[1])).write.mode("append").parquet(f"{path}/in")
+            out = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+            out.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("w2_expiring_admission", f"with recursive {ADMITTED} select event_id, admitted from f where k > 0")
+def _(t):
+    return replayed(t, t("events").select("event_id", "user_id", "ts"), lambda e: expiring.admitted_stream(e, seconds=3600, most=3))
+
+
+@query("w4_expiring_ttl", f"with recursive {HITS} select event_id, hit from f where k > 0")
+def _(t):
+    return replayed(t, keyed_events(t), lambda e: expiring.ttl_stream(e, seconds=3600))
+
+
+@query("w4_first_seen", "select distinct user_id, event_type, epoch_us(ts) // 3600000000 as hour from events")
+def _(t):
+    # Events of one hour are less than the delay apart, so exactly one of them stays.
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour")
+    rows = t("events").select("user_id", "event_type", hour, "ts")
+    kept = replayed(t, rows, lambda e: expiring.first_seen_stream(e, ["user_id", "event_type", "hour"], "1 hour"))
+    return kept.select("user_id", "event_type", "hour")
+
+
+@query("w3_sliding_rates", """with w as (select user_id, (epoch_us(ts) // 900000000 - i) * 900000000 as start from events, range(4) r(i)),
+    closed as (select (max(epoch_us(ts)) // 1000) * 1000 - 60000000 as mark from events)
+    select user_id, start, count(*) as n, count(*) > 3 as over_limit from w, closed where start + 3600000000 <= mark group by user_id, start""")
+def _(t):
+    rows = replayed(t, t("events").select("user_id", "ts"), lambda e: expiring.sliding_rates(e, window="1 hour", slide="15 minutes", most=3))
+    return rows.withColumn("start", F.unix_micros("start"))
+
+
+@query("w10_sessions", """with g as (select *, epoch_us(ts) as us, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 1800000000 then 0 else 1 end as new from events),
+    s as (select *, sum(new) over (partition by user_id order by ts, event_id) as session from g),
+    closed as (select (max(epoch_us(ts)) // 1000) * 1000 - 600000000 as mark from events)
+    select user_id, min(us) as start, round((max(us) - min(us)) / 1e6, 3) as duration, round(sum(value), 4) as tokens, count(*) filter (event_type = 'click') as tool_calls, count(*) as steps
+    from s group by user_id, session having max(us) + 1800000000 <= (select mark from closed)""")
 def _(t):
-    rows = t("events").select("event_id", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "ts")
-    return keyed.ttl_hits(rows, seconds=3600)
+    rows = replayed(t, t("events").select("user_id", "event_type", "value", "ts"), expiring.session_traces)
+    return rows.withColumn("start", F.unix_micros("start"))

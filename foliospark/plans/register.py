@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foliospark.operators.textindex import TextIndex
 from foliospark.plans import views
+from foliospark.sources import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,6 +23,20 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return views.load(self.spark, self.sf_dir, name)
 
+    def index(self, name: str, id: str, fields: list[str], parts: int = 1) -> TextIndex:
+        """A stored index of a table, written in ``parts`` segments by the first query that asks for it in an application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, *fields, parts)
+        if key not in _indexes:
+            made = TextIndex(self.spark, scratch.folder(self.spark, "index"))
+            for k in range(parts):
+                rows = self(name)
+                made.append(rows if parts == 1 else rows.filter(F.pmod(F.xxhash64(id), F.lit(parts)) == k), id, fields)
+            _indexes[key] = made
+        return _indexes[key]
+
+
+_indexes: dict[tuple, TextIndex] = {}
+
 
 def query(name: str, sql: str | None = None):
     """Registers a function of ``Tables`` and, with the views it uses, its SQL."""

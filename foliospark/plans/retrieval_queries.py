@@ -56,6 +56,11 @@ def documents(t: Tables):
     return t("documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def indexed(t: Tables, parts: int = 1):
+    """The stored index of all documents' texts."""
+    return t.index("documents", "doc_id", ["text"], parts)
+
+
 def vectors(t: Tables):
     return t("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -95,12 +100,12 @@ def _(t):
 
 @query("r3_term_stats", f"with {INDEX} select term, df, round(idf, 6) as idf from term_stats")
 def _(t):
-    return R.index(documents(t))[2].select("term", "df", F.round("idf", 6).alias("idf"))
+    return indexed(t).term_stats("text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("r3_postings", f"with {INDEX} select id, term, tf from postings")
 def _(t):
-    return R.index(documents(t))[0]
+    return indexed(t).postings().select("id", "term", "tf")
 
 
 @query("a8_corpus_stats", f"""with {INDEX} select (select count(*) from stats) as doc_count, (select round(avgdl, 1) from corpus) as avg_doc_len,
@@ -113,29 +118,36 @@ def _(t):
 
 @query("r4_bm25_topk", f"""with {SCORES} select query_id, id, score, len,
     row_number() over (partition by query_id order by score desc, id) as rank from scored qualify rank <= 10""")
+def _(t):
+    return R.ranked(indexed(t).bm25(t("query_table")), [F.desc("score"), F.asc("id")], 10)
+
+
+@query("r4_bm25_scan", f"""with {SCORES} select query_id, id, score, len,
+    row_number() over (partition by query_id order by score desc, id) as rank from scored qualify rank <= 10""")
 def _(t):
     return R.ranked(R.bm25(documents(t), t("query_table")), [F.desc("score"), F.asc("id")], 10)
 
 
+@query("r6_segments_topk", f"""with {SCORES} select query_id, id, score, len,
+    row_number() over (partition by query_id order by score desc, id) as rank from scored qualify rank <= 10""")
+def _(t):
+    # A base and two segments that were appended to it.
+    return R.ranked(indexed(t, 3).bm25(t("query_table")), [F.desc("score"), F.asc("id")], 10)
+
+
 @query("r5_bm25_scores", f"""with {SCORES}, every as (select query_id, doc_id as id from query_table cross join documents)
     select query_id, id, coalesce(score, 0.0) as score from every left join scored using (query_id, id)""")
 def _(t):
     # All scores, as asked for: queries are a stated set, joined with all documents.
     q = t("query_table").select("query_id")
     every = documents(t).select("id").join(R.small(q), F.lit(True))
-    scored = R.bm25(documents(t), t("query_table")).select("query_id", "id", "score")
+    scored = indexed(t).bm25(t("query_table")).select("query_id", "id", "score")
     return every.join(scored, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @query("r6_incremental_index", f"with {INDEX} select term, df, round(idf, 6) as idf from term_stats")
 def _(t):
-    docs = documents(t)
-    old, new = docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1")
-    p1, s1, _, _ = R.index(old)
-    p2, s2, _, _ = R.index(new)
-    corpus = s1.unionByName(s2).agg(F.count("*").alias("n"))
-    df = p1.unionByName(p2).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(corpus)).select("term", "df", F.round(R.idf(), 6).alias("idf"))
+    return indexed(t, 3).term_stats("text").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("r7_sparse_corpus", "select doc_id from documents where trim(text) <> ''")
@@ -148,6 +160,11 @@ def _(t):
     return R.dense(vectors(t), asked_vectors(t))
 
 
+@query("r9_hash_search")
+def _(t):
+    return R.dense_by_hashes(vectors(t), asked_vectors(t))
+
+
 @query("f9_dense_filtered", f"""select q.vec_id as query_id, c.vec_id as id, round({COS}, 6) as distance,
     row_number() over (partition by q.vec_id order by round({COS}, 6), c.vec_id) as rank
     from embeddings q, embeddings c where q.vec_id % 100 = 0 and c.label = 3 qualify rank <= 20""")
@@ -190,12 +207,12 @@ placed as (select *, row_number() over (partition by query_id
 
 @query("hybrid_retrieve", f"with {CHUNKS}, {HYBRID} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5")
 def _(t):
-    return R.hybrid(chunks(t), asked(t))
+    return R.hybrid(chunks(t), asked(t), index=indexed(t))
 
 
 @query("r11_weighted_rrf", f"with {CHUNKS}, {HYBRID} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed")
 def _(t):
-    return R.hybrid(chunks(t), asked(t), top=1_000)
+    return R.hybrid(chunks(t), asked(t), top=1_000, index=indexed(t))
 
 
 @query("r15_hybrid_owner", f"""with {CHUNKS.replace("on e.vec_id = d.doc_id)", "on e.vec_id = d.doc_id where d.source = 'src0')")}, {HYBRID} select query_id, id, dense_rank, sparse_rank, rrf_score, rank from placed where rank <= 5""")
@@ -210,7 +227,7 @@ select query_id, id, original_score, round(case when n > 5 then s else original_
     row_number() over (partition by query_id order by round(case when n > 5 then s else original_score end, 6) desc, original_score desc, id) as rank
 from over qualify rank <= 5""")
 def _(t):
-    found = R.hybrid(chunks(t), asked(t), scorer=R.lexical_overlap)
+    found = R.hybrid(chunks(t), asked(t), scorer=R.lexical_overlap, index=indexed(t))
     return found.select("query_id", "id", "original_score", "rerank_score", "rank")
 
 
@@ -224,7 +241,7 @@ def _(t):
 
 @query("r12_normalised_scores", f"""with {SCORES} select query_id, id, score, len, round(score / max(score) over (partition by query_id) * 0.3, 6) as norm_score from scored""")
 def _(t):
-    return R.normalised_scores(R.bm25(documents(t), t("query_table")))
+    return R.normalised_scores(indexed(t).bm25(t("query_table")))
 
 
 @query("r13_rerank", f"""with {SCORES}, top as (select *, row_number() over (partition by query_id order by score desc, id) as r from scored qualify r <= 20),
@@ -235,7 +252,7 @@ select query_id, id, original_score, round(case when n > 5 then s else original_
     row_number() over (partition by query_id order by round(case when n > 5 then s else original_score end, 6) desc, original_score desc, id) as rank
 from over qualify rank <= 5""")
 def _(t):
-    top = R.ranked(R.bm25(documents(t), t("query_table")), [F.desc("score"), F.asc("id")], 20)
+    top = R.ranked(indexed(t).bm25(t("query_table")), [F.desc("score"), F.asc("id")], 20)
     rows = top.join(t("query_table"), "query_id").join(documents(t).withColumnRenamed("text", "document"), "id")
     return R.rerank(rows).select("query_id", "id", "original_score", "rerank_score", "rank")
 
@@ -250,8 +267,11 @@ PAPER_CHUNKS = "pc as (select vec_id as id, label as paper_id, row_number() over
 
 
 def paper_chunks(t: Tables):
+    """Chunks with their vectors; only a paper's first three have a number, from a limited ranking of ids alone."""
     rows = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("paper_id"), "embedding")
-    return rows.withColumn("seq", F.row_number().over(W.partitionBy("paper_id").orderBy("id")) - 1)
+    first = F.row_number().over(W.partitionBy("paper_id").orderBy("id"))
+    firsts = rows.select("id", "paper_id").withColumn("n", first).filter("n <= 3").select("id", (F.col("n") - 1).alias("seq"))
+    return rows.join(R.small(firsts), "id", "left")
 
 
 SIMILAR_CHUNKS = f"""{PAPER_CHUNKS},
@@ -325,7 +345,7 @@ def _(t):
 
 @query("t27_search_modes", f"""with {CHUNKS}, {HYBRID},
 newest as (select id, row_number() over (order by created_at desc, id desc) as rank from papers qualify rank <= 5),
-words as (select query_id, unnest(list_distinct(list_filter({tok("substr(query_text, 1, 60)")}, lambda x: x not in ({', '.join(f"'{w}'" for w in L.STOP_WORDS)})))) as term from qs),
+words as (select query_id, unnest(list_distinct(list_filter({tok("query_text")}, lambda x: x not in ({', '.join(f"'{w}'" for w in L.STOP_WORDS)})))) as term from qs),
 held as (select distinct id, created_at, unnest({tok("concat_ws(' ', title, authors, abstract)")}) as term from papers where published >= '2024-03'),
 matched as (select query_id, id, created_at from words join held using (term) join (select query_id, count(*) as n from words group by query_id) using (query_id)
     group by query_id, id, created_at, n having count(*) = n)
@@ -333,14 +353,15 @@ select 'semantic' as mode, query_id, id, rank from placed where rank <= 5
 union all select 'list', query_id, id, rank from qs, newest
 union all select 'fts', query_id, id, row_number() over (partition by query_id order by created_at desc, id desc) as rank from matched qualify rank <= 5""")
 def _(t):
-    one = lambda mode, queries, **f: M.search(t("papers"), chunks(t), queries, mode, **f).select(F.lit(mode).alias("mode"), "query_id", "id", "rank")
-    short = asked(t).withColumn("query_text", F.substring("query_text", 1, 60))
-    return one("semantic", asked(t)).unionByName(one("list", asked(t))).unionByName(one("fts", short, year_from="2024-03"))
+    one = lambda mode, **f: M.search(t("papers"), chunks(t), asked(t), mode, **f).select(F.lit(mode).alias("mode"), "query_id", "id", "rank")
+    words = t.index("papers", "id", ["title", "authors", "abstract"])
+    return one("semantic", index=indexed(t)).unionByName(one("list")).unionByName(one("fts", index=words, year_from="2024-03"))
 
 
-@query("t24_survey_inputs", f"""with {CHUNKS}, {HYBRID}
-select query_id, string_agg(concat('[', cast(rank as varchar), '] ', p.title, ' | ', d.source, chr(10), substr(regexp_replace(d.text, '\\s*\\n\\s*', ' ', 'g'), 1, 600)), chr(10) || chr(10) order by rank) as context
-from placed join documents d on d.doc_id = placed.id join papers p on p.id = placed.id where rank <= 10 group by query_id""")
+@query("t24_survey_inputs", f"""with {CHUNKS}, {HYBRID}, found as (select query_id, rank, p.title as section, d.source, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') as text
+    from placed join documents d on d.doc_id = placed.id join papers p on p.id = placed.id where rank <= 10)
+select query_id, string_agg(concat('[', cast(rank as varchar), ']', case when section <> '' then concat(' section=', section) else '' end, ' | source=', source, chr(10),
+    case when length(text) > 600 then concat(substr(replace(text, chr(10), ' '), 1, 600), '…') else replace(text, chr(10), ' ') end), chr(10) || chr(10) order by rank) as context from found group by query_id""")
 def _(t):
-    rows = chunks(t).withColumnRenamed("owner_id", "source").join(t("papers").select("id", "title").hint("merge"), "id")
-    return M.survey_inputs(rows, asked(t))
+    rows = chunks(t).withColumnRenamed("owner_id", "source").join(t("papers").select("id", F.col("title").alias("section")).hint("merge"), "id")
+    return M.survey_inputs(rows, asked(t), index=indexed(t))

@@ -43,6 +43,14 @@ def _(t):
     return C.split(t("documents")).select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query("t2_lateral_chunks")
+def _(t):
+    # The table function in SQL; tests compare it with ``t2_split_chunks``.
+    C.register_functions(t.spark)
+    found = t.spark.sql("select d.doc_id, c.chunk_no, c.text from {docs} d, lateral split_chunks(d.text, 1000, 200) c", docs=t("documents").select("doc_id", "text"))
+    return found.select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query("t4_structured_chunks")
 def _(t):
     """Sections of all documents, and a table of each page, which stands for the document of its number."""
@@ -168,17 +176,39 @@ def _(t):
     return S.spans_to_lines(spans).select("doc_id", "line_no", F.md5("text").alias("text_md5"), "size")
 
 
-@query("t16_outline", f"""with {MARKED}, heads as (select doc_id, line_no, length(regexp_extract(text, '^(#{{1,6}})\\s+(.*)$', 1)) as level, trim(regexp_extract(text, '^(#{{1,6}})\\s+(.*)$', 2)) as title
-        from marked where regexp_matches(text, '^#{{1,6}}\\s')),
+#: Headings, tables with a blank line behind them, tables on one line of HTML, and runs of blank lines.
+OUTLINED = LINES + """, marked as (select doc_id, line_no, case when line_no % 10 = 0 then concat(repeat('#', cast(1 + line_no // 10 % 4 as int)), ' Part ', cast(line_no as varchar), '  ')
+    when line_no % 10 in (3, 4) then concat('  | ', cast(line_no as varchar), ' | x |') when line_no % 30 = 6 then '<TABLE><tr><td>y</td></tr></table> z'
+    when line_no % 10 = 5 or line_no % 20 in (7, 8, 9) then ' ' else text end as text from lines)"""
+
+
+def outlined(t: Tables):
+    n = F.col("line_no")
+    head = F.concat(F.repeat(F.lit("#"), (1 + F.floor(n / 10) % 4).cast("int")), F.lit(" Part "), n.cast("string"), F.lit("  "))
+    text = (
+        F.when(n % 10 == 0, head).when((n % 10).isin(3, 4), F.concat(F.lit("  | "), n.cast("string"), F.lit(" | x |")))
+        .when(n % 30 == 6, "<TABLE><tr><td>y</td></tr></table> z").when((n % 10 == 5) | (n % 20).isin(7, 8, 9), " ").otherwise(F.col("text"))
+    )
+    return S.lines(t("documents")).withColumn("text", text)
+
+
+@query("t16_outline", f"""with {OUTLINED}, kinds as (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as bare, regexp_matches(text, '^#{{1,6}}\\s+.') as head from marked),
+    heads as (select doc_id, line_no, length(regexp_extract(text, '^(#{{1,6}})\\s+(.+)$', 1)) as level, regexp_replace(regexp_extract(text, '^(#{{1,6}})\\s+(.+)$', 2), '^\\s+|\\s+$', '', 'g') as title from kinds where head),
     anc as (select h.doc_id, h.line_no, a.line_no as aline, a.level as alevel, a.title as atitle, h.level
         from heads h join heads a on a.doc_id = h.doc_id and a.line_no <= h.line_no and (a.level < h.level or a.line_no = h.line_no)
         where not exists (select 1 from heads x where x.doc_id = h.doc_id and x.line_no > a.line_no and x.line_no <= h.line_no and x.level <= a.level)),
-    parts as (select doc_id, line_no, text, max(case when regexp_matches(text, '^#{{1,6}}\\s') then line_no end) over (partition by doc_id order by line_no) as hline from marked),
-    own as (select doc_id, hline as line_no, string_agg(text, chr(10) order by line_no) filter (line_no > hline) as content from parts where hline is not null group by doc_id, hline),
-    named as (select doc_id, line_no, max(level) as level, max(case when aline = line_no then atitle end) as title, string_agg(atitle, ' > ' order by alevel) as path from anc group by doc_id, line_no)
-    select named.*, md5(coalesce(content, '')) as content_md5 from named join own using (doc_id, line_no)""")
+    named as (select doc_id, line_no, max(level) as level, max(case when aline = line_no then atitle end) as title, string_agg(atitle, ' > ' order by alevel) as path from anc group by doc_id, line_no),
+    states as (select *, last_value(case when head then 'h' when regexp_matches(bare, '^\\|.+\\|$') or regexp_matches(bare, '(?is)^<table[^>]*>.*?</table>') then 't' when bare <> '' then 'o' end ignore nulls)
+        over (partition by doc_id order by line_no) as state, max(case when head then line_no end) over (partition by doc_id order by line_no) as hline from kinds),
+    turns as (select *, case when head or (state = 't') <> coalesce(lag(state = 't') over (partition by doc_id order by line_no), false) then 1 else 0 end as turn from states),
+    runs as (select *, sum(turn) over (partition by doc_id order by line_no) as run from turns where hline is not null),
+    texts as (select doc_id, hline, run, bool_or(state = 't') as tab, string_agg(text, chr(10) order by line_no) filter (not head) as body from runs group by doc_id, hline, run),
+    cleaned as (select *, regexp_replace(regexp_replace(coalesce(body, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as clean from texts),
+    own as (select doc_id, hline as line_no, string_agg(clean, chr(10) || chr(10) order by run) filter (not tab and clean <> '') as content, string_agg(body, chr(31) order by run) filter (tab) as tables from cleaned group by doc_id, hline)
+    select named.*, md5(coalesce(content, '')) as content_md5, md5(coalesce(tables, '')) as tables_md5 from named join own using (doc_id, line_no)""")
 def _(t):
-    return S.outline(marked(t)).withColumn("content_md5", F.md5("content")).drop("content")
+    found = S.outline(outlined(t))
+    return found.select("doc_id", "line_no", "level", "title", "path", F.md5("content").alias("content_md5"), F.md5(F.array_join("tables", "\x1f")).alias("tables_md5"))
 
 
 PIPED = LINES + """, piped as (select doc_id, line_no, case line_no % 5 when 1 then '| a | b |' when 2 then '|---|---|' when 3 then concat('| ', cast(doc_id as varchar), ' | ', cast(line_no as varchar), ' |') else text end as text from lines)"""
@@ -218,11 +248,12 @@ def _(t):
     return made.select("doc_id", *markdown_metadata(F.col("md")))
 
 
-@query("t21_abstract", "select id, case when id % 2 = 0 then substr(abstract, 1, 3000) else substr(concat('from section ', title), 1, 3000) end as abstract from papers")
+@query("t21_abstract", """with a as (select id, case when id % 2 = 0 and abstract <> '' then abstract else regexp_replace(concat(' from section ', title, repeat(' word', cast(id % 700 as int))), '^\\s+|\\s+$', '', 'g') end as a from papers)
+    select id, case when length(a) > 3000 then concat(substr(a, 1, 3000), '…') else a end as abstract from a""")
 def _(t):
-    meta = F.when(F.col("id") % 2 == 0, F.col("abstract")).otherwise("")
-    section = F.concat(F.lit("from section "), "title")
-    return t("papers").select("id", F.substring(F.coalesce(F.nullif(meta, F.lit("")), section), 1, 3000).alias("abstract"))
+    own = F.when(F.col("id") % 2 == 0, F.col("abstract")).otherwise("")
+    section = F.concat(F.lit(" from section "), "title", F.repeat(F.lit(" word"), (F.col("id") % 700).cast("int")))
+    return t("papers").select("id", P.chosen_abstract(own, section).alias("abstract"))
 
 
 FULL = sections_sql() + """,
@@ -235,39 +266,54 @@ def _(t):
     return P.full_texts(S.sections(sized(t))).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@query("t23_chunk_text", """with c as (select doc_id, k, substr(substr(text, 1 + 800 * k, 1000), 1, 500) as part from (select doc_id, text, unnest(range(0, least(30, (greatest(length(text), 1) - 1) // 800 + 1))) as k from documents))
-    select doc_id, md5(string_agg(part, chr(10) order by k)) as text_md5 from c group by doc_id""")
+@query("t23_chunk_text", """with c as (select doc_id, k, substr(substr(text, 1 + 800 * k, 1000), 1, 500) as part from (select doc_id, text, unnest(range(0, least(30, (greatest(length(text), 1) - 1) // 800 + 1))) as k from documents)),
+    j as (select doc_id, string_agg(part, chr(10) || chr(10) order by k) as t from c group by doc_id)
+    select doc_id, md5(case when length(t) > 8000 then concat(substr(t, 1, 8000), '…') else t end) as text_md5 from j""")
 def _(t):
-    first = C.fixed(t("documents")).filter("chunk_no < 30")
-    return first.groupBy("doc_id").agg(F.md5(P.joined(F.col("chunk_no"), F.substring("text", 1, 500))).alias("text_md5"))
+    return P.chunk_texts(C.fixed(t("documents"))).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-HITS = f"""{NEAR}, hits as (select n.query_id, n.rank, concat('Vector ', cast(n.id as varchar)) as title, d.source, d.text from near n join documents d on d.doc_id = n.id)"""
+#: Hits with sections, pages (0 and null are none) and sources, and one query without hits.
+HITS = f"""{NEAR}, hits as (select n.query_id, n.rank, case when n.id % 5 = 0 then '' else concat('Vector ', cast(n.id as varchar)) end as section, n.id % 4 as page,
+    case when n.id % 7 = 0 then null else d.source end as source, d.lang as arxiv_id, regexp_replace(concat(' ', d.text, chr(10)), '^\\s+|\\s+$', '', 'g') as text from near n join documents d on d.doc_id = n.id),
+    asked as (select vec_id as query_id from embeddings where vec_id % 100 = 0 union all select -1)"""
 
 
 def hits(t: Tables):
     near = R.dense(vectors(t), asked_vectors(t)).select("query_id", "rank", "id")
-    d = t("documents").select(F.col("doc_id").alias("id"), "source", "text")
-    return near.join(d, "id").withColumn("title", F.concat(F.lit("Vector "), F.col("id").cast("string")))
+    text = F.concat(F.lit(" "), "text", F.lit("\n")).alias("text")
+    d = t("documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("arxiv_id"), text)
+    n = F.col("id")
+    return near.join(d, "id").withColumns({
+        "section": F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("Vector "), n.cast("string"))), "page": n % 4, "source": F.when(n % 7 != 0, F.col("source")),
+    })
 
 
-FLAT = "substr(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), 1, {n})"
+def asked_for(t: Tables):
+    return asked_vectors(t).select("query_id").union(t.spark.range(1).select(F.lit(-1).cast("long")))
 
 
-@query("t24_context_block", f"with {HITS} select query_id, string_agg(concat('[', cast(rank as varchar), '] ', title, ' | ', source, chr(10), {FLAT.format(n=600)}), chr(10) || chr(10) order by rank) as context from hits group by query_id")
+@query("t24_context_block", f"""with {HITS}, b as (select query_id, string_agg(concat('[', cast(rank as varchar), ']', case when section <> '' then concat(' section=', section) else '' end,
+    case when page > 0 then concat(' | page=', cast(page as varchar)) else '' end, case when source <> '' then concat(' | source=', source) else '' end, chr(10),
+    case when length(text) > 600 then concat(substr(replace(text, chr(10), ' '), 1, 600), '…') else replace(text, chr(10), ' ') end), chr(10) || chr(10) order by rank) as context from hits group by query_id)
+    select query_id, coalesce(context, '（无参考资料）') as context from asked left join b using (query_id)""")
 def _(t):
-    return P.context_blocks(hits(t))
+    return P.context_blocks(hits(t), queries=asked_for(t))
 
 
-@query("t25_compact_block", f"with {HITS} select query_id, string_agg(concat('[', cast(rank as varchar), '] ', {FLAT.format(n=400)}), chr(10) order by rank) as context from hits group by query_id")
+@query("t25_compact_block", f"""with {HITS}, b as (select query_id, string_agg(concat('[', cast(rank as varchar), '] ', arxiv_id, ' | ', section, chr(10), substr(text, 1, 400)), chr(10) || chr(10) order by rank) as context from hits group by query_id)
+    select query_id, coalesce(context, '（无结果）') as context from asked left join b using (query_id)""")
 def _(t):
-    return P.compact_blocks(hits(t))
+    return P.compact_blocks(hits(t), queries=asked_for(t))
 
 
-@query("t26_overview", """with r as (select *, row_number() over (partition by owner_id order by created_at desc, id desc) as r from papers qualify r <= 100)
-    select owner_id, md5(string_agg(concat(cast(r as varchar), '. ', title, ' (', substr(authors, 1, 100), '): ', substr(regexp_replace(abstract, '\\s*\\n\\s*', ' ', 'g'), 1, 300)), chr(10) order by r)) as overview_md5 from r group by owner_id""")
+@query("t26_overview", """with r as (select * replace (case when id % 3 = 0 then '' else title end as title, case when id % 7 = 0 then null else published end as published),
+        row_number() over (partition by owner_id order by created_at desc, id desc) as r from papers qualify r <= 100)
+    select owner_id, md5(string_agg(concat('[', cast(r as varchar), '] ', arxiv_id, ' | ', case when title = '' then arxiv_id else title end, chr(10), '    作者: ', substr(authors, 1, 100), ' | 日期: ',
+        coalesce(published, '未知'), chr(10), '    摘要: ', substr(abstract, 1, 300)), chr(10) || chr(10) order by r)) as overview_md5 from r group by owner_id""")
 def _(t):
-    return P.overview(t("papers")).select("owner_id", F.md5("overview").alias("overview_md5"))
+    papers = t("papers").withColumns({"title": F.when(F.col("id") % 3 == 0, "").otherwise(F.col("title")), "published": F.when(F.col("id") % 7 != 0, F.col("published"))})
+    return P.overview(papers).select("owner_id", F.md5("overview").alias("overview_md5"))
 
 
 @query("t27_citation_report", """with o as (select c.citing, c.cited, coalesce(nullif(p.title, ''), nullif(c.cited_title, ''), cast(c.cited as varchar)) as title, p.id is not null as in_db,

@@ -1,8 +1,7 @@
 """Keyed folds over event time: admission limits and entries with a lifetime.
 
-The batch forms sort each key's events within partitions and stream through
-them in Arrow batches, so a key of any size needs only its own small state. The
-streaming forms hold the same state in ``applyInPandasWithState``.
+Each key's events are sorted within partitions and streamed through in Arrow
+batches, so a key of any size needs only its own small state. ``expiring`` has the streaming forms.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 class Admission:
@@ -70,46 +68,8 @@ def ttl_hits(events: DataFrame, seconds: int = 60, key: str = "key") -> DataFram
     return _fold(events, key, "hit", lambda: Lifetime(seconds * 1_000_000))
 
 
-def admitted_stream(events: DataFrame, seconds: int = 60, most: int = 30, key: str = "user_id") -> DataFrame:
-    """The streaming form of ``admitted``; events of one trigger are taken in order of time."""
-    rows = events.select("event_id", F.col(key).cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = Admission(seconds * 1_000_000, most, tuple(state.get[0]) if state.exists else ())
-        frame = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        said = [fold(at) for at in frame["at"]]
-        state.update((list(fold.times),))
-        yield pd.DataFrame({"event_id": frame["event_id"], "admitted": said})
-
-    return rows.groupBy("key").applyInPandasWithState(
-        step, "event_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def ttl_stream(events: DataFrame, seconds: int = 60, key: str = "key") -> DataFrame:
-    """The streaming form of ``ttl_hits``."""
-    rows = events.select("event_id", F.col(key).cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold = Lifetime(seconds * 1_000_000, *(state.get if state.exists else ()))
-        frame = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        said = [fold(at) for at in frame["at"]]
-        state.update((fold.until,))
-        yield pd.DataFrame({"event_id": frame["event_id"], "hit": said})
-
-    return rows.groupBy("key").applyInPandasWithState(
-        step, "event_id long, hit boolean", "until long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def trace_stream(events: DataFrame, key: str = "user_id", late: str = "10 minutes") -> DataFrame:
     """Running trace figures of each key, for update mode."""
     from foliospark.operators.logs import trace_summary
 
     return trace_summary(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), key)
-
-
-def rate_stream(events: DataFrame, key: str = "user_id", window: str = "1 minute", late: str = "5 minutes") -> DataFrame:
-    """Events of each key in each tumbling window."""
-    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return stamped.withWatermark("ts", late).groupBy(F.window("ts", window), key).agg(F.count("*").alias("n"))

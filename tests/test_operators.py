@@ -176,14 +176,6 @@ def test_numbers_have_no_gaps(spark):
     assert [r.id for r in got] == list(range(101, 5101))
 
 
-def test_match(spark):
-    papers = spark.createDataFrame([(1, "Deep nets", "A B", "graph neural networks"), (2, "Graph", "C", "x")], "id long, title string, authors string, abstract string")
-    M = L.Match
-    ids = lambda m: [r.id for r in L.full_text(papers, m).orderBy("id").collect()]
-    assert ids(M.term("graph")) == [1, 2] and ids(M.term("graph", "title")) == [2]
-    assert ids(M.phrase("neural networks")) == [1] and ids(M.prefix("net") & ~M.term("c")) == [1]
-
-
 def test_repeats_and_loops(spark):
     sig = ["s", "s", "s", "t", "s", "t", "s", "t", "s"]
     rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(sig, 1)], "user_id long, seq int, sig string")
@@ -226,18 +218,6 @@ def test_admission_and_lifetime(spark):
     assert got == fold(rows, lambda: keyed.Lifetime(60_000_000))
 
 
-@pytest.mark.parametrize("kind", ["admitted", "ttl"])
-def test_streams_equal_batches(spark, tmp_path, kind):
-    _, df = events(spark)
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    made = keyed.admitted_stream(stream, 60, 5) if kind == "admitted" else keyed.ttl_stream(stream, 60, key="user_id")
-    run = made.writeStream.format("memory").queryName(f"out_{kind}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    want = keyed.admitted(df, 60, 5) if kind == "admitted" else keyed.ttl_hits(df, 60, key="user_id")
-    assert sorted(map(tuple, spark.table(f"out_{kind}").collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_mean_vectors_and_normalising(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [0.0, 0.0])], "g int, embedding array<double>")
     got = {r.g: r.embedding for r in R.mean_vectors(rows, "g").collect()}
