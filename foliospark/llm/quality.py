@@ -48,9 +48,9 @@ from foliospark.llm.common import Scratch, small_batches, tasks
 
 QUANTILE, PRIOR, LEAST_DOCS = 0.99, 60, 30
 #: Bytes of an n-gram; every LEFT_OUT-th trusted document is not counted; rows of a broadcast part; bytes of text handled at once.
-LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 3_000_000, 1_000_000
+LENGTH, LEFT_OUT, MOST, PIECE = 6, 5, 3_000_000, 400_000
 #: Different n-grams that a task gathers before it passes them on.
-GATHERED = 1_000_000
+GATHERED = 500_000
 LEAST_DISCOUNT = 0.1  # so that nothing has probability 0
 #: Trusted ids are broadcast up to this number (about 32 MB as a hash table); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
@@ -209,11 +209,11 @@ def with_entropy(docs: DataFrame, model: Model, text: str = "text") -> DataFrame
                 raws = [x.as_py() or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary())]
                 total = np.array(batch.column(batch.num_columns - 2), np.float64)
                 for start, codes, which, lens in pieces(raws):
+                    size, ends = len(lens), np.cumsum(lens)[lens > 0] - 1
+                    last, back = np.unique(_last_first(codes[ends]), return_inverse=True)
                     code, at = np.unique(_last_first(codes), return_inverse=True)
+                    del codes
                     cost = _costs(part.value, code, (1, 2))[at]
-                    size = len(lens)
-                    ends = np.cumsum(lens)[lens > 0] - 1
-                    last, back = np.unique(_last_first(codes[ends]), return_inverse=True)
                     cost[ends] -= _costs(part.value, last, (2,))[back]  # nothing follows a text's last byte
                     total[start : start + size] += np.bincount(which, cost, size) + np.where(lens > 0, start_costs, 0.0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(total, pa.float64()), batch.column(batch.num_columns - 1)], batch.schema.names)
