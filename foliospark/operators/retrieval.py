@@ -147,9 +147,9 @@ def nearest_of_parts(pairs: DataFrame, top: int) -> DataFrame:
 
     def cut(table: pa.Table) -> pa.Table:
         table = table.sort_by([("query_id", "ascending"), ("distance", "ascending"), ("id", "ascending")])
-        query = table.column("query_id").combine_chunks()
+        query = pc.dictionary_encode(table.column("query_id").combine_chunks(), null_encoding="encode").indices.to_numpy()
         new = np.ones(len(table), bool)
-        new[1:] = pc.fill_null(pc.not_equal(query[1:], query[:-1]), True).to_numpy(zero_copy_only=False)
+        new[1:] = query[1:] != query[:-1]
         first = np.maximum.accumulate(np.where(new, np.arange(len(table)), 0))
         return table.filter(pa.array(np.arange(len(table)) - first < top))
 

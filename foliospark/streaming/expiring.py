@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from foliospark.streaming.keyed import Admission, Lifetime
 
@@ -142,3 +142,8 @@ def sliding_rates(events: DataFrame, key: str = "user_id", window: str = "1 minu
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counts = stamped.groupBy(key, F.window("ts", window, slide).alias("w")).agg(F.count("*").alias("n"))
     return counts.select(key, F.col("w.start").alias("start"), "n", (F.col("n") > most).alias("over_limit"))
+
+
+def late_rows(run: StreamingQuery) -> int:
+    """How many rows a query has dropped as later than its watermark, by the progress that is held."""
+    return sum(op.numRowsDroppedByWatermark for p in run.recentProgress for op in p.stateOperators)
