@@ -49,21 +49,27 @@ def cell_search(vectors: DataFrame, queries: DataFrame, model: KMeansModel, prob
     placed = saved(placed.select("id", "embedding", vector_to_array("v").alias("unit"), F.col("prediction").alias("cell")), "cells")
     reach = F.sqrt(_gap(F.col("center"), F.col("unit")))
     radii = placed.join(centers, "cell").groupBy("cell", "center").agg(F.max(reach).alias("radius"))
-    every = radii.agg(F.collect_list(F.struct("cell", "center", "radius")).alias("cells"))
-    unit = queries.select("query_id", "query_vector", R.normalised(F.col("query_vector")).alias("unit")).crossJoin(F.broadcast(every))  # one row
-    far = F.transform("cells", lambda c: F.struct(_gap(c["center"], F.col("unit")).alias("d"), c["cell"].alias("cell"), c["radius"].alias("radius")))
-    asked = unit.select("query_id", "query_vector", F.posexplode(F.array_sort(far)).alias("nth", "c"))
-    asked = saved(asked.select("query_id", "query_vector", "nth", "c.cell", "c.d", "c.radius"), "asked_cells")
+    every = radii.agg(F.collect_list(F.struct("cell", "center", "radius")).alias("cells"))  # one row, of at most MOST_CELLS cells
+    unit = queries.select("query_id", "query_vector", R.normalised(F.col("query_vector")).alias("unit"))
     order = [F.asc("distance"), F.asc("id")]
 
-    def search(cells: DataFrame) -> DataFrame:
-        pairs = placed.select("cell", "id", "embedding").join(R.small(cells.select("query_id", "query_vector", "cell")), "cell")
+    def by_gap(asked: DataFrame) -> DataFrame:
+        """All cells, the nearest first, as one array for each query; no row is made or written for a cell that isn't looked into."""
+        far = F.transform("cells", lambda c: F.struct(_gap(c["center"], F.col("unit")).alias("d"), c["cell"].alias("cell"), c["radius"].alias("radius")))
+        return asked.crossJoin(F.broadcast(every)).withColumn("far", F.array_sort(far)).drop("cells", "unit")
+
+    def search(asked: DataFrame, which: Column) -> DataFrame:
+        cells = asked.select("query_id", "query_vector", F.explode(F.transform(which, lambda c: c["cell"])).alias("cell"))
+        cells = R.small(saved(cells, "asked_cells"))
         distance = F.round(R.cosine_distance(F.col("embedding"), F.col("query_vector")), 6)
-        return R.ranked(pairs.select("query_id", "id", distance.alias("distance")), order, top).drop("rank")
+        pairs = placed.select("cell", "id", "embedding").join(cells, "cell").select("query_id", "id", distance.alias("distance"))
+        return R.ranked(R.nearest_of_parts(pairs, top), order, top).drop("rank")
 
-    first = saved(search(asked.filter(F.col("nth") < probes)), "nearest_cells")
+    first = saved(search(by_gap(unit), F.slice("far", 1, probes)), "nearest_cells")
     last = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
-    rest = asked.filter(F.col("nth") >= probes).join(last.hint("merge"), "query_id", "left")
-    least = F.pow(F.greatest(F.sqrt("d") - F.col("radius"), F.lit(0.0)), 2) / 2
-    open_ = F.coalesce(F.col("n") < top, F.lit(True)) | (least <= F.col("last") + 1e-5)  # distances have six places
-    return R.ranked(first.unionByName(search(rest.filter(open_))), order, top)
+    again = by_gap(unit.join(last.hint("merge"), "query_id", "left"))
+    least = lambda c: F.pow(F.greatest(F.sqrt(c["d"]) - c["radius"], F.lit(0.0)), 2) / 2
+    few = F.coalesce(F.col("n") < top, F.lit(True))
+    # distances have six places
+    others = F.filter(F.slice("far", probes + 1, F.greatest(F.size("far") - probes, F.lit(0))), lambda c: few | (least(c) <= F.col("last") + 1e-5))
+    return R.ranked(first.unionByName(search(again, others)), order, top)

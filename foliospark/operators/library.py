@@ -11,6 +11,10 @@ from foliospark.sources.scratch import saved
 SORTS = {"created_at": ("created_at", True), "title": ("title", False), "published": ("published", True)}
 
 
+#: Searches of one broadcast.
+BLOCK_OF_SEARCHES = 20_000
+
+
 def contains(column: str, keyword: str) -> Column:
     """Case-insensitive substring; % and _ have no special meaning."""
     return F.contains(F.lower(F.col(column)), F.lower(F.lit(keyword)))
@@ -45,24 +49,27 @@ def search(
 def search_by_parameters(papers: DataFrame, parameters: DataFrame) -> DataFrame:
     """(search_id, id) for a table of searches; a null parameter is no filter.
 
-    ``parameters``: search_id, source, status, year_from: a stated set of searches, each of which
-    reads every paper; it is broadcast up to 20,000 searches, a size that is checked.
+    ``parameters``: search_id, source, status, year_from: a stated set of searches. Those that give a source or a status
+    meet the papers by equal joins on what they give; those that give neither, which read every paper, are
+    broadcast in blocks of 20,000, a size that is checked.
     """
-    p, s = papers.alias("p"), parameters.alias("s")
-    free = lambda c, ok: F.col(f"s.{c}").isNull() | ok
-    fits = (
-        free("source", F.col("p.source") == F.col("s.source"))
-        & free("status", F.col("p.ingest_status") == F.col("s.status"))
-        & free("year_from", F.col("p.published") >= F.col("s.year_from").cast("string"))
-    )
-    return p.join(small(s, 20_000), fits).select("s.search_id", "p.id")
-
-
-def field_postings(papers: DataFrame, fields: tuple[str, ...] = ("title", "authors", "abstract")) -> DataFrame:
-    """(id, field, term) of the full-text fields."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.col(f)).alias("terms")) for f in fields])
-    rows = papers.select("id", F.explode(parts).alias("p")).select("id", "p.field", F.explode("p.terms").alias("term"))
-    return rows.distinct()
+    parameters = saved(parameters.select("search_id", "source", "status", F.col("year_from").cast("string").alias("year_from")), "searches")
+    rows = papers.select("id", F.col("source").alias("__source"), F.col("ingest_status").alias("__status"), F.col("published").alias("__published"))
+    since = F.col("year_from").isNull() | (F.col("__published") >= F.col("year_from"))
+    out = []
+    for by_source, by_status in ((True, True), (True, False), (False, True)):
+        asked = parameters.filter(F.col("source").isNotNull() == by_source).filter(F.col("status").isNotNull() == by_status)
+        on = [F.col(a) == F.col(b) for a, b, used in (("__source", "source", by_source), ("__status", "status", by_status)) if used]
+        out.append(rows.join(small(asked, BLOCK_OF_SEARCHES), on).filter(since))
+    free = parameters.filter("source is null and status is null")
+    blocks = -(-free.count() // BLOCK_OF_SEARCHES)
+    for k in range(blocks):
+        block = free if blocks == 1 else free.filter(F.pmod(F.xxhash64("search_id"), F.lit(2 * blocks)).isin(2 * k, 2 * k + 1))
+        out.append(rows.join(F.broadcast(block), since))
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    return found.select("search_id", "id")
 
 
 def listing(df: DataFrame, sort: str = "created_at", limit: int = 50, offset: int = 0, most: int = 500) -> DataFrame:
