@@ -7,6 +7,7 @@ result with it.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,11 +24,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is ``spark.checkpoint.dir``; where that is unset (tests) the session's
-    warehouse folder is used, which executors share as well.
+    It is ``spark.checkpoint.dir``; where that is unset, a local session (tests) uses its warehouse
+    folder. On a cluster that folder's default lies on each machine by itself, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    if root:
+        return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
 
 
 class Scratch:
@@ -56,10 +61,11 @@ class Scratch:
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """A setting of the session for jobs over long texts: Arrow batches of at most ``rows`` rows,
-    where the session has Spark's default, which lets batches of 64 MB stand in each task on both
-    sides. The jobs (the registered queries and the pipeline's stages) call it, the operators don't."""
+    unless the session or its start has set a number itself; Spark's default lets batches of 64 MB stand in each
+    task on both sides. The jobs (the registered queries and the pipeline's stages) call it, the operators
+    don't. It stays, as a job's tasks begin only when its result is written."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
+    if name not in spark.conf.getAll:
         spark.conf.set(name, str(rows))
 
 
