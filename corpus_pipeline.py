@@ -22,7 +22,7 @@ from foliospark.llm import bpe, decontam, neardup, quality as lm, toxicity as mi
 from foliospark.llm.common import Scratch, bound_batches
 
 #: Names that the operators add to rows; a table's own columns of these names are set aside.
-RESERVED = {"nll", "n_symbols", "perplexity", "threshold", "kept", "mean_h", "score", "offending",
+RESERVED = {"nll", "n_symbols", "perplexity", "plain_perplexity", "threshold", "kept", "mean_h", "score", "offending",
             "n_words", "n_hit", "n_items", "item_ids", "spans", "hit_words"}
 #: Up to so many pairs of numbers (about 32 MB as a hash table) are broadcast to remove rows; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
