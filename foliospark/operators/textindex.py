@@ -17,7 +17,11 @@ segments, so scores over several equal those over one.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -29,6 +33,27 @@ BUCKETS = 64
 COMMIT = "segment string, replaces array<string>, buckets int, field string, n long, length long"
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, field, len, term, positions, tf) of rows (id, field, len, tokens): a document's equal tokens become one row,
+    in its own task, by one stable sort of a batch's tokens."""
+    for batch in batches:
+        tokens = batch.column(3)
+        lens = np.diff(tokens.offsets.to_numpy())
+        flat = pc.dictionary_encode(tokens.flatten())
+        code, row = flat.indices.to_numpy(), np.repeat(np.arange(len(lens)), lens)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
+        order = np.lexsort((place, code, row))
+        code, row = code[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])))[: len(code)])
+        ends = np.append(first, len(code)).astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
+        own = pa.array(row[first])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(k).take(own) for k in range(3)), flat.dictionary.take(pa.array(code[first])), positions, pa.array(np.diff(ends))],
+            ["id", "field", "len", "term", "positions", "tf"],
+        )
+
+
 class TextIndex:
     """The index in a folder that all executors share."""
 
@@ -42,23 +67,28 @@ class TextIndex:
         parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
         rows = docs.select(F.col(id).alias("id"), F.explode(parts).alias("p")).select("id", "p.*").filter(F.trim("text") != "")
         rows = rows.withColumn("tokens", T.tokens(F.col("text"))).select("id", "field", F.size("tokens").alias("len"), "tokens")
-        each = rows.select("id", "field", "len", F.posexplode("tokens").alias("pos", "term"))
-        postings = each.groupBy("id", "field", "len", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
         segment = uuid.uuid4().hex
-        rows.select("field", "id", "len").write.parquet(f"{self.path}/documents/segment={segment}")
-        return self._finish(segment, [], postings.withColumn("tf", F.size("positions")))
+        kind = rows.schema["id"].dataType.simpleString()
+        postings = rows.mapInArrow(_postings, f"id {kind}, field string, len int, term string, positions array<int>, tf int")
+        self._finish_documents(segment, rows.select("field", "id", "len"))
+        return self._finish(segment, [], postings)
 
     def merge(self) -> str:
         """Writes the live segments as one, which replaces them."""
         old, segment = self.segments(), uuid.uuid4().hex
-        self._live("documents").write.parquet(f"{self.path}/documents/segment={segment}")
+        self._finish_documents(segment, self._live("documents"))
         return self._finish(segment, old, self._live("postings").drop("bucket"))
 
+    def _finish_documents(self, segment: str, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/documents/segment={segment}")
+
     def _finish(self, segment: str, replaces: list[str], postings: DataFrame) -> str:
         order = ["bucket", "term", "field", "id"]
         dealt = postings.withColumn("bucket", self.bucket(F.col("term")))
-        # by ranges, so that the postings of a frequent term are several tasks' work
-        dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
+        # A bucket is dealt to as many tasks as there are for it, by document, so that a frequent term is several tasks' work.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64("id"), F.lit(-(-tasks // self.buckets)))
+        dealt = dealt.repartition(tasks, "bucket", salt).sortWithinPartitions(*order)
         dealt.write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
         terms = self._live("postings", [segment]).groupBy("term", "bucket", "field").agg(F.count("*").alias("df"))
         terms.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.parquet(f"{self.path}/terms/segment={segment}")
