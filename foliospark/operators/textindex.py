@@ -55,10 +55,12 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class TextIndex:
-    """The index in a folder that all executors share."""
+    """The index in a folder that all executors share. ``buckets`` is for a new one; an index that is there keeps its own."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path = spark, path
+        known = self._commits().select("buckets").first()
+        self.buckets = known.buckets if known else buckets
 
     # ------------------------------------------------------------ writing
 
@@ -70,18 +72,15 @@ class TextIndex:
         segment = uuid.uuid4().hex
         kind = rows.schema["id"].dataType.simpleString()
         postings = rows.mapInArrow(_postings, f"id {kind}, field string, len int, term string, positions array<int>, tf int")
-        self._finish_documents(segment, rows.select("field", "id", "len"))
+        rows.select("field", "id", "len").write.parquet(f"{self.path}/documents/segment={segment}")
         return self._finish(segment, [], postings)
 
     def merge(self) -> str:
         """Writes the live segments as one, which replaces them."""
         old, segment = self.segments(), uuid.uuid4().hex
-        self._finish_documents(segment, self._live("documents"))
+        self._live("documents").write.parquet(f"{self.path}/documents/segment={segment}")
         return self._finish(segment, old, self._live("postings").drop("bucket"))
 
-    def _finish_documents(self, segment: str, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/documents/segment={segment}")
-
     def _finish(self, segment: str, replaces: list[str], postings: DataFrame) -> str:
         order = ["bucket", "term", "field", "id"]
         dealt = postings.withColumn("bucket", self.bucket(F.col("term")))
