@@ -107,7 +107,7 @@ def _(t):
     d = parsed.read_tei(t.spark, path, lines=True)
     titles = F.array_join(F.transform("sections", lambda x: x["title"]), "/").alias("sections")
     return d.select("title", F.array_join("authors", "; ").alias("authors"), titles, F.col("sections")[0]["subsections"][0]["title"].alias("subsection"),
-                    F.col("tables")[0]["markdown"].alias("markdown"), F.array_join("figures", ",").alias("figures"))
+                    F.col("tables")[0]["markdown"].alias("markdown"), F.array_join(F.transform("figures", lambda f: f["caption"]), ",").alias("figures"))
 
 
 @query("t20_table_markdown", "select page_id, concat('| id | url |', chr(10), '| --- | --- |', chr(10), '| ', cast(page_id as varchar), ' | ', url, ' |') as markdown from pages")

@@ -12,13 +12,22 @@ DOCUMENT = (
 )
 ENTRY = ("id string, title string, summary string, published string, author array<struct<name:string>>, "
          "category array<struct<_term:string>>, link array<struct<_href:string,_type:string,_title:string>>")
-_FIGURE = "struct<_type:string,figDesc:string,table:struct<row:array<struct<cell:array<string>>>>>"
-_DIV = "struct<head:string,p:array<string>>"
-_DIVS = f"array<struct<head:string,p:array<string>,figure:array<{_FIGURE}>,div:array<struct<head:string,p:array<string>,div:array<{_DIV}>>>>>"
+#: Levels of divisions below a section that a TEI scan keeps; deeper ones go with their text.
+TEI_DEPTH = 4
+_FIGURE = "struct<_type:string,_foliopage:int,figDesc:string,table:struct<row:array<struct<cell:array<string>>>>>"
+
+
+def _division(depth: int) -> str:
+    inner = f",div:array<{_division(depth - 1)}>" if depth else ""
+    return f"struct<_foliopage:int,head:string,p:array<string>,figure:array<{_FIGURE}>{inner}>"
+
+
 _AUTHOR = "struct<persName:struct<forename:array<string>,surname:string>>"
 TEI = ("teiHeader struct<fileDesc:struct<titleStmt:struct<title:string>,"
-       f"sourceDesc:struct<biblStruct:struct<analytic:struct<author:array<{_AUTHOR}>>>>>,profileDesc:struct<abstract:struct<p:array<string>>>>, "
-       f"text struct<body:struct<div:{_DIVS},figure:array<{_FIGURE}>>>")
+       f"sourceDesc:struct<biblStruct:struct<analytic:struct<author:array<{_AUTHOR}>>>>>,profileDesc:struct<abstract:string>>, "
+       f"text struct<body:struct<div:array<{_division(TEI_DEPTH + 1)}>,figure:array<{_FIGURE}>>>")
+#: The elements of a TEI body that a scan reads; others give their text to what they stand in.
+BODY_TAGS = "body|div|head|p|figure|figDesc|table|row|cell"
 #: Names of TEI sections that aren't body text.
 NOT_BODY = ["references", "bibliography", "acknowledgements", "acknowledgments", "appendix", "appendices", "supplementary material"]
 
@@ -66,35 +75,74 @@ def _lines(ps: Column) -> Column:
     return F.array_join(F.filter(F.transform(ps, _clean), lambda x: x != ""), " ")
 
 
+def _inline(xml: Column) -> Column:
+    """A TEI document whose body has the scan's elements alone, each division and figure with its page: that of
+    the last page break before it, else of the document's first, else 1."""
+    breaks = r"<(?:\w+:)?pb\b[^>]*>"
+    number = lambda tag: F.coalesce(F.regexp_extract(tag, r"""\b(?:n|xml:id)=["'](\d+)["']""", 1).try_cast("int"), F.lit(1))
+    pages = F.transform(F.regexp_extract_all(xml, F.lit(breaks), F.lit(0)), number)
+    first = F.coalesce(F.get(pages, F.lit(0)), F.lit(1))
+    paged = lambda part, i: F.regexp_replace(
+        part, F.lit(r"<((?:\w+:)?(?:div|figure))\b"), F.concat(F.lit('<$1 foliopage="'), F.coalesce(F.get(pages, i - 1), first).cast("string"), F.lit('"'))
+    )
+    whole = F.array_join(F.transform(F.split(xml, breaks), paged), "")
+    at = F.locate("<body", whole)
+    inside = F.regexp_replace(F.substring(whole, at, F.length(whole)), rf"</?(?!(?:{BODY_TAGS}|text|back|TEI)\b)[A-Za-z][^<>]*>", "")
+    header = F.substring(whole, F.lit(1), at - 1)
+    flat = F.regexp_replace(F.regexp_extract(header, r"(?s)<abstract\b[^>]*>(.*?)</abstract>", 1), r"<[^>]*>", "")
+    header = F.concat(F.regexp_replace(header, r"(?s)<abstract\b[^>]*>.*?</abstract>", "<abstract></abstract>"))
+    header = F.replace(header, F.lit("<abstract></abstract>"), F.concat(F.lit("<abstract>"), flat, F.lit("</abstract>")))
+    return F.when(at > 0, F.concat(header, inside)).otherwise(xml)
+
+
 def read_tei(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(title, authors, abstract, sections, tables, figures) of TEI documents.
+    """(title, authors, abstract, sections, tables, figures) of TEI documents, one in each file, or on each line if ``lines`` is set.
 
     A division of the body that has divisions gives these as sections, and its tables and
-    figures go before the body's own; theirs are subsections. Sections outside the body text
-    are left out. ``lines``: one document on each line.
+    figures go before the body's own; theirs are subsections: ``subsections`` has the first level, and ``deeper`` all further ones in
+    order, with their level. Sections outside the body text are left out, with all below them. Inner marks of a paragraph leave
+    their text. Files that aren't well-formed are left out.
     """
-    d = spark.read.format("xml").option("rowTag", "TEI").option("multiLine", not lines).schema(TEI).load(path)
+    raw = spark.read.text(path, wholetext=not lines)
+    d = raw.select(F.from_xml(_inline(F.col("value")), TEI, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("t")).select("t.*")
+    d = d.filter("teiHeader is not null or text is not null")
     body = lambda x: ~F.lower(x["title"]).isin(NOT_BODY)
-    flat = lambda x: F.struct(_clean(x["head"]).alias("title"), F.coalesce(_lines(x["p"]), F.lit("")).alias("content"))
-    below = lambda xs: F.filter(F.transform(_list(xs, _DIV), flat), body)
-    one = lambda x, sub: F.struct(flat(x)["title"].alias("title"), flat(x)["content"].alias("content"), sub.alias("subsections"))
-    none = F.array().cast("array<struct<title:string,content:string>>")
-    split = lambda x: F.size(F.coalesce(x["div"], F.array())) > 0
-    each = lambda x: F.when(split(x), F.transform(x["div"], lambda y: one(y, below(y["div"])))).otherwise(F.array(one(x, none)))
-    divs = F.coalesce(F.col("text.body.div"), F.array().cast(_DIVS))
+    page = lambda x: F.coalesce(x["_foliopage"], F.lit(1))
+
+    def flat(x: Column, level: int | None = None) -> Column:
+        names = [_clean(x["head"]).alias("title"), page(x).alias("page"), F.coalesce(_lines(x["p"]), F.lit("")).alias("content")]
+        return F.struct(*([F.lit(level).alias("level")] if level else []), *names)
+
+    def below(xs: Column, depth: int, level: int) -> Column:
+        """The divisions and all theirs, in order of the document."""
+        one = lambda x: F.when(body(flat(x)), F.concat(F.array(flat(x, level)), below(x["div"], depth - 1, level + 1) if depth else F.array().cast(deep))).otherwise(F.array().cast(deep))
+        return F.flatten(F.transform(_list(xs, _division(depth)), one))
+
+    deep = "array<struct<level:int,title:string,page:int,content:string>>"
+    first = lambda xs: F.filter(F.transform(xs, lambda y: flat(y)), body)
+
+    def section(x: Column, depth: int | None) -> Column:
+        subs = first(_list(x["div"], _division(depth))) if depth is not None else F.array().cast("array<struct<title:string,page:int,content:string>>")
+        further = F.filter(below(x["div"], depth, 1), lambda y: y["level"] > 1) if depth is not None else F.array().cast(deep)
+        return F.struct(_clean(x["head"]).alias("title"), page(x).alias("page"), F.coalesce(_lines(x["p"]), F.lit("")).alias("content"), subs.alias("subsections"), further.alias("deeper"))
+
+    split = lambda x: F.size(_list(x["div"], _division(TEI_DEPTH))) > 0
+    each = lambda x: F.when(split(x), F.transform(x["div"], lambda y: section(y, TEI_DEPTH - 1))).otherwise(F.array(section(x, None)))
+    divs = _list(F.col("text.body.div"), _division(TEI_DEPTH + 1))
     sections = F.filter(F.flatten(F.transform(divs, each)), body)
     name = lambda a: F.trim(F.concat_ws(" ", F.array_join(F.filter(F.transform(_list(a["persName"]["forename"], "string"), F.trim), lambda x: x != ""), " "), F.trim(a["persName"]["surname"])))
     authors = F.filter(F.transform(_list(F.col("teiHeader.fileDesc.sourceDesc.biblStruct.analytic.author"), _AUTHOR), name), lambda x: x != "")
-    inside = F.flatten(F.transform(F.filter(divs, split), lambda x: _list(x["figure"], _FIGURE)))
-    found = F.concat(inside, _list(F.col("text.body.figure"), _FIGURE))
-    is_table = lambda f: F.coalesce(f["_type"] == "table", F.lit(False))
+    owned = lambda x: F.transform(_list(x["figure"], _FIGURE), lambda f: F.struct(f.alias("f"), _clean(x["head"]).alias("of")))
+    inside = F.flatten(F.transform(F.filter(divs, split), owned))
+    found = F.concat(inside, F.transform(_list(F.col("text.body.figure"), _FIGURE), lambda f: F.struct(f.alias("f"), F.lit("").alias("of"))))
+    is_table = lambda g: F.coalesce(g["f"]["_type"] == "table", F.lit(False))
     cells = lambda f: F.transform(f["table"]["row"], lambda r: F.transform(_list(r["cell"], "string"), _clean))
     markdown = lambda f: F.when(F.size(cells(f)) > 0, table_markdown(cells(f))).otherwise("")
     return d.select(
         _clean(F.col("teiHeader.fileDesc.titleStmt.title")).alias("title"), authors.alias("authors"),
-        F.coalesce(_lines(F.col("teiHeader.profileDesc.abstract.p")), F.lit("")).alias("abstract"), sections.alias("sections"),
-        F.transform(F.filter(found, is_table), lambda f: F.struct(_clean(f["figDesc"]).alias("caption"), markdown(f).alias("markdown"))).alias("tables"),
-        F.transform(F.filter(found, lambda f: ~is_table(f)), lambda f: _clean(f["figDesc"])).alias("figures"),
+        _clean(F.col("teiHeader.profileDesc.abstract")).alias("abstract"), sections.alias("sections"),
+        F.transform(F.filter(found, is_table), lambda g: F.struct(_clean(g["f"]["figDesc"]).alias("caption"), page(g["f"]).alias("page"), markdown(g["f"]).alias("markdown"))).alias("tables"),
+        F.transform(F.filter(found, lambda g: ~is_table(g)), lambda g: F.struct(_clean(g["f"]["figDesc"]).alias("caption"), page(g["f"]).alias("page"), g["of"].alias("section_title"))).alias("figures"),
     )
 
 
