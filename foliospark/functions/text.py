@@ -9,6 +9,15 @@ TOKEN = r"[a-z0-9]+(?:[-_][a-z0-9]+)*|[\x{4e00}-\x{9fff}]+|\S"
 CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]"
 
 
+#: Ids; where reference lists are split; the marks before an entry's title and what ends its first sentence; valid ids.
+ARXIV_ID = r"(?i)(\d{4}\.\d{4,5}(?:v\d+)?)"
+NEXT_ENTRY = r"\n(?=\s*\[\d+\]|\s*\d+\.\s)"
+ENTRY_NUMBER = r"^\[?\d+\]?\.?\s*"
+SENTENCE_END = r"[.。!！?？]\s+"
+BEFORE_TITLE = r"(?:\)\.|,?\s*\d{4}[a-z]?\.?)\s*([^\n]+)"
+VALID_ID = r"^[\w.-]+$"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens; single characters only if alphanumeric."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -37,7 +46,7 @@ def language(text: Column) -> Column:
 
 def arxiv_ids(text: Column) -> Column:
     """Sorted distinct ids, wherever they stand: in URLs, after "arXiv:" or "arXiv #", and bare."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(\d{4}\.\d{4,5}(?:v\d+)?)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(ARXIV_ID), F.lit(1))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 9)))
 
 
@@ -49,16 +58,16 @@ def stripped(text: Column) -> Column:
 def reference_entries(text: Column) -> Column:
     """Entries of a reference list, split before ``[n]`` or ``n. `` at a line's start, or, without
     such numbers, at blank lines; short ones are left out."""
-    numbered = F.split(text, r"\n(?=\s*\[\d+\]|\s*\d+\.\s)")
+    numbered = F.split(text, NEXT_ENTRY)
     parts = F.when(F.size(numbered) > 1, numbered).otherwise(F.split(text, "\n\n"))
     return F.filter(F.transform(parts, stripped), lambda x: F.length(x) > 20)
 
 
 def entry_title(entry: Column) -> Column:
     """The likely title: of the first sentence what follows ``).`` or a year, or all of it."""
-    body = F.regexp_replace(stripped(entry), r"^\[?\d+\]?\.?\s*", "")
-    first = stripped(F.element_at(F.split(body, r"[.。!！?？]\s+"), 1))
-    after = F.regexp_extract(first, r"(?:\)\.|,?\s*\d{4}[a-z]?\.?)\s*([^\n]+)", 1)
+    body = F.regexp_replace(stripped(entry), ENTRY_NUMBER, "")
+    first = stripped(F.element_at(F.split(body, SENTENCE_END), 1))
+    after = F.regexp_extract(first, BEFORE_TITLE, 1)
     return F.substring(F.when(after != "", stripped(after)).otherwise(first), 1, 200)
 
 
@@ -67,7 +76,7 @@ def base_id(arxiv_id: Column) -> Column:
 
 
 def valid_id(arxiv_id: Column) -> Column:
-    return arxiv_id.rlike(r"^[\w.-]+$") & ~F.contains(arxiv_id, F.lit(".."))
+    return arxiv_id.rlike(VALID_ID) & ~F.contains(arxiv_id, F.lit(".."))
 
 
 def preview(text: Column, n: int) -> Column:

@@ -29,9 +29,3 @@ def edges(references: DataFrame, own: DataFrame) -> DataFrame:
     rows = rows.filter(T.base_id(F.col("cited")) != T.base_id(F.col("arxiv_id"))).withColumn("base", T.base_id(F.col("cited")))
     first = rows.groupBy(F.col("arxiv_id").alias("citing"), F.col("base").alias("cited")).agg(F.min_by("entry", "pos").alias("entry"))
     return first.select("citing", "cited", T.entry_title(F.col("entry")).alias("cited_title"), F.substring("entry", 1, 300).alias("context"))
-
-
-def summary(found: DataFrame, processed: DataFrame) -> DataFrame:
-    """One row: documents processed and edges found."""
-    n = processed.agg(F.count("*").alias("processed"))
-    return found.agg(F.count("*").alias("edges")).crossJoin(F.broadcast(n))

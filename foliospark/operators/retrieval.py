@@ -31,29 +31,11 @@ def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
 
 
-def terms(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, len, tokens) of documents that aren't blank, written out so that texts are read once."""
-    tokens = T.tokens(F.col(text))
-    rows = docs.filter(F.trim(F.col(text)) != "").select(F.col(id).alias("id"), tokens.alias("tokens"))
-    return saved(rows.select("id", F.size("tokens").alias("len"), "tokens"), "tokens")
-
-
 def totals(rows: DataFrame) -> DataFrame:
     """One row: the number of documents and their mean length."""
     return rows.agg(F.count("*").alias("n"), (F.coalesce(F.sum("len"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
 
 
-def index(docs: DataFrame, id: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(postings, document stats, term stats, corpus stats) of documents that aren't blank."""
-    rows = terms(docs, id, text)
-    stats = rows.select("id", "len")
-    postings = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    corpus = totals(stats)
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    term_stats = df.crossJoin(F.broadcast(corpus)).select("term", "df", idf().alias("idf"))  # one row of totals
-    return postings, stats, term_stats, corpus
-
-
 def idf() -> Column:
     return F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(LEAST_IDF))
 

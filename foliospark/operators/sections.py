@@ -26,6 +26,14 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "text"))
 
 
+#: What is no title (a bare number, a year, in a long line what a table of contents has), and what opens sections and subsections.
+BARE_NUMBER = r"^\d+(\.\d+)?\.?\s*$"
+YEAR = r"^(19|20)\d{2}[a-z]?$"
+CONTENTS_LINE = r"\.{3,}|\bpp?\.\s*\d|\bvol\.?\s*\d|^\s*\d+\s*$"
+SECTION_NUMBER = r"^(\d+\.|[A-Z]\.)\s*\S"
+SUBSECTION_NUMBER = r"^(\d+\.\d+\.|[A-Z]\.\d+\.)\s*\S"
+
+
 def heading_class(text: Column, size: Column) -> Column:
     """``section``, ``subsection`` or ``body`` for a line.
 
@@ -36,12 +44,12 @@ def heading_class(text: Column, size: Column) -> Column:
     t = F.trim(text)
     word = F.regexp_replace(F.regexp_extract(t, r"^\S+", 0), r"\.+$", "")
     title = (
-        (t != "") & (F.length(t) <= LONGEST) & ~t.rlike(r"^\d+(\.\d+)?\.?\s*$") & ~word.rlike(r"^(19|20)\d{2}[a-z]?$")
-        & ~((F.length(t) > 50) & t.rlike(r"\.{3,}|\bpp?\.\s*\d|\bvol\.?\s*\d|^\s*\d+\s*$"))
+        (t != "") & (F.length(t) <= LONGEST) & ~t.rlike(BARE_NUMBER) & ~word.rlike(YEAR)
+        & ~((F.length(t) > 50) & t.rlike(CONTENTS_LINE))
     )
     named = F.lower(t).isin(NAMES) & (size >= 10.0)
-    section = title & (t.rlike(r"^(\d+\.|[A-Z]\.)\s*\S") | named)
-    return F.when(section, "section").when(title & t.rlike(r"^(\d+\.\d+\.|[A-Z]\.\d+\.)\s*\S"), "subsection").otherwise("body")
+    section = title & (t.rlike(SECTION_NUMBER) | named)
+    return F.when(section, "section").when(title & t.rlike(SUBSECTION_NUMBER), "subsection").otherwise("body")
 
 
 def is_heading(text: Column, size: Column) -> Column:

@@ -111,9 +111,10 @@ def _(t):
 @query("a8_corpus_stats", f"""with {INDEX} select (select count(*) from stats) as doc_count, (select round(avgdl, 1) from corpus) as avg_doc_len,
     (select count(*) from term_stats) as vocab_size, (select cast(sum(len) as bigint) from stats) as total_tokens""")
 def _(t):
-    _, stats, term_stats, _ = R.index(documents(t))
+    index = indexed(t)
+    stats = index.documents().filter("field = 'text'")
     a = stats.agg(F.count("*").alias("doc_count"), F.round(F.avg("len"), 1).alias("avg_doc_len"), F.sum("len").alias("total_tokens"))
-    return a.crossJoin(F.broadcast(term_stats.agg(F.count("*").alias("vocab_size"))))
+    return a.crossJoin(F.broadcast(index.term_stats("text").agg(F.count("*").alias("vocab_size"))))  # one row each
 
 
 @query("r4_bm25_topk", f"""with {SCORES} select query_id, id, score, len,

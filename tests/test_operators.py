@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,7 +41,18 @@ def test_bm25(spark):
     queries = spark.createDataFrame([(7, "attention mechanism"), (8, "nothing here")], "query_id long, query_text string")
     got = R.bm25(docs, queries).collect()
     assert [(r.query_id, r.id) for r in got] == [(7, 1)] and got[0].score > 0
-    assert R.index(docs)[3].first().n == 2
+
+
+def test_reranking_by_a_pandas_function(spark):
+    """A scorer may be any function of columns, also one over Arrow batches."""
+
+    @F.pandas_udf("double")
+    def shorter(query: pd.Series, document: pd.Series) -> pd.Series:
+        return 1.0 / (1 + document.str.len())
+
+    hits = spark.createDataFrame([(1, k, "q", "x" * (9 - k), 1.0 / k) for k in range(1, 8)], "query_id long, id long, query_text string, document string, score double")
+    got = R.rerank(hits, 3, lambda q, d: shorter(q, d)).orderBy("rank").collect()
+    assert [r.id for r in got] == [7, 6, 5] and got[0].original_score == 1 / 7
 
 
 def test_more_occurrences_score_higher(spark):
