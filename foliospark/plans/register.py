@@ -26,7 +26,7 @@ class Tables:
     def index(self, name: str, id: str, fields: list[str], parts: int = 1) -> TextIndex:
         """A stored index of a table, written in ``parts`` segments by the first query that asks for it in an application."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name, *fields, parts)
-        if key not in _indexes:
+        if key not in _indexes or not scratch.exists(self.spark, _indexes[key].path):  # it may have been cleared
             made = TextIndex(self.spark, scratch.folder(self.spark, "index"))
             for k in range(parts):
                 rows = self(name)

@@ -34,3 +34,8 @@ def clear(spark: SparkSession) -> bool:
     """Deletes the application's intermediate tables, once their results have been written elsewhere; gives whether there were any."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/{spark.sparkContext.applicationId}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
