@@ -1,5 +1,7 @@
 """Documents whose numbers have more than five digits: ids stay one paper's alone, and queries agree with their SQL."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -33,3 +35,14 @@ def test_agrees_with_sql(spark, large, name):
 def test_ids_are_unique(spark, large):
     _, con = large
     assert con.sql(f"select count(distinct arxiv_id) from ({VIEWS['papers']})").fetchall() == [(len(IDS),)]
+
+
+def test_chunk_text_is_whole(spark, tmp_path):
+    """The beginnings of 30 chunks come to more than 8,000 characters; all of them count."""
+    text = "".join(f"{i:07d} " for i in range(4_000))
+    pd.DataFrame({"doc_id": [1], "text": [text], "lang": "en", "source": "s", "n_chars": [len(text)]}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    whole = "\n\n".join(text[800 * k : 800 * k + 500] for k in range(30))
+    want = [(1, hashlib.md5(whole.encode()).hexdigest())]
+    assert [tuple(r) for r in QUERIES["t23_chunk_text"](spark, str(tmp_path)).collect()] == want == con.sql(ORACLE_SQL["t23_chunk_text"]).fetchall()
