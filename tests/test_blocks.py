@@ -66,3 +66,37 @@ def test_rounded_as_spark(spark):
     values = [0.0, 0.0000005, 0.1234565, 1.0000005, 0.3333335, 2.5e-7, 1.9999995, 12.3456785, math.pi]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 6)).collect()]
     assert blocks.rounded(np.array(values)).tolist() == want
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_best_scores_are_those_of_all(spark, monkeypatch, small):
+    """Ties, equal documents, blank ones and a query without hits; no row for each document and query."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{min(int(x), 20)}" for x in r.exponential(6, r.integers(1, 30))) for _ in range(90)]
+    docs = spark.createDataFrame([*enumerate(texts), (90, texts[4]), (91, texts[4]), (92, ""), (93, None)], "id long, text string")
+    queries = spark.createDataFrame([(i, texts[i * 7]) for i in range(9)] + [(9, "none"), (10, None)], "query_id long, query_text string")
+    if small:
+        for name, n in (("POSTINGS", 100), ("WEIGHED", 3), ("HELD", 200)):
+            monkeypatch.setattr(blocks, name, n)
+    order = [F.desc("score"), F.asc("id")]
+    row = lambda x: (x.query_id, x["rank"], x.id, x.score, x.len)
+    best = R.bm25(docs, queries, top=5)
+    assert "FlatMapCoGroupsInArrow" in best._jdf.queryExecution().toString()
+    assert sorted(map(row, R.ranked(best, order, 5).collect())) == sorted(map(row, R.ranked(R.bm25(docs, queries), order, 5).collect()))
+
+
+def test_postings_are_sorted_in_pieces(monkeypatch):
+    """A task sorts a bounded number of tokens at once, whatever the batch has; the postings are the same."""
+    import pyarrow as pa
+
+    from foliospark.operators import textindex as X
+
+    tokens = [["a", "b", "a"], [], ["c"] * 9, ["b"], ["a", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["text"] * 5), pa.array([len(t) for t in tokens], pa.int32()), pa.array(tokens, pa.list_(pa.string()))], ["id", "field", "len", "tokens"])
+    key = lambda x: (x["id"], x["term"])
+    rows = lambda: sorted((x for b in X._postings([batch]) for x in b.to_pylist()), key=key)
+    whole = rows()
+    monkeypatch.setattr(X, "MOST_TOKENS", 4)
+    pieces = list(X._pieces([batch]))
+    assert len(pieces) == 3 and all(len(p) == 1 or sum(map(len, p.column(3).to_pylist())) <= 4 for p in pieces)
+    assert rows() == whole and len(whole) == 6
