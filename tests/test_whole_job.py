@@ -1,11 +1,15 @@
 """Cases in which operators once did less than the whole job."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from conftest import SMALL
 from foliospark.operators import cells, retrieval as R
+from foliospark.plans import register
 from foliospark.plans.catalog import ORACLE_SQL, QUERIES
+from foliospark.sources import scratch
 
 
 # ------------------------------------------------------------- r9
@@ -74,3 +78,30 @@ def test_many_vector_queries_give_the_same_hits(spark, monkeypatch):
     plan = found._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert R.dense(chunks.filter("false"), asked, 4).count() == 0
+
+
+# ------------------------------------------------------- full-text predicates
+
+
+def made_since(spark, act):
+    """The names of the folders that are made below the application's scratch folder meanwhile, and what ``act`` gives."""
+    top = Path(scratch.folder(spark, "x").removeprefix("file:")).parent
+    names = lambda: {p.name for p in top.iterdir()} if top.is_dir() else set()
+    before, out = names(), act()
+    return names() - before, out
+
+
+def alone(spark, monkeypatch, name, folder=SMALL):
+    """A query's rows where no index is stored; it once wrote one, of every text's postings, for one predicate."""
+    monkeypatch.setattr(register, "_indexes", {})
+    made, df = made_since(spark, lambda: QUERIES[name](spark, folder))
+    assert not [x for x in made if x.startswith("index")]
+    rows = sorted(df.collect())
+    monkeypatch.undo()
+    return df, rows
+
+
+def test_semi_join_asks_without_an_index(spark, monkeypatch):
+    _, rows = alone(spark, monkeypatch, "j4_full_text_semi")
+    register.Tables(spark, SMALL).index("papers", "id", ["title", "authors", "abstract"])
+    assert rows and rows == sorted(QUERIES["j4_full_text_semi"](spark, SMALL).collect())
