@@ -105,3 +105,9 @@ def test_semi_join_asks_without_an_index(spark, monkeypatch):
     _, rows = alone(spark, monkeypatch, "j4_full_text_semi")
     register.Tables(spark, SMALL).index("papers", "id", ["title", "authors", "abstract"])
     assert rows and rows == sorted(QUERIES["j4_full_text_semi"](spark, SMALL).collect())
+
+
+def test_full_text_asks_without_an_index(spark, monkeypatch):
+    df, rows = alone(spark, monkeypatch, "f4_full_text")
+    register.Tables(spark, SMALL).index("papers", "id", ["title", "authors", "abstract"])
+    assert rows and df.columns == ["id"] and rows == sorted(QUERIES["f4_full_text"](spark, SMALL).collect())
