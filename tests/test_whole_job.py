@@ -111,3 +111,10 @@ def test_full_text_asks_without_an_index(spark, monkeypatch):
     df, rows = alone(spark, monkeypatch, "f4_full_text")
     register.Tables(spark, SMALL).index("papers", "id", ["title", "authors", "abstract"])
     assert rows and df.columns == ["id"] and rows == sorted(QUERIES["f4_full_text"](spark, SMALL).collect())
+
+
+@pytest.mark.parametrize("name", ["f4_phrase", "f4_negated_phrase"])
+def test_phrases_ask_without_an_index(spark, monkeypatch, name):
+    df, rows = alone(spark, monkeypatch, name)
+    register.Tables(spark, SMALL).index("papers", "id", ["title", "authors", "abstract"])
+    assert rows and df.columns == ["id"] and rows == sorted(QUERIES[name](spark, SMALL).collect())
