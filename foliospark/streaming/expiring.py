@@ -10,15 +10,19 @@ dropped by Spark, and counted in the query's progress.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from foliospark.streaming.keyed import Admission, Lifetime
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Events of one key in one row of a fold's output.
+ROWS = 10_000
 
 
 class state_store:  # noqa: N801
@@ -38,11 +42,19 @@ class state_store:  # noqa: N801
 
 
 class _Expiring(StatefulProcessor):
-    """A fold whose state is a list of times; ``ends`` says when it no longer matters."""
+    """A fold whose state is a list of times; ``ends`` says when it no longer matters.
+
+    Each call of a key's state passes a socket, so a key makes as few as it can. State and timer are touched only if the fold has
+    changed them; a key that has state has one timer, whose time follows from the state. Of a trigger that spans much time, most
+    keys' state has ended by the trigger's own events, as the next watermark is at most ``late`` (micros) before each of them: it is
+    not written. ``late`` None writes it always."""
+
+    late: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.times = handle.getValueState("times", "times array<long>")
+        self.seen = -(1 << 62)
 
     def fold(self, times: tuple[int, ...]):
         raise NotImplementedError
@@ -53,19 +65,36 @@ class _Expiring(StatefulProcessor):
     def ends(self, times: list[int]) -> int:
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        fold = self.fold(tuple(self.times.get()[0]) if self.times.exists() else ())
-        said = [fold(int(at)) for at in frame["at"]]
+    def timer(self, times: list[int]) -> int | None:
+        return self.ends(times) // 1000 + 1 if times else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ids, none, ats = array("q"), array("b"), array("q")
+        for event_id, _, at, _ in rows:
+            ids.append(event_id or 0)
+            none.append(event_id is None)
+            ats.append(at)
+        known = self.times.get()
+        before = list(known[0]) if known else []
+        fold = self.fold(tuple(before))
+        order = np.lexsort((ids, none, ats)).tolist() if len(ats) > 1 else [0]
+        said = [fold(ats[k]) for k in order]
         times = self.kept(fold)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if times:
-            self.times.update((times,))
-            self.handle.registerTimer(self.ends(times) // 1000 + 1)
-        yield pd.DataFrame({"event_id": frame["event_id"].to_numpy(), "said": said})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen = max(self.seen, ats[order[-1]])
+        if times and self.late is not None and self.ends(times) <= self.seen // 1000 * 1000 - self.late:
+            times = []
+        if times != before:
+            old, new = self.timer(before), self.timer(times)
+            if old is not None and old != new:
+                self.handle.deleteTimer(old)
+            if new is not None and old != new:
+                self.handle.registerTimer(new)
+            self.times.update((times,)) if times else self.times.clear()
+        for k in range(0, len(order), ROWS):
+            part = order[k : k + ROWS]
+            yield Row(event_id=[None if none[i] else ids[i] for i in part], said=said[k : k + ROWS])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.times.clear()
         return iter(())
 
@@ -101,12 +130,25 @@ class _Lifetime(_Expiring):
         return times[0]
 
 
-def _stream(events: DataFrame, key: str, late: str, processor: StatefulProcessor, out: str) -> DataFrame:
+#: Units of a watermark's delay, in micros.
+UNITS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+
+
+def _micros(late: str) -> int | None:
+    """A delay such as "10 minutes"; None for other forms."""
+    found = re.fullmatch(r"\s*(\d+)\s+([a-z]+?)s?\s*", late.lower())
+    return int(found[1]) * UNITS[found[2]] if found and found[2] in UNITS else None
+
+
+def _stream(events: DataFrame, key: str, late: str, processor: _Expiring, out: str) -> DataFrame:
+    """The stream's watermark is the one that is set here, with no other below it."""
+    processor.late = _micros(late)
     ts = F.col("ts").cast("timestamp")
     rows = events.select("event_id", F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("at"), ts.alias("ts"))
     grouped = rows.withWatermark("ts", late).groupBy("key")
-    said = grouped.transformWithStateInPandas(processor, "event_id long, said boolean", "Append", "EventTime")
-    return said.withColumnRenamed("said", out)
+    # A row is a key's events of the trigger, in lists: a frame or a row for each event would cost more than the fold.
+    said = grouped.transformWithState(processor, "event_id array<long>, said array<boolean>", "Append", "EventTime")
+    return said.select(F.inline(F.arrays_zip("event_id", "said"))).withColumnRenamed("said", out)
 
 
 def admitted_stream(events: DataFrame, seconds: int = 60, most: int = 30, key: str = "user_id", late: str = "0 seconds") -> DataFrame:

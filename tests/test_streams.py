@@ -60,6 +60,39 @@ def test_folds_and_eviction(spark, tmp_path, kind):
     assert spark.conf.get(expiring.state_store.name) != expiring.ROCKSDB
 
 
+@pytest.mark.parametrize("kind", ["admitted", "hit"])
+def test_state_that_has_ended_is_not_written(spark, tmp_path, kind):
+    """One trigger spans many minutes: few keys become state, those that the next trigger's events may still meet.
+    Every key's state was written, and removed by its timer; a frame was made for each key."""
+    draw = random.Random(4)
+    times = [sorted(draw.randint(0, 7_200_000_000) for _ in range(400)), [7_200_000_000 + 9_000_000 * k for k in range(20)]]
+    rows = [[(1000 * k + i, draw.randint(0, 199), 1_700_000_000_000_000 + t) for i, t in enumerate(found)] for k, found in enumerate(times)]
+    rows[1] = [(i, rows[0][-1 - i % 3][1], t) for (i, _, t) in rows[1]]  # users whose entries are open
+    frames = [spark.createDataFrame(f, "event_id long, user_id long, us long").select("event_id", "user_id", F.timestamp_micros("us").alias("ts")) for f in rows]
+    make = (lambda e: expiring.admitted_stream(e, 60, 3)) if kind == "admitted" else (lambda e: expiring.ttl_stream(e, 60, "user_id"))
+    got, runs = feed(spark, tmp_path, frames, make)
+    every = frames[0].union(frames[1])
+    want = keyed.admitted(every, 60, 3) if kind == "admitted" else keyed.ttl_hits(every, 60, "user_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    users = frames[0].select("user_id").distinct().count()
+    assert 0 < max(o.numRowsUpdated for p in runs[0].recentProgress for o in p.stateOperators) < users / 2
+
+
+def test_delays():
+    assert [expiring._micros(x) for x in ("0 seconds", "10 minutes", "1 Hour", "1 month", "interval 1 day")] == [0, 600_000_000, 3_600_000_000, None, None]
+
+
+def test_events_without_id_are_last(spark, tmp_path):
+    """Equal times: by id, events without one last; more events of a key than one row of the output holds."""
+    rows = [(None if i % 7 == 6 else 500 - i, 1, 1_700_000_000_000_000 + i // 3) for i in range(40)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, us long").select("event_id", "user_id", F.timestamp_micros("us").alias("ts"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(expiring, "ROWS", 9)
+        got, _ = feed(spark, tmp_path, [frame], lambda e: expiring.admitted_stream(e, 60, 3))
+    yes = sorted(str(r.event_id) for r in got.filter("admitted").collect())
+    assert yes == ["498", "499", "500"] and got.count() == 40 and got.filter("event_id is null").count() == 5
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     frames = pieces(spark, parts=2)
     late = frames[0].limit(5).withColumn("event_id", F.col("event_id") + 10_000)
