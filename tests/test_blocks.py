@@ -85,6 +85,37 @@ def test_best_scores_are_those_of_all(spark, monkeypatch, small):
     assert sorted(map(row, R.ranked(best, order, 5).collect())) == sorted(map(row, R.ranked(R.bm25(docs, queries), order, 5).collect()))
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_all_scores_are_those_of_joins(spark, monkeypatch, small):
+    """Ties, blank documents, ids that are null, a query that comes twice or has no hits; no pair of a document and a query is shuffled."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 20)}" for x in r.exponential(6, r.integers(1, 30))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (90, texts[4]), (91, ""), (92, None), (None, texts[5])], "id long, text string")
+    queries = spark.createDataFrame([(i, texts[i * 7]) for i in range(8)] + [(3, "w1 w2"), (9, "none"), (10, None), (None, "w3 w1")], "query_id long, query_text string")
+    if small:
+        for name, n in (("TERMS", 50), ("WEIGHED", 3), ("HELD", 200)):
+            monkeypatch.setattr(blocks, name, n)
+    key = lambda x: (str(x.query_id), str(x.id), x.score, str(x.len))
+    found = [R.bm25(docs, queries), R.bm25(docs, queries, every=True)]
+    assert not any("Exchange" in x._jdf.queryExecution().toString() for x in found)
+    rows = [sorted(map(key, x.collect())) for x in found]
+    monkeypatch.setattr(R, "MAX_BROADCAST_ROWS", 0)  # by joins and shuffles
+    plain = [R.bm25(docs, queries), R.bm25(docs, queries, every=True)]
+    assert all("Exchange" in x._jdf.queryExecution().toString() for x in plain)
+    assert rows == [sorted(map(key, x.collect())) for x in plain] and len(rows[1]) == 64 * 12
+
+
+def test_bests_without_a_window(spark):
+    """Every list meets its own best, one without an id too; the hits are not dealt by list."""
+    hits = spark.createDataFrame([(q, i, float(i + (q or 0))) for q in (1, 2, None) for i in range(5)], "query_id long, id long, score double")
+    found = R.normalised_scores(hits)
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan and found.columns == ["query_id", "id", "score", "norm_score"]
+    best = {1: 5.0, 2: 6.0, None: 4.0}
+    want = [(r.query_id, r.id, r.score, round(r.score / best[r.query_id] * 0.3, 6)) for r in hits.collect()]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
 def test_postings_are_sorted_in_pieces(monkeypatch):
     """A task sorts a bounded number of tokens at once, whatever the batch has; the postings are the same."""
     import pyarrow as pa
