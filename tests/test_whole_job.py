@@ -120,7 +120,7 @@ def test_phrases_ask_without_an_index(spark, monkeypatch, name):
     assert rows and df.columns == ["id"] and rows == sorted(QUERIES[name](spark, SMALL).collect())
 
 
-@pytest.mark.parametrize("name", ["r12_normalised_scores"])
+@pytest.mark.parametrize("name", ["r12_normalised_scores", "r5_bm25_scores"])
 def test_scores_are_made_where_the_documents_are(spark, monkeypatch, name):
     """Scores of all documents were sums over joined postings, a row for each posting and query that passed a shuffle."""
     df, rows = alone(spark, monkeypatch, name)
