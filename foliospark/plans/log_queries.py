@@ -157,12 +157,12 @@ def replayed(t: Tables, events, make, pieces: int = 3):
 
 @query("w2_expiring_admission", f"with recursive {ADMITTED} select event_id, admitted from f where k > 0")
 def _(t):
-    return replayed(t, t("events").select("event_id", "user_id", "ts"), lambda e: expiring.admitted_stream(e, seconds=3600, most=3))
+    return replayed(t, t("events").select("event_id", "user_id", "ts"), lambda e: expiring.admitted_stream(e, seconds=3600, most=3, buckets=expiring.BUCKETS))
 
 
 @query("w4_expiring_ttl", f"with recursive {HITS} select event_id, hit from f where k > 0")
 def _(t):
-    return replayed(t, keyed_events(t), lambda e: expiring.ttl_stream(e, seconds=3600))
+    return replayed(t, keyed_events(t), lambda e: expiring.ttl_stream(e, seconds=3600, buckets=expiring.BUCKETS))
 
 
 @query("w4_first_seen", "select distinct user_id, event_type, epoch_us(ts) // 3600000000 as hour from events")

@@ -6,7 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from foliospark.operators import chunks as C, embed as E, retrieval as R
+from foliospark.plans import log_queries
+from foliospark.plans.catalog import QUERIES
 from foliospark.streaming import expiring, ingest, keyed
 
 EVENT = "event_id long, user_id long, ts timestamp"
@@ -60,6 +63,38 @@ def test_folds_and_eviction(spark, tmp_path, kind):
     assert spark.conf.get(expiring.state_store.name) != expiring.ROCKSDB
 
 
+@pytest.mark.parametrize("kind", ["admitted", "hit"])
+def test_buckets_share_groups(spark, tmp_path, kind):
+    """Keys by buckets: the same rows, a key that is null too; a trigger leaves no user of earlier pieces, and no bucket more than there are."""
+    frames = [f.withColumn("user_id", F.when(F.col("user_id") % 10 > 0, F.col("user_id"))) for f in pieces(spark)]
+    keys = []
+
+    def held(_):
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/c").option("stateVarName", "times").load()
+        keys.append({(r.bucket, r.name) for r in state.select("key.bucket", F.col("user_map_key.key").alias("name")).collect()})
+
+    make = (lambda e: expiring.admitted_stream(e, 60, 3, buckets=5)) if kind == "admitted" else (lambda e: expiring.ttl_stream(e, 60, "user_id", buckets=5))
+    got, _ = feed(spark, tmp_path, frames, make, held)
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.union(f)
+    want = keyed.admitted(every, 60, 3) if kind == "admitted" else keyed.ttl_hits(every, 60, "user_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    users = [{r.user_id and str(r.user_id) for r in f.select("user_id").distinct().collect()} for f in frames]
+    assert all({x[1] for x in k} <= u for k, u in zip(keys, users, strict=True)) and any(keys)
+    assert {x[0] for k in keys for x in k} <= set(range(5)) and sum(map(len, keys)) < sum(map(len, users))
+
+
+@pytest.mark.parametrize("name", ["w2_expiring_admission", "w4_expiring_ttl"])
+def test_queries_group_keys(spark, monkeypatch, name):
+    """A group of state for each key cost milliseconds a key and trigger."""
+    asked = []
+    real = log_queries.replayed
+    monkeypatch.setattr(log_queries, "replayed", lambda t, events, make, *a: real(t, events, lambda e: asked.append(make(e)) or asked[-1], *a))
+    QUERIES[name](spark, SMALL)
+    assert "bucket" in asked[0]._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("kind", ["admitted", "hit"])
 def test_state_that_has_ended_is_not_written(spark, tmp_path, kind):
     """One trigger spans many minutes: few keys become state, those that the next trigger's events may still meet.
